@@ -84,74 +84,86 @@ def _bb_terms(y: np.ndarray, n: np.ndarray, mu: np.ndarray, phi: np.ndarray) ->
 
 
 def fit_means(y: np.ndarray, n: np.ndarray, g: np.ndarray, phi: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of each group's mean at fixed precisions, and the observed information of each: arrays (precision, group).
+    """Logits of the groups' means at fixed precisions, and the observed information of each.
 
-    Groups have nothing in common once the precision is fixed, so each is a Newton search in one variable, halved
-    towards bounds that keep the mean inside (0, 1).
+    y, n, g: events x samples (g: -1 for no sample); phi: events x precisions; returns events x precisions x groups.
+    Groups have nothing in common once the precision is fixed, so each is a Newton search in one variable with
+    bounded steps and the mean kept inside (0, 1).
     """
-    phi = np.atleast_1d(np.asarray(phi, float))[:, None]
+    p = phi[:, :, None]
     eta, info = [], []
     for k in range(int(g.max()) + 1):
-        yk, nk = y[g == k][None], n[g == k][None]
-        m = np.clip((yk.sum() + 0.5) / (nk.sum() + 1), 1e-6, 1 - 1e-6)
-        e = np.full(phi.shape, math.log(m / (1 - m)))
+        own = g == k
+        width = max(1, int(own.sum(1).max()))
+        order = np.argsort(~own, axis=1, kind="stable")[:, :width]  # the group's samples first
+        yk, nk, w = (np.take_along_axis(x, order, 1)[:, None] for x in (y, n, own.astype(float)))
+        yk, nk = yk * w, nk * w
+        m = np.clip((yk.sum(2) + 0.5) / (nk.sum(2) + 1), 1e-6, 1 - 1e-6)
+        e = np.repeat(np.log(m / (1 - m)), phi.shape[1], 1)
         for _ in range(rounds):
             mu = 1 / (1 + np.exp(-e))
-            a, b, d = mu * phi, (1 - mu) * phi, phi * mu * (1 - mu)
-            s = (digamma(yk + a) - digamma(a) - digamma(nk - yk + b) + digamma(b)).sum(1, keepdims=True)
-            t = (trigamma(yk + a) - trigamma(a) + trigamma(nk - yk + b) - trigamma(b)).sum(1, keepdims=True)
+            a, b, d = (mu * phi)[:, :, None], ((1 - mu) * phi)[:, :, None], p[:, :, 0] * mu * (1 - mu)
+            s = (w * (digamma(yk + a) - digamma(a) - digamma(nk - yk + b) + digamma(b))).sum(2)
+            t = (w * (trigamma(yk + a) - trigamma(a) + trigamma(nk - yk + b) - trigamma(b))).sum(2)
             h = -(t * d * d + s * d * (1 - 2 * mu))
-            move = np.where(h > 1e-10, s * d / np.where(h > 1e-10, h, 1), np.sign(s) * 0.5)
-            move = np.clip(move, -2, 2)
+            sound = h > 1e-10
+            move = np.clip(np.where(sound, s * d / np.where(sound, h, 1), np.sign(s) * 0.5), -2, 2)
             e = np.clip(e + move, -25, 25)
-            if np.abs(move).max() < 1e-9:
+            if np.abs(move).max() < 1e-7:
                 break
-        eta.append(e[:, 0])
-        info.append(h[:, 0])
-    return np.stack(eta, 1), np.stack(info, 1)
+        eta.append(e)
+        info.append(h)
+    return np.stack(eta, 2), np.stack(info, 2)
 
 
 def profile(y: np.ndarray, n: np.ndarray, g: np.ndarray, log_phi: np.ndarray) -> np.ndarray:
-    """Log-likelihood at each log precision, with the groups' means at their best."""
+    """Log-likelihoods (events x precisions) with the groups' means at their best."""
     phi = np.exp(log_phi)
     eta, _ = fit_means(y, n, g, phi)
-    mu = 1 / (1 + np.exp(-eta[:, g]))
-    return _bb_terms(y[None], n[None], mu, phi[:, None]).sum(1)
+    mu = 1 / (1 + np.exp(-np.take_along_axis(eta, np.maximum(g, 0)[:, None, :], 2)))
+    terms = _bb_terms(y[:, None], n[:, None], mu, phi[:, :, None])
+    return np.where((g >= 0)[:, None], terms, 0.0).sum(2)
 
 
-def search(f, low: float, high: float, points: int = 21, rounds: int = 4) -> tuple[float, float]:
-    """Maximum of a function on arrays: a grid, then finer ones around its best point, then a parabola through the last."""
-    x = np.linspace(low, high, points)
+def search(f, low: float, high: float, events: int, points: int = 13, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Maxima of functions on events x points: a grid, then finer ones around each best point, then the top of a parabola."""
+    x = np.tile(np.linspace(low, high, points), (events, 1))
     v = f(x)
+    rows = np.arange(events)
     for _ in range(rounds):
-        i = int(np.argmax(v))
-        x = np.linspace(x[max(i - 1, 0)], x[min(i + 1, len(x) - 1)], points)
+        i = v.argmax(1)
+        a, b = x[rows, np.maximum(i - 1, 0)], x[rows, np.minimum(i + 1, points - 1)]
+        x = a[:, None] + (b - a)[:, None] * np.linspace(0, 1, points)[None]
         v = f(x)
-    i = int(np.argmax(v))
-    return float(x[i]), float(v[i])
+    i = v.argmax(1)
+    j = np.clip(i, 1, points - 2)
+    left, top, right = v[rows, j - 1], v[rows, j], v[rows, j + 1]
+    bend = left - 2 * top + right
+    shift = np.where((bend < 0) & (i == j), 0.5 * (left - right) / np.where(bend < 0, bend, -1), 0.0)
+    return x[rows, i] + shift * (x[:, 1] - x[:, 0]), v[rows, i]
 
 
-def estimate_precision(y: np.ndarray, n: np.ndarray, g: np.ndarray, prior: tuple[float, float] | None = None) -> tuple[float, float, bool] | None:
-    """(phi, Var(phi), identifiable) of a beta-binomial with a mean for each group, or with a normal prior on log phi its mode.
+def estimate_precision(y: np.ndarray, n: np.ndarray, g: np.ndarray, prior: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phi, Var(phi), identifiable) of beta-binomials with a mean for each group, or with a normal prior on log phi their modes.
 
-    identifiable: the likelihood ratio to a binomial with the same means is above the 5 % point of one degree.
+    y, n, g: events x samples, g -1 for no sample. identifiable: the likelihood ratio to a binomial with the same means
+    is above the 5 % point of one degree.
     """
-    use = n > 0
-    y, n, g = y[use].astype(float), n[use].astype(float), np.unique(g[use], return_inverse=True)[1]
-    if len(y) < 2:
-        return None
-    penalty = (lambda x: -((x - prior[0]) ** 2) / (2 * prior[1] ** 2)) if prior else (lambda x: 0.0)
-    x, best = search(lambda v: profile(y, n, g, v) + penalty(v), -5.0, 18.0)
+    penalty = (lambda x: -((x - prior[0]) ** 2) / (2 * prior[1] ** 2)) if prior else (lambda x: 0.0 * x)
+    whole = lambda x: profile(y, n, g, x) + penalty(x)
+    x, best = search(whole, -5.0, 18.0, len(y))
     step = 1e-3
-    around = profile(y, n, g, np.array([x - step, x, x + step])) + penalty(np.array([x - step, x, x + step]))
-    curve = (around[0] - 2 * around[1] + around[2]) / step**2
-    phi = math.exp(x)
-    total_y, total_n = np.bincount(g, y), np.bincount(g, n)
-    m = (total_y / total_n)[g]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        binomial = float(np.nansum(np.where(y > 0, y * np.log(m), 0) + np.where(n > y, (n - y) * np.log(1 - m), 0)))
-    ratio = 2 * (best - binomial)
-    return phi, (phi * phi / -curve if curve < -1e-8 else math.inf), bool(ratio > 3.841458820694124)
+    around = whole(x[:, None] + np.array([-step, 0, step])[None])
+    curve = (around[:, 0] - 2 * around[:, 1] + around[:, 2]) / step**2
+    binomial = np.zeros(len(y))
+    for k in range(int(g.max()) + 1):
+        own = g == k
+        total_y, total_n = np.where(own, y, 0).sum(1), np.where(own, n, 0).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m = total_y / total_n
+            binomial += np.where(total_y > 0, total_y * np.log(m), 0) + np.where(total_n > total_y, (total_n - total_y) * np.log(1 - m), 0)
+    phi = np.exp(x)
+    return phi, np.where(curve < -1e-8, phi * phi / np.where(curve < -1e-8, -curve, 1), np.inf), 2 * (best - binomial) > 3.841458820694124
 
 
 def estimate_dm_precision(counts: np.ndarray) -> tuple[float, float, bool] | None:
@@ -163,12 +175,12 @@ def estimate_dm_precision(counts: np.ndarray) -> tuple[float, float, bool] | Non
     pi, n, size = counts.sum(0) / counts.sum(), counts.sum(1), counts.shape[0]
 
     def likelihood(x: np.ndarray) -> np.ndarray:
-        a = np.exp(x)[:, None]
+        a = np.exp(x[0])[:, None]
         rows = size * lgamma(a[:, 0]) - lgamma(n[None] + a).sum(1)
         ap = a[:, :, None] * pi[None, None]
-        return rows + (lgamma(counts[None] + ap) - lgamma(ap)).sum((1, 2))
+        return (rows + (lgamma(counts[None] + ap) - lgamma(ap)).sum((1, 2)))[None]
 
-    x, best = search(likelihood, -10.0, 12.0)
+    x, best = (float(v[0]) for v in search(likelihood, -10.0, 12.0, 1))
     a = math.exp(x)
     ap = a * pi
     second = size * trigamma(a) - trigamma(n + a).sum() + (pi**2 * (trigamma(counts + ap).sum(0) - size * trigamma(ap))).sum()

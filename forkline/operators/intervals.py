@@ -6,24 +6,13 @@ intervals counts in the first bin that both have.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BIN = 1 << 14
-
+from ..sources.shared import save
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A table in the shared folder (spark.checkpoint.dir), so that rounds don't pile up their lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/intervals-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BIN = 1 << 14
 
 
 def _bins(rows: DataFrame, width: int) -> DataFrame:
@@ -49,12 +38,12 @@ def exonic_parts(exons: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def label_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, label: the smallest node that can be reached. Labels jump from root to root, so rounds grow with the logarithm of the longest chain."""
-    both = _saved(edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct())
-    labels = _saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    both = save(edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct())
+    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = _saved(near.join(jump, "label", "left").select(F.col("a").alias("node"), F.coalesce("further", "label").alias("label")))
+        new = save(near.join(jump, "label", "left").select(F.col("a").alias("node"), F.coalesce("further", "label").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = new
         if not changed:
@@ -160,7 +149,7 @@ def count_reads(alignments: DataFrame, parts: DataFrame, stranded: str = "no", l
     rows = alignments.where("coalesce(nh, 1) <= 1").withColumn("unit", F.monotonically_increasing_id())
     special = F.when(F.col("flag").bitwiseAND(4) != 0, "_notaligned").when(F.col("mapq") < least_quality, "_lowaqual")
     rows = aligned_blocks(rows.withColumns({"special": special, "strand": _strand(stranded)}))
-    rows = _saved(rows.select("unit", "chrom", "strand", "blocks", "special"))
+    rows = save(rows.select("unit", "chrom", "strand", "blocks", "special"))
     return _tally(rows.select("unit", "special"), _hits(rows.where("special is null"), parts, stranded), parts)
 
 
@@ -176,5 +165,5 @@ def count_pairs(alignments: DataFrame, parts: DataFrame, stranded: str = "no", l
         F.flatten(F.collect_list(F.when(F.col("aligned"), F.col("blocks")))).alias("blocks"), F.min(F.when(F.col("aligned"), F.col("strand"))).alias("strand"),
     )
     special = F.when(F.size("chroms") == 0, "_notaligned").when(F.size("chroms") > 1, "_ambiguous_readpair_position").when(F.col("best") < least_quality, "_lowaqual")
-    pairs = _saved(mates.select("unit", F.try_element_at("chroms", F.lit(1)).alias("chrom"), "strand", "blocks", special.alias("special")))
+    pairs = save(mates.select("unit", F.try_element_at("chroms", F.lit(1)).alias("chrom"), "strand", "blocks", special.alias("special")))
     return _tally(pairs.select("unit", "special"), _hits(pairs.where("special is null"), parts, stranded), parts)

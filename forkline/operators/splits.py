@@ -36,37 +36,48 @@ def _with_reference(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ref", F.array_sort(F.array_union(common, near))).withColumn("groups", groups)
 
 
+def _two_sides(rows: DataFrame, *keep: str) -> DataFrame:
+    """Splits of rows with two lists of variants, `one` and `two`; step by step, so that no set is worked out twice."""
+    parts = lambda side: F.transform(side, lambda v: v["parts"])
+    rows = rows.withColumns({"s1": parts("one"), "s2": parts("two")})
+    rows = rows.withColumns({"u1": union_all(F.col("s1")), "u2": union_all(F.col("s2"))})
+    apart = lambda sets, taken: F.transform(sets, lambda p: F.array_except(p, F.col(taken)))
+    rows = rows.withColumns({"x1": apart("s1", "u2"), "x2": apart("s2", "u1")})
+    rows = rows.withColumns({"d1": F.array_sort(intersect_all(F.col("x1"))), "d2": F.array_sort(intersect_all(F.col("x2"))), "c1": intersect_all(F.col("s1")), "c2": intersect_all(F.col("s2"))})
+    near = F.array_intersect(F.array(F.col("src") - 1, F.col("snk")), F.array_intersect(F.element_at("one", 1)["rep"], F.element_at("two", 1)["rep"]))
+    rows = rows.withColumn("ref", F.array_sort(F.array_union(F.array_intersect("c1", "c2"), near)))
+
+    def group(side: str, diff: str, sets: str) -> Column:
+        status = F.when(F.forall(sets, lambda p: F.size(p) == 0), "none").when(F.size(diff) == 0, "empty").otherwise("parts")
+        txs = F.array_distinct(F.flatten(F.transform(side, lambda v: v["txs"])))
+        return F.struct(F.transform(side, lambda v: v["inner"]).alias("paths"), txs.alias("txs"), F.col(diff).alias("diff"), status.alias("status"))
+
+    told = rows.where("size(d1) > 0 or size(d2) > 0")
+    return told.select("gene", "src", "snk", "n_paths", *keep, F.array(group("one", "d1", "s1"), group("two", "d2", "s2")).alias("groups"), "ref")
+
+
 def bipartitions(bubbles: DataFrame) -> DataFrame:
     """Every split in two that never parts a variant from one whose parts it contains, once: side 1 holds the first variant.
 
     Bits of `mask` are side 1. Run prune() first: masks double with each variant. Splits without distinguishing parts on either side go.
     """
-    n = F.col("n_paths")
-    below = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda b: F.aggregate(
-            F.sequence(F.lit(1), n), F.lit(0),
-            lambda acc, a: acc + F.when(_inside(F.element_at("variants", a)["parts"], F.element_at("variants", b)["parts"]), F.call_function("shiftleft", F.lit(1), a - 1)).otherwise(0),
-        ),
-    )
-    masks = bubbles.withColumn("below", below).withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, n_paths) - 2, 2)")))
-    closed = lambda m: f"forall(below, (s, i) -> ({m} & shiftleft(1, i)) = 0 or (s & ~({m})) = 0)"
+    n = F.sequence(F.lit(1), F.col("n_paths"))
+    sets = bubbles.withColumn("sets", F.transform("variants", lambda v: F.array_distinct(v["parts"])))
+    bit = lambda a: F.call_function("shiftleft", F.lit(1), a - 1)
+    inside = lambda a, b: (F.size(F.element_at("sets", a)) < F.size(F.element_at("sets", b))) & (F.size(F.array_except(F.element_at("sets", a), F.element_at("sets", b))) == 0)
+    below = F.transform(n, lambda b: F.aggregate(n, F.lit(0), lambda bits, a: bits + F.when(inside(a, b), bit(a)).otherwise(0)))
+    masks = sets.withColumn("below", below).drop("sets").withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, n_paths) - 2, 2)")))
+    closed = lambda m: f"forall(transform(below, (s, i) -> ({m} & shiftleft(1, i)) = 0 or (s & ~({m})) = 0), x -> x)"
     valid = masks.where(f"({closed('mask')}) or ({closed('(shiftleft(1, n_paths) - 1 - mask)')})")
-    sides = valid.withColumn("one", F.expr("filter(variants, (v, i) -> (mask & shiftleft(1, i)) <> 0)")).withColumn("two", F.expr("filter(variants, (v, i) -> (mask & shiftleft(1, i)) = 0)"))
-    rows = _with_reference(sides.select("gene", "src", "snk", "n_paths", "mask", F.array(_group(F.col("one"), F.col("two")), _group(F.col("two"), F.col("one"))).alias("groups")))
-    return rows.where(F.exists("groups", lambda g: F.size(g["diff"]) > 0))
-
-
-def _inside(a: Column, b: Column) -> Column:
-    return (F.size(F.array_except(a, b)) == 0) & (F.size(a) < F.size(b))
+    sides = valid.withColumns({"one": F.expr("filter(variants, (v, i) -> (mask & shiftleft(1, i)) <> 0)"), "two": F.expr("filter(variants, (v, i) -> (mask & shiftleft(1, i)) = 0)")})
+    return _two_sides(sides, "mask")
 
 
 def pairs(bubbles: DataFrame) -> DataFrame:
     """Every two variants against each other (one, two: their 1-based numbers); pairs without distinguishing parts on either side go."""
     chosen = bubbles.select("gene", "src", "snk", "n_paths", "variants", F.posexplode("variants").alias("i", "v")).select("*", F.posexplode("variants").alias("j", "w")).where("i < j")
-    groups = F.array(_group(F.array("v"), F.array("w")), _group(F.array("w"), F.array("v")))
-    rows = _with_reference(chosen.select("gene", "src", "snk", "n_paths", (F.col("i") + 1).alias("one"), (F.col("j") + 1).alias("two"), groups.alias("groups")))
-    return rows.where(F.exists("groups", lambda g: F.size(g["diff"]) > 0))
+    sides = chosen.withColumns({"first": F.col("i") + 1, "second": F.col("j") + 1, "one": F.array("v"), "two": F.array("w")})
+    return _two_sides(sides, "first", "second").withColumnsRenamed({"first": "one", "second": "two"})
 
 
 def multinomial(bubbles: DataFrame) -> DataFrame:
@@ -96,8 +107,7 @@ def changed_vs_constant(bubbles: DataFrame, changed: DataFrame, constant: DataFr
     a, b = (t.groupBy("gene").agg(F.collect_set("tx").alias(name)) for t, name in ((changed, "a"), (constant, "b")))
     has = lambda v, name: F.arrays_overlap(v["txs"], F.col(name))
     rows = bubbles.join(a, "gene").join(b, "gene").withColumn("one", F.filter("variants", lambda v: has(v, "a") & ~has(v, "b"))).withColumn("two", F.filter("variants", lambda v: has(v, "b") & ~has(v, "a")))
-    rows = rows.where("size(one) > 0 and size(two) > 0")
-    return _with_reference(rows.select("gene", "src", "snk", "n_paths", F.array(_group(F.col("one"), F.col("two")), _group(F.col("two"), F.col("one"))).alias("groups")))
+    return _two_sides(rows.where("size(one) > 0 and size(two) > 0"))
 
 
 def dedupe(splits: DataFrame, order: list[str | Column]) -> DataFrame:

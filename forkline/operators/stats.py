@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numerics
+from ..sources.shared import save
 from .fdr import add_significant, adjust
 
 EVENT = ["gene", "event", "comparison"]
@@ -143,36 +144,59 @@ def impute(rows: DataFrame, table: DataFrame) -> DataFrame:
 # --- estimates and tests of single events ----------------------------------------------------------------------
 
 
-def _per_event(rows: DataFrame, by: list[str], columns: list[Column], schema: str, run: Callable[[pd.Series], tuple | None]) -> DataFrame:
-    """Gather each event's samples (as many as the experiment has) in one row and add what `run` makes of them; None gives no row."""
+#: Events whose samples are worked on together.
+CHUNK = 64
+
+
+def _per_event(rows: DataFrame, by: list[str], columns: list[Column], schema: str, run: Callable[[list], list]) -> DataFrame:
+    """Gather each event's samples (as many as the experiment has) in one row; `run` makes a tuple, or None for no row, of each event of a chunk."""
     table = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("sample", *columns))).alias("rows"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [run(r) for r in frame["rows"]]
-            keep = [g is not None for g in got]
-            out = frame.loc[keep, by].reset_index(drop=True)
-            values = pd.DataFrame([g for g in got if g is not None], columns=names)
-            yield pd.concat([out, values], axis=1)
+            for at in range(0, len(frame), CHUNK):
+                part = frame.iloc[at : at + CHUNK]
+                got = run(list(part["rows"]))
+                keep = [g is not None for g in got]
+                values = pd.DataFrame([g for g in got if g is not None], columns=names)
+                yield pd.concat([part.loc[keep, by].reset_index(drop=True), values], axis=1)
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*by).schema)
     return table.mapInPandas(each, f"{head}, {schema}")
 
 
+def _one_by_one(f: Callable[[list], tuple | None]) -> Callable[[list], list]:
+    return lambda events: [f(samples) for samples in events]
+
+
 def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """y, n, group numbers and group names of an event's samples with counts."""
     y, n, g = np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float), np.array([r["grp"] for r in rows])
     use = n > 0
     levels, codes = np.unique(g[use], return_inverse=True)
     return y[use], n[use], codes, levels.tolist()
 
 
+def _padded(arrays: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Events x samples, filled up with samples of group -1."""
+    width = max(len(a[0]) for a in arrays)
+    fill = lambda k, value: np.array([np.r_[a[k], np.full(width - len(a[k]), value)] for a in arrays])
+    return fill(0, 0.0), fill(1, 0.0), fill(2, -1).astype(int)
+
+
+def _precisions(arrays: list[tuple], prior: tuple[float, float] | None = None) -> list[tuple]:
+    return [(float(p), float(v), bool(s)) for p, v, s in zip(*numerics.estimate_precision(*_padded(arrays), prior), strict=True)]
+
+
 def dispersion(rows: DataFrame, by: list[str] = EVENT, prior: tuple[float, float] | None = None) -> DataFrame:
     """by, phi, var_phi, identifiable: beta-binomial precision with a mean for each group, or its mode under a normal prior (mean, sd) on its log."""
 
-    def run(samples: list) -> tuple | None:
-        y, n, g, _ = _arrays(samples)
-        return numerics.estimate_precision(y, n, g, prior) if len(y) >= 2 else None
+    def run(events: list) -> list:
+        arrays = [_arrays(samples) for samples in events]
+        usable = [a for a in arrays if len(a[0]) >= 2]
+        found = iter(_precisions(usable, prior) if usable else [])
+        return [next(found) if len(a[0]) >= 2 else None for a in arrays]
 
     return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp")], "phi double, var_phi double, identifiable boolean", run)
 
@@ -194,35 +218,34 @@ def wald_test(rows: DataFrame, contrasts: list[tuple[str, str]], model: str, by:
     """
     fixed = "z_mod" in rows.columns
 
-    def run(samples: list) -> list | None:
-        y, n, g, levels = _arrays(samples)
-        if len(y) < 2 or len(levels) < 2 or y.mean() == 0:
-            return None
-        if fixed:
-            z = samples[0]["z_mod"]
-            if z is None or not np.isfinite(z):
-                return None
-            phi = float(np.exp(z))
-        else:
-            found = numerics.estimate_precision(y, n, g)
-            if found is None:
-                return None
-            phi = found[0]
-        eta, info = numerics.fit_means(y, n, g, np.array([phi]))
+    def tests(levels: list[str], eta: np.ndarray, info: np.ndarray, phi: float) -> tuple | None:
         out = []
         for trt, ref in contrasts:
             if trt not in levels or ref not in levels:
                 continue
             a, b = levels.index(trt), levels.index(ref)
-            if info[0, a] <= 0 or info[0, b] <= 0:
+            if info[a] <= 0 or info[b] <= 0:
                 continue
-            est, se = float(eta[0, a] - eta[0, b]), float(np.sqrt(1 / info[0, a] + 1 / info[0, b]))
+            est, se = float(eta[a] - eta[b]), float(np.sqrt(1 / info[a] + 1 / info[b]))
             if not np.isfinite(se) or se <= 0:
                 continue
             z2 = (est / se) ** 2
             out.append({"contrast": f"{trt}:{ref}", "LRT": z2, "pvalue": float(numerics.chi2_tail(np.array([z2]), 1)[0]), "phi": phi, "effect_size": est})
         return (out,) if out else None
 
+    def run(events: list) -> list:
+        arrays = [_arrays(samples) for samples in events]
+        known = [not fixed or (s[0]["z_mod"] is not None and np.isfinite(s[0]["z_mod"])) for s in events]
+        at = [i for i, a in enumerate(arrays) if known[i] and len(a[0]) >= 2 and len(a[3]) >= 2 and a[0].mean() > 0]
+        out: list = [None] * len(events)
+        if at:
+            usable = [arrays[i] for i in at]
+            phi = np.array([np.exp(events[i][0]["z_mod"]) for i in at]) if fixed else np.array([p[0] for p in _precisions(usable)])
+            eta, info = numerics.fit_means(*_padded(usable), phi[:, None])
+            for k, i in enumerate(at):
+                out[i] = tests(arrays[i][3], eta[k, 0], info[k, 0], float(phi[k]))
+        return out
+
     columns = [F.col("y"), F.col("n"), F.col("grp"), *([F.col("z_mod")] if fixed else [])]
     got = _per_event(rows, by, columns, "tests array<struct<contrast:string,LRT:double,pvalue:double,phi:double,effect_size:double>>", run)
     return got.select(*by, F.inline("tests")).withColumn("model", F.lit(model))
@@ -239,7 +262,7 @@ def wilcoxon_test(rows: DataFrame, by: list[str] = EVENT) -> DataFrame:
         a, b = p[g == 0], p[g == 1]
         return numerics.rank_sum(a, b), float(b.mean() - a.mean())
 
-    return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp")], "pvalue double, effect_size double", run).withColumn("model", F.lit("wilcoxon"))
+    return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp")], "pvalue double, effect_size double", _one_by_one(run)).withColumn("model", F.lit("wilcoxon"))
 
 
 def rank_sums(rows: DataFrame, by: list[str] = EVENT) -> DataFrame:
@@ -265,7 +288,7 @@ def _matrix(samples: list) -> tuple[np.ndarray, list[str]]:
 
 def dm_precision(long: DataFrame, by: list[str]) -> DataFrame:
     """by, log_prec, var_log_prec, identifiable of a long count table (by, type, sample, grp, cnt)."""
-    return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp")], "log_prec double, var_log_prec double, identifiable boolean", lambda s: numerics.estimate_dm_precision(_matrix(s)[0]))
+    return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp")], "log_prec double, var_log_prec double, identifiable boolean", _one_by_one(lambda s: numerics.estimate_dm_precision(_matrix(s)[0])))
 
 
 def dm_test(long: DataFrame, by: list[str]) -> DataFrame:
@@ -292,7 +315,7 @@ def dm_test(long: DataFrame, by: list[str]) -> DataFrame:
         p = [np.maximum(counts[g == x].sum(0) / counts[g == x].sum(), 1e-10) for x in levels[:2]]
         return ratio, df, float(numerics.chi2_tail(np.array([ratio]), df)[0]), float(np.log(p[1][0] / p[1][-1]) - np.log(p[0][0] / p[0][-1]))
 
-    return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp"), F.col("log_prec_mod")], "LRT double, df int, pvalue double, effect_size double", run).withColumn("model", F.lit("dirmult_EBplugin"))
+    return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp"), F.col("log_prec_mod")], "LRT double, df int, pvalue double, effect_size double", _one_by_one(run)).withColumn("model", F.lit("dirmult_EBplugin"))
 
 
 def apply_test(rows: DataFrame, by: list[str], test: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
@@ -321,7 +344,7 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
         raise ValueError(f"model must be one of {MODELS}")
     if model == "dirmult_EBplugin":
         by = ["gene", "event"]
-        prec = dm_precision(counts, by)
+        prec = save(dm_precision(counts, by), "precision")
         means = base_mean_multinomial(counts)
         if trend:
             mod = moderate_trend(prec, means, by, "log_prec", "var_log_prec").withColumnRenamed("z_mod", "log_prec_mod")
@@ -330,7 +353,7 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
         middle = mod.agg(F.median("log_prec_mod")).first()[0]
         rows = counts.join(mod.select(*by, "log_prec_mod"), by, "left").withColumn("log_prec_mod", F.coalesce("log_prec_mod", F.lit(middle)))
         results = dm_test(rows, by).join(means, by, "left").withColumn("contrast", F.lit("all"))
-        return add_significant(adjust(results, alpha=alpha, filtering=filtering), alpha, delta)
+        return add_significant(adjust(save(results, "results"), alpha=alpha, filtering=filtering), alpha, delta)
     rows = keep_events(comparisons(counts, table), EVENT)
     means = base_mean(rows)
     used = pseudocount(rows)
@@ -339,7 +362,7 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
     elif model == "betabinom_MLE":
         results = wald_test(used, contrasts, model)
     else:
-        phi = dispersion(used)
+        phi = save(dispersion(used), "dispersion")
         if share_dispersion:
             shared = phi.where(F.col("comparison") == share_dispersion).drop("comparison")
             phi = means.select(*EVENT).join(shared, ["gene", "event"])
@@ -355,4 +378,4 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
         results = wald_test(impute(used.join(z_mod, EVENT, "left"), z_mod), contrasts, model)
     trt, ref = contrasts[0]
     results = results.join(means, EVENT, "left").join(lfc_summary(rows, ref, trt), EVENT, "left")
-    return add_significant(adjust(results, alpha=alpha, by=["contrast"], filtering=filtering), alpha, delta)
+    return add_significant(adjust(save(results, "results"), alpha=alpha, by=["contrast"], filtering=filtering), alpha, delta)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import part_labels
 from ..operators import bubbles as b
 from ..operators import compare, counts, enrich, fdr, graph, intervals, mapping, splits, stats
+from ..sources.shared import save
 from .views import LEAF, ROOT, view
 
 #: Variants of a bubble that splits are listed for, at most.
@@ -129,7 +130,7 @@ def focal_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def collapse_bubbles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.collapse_bubbles(_paths(spark, sf), b.detect_bubbles, ROOT, LEAF, intervals._saved, max_rounds=3).select("gene", "tx", _text("nodes").alias("nodes"), part_labels(F.col("parts")).alias("parts"))
+    return graph.collapse_bubbles(_paths(spark, sf), b.detect_bubbles, ROOT, LEAF, save, max_rounds=3).select("gene", "tx", _text("nodes").alias("nodes"), part_labels(F.col("parts")).alias("parts"))
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from forkline.functions import arrays as a
 from forkline.operators import bubbles as b
 from forkline.operators import graph, intervals, splits
+from forkline.sources.shared import save
 
 
 def nodes(spark, paths):
@@ -159,7 +160,7 @@ def test_graph_of_a_skipped_exon(spark, strand):
 
 def test_collapse_leaves_one_way(spark):
     paths = b.tx_paths(nodes(spark, [("g", "a", [0, 1, 2, 5, 6, 9]), ("g", "b", [0, 1, 3, 5, 6, 9]), ("g", "c", [0, 1, 2, 5, 7, 9])]), 0, 9)
-    got = {r.tx: r.nodes for r in graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, intervals._saved).collect()}
+    got = {r.tx: r.nodes for r in graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, save).collect()}
     assert got == {"a": [0, 1, 2, 5, 6, 9], "b": [0, 1, 2, 5, 6, 9], "c": [0, 1, 2, 5, 7, 9]}
 
 

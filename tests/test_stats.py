@@ -117,20 +117,37 @@ def test_moderation(spark):
 
 def test_dispersion_finds_the_truth():
     rng = np.random.default_rng(2)
-    n = np.full(400, 200.0)
-    p = rng.beta(0.3 * 20, 0.7 * 20, 400)
-    y = rng.binomial(200, p).astype(float)
-    phi, var, sure = num.estimate_precision(y, n, np.zeros(400, int))
-    assert sure and abs(math.log(phi / 20)) < 0.3 and var > 0
-    flat = num.estimate_precision(rng.binomial(200, 0.3, 30).astype(float), n[:30], np.zeros(30, int))
-    assert flat[0] > 300
-    mode, _, _ = num.estimate_precision(y[:10], n[:10], np.zeros(10, int), prior=(math.log(5), 0.01))
-    assert mode == pytest.approx(5, rel=0.05)
-    counts_ = np.stack([y, n - y], 1)
-    log_prec, v, sure = num.estimate_dm_precision(counts_)
+    n = np.full((1, 400), 200.0)
+    y = rng.binomial(200, rng.beta(0.3 * 20, 0.7 * 20, 400)).astype(float)[None]
+    (phi,), (var,), (sure,) = num.estimate_precision(y, n, np.zeros((1, 400), int))
+    assert sure and abs(math.log(phi / 20)) < 0.3 and 0 < var < math.inf
+    flat = num.estimate_precision(rng.binomial(200, 0.3, (1, 30)).astype(float), n[:, :30], np.zeros((1, 30), int))
+    assert flat[0][0] > 300
+    mode = num.estimate_precision(y[:, :10], n[:, :10], np.zeros((1, 10), int), prior=(math.log(5), 0.01))
+    assert mode[0][0] == pytest.approx(5, rel=0.05)
+    log_prec, v, sure = num.estimate_dm_precision(np.stack([y[0], n[0] - y[0]], 1))
     assert sure and abs(log_prec - math.log(20)) < 0.3 and v > 0
 
 
+def test_events_in_a_chunk_do_not_touch_each_other():
+    rng = np.random.default_rng(3)
+    y, n = rng.integers(0, 50, (5, 12)).astype(float), np.full((5, 12), 60.0)
+    g = np.tile(np.arange(12) % 2, (5, 1))
+    g[2, 8:] = -1
+    g[3] = -1
+    g[3, :4] = 0
+    together = num.estimate_precision(y, n, g)
+    for i in range(5):
+        use = g[i] >= 0
+        alone = num.estimate_precision(y[i : i + 1, use], n[i : i + 1, use], g[i : i + 1, use])
+        assert together[0][i] == pytest.approx(alone[0][0], rel=1e-3)
+    # the mean of a group is its pooled share when the precision is very high
+    eta, info = num.fit_means(y[:1], n[:1], g[:1], np.array([[1e8]]))
+    share = y[0, g[0] == 1].sum() / n[0, g[0] == 1].sum()
+    assert 1 / (1 + math.exp(-eta[0, 0, 1])) == pytest.approx(share, rel=1e-4)
+    assert info[0, 0, 1] == pytest.approx(n[0, g[0] == 1].sum() * share * (1 - share), rel=1e-3)
+
+
 def usage(spark, shift):
     rng = np.random.default_rng(4)
     rows = []
