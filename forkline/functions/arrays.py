@@ -46,7 +46,7 @@ def proximity(reference: Column, others: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """A comma-joined list, trimmed, without repeats, in order."""
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))), ",")
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))), ",")
 
 
 def strip_version(text: Column) -> Column:

@@ -28,6 +28,11 @@ def parts_of_tests(event_map: DataFrame, part_results: DataFrame, keys: list[str
     return each.join(part_results, keys, "full")
 
 
+def annotate(results: DataFrame, table: DataFrame, columns: list[str], keys: tuple[str, ...] = ("gene", "event")) -> DataFrame:
+    """`results` with the named columns of a table of splits or junction labels, which has them once or many times for an event."""
+    return results.join(table.select(*keys, *columns).distinct(), list(keys), "left")
+
+
 def keep_first(rows: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each group, in a stated order."""
     return rows.withColumn("__k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__k = 1").drop("__k")

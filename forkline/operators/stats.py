@@ -134,6 +134,13 @@ def moderate_trend(est: DataFrame, means: DataFrame, keys: list[str], z: str, va
     return _shrunk(joined, keys, z, var, F.col("z_trend")).drop("tau2")
 
 
+def trend_prior(moderated: DataFrame) -> DataFrame:
+    """(comparison, sd): spread of the estimates around the trend of moderate_trend(); comparisons with too few take the spread of all."""
+    rest = F.col("z") - F.col("z_trend")
+    overall = moderated.agg(F.stddev_samp(rest)).first()[0]
+    return moderated.groupBy("comparison").agg(F.coalesce(F.stddev_samp(rest), F.lit(overall), F.lit(1.0)).alias("sd"))
+
+
 def impute(rows: DataFrame, table: DataFrame) -> DataFrame:
     """`rows` (comparison, z_mod, ...) with missing z_mod from the comparison's median in `table`, else the median of all, else 0."""
     each = table.groupBy("comparison").agg(F.median("z_mod").alias("m"))

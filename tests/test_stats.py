@@ -115,6 +115,15 @@ def test_moderation(spark):
     assert stats.impute(rows.select("comparison", F.lit(None).cast("double").alias("z_mod")), stats.moderate_log(rows, ["comparison"])).where("z_mod is null").count() == 0
 
 
+def test_trend_prior_and_annotation(spark):
+    rows = spark.createDataFrame([("c", 1.0, 0.0), ("c", -1.0, 0.0), ("d", 3.0, 3.0)], "comparison string, z double, z_trend double")
+    got = {r.comparison: r.sd for r in stats.trend_prior(rows).collect()}
+    assert got == {"c": pytest.approx(math.sqrt(2)), "d": pytest.approx(1.0)}
+    results = spark.createDataFrame([("g", 1, 0.1), ("h", 1, 0.2)], "gene string, event int, pvalue double")
+    table = spark.createDataFrame([("g", 1, "E001", "s1"), ("g", 1, "E001", "s2")], "gene string, event int, setdiff1 string, sample string")
+    assert {(r.gene, r.setdiff1) for r in compare.annotate(results, table, ["setdiff1"]).collect()} == {("g", "E001"), ("h", None)}
+
+
 def test_dispersion_finds_the_truth():
     rng = np.random.default_rng(2)
     n = np.full((1, 400), 200.0)
