@@ -1,26 +1,33 @@
 """Intervals: disjoint parts, overlapping genes, and reads counted on parts. Coordinates are closed on both sides.
 
-Overlaps are found by equal keys: an interval is listed under each bin of BIN positions that it touches, and a pair of
-intervals counts in the first bin that both have.
+Overlaps are found by equal keys: an interval is listed under each bin of positions that it touches, and a pair of
+intervals counts in the first bin that both have. Bins are about as wide as the intervals are long.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
 
-BIN = 1 << 14
-
 
 def _bins(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+def bin_width(rows: DataFrame) -> int:
+    """The power of two from 16 on that is next above the mean length of the intervals: an interval then touches two or three bins."""
+    mean = rows.agg(F.avg(F.col("end") - F.col("start") + 1)).first()[0] or 1
+    return max(16, 1 << math.ceil(math.log2(mean)))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """Rows of a and b (keys..., start, end, ...) whose intervals have a position in common; b's interval becomes start2, end2."""
+    width = width or bin_width(b)
     other = _bins(b, width).withColumnsRenamed({"start": "start2", "end": "end2"})
     joined = _bins(a, width).join(other, [*keys, "bin"])
     first = F.floor(F.greatest("start", "start2") / width) == F.col("bin")
