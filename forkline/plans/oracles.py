@@ -266,6 +266,25 @@ SELECT gene, event_id, etype, strand,
   (CASE WHEN etype = 'SE' THEN s WHEN etype = 'RI' THEN s - 20 WHEN etype = 'A3SS' THEN CASE WHEN strand = '+' THEN s ELSE e - 3 END WHEN etype = 'A5SS' THEN CASE WHEN strand = '+' THEN e - 3 ELSE s END END + 1)::INT AS alt_low,
   (CASE WHEN etype = 'SE' THEN e WHEN etype = 'RI' THEN e + 20 WHEN etype = 'A3SS' THEN CASE WHEN strand = '+' THEN s + 3 ELSE e END WHEN etype = 'A5SS' THEN CASE WHEN strand = '+' THEN e ELSE s + 3 END END + 1)::INT AS alt_hi
 FROM ev""",
+    "read_counting": _with(duck("v_exons")) + """,
+r AS (SELECT row_number() OVER () AS id, chrom, "start" AS x, "end" AS y, 5 + tx % 20 < 10 AS low FROM v_exons),
+p AS (SELECT DISTINCT chrom, ("start" // 25)::INT AS k FROM v_exons),
+parts AS (SELECT chrom || (k // 4) AS gene, k % 4 + 1 AS part, chrom, k * 25 AS a, k * 25 + 24 AS b FROM p),
+h AS (SELECT r.id, q.gene, q.part FROM r JOIN parts q ON r.chrom = q.chrom AND r.x <= q.b AND q.a <= r.y WHERE NOT r.low),
+n AS (SELECT id, count(DISTINCT gene) AS g FROM h GROUP BY id),
+s AS (SELECT r.id, CASE WHEN r.low THEN '_lowaqual' WHEN n.g IS NULL THEN '_empty' WHEN n.g > 1 THEN '_ambiguous' END AS special FROM r LEFT JOIN n ON r.id = n.id),
+c AS (SELECT h.gene, h.part, count(*) AS cnt FROM h JOIN s ON h.id = s.id AND s.special IS NULL GROUP BY h.gene, h.part)
+SELECT q.gene, q.part, NULL::VARCHAR AS special, coalesce(c.cnt, 0) AS cnt FROM parts q LEFT JOIN c ON q.gene = c.gene AND q.part = c.part
+UNION ALL SELECT NULL, NULL, special, count(*) FROM s WHERE special IS NOT NULL GROUP BY special""",
+    "merge_maps": _with(duck("v_exons"), _EVENTS) + """,
+m AS (SELECT gene, (e % 7)::INT AS part, etype, string_agg(DISTINCT event_id, ',' ORDER BY event_id) AS ids FROM ev WHERE etype <> 'MXE' GROUP BY gene, e % 7, etype)
+SELECT gene, part, string_agg(ids, ',' ORDER BY CASE etype WHEN 'SE' THEN 1 WHEN 'RI' THEN 2 WHEN 'A3SS' THEN 3 ELSE 4 END) AS event_ids FROM m GROUP BY gene, part""",
+    "integrate_counts": _RES + "," + _TWO + """,
+f AS (SELECT p_a IS NOT NULL AS ta, p_b IS NOT NULL AS tb, coalesce(p_a < 0.2, false) AS sa, coalesce(p_b < 0.2, false) AS sb FROM two),
+n AS (SELECT count(*) AS events, count(*) FILTER (WHERE ta) AS t1, count(*) FILTER (WHERE tb) AS t2, count(*) FILTER (WHERE ta AND tb) AS t3, count(*) FILTER (WHERE ta AND NOT tb) AS t4, count(*) FILTER (WHERE tb AND NOT ta) AS t5,
+  count(*) FILTER (WHERE sa) AS s1, count(*) FILTER (WHERE sb) AS s2, count(*) FILTER (WHERE sa AND sb) AS s3, count(*) FILTER (WHERE sa AND NOT sb) AS s4, count(*) FILTER (WHERE sb AND NOT sa) AS s5 FROM f)
+SELECT t1 AS events_tested_a, t2 AS events_tested_b, t3 AS events_tested_both, t4 AS events_tested_a_only, t5 AS events_tested_b_only, s1 AS events_sig_a, s2 AS events_sig_b, s3 AS events_sig_both, s4 AS events_sig_a_only, s5 AS events_sig_b_only,
+  t1 AS parts_tested_a, t2 AS parts_tested_b, t3 AS parts_tested_both, t4 AS parts_tested_a_only, t5 AS parts_tested_b_only, s1 AS parts_sig_a, s2 AS parts_sig_b, s3 AS parts_sig_both, s4 AS parts_sig_a_only, s5 AS parts_sig_b_only, events FROM n""",
     "crosswalk_strict": _with(duck("v_counts"), _SETS) + " SELECT a.gene, a.event, b.event AS other FROM sa a LEFT JOIN sb b ON a.gene = b.gene AND a.r = b.r AND a.x = b.x",
     "crosswalk_lenient": _with(duck("v_counts"), _SETS) + " SELECT a.gene, a.event, b.event AS other FROM sa a LEFT JOIN sb b ON a.gene = b.gene AND list_has_any(a.r, b.r) AND list_has_any(a.x, b.x)",
     "crosswalk_one_to_one": _with(duck("v_counts"), _SETS) + """,

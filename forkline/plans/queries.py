@@ -342,6 +342,38 @@ def graph_parts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.part_edges(parts, graph.build_nodes(exons)).select("gene", "a", "b", "part", F.size("txs").alias("n_txs"))
 
 
+@query
+def map_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Exon-skipping events laid over the graphs' own middle exons, mapped back to parts."""
+    exons, edges = _graph(spark, sf)
+    parts = intervals.exonic_parts(exons, ["gene"]).withColumn("part", F.row_number().over(b.W.partitionBy("gene").orderBy("start")))
+    every = edges.union(graph.part_edges(parts, graph.build_nodes(exons)))
+    plus = edges.where("gene like '%+'")
+    before = plus.where("kind = 'in'").select("gene", F.col("b").alias("a"), F.col("from_pos").alias("up"))
+    after = plus.where("kind = 'in'").select("gene", F.col("a").alias("b"), F.col("to_pos").alias("down"))
+    one = plus.where("kind = 'ex'").join(before, ["gene", "a"]).join(after, ["gene", "b"]).groupBy("gene", "a", "b").agg(F.min("from_pos").alias("low"), F.min("to_pos").alias("high"), F.max("up").alias("up"), F.min("down").alias("down"))
+    events = one.select("gene", F.concat_ws("_", F.lit("SE"), "gene", F.col("a").cast("string"), F.col("b").cast("string")).alias("event_id"), F.lit("SE").alias("etype"), F.lit("+").alias("strand"), (F.col("low") - 1).alias("exonStart_0base"), (F.col("high") - 1).alias("exonEnd"), (F.col("up") - 1).alias("upstreamEE"), (F.col("down") - 1).alias("downstreamES"))
+    mapped = mapping.event_parts(mapping.boundaries(events), every)
+    return mapped.select("gene", "event_id", part_labels(F.col("parts")).alias("parts"))
+
+
+def _reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as single-block reads, and parts of 25 days, four to a gene."""
+    rows = view(spark, sf, "v_exons")
+    reads = rows.select(
+        F.concat_ws(":", "gene", "tx", "start").alias("read"), F.when(F.col("strand") == "+", 0).otherwise(16).alias("flag"), "chrom", F.col("start").alias("pos"),
+        (5 + F.col("tx") % 20).cast("int").alias("mapq"), F.concat((F.col("end") - F.col("start") + 1).cast("string"), F.lit("M")).alias("cigar"), F.lit(1).alias("nh"),
+    )
+    k = rows.select("chrom", F.floor(F.col("start") / 25).cast("int").alias("k")).distinct()
+    parts = k.select(F.concat("chrom", F.floor(F.col("k") / 4).cast("string")).alias("gene"), (F.col("k") % 4 + 1).alias("part"), "chrom", F.lit("+").alias("strand"), (F.col("k") * 25).alias("start"), (F.col("k") * 25 + 24).alias("end"))
+    return reads, parts
+
+
+@query
+def read_counting(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.count_reads(*_reads(spark, sf))
+
+
 def _pairs_of_events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = view(spark, sf, "v_counts").groupBy("gene", F.col("sample").alias("event")).agg(F.collect_set(F.when(F.col("part") <= 3, F.col("part"))).alias("ref"), F.collect_set(F.when(F.col("part") > 3, F.col("part"))).alias("alt"))
     return rows.where("event <= 6"), rows.where("event > 6")
