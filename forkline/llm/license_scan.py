@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import first_by_hash, text_bytes
 
 # Short notices of each licence family.
 TEMPLATES = {
@@ -27,7 +27,7 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission of the publisher."],
 }
 FAMILIES = ["unknown", *TEMPLATES]
-#: Documents whose paragraphs stand for the unknown class in training, at most; characters of a paragraph kept for training.
+#: Documents whose paragraphs stand for the unknown class in training, at most; and those paragraphs.
 BACKGROUND_DOCS, BACKGROUND_PARAGRAPHS = 400, 4000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9\x80-\xff]+)*")
 
@@ -116,9 +116,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on the templates and on the paragraphs of BACKGROUND_DOCS documents at most, those first by a hash of their text."""
-    digest = F.xxhash64("text")
-    sample = docs.where("text is not null").select("text", digest.alias("h")).orderBy("h", "text").limit(BACKGROUND_DOCS).collect()
+    """Fit on the templates and on the paragraphs of BACKGROUND_DOCS documents at most, those first by a hash of their ids and texts."""
+    sample = first_by_hash(docs.where("text is not null").select("doc_id", "text"), BACKGROUND_DOCS, "doc_id", "text").collect()
     paragraphs = [words_of(line.encode()) for r in sample for line in r.text.split("\n")]
     return Model([p for p in paragraphs if p][:BACKGROUND_PARAGRAPHS])
 

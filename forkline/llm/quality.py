@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import first_by_hash, text_bytes
 
 #: Hashed n-grams; labelled rows that the model is fitted on, at most.
 DIMENSIONS, SAMPLE = 1 << 18, 12_000
@@ -105,15 +105,37 @@ def crc_mod(name: str = "doc_id", n: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, y, f) of the whole sample -> one row with the model."""
+    got = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "f")), strict=True)]
+    got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
+    y, rows = np.array([r[1] for r in got]), [np.frombuffer(r[2], np.int32) for r in got]
+    del got
+    out = {"constant": [float(y.mean()) if len(y) else 0.5], "scale": [b""], "w": [b""], "a": [0.0], "b": [0.0]}
+    if len(set(y.tolist())) == 2:
+        held = np.arange(len(y)) % 5 == 0
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            held[:] = False
+        inner = [r for r, h in zip(rows, held, strict=True) if not h]
+        scale = log_count_ratios(inner, y[~held])
+        w = fit_hinge(inner, y[~held], scale)
+        probe = held if held.any() else ~held
+        a, b = fit_sigmoid(np.array([_margin(r, scale, w) for r, h in zip(rows, probe, strict=True) if h]), y[probe])
+        out = {"constant": [None], "scale": [scale.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()], "a": [a], "b": [b]}
+    types = (pa.float64(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> dict:
     """Fit on `sample` labelled rows at most, in the order of a hash of doc_id, of those whose crc32(doc_id) mod 5 is not 0.
 
-    The sample is bounded, so it is broadcast to the texts and its features are gathered by the driver. A fifth of it
-    is left out of the support vectors and gives the sigmoid. Rows with null ids or labels other than 0 and 1 are not
-    used; without rows of both labels the model is a constant, the share of label 1 (0.5 without rows).
+    The sample is bounded, so it is broadcast to the texts, and one task fits the model on its features; the driver
+    reads the model alone. A fifth of the sample is left out of the support vectors and gives the sigmoid. Rows with null
+    ids or labels other than 0 and 1 are not used; without rows of both labels the model is a constant, the share of
+    label 1 (0.5 without rows).
     """
     usable = labels.where(f"doc_id is not null and {label} in (0, 1)").where(crc_mod() != 0).groupBy("doc_id").agg(F.min(label).alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "y")
+    chosen = first_by_hash(usable, sample, "doc_id").select(F.col("doc_id").alias("id"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -122,20 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "y", "f"])
 
     texts = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(F.col("id").cast("long"), F.col("y").cast("int"), "t")
-    got = sorted(texts.mapInArrow(run, "id long, y int, f binary").limit(2 * sample).collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, bytes(r.f)))
-    y = np.array([r.y for r in got])
-    if len(set(y.tolist())) < 2:
-        return {"constant": float(y.mean()) if len(y) else 0.5}
-    rows = [np.frombuffer(bytes(r.f), np.int32).astype(np.int64) for r in got]
-    held = np.arange(len(y)) % 5 == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    inner = [r for r, h in zip(rows, held, strict=True) if not h]
-    scale = log_count_ratios(inner, y[~held])
-    w = fit_hinge(inner, y[~held], scale)
-    probe = held if held.any() else ~held
-    a, b = fit_sigmoid(np.array([_margin(r, scale, w) for r, h in zip(rows, probe, strict=True) if h]), y[probe])
-    return {"scale": scale.astype(np.float32), "w": w.astype(np.float32), "a": a, "b": b}
+    rows = texts.mapInArrow(run, "id long, y int, f binary")
+    # documents that share an id could outnumber the sample; one row for each id stands for them
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("f").alias("f")).repartition(1)
+    got = rows.mapInArrow(_fit, "constant double, scale binary, w binary, a double, b double").first()
+    if got is None or got.constant is not None:
+        return {"constant": 0.5 if got is None else got.constant}
+    return {"scale": np.frombuffer(bytes(got.scale), np.float32), "w": np.frombuffer(bytes(got.w), np.float32), "a": got.a, "b": got.b}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
