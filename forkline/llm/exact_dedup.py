@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, store, text_bytes
@@ -72,10 +72,28 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("n_runs"), best.alias("best"))
 
 
+def _filter_key(digest: str = "digest") -> dict[str, Column]:
+    """A digest's place in a filter of 2^22 bits: the row of 64 bits, and the bit in it."""
+    number = lambda at, n: F.conv(F.hex(F.substring(digest, at, n)), 16, 10).cast("int")
+    return {"__row": number(1, 2), "__bit": number(3, 1).bitwiseAND(63)}
+
+
+def shared_filter(compacted: DataFrame) -> DataFrame:
+    """(__row, __bits): a filter of the digests that several runs hold; 2^16 rows at most, however many digests there are."""
+    keys = compacted.where("n_runs > 1").select("digest").withColumns(_filter_key())
+    return keys.groupBy("__row").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))).alias("__bits"))
+
+
 def verify(runs: DataFrame, compacted: DataFrame) -> None:
-    """Compare, byte by byte, the text of each run's entry with that of the entry kept; one text for each digest and run moves."""
+    """Compare, byte by byte, the text of each run's entry with that of the entry kept; one text for each digest and run moves.
+
+    The filter, whose size is fixed, is broadcast; it keeps back the texts of nearly all digests that only one run
+    holds, and the join that follows is exact.
+    """
+    held = runs.select("digest", "run", "content").withColumns(_filter_key()).join(F.broadcast(shared_filter(compacted)), "__row")
+    held = held.where(F.call_function("getbit", F.col("__bits"), F.col("__bit")) == 1)
     shared = compacted.where("n_runs > 1").select("digest", F.col("best.run").alias("keeper"))
-    entries = runs.select("digest", "run", "content").join(shared, "digest")
+    entries = held.select("digest", "run", "content").join(shared, "digest")
     kept = entries.where("run = keeper").select("digest", F.col("content").alias("kept"))
     if not entries.where("run <> keeper").join(kept, "digest").where("content <> kept").isEmpty():
         raise ValueError("two texts share a SHA-256 digest")
