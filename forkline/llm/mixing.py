@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are broadcast to the documents, more are joined by shuffle; documents of a bucket of a leaf's order.
-BROADCAST_LEAVES, BUCKET_ROWS = 20_000, 20_000
+BROADCAST_LEAVES, BUCKET_ROWS = 20_000, 5_000
 
 
 def words_in(text: str = "text") -> Column:
@@ -66,11 +66,12 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], f
     `weights` gives, for each of domain, lang and source, a node's weight among its siblings (1 where none is given).
     All in all `fraction` times the tokens are asked for; a leaf gives at most `max_epochs` times its own. A leaf's
     budget is met by whole epochs and a prefix of one more, in the order of md5(seed:epoch:doc_id) (ties: fewer tokens
-    first): documents whose running total is within the budget. Null lang, source or doc_id count as the empty string;
+    first, equal rows together): documents whose running total is within the budget. Null lang, source or doc_id count as the empty string;
     leaves without tokens or budget give nothing; an empty table gives an empty result. Further columns are passed on.
 
     Only sums leave the documents: for each leaf, and for each bucket of about BUCKET_ROWS documents of a leaf's order.
-    A window runs over documents in one bucket of each leaf only, the one in which the prefix ends.
+    A window runs over ids and sizes in one bucket of each leaf only, the one in which the prefix ends; it gives the key
+    up to which the leaf's documents are taken, and texts are never shuffled.
     """
     names = [c for c in docs.columns if c not in ("domain", "epoch")]
     rows = docs.withColumns({"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
@@ -84,19 +85,23 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], f
         F.ceil(F.col("n_rows") / BUCKET_ROWS).alias("__buckets"),
     ).cache()
     few = plan.count() <= BROADCAST_LEAVES
-    rows = rows.join(F.broadcast(plan) if few else plan, leaf)
+    near = lambda table: F.broadcast(table) if few else table
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("__key", key)
-    rows = rows.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.col("__buckets")))
-    sums = rows.where("__rest > 0").groupBy(*leaf, "__bucket", "__rest").agg(F.sum("n_tokens").alias("held"))
+    place = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.col("__buckets"))
+    rows = rows.join(near(plan), leaf).withColumn("__key", key).withColumn("__bucket", place)
+    slim = rows.where("__rest > 0").select(*leaf, "__bucket", "__key", "n_tokens", "__rest")
+    # the buckets that a prefix takes whole, and the one in which it ends
+    sums = slim.groupBy(*leaf, "__bucket", "__rest").agg(F.sum("n_tokens").alias("held"))
     before = F.coalesce(F.sum("held").over(W.partitionBy(*leaf).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("__before", before).where("__before <= __rest")
-    sums = sums.select(*leaf, "__bucket", "__before", (F.col("__before") + F.col("held") <= F.col("__rest")).alias("__within")).cache()
-    few = sums.count() <= BROADCAST_LEAVES
-    joined = rows.join(F.broadcast(sums) if few else sums, [*leaf, "__bucket"], "left")
-    last = F.col("__whole") - 1 + F.coalesce(F.col("__within").cast("int"), F.lit(0))
-    whole = joined.where(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    running = F.sum("n_tokens").over(W.partitionBy(*leaf).orderBy("__key", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
-    edge = joined.where("not __within").withColumn("__running", running).where(F.col("__before") + F.col("__running") <= F.col("__rest"))
-    out = [*names, "domain", "epoch"]
-    return whole.select(out).union(edge.withColumn("epoch", F.col("__whole")).select(out))
+    sums = sums.withColumn("__before", before)
+    last = sums.where("__before + held <= __rest").groupBy(*leaf).agg(F.max("__bucket").alias("__last"))
+    ends = sums.where("__before <= __rest and __before + held > __rest").groupBy(*leaf).agg(F.min("__bucket").alias("__bucket"), F.min_by("__before", "__bucket").alias("__before"))
+    running = F.sum("n_tokens").over(W.partitionBy(*leaf).orderBy("__key", "n_tokens"))  # equal rows go together
+    edge = slim.join(near(ends), [*leaf, "__bucket"]).withColumn("__running", running).where("__before + __running <= __rest")
+    cuts = edge.groupBy(*leaf).agg(F.max(F.struct("__key", "n_tokens")).alias("__cut"))
+    taken = plan.select(*leaf).join(last, leaf, "left").join(cuts, leaf, "left").cache()
+    taken.count()
+    prefix = (F.col("__rest") > 0) & (F.coalesce(F.col("__bucket") <= F.col("__last"), F.lit(False)) | F.coalesce(F.struct("__key", "n_tokens") <= F.col("__cut"), F.lit(False)))
+    copies = F.col("__whole") + prefix.cast("int")
+    done = rows.join(near(taken), leaf).withColumn("__copies", copies).where("__copies > 0")
+    return done.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select(*names, "domain", "epoch")

@@ -86,7 +86,7 @@ s1 AS (SELECT domain, lang, source, budget FROM {_share("s0", "domain, lang", "s
 plan AS (SELECT l.domain, l.lang, l.source, floor(floor(s1.budget) / l.tokens)::BIGINT AS whole, floor(s1.budget)::BIGINT % l.tokens::BIGINT AS rest
   FROM leaves l JOIN s1 ON l.domain = s1.domain AND l.lang = s1.lang AND l.source = s1.source WHERE floor(s1.budget) > 0 AND l.tokens > 0),
 ordered AS (SELECT r.*, p.whole, p.rest, sum(r.n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source
-    ORDER BY md5('7:' || p.whole::VARCHAR || ':' || coalesce(r.doc_id::VARCHAR, '')), r.n_tokens ROWS UNBOUNDED PRECEDING) AS running
+    ORDER BY md5('7:' || p.whole::VARCHAR || ':' || coalesce(r.doc_id::VARCHAR, '')), r.n_tokens RANGE UNBOUNDED PRECEDING) AS running
   FROM rows_ r JOIN plan p ON r.domain = p.domain AND r.lang = p.lang AND r.source = p.source)
 SELECT doc_id, lang, source, n_tokens, domain, unnest(range(0, (whole + CASE WHEN rest > 0 AND running <= rest THEN 1 ELSE 0 END)::BIGINT))::INTEGER AS epoch FROM ordered"""
 

@@ -284,11 +284,10 @@ def test_mixing(docs, rows):
         whole, rest = divmod(b.budget, b.tokens)
         for i, t, _ in members * whole:
             want[i, t] += 1
-        seen = 0
-        for i, t, n in sorted(members, key=lambda m: (hashlib.md5(f"7:{whole}:{'' if m[0] is None else m[0]}".encode()).hexdigest(), m[2])):
-            seen += n
-            if rest and seen <= rest:
-                want[i, t] += 1
+        place = lambda m: (hashlib.md5(f"7:{whole}:{'' if m[0] is None else m[0]}".encode()).hexdigest(), m[2])  # noqa: B023, E731
+        for m in members:
+            if rest and sum(o[2] for o in members if place(o) <= place(m)) <= rest:
+                want[m[0], m[1]] += 1
     assert Counter((r.doc_id, r.text) for r in got) == want and want
     again = mixing.mix(docs.repartition(3).withColumn("n_tokens", mixing.words_in()), domain_of(), WEIGHTS, fraction=0.8, max_epochs=2).collect()
     key = lambda r: (r.doc_id or -1, r.epoch, r.domain, r.n_tokens)
