@@ -423,3 +423,38 @@ def test_empty_tables(spark, docs):
     assert decontaminate.contamination(docs, items).where("contaminated").count() == 0
     assert exact_dedup.exact_dedup(none).count() == 0
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(200)]
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for n in range(60):  # copies with a few words changed, from alike to far apart; a chain of its own for each
+        words = list(base) if n % 3 else [f"x{rng.randrange(900)}" for _ in range(rng.choice([7, 40, 300]))]
+        for k in range(4):
+            texts.append(" ".join(words))
+            for _ in range(rng.choice([0, 1, 2, 4, 9])):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    texts += [" ".join([*base[:100], f"end{i}"]) for i in range(300)]
+    rows = list(enumerate(texts))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs += sets[a] != sets[b] and (simhash.fingerprint(texts[a].encode(), 5) ^ simhash.fingerprint(texts[b].encode(), 5)).bit_count() > 4
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert pairs > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == {i: find(i) for i in range(len(sets))}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(sets))})
+    ids = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (2, "a b"), (None, "c")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(ids).collect()) == ["2", "None", "None", "None"]
