@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,9 +101,8 @@ class Model:
     def probabilities(self, row: np.ndarray) -> np.ndarray:
         return _softmax(self.w[row].sum(0)[None])[0]
 
-    def judge(self, paragraph: bytes) -> tuple[str, float, float]:
+    def judge(self, words: list[bytes]) -> tuple[str, float, float]:
         """(family, probability, similarity with the family's best template)."""
-        words = words_of(paragraph)
         p = self.probabilities(self._row(words))
         k = int(p[1:].argmax()) + 1
         if 1 - p[0] < self.threshold:
@@ -110,6 +110,36 @@ class Model:
         return FAMILIES[k], float(p[k]), max(similarity(words, t) for t in self.templates[FAMILIES[k]])
 
 
+#: A notice may be spread over so many times its template's words.
+SPREAD = 1.5
+_NOTICES = [(t, int(SPREAD * len(words_of(text.encode())))) for texts in TEMPLATES.values() for text in texts for t in [_trigrams(words_of(text.encode()))]]
+_TRIPLES = frozenset().union(*[t for t, _ in _NOTICES])
+
+
+def windows(words: list[bytes], least_similarity: float) -> list[tuple[int, int]]:
+    """(start, end) of the places among `words` where `least_similarity` of a template's word triples are close together."""
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    if _TRIPLES.isdisjoint(triples):
+        return []
+    at = [(i, t) for i, t in enumerate(triples) if t in _TRIPLES]
+    found = set()
+    for template, most in _NOTICES:
+        inside, held = deque(), Counter()
+        for i, t in at:
+            if t not in template:
+                continue
+            inside.append((i, t))
+            held[t] += 1
+            while i + 3 - inside[0][0] > most or held[inside[0][1]] > 1:
+                old = inside.popleft()[1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+            if len(held) >= least_similarity * len(template):
+                found.add((inside[0][0], i + 3))
+    return sorted(found)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -125,12 +155,43 @@ def train(docs: DataFrame) -> Model:
 _HIT = pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
 
 
+def _hits(judge, lines: list[list[bytes]], least_similarity: float) -> list[dict]:
+    """The hits of a run of lines, given as words; numbered from 0."""
+    found = {}
+    for i, words in enumerate(lines):
+        family, probability, alike = judge(words)
+        if family != "unknown":
+            found[i, family] = {"paragraph": i, "family": family, "probability": probability, "similarity": alike, "confirmed": alike >= least_similarity}
+    words = [w for line in lines for w in line]
+    places = windows(words, least_similarity)
+    if places:
+        line_of = [i for i, line in enumerate(lines) for _ in line]
+        judged = [(alike, end - start, start, family, probability) for start, end in places for family, probability, alike in [judge(words[start:end])] if family != "unknown" and alike >= least_similarity]
+        taken = np.zeros(len(words), bool)
+        # of windows that overlap, as those of GPL and LGPL do, the one that is most like a template counts
+        for alike, size, start, family, probability in sorted(judged, key=lambda w: (-w[0], -w[1], w[2])):
+            if taken[start : start + size].any():
+                continue
+            taken[start : start + size] = True
+            over = range(line_of[start], line_of[start + size - 1] + 1)
+            if any((i, family) in found and found[i, family]["confirmed"] for i in over):
+                continue
+            for i in over:
+                found.pop((i, family), None)
+            found[over[0], family] = {"paragraph": over[0], "family": family, "probability": probability, "similarity": alike, "confirmed": True}
+    return list(found.values())
+
+
 def scan(docs: DataFrame, model: Model | None = None, least_similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_paragraphs, families, hits): one row for each row of `docs` (doc_id, text, ...), from whole texts, without a shuffle.
 
     Paragraphs are the lines that are not blank. hits are the paragraphs that the classifier gives to a licence family
     (paragraph number, family, probability, similarity, confirmed); families are the distinct ones, sorted, that a
-    template confirms: at least `least_similarity` of its word triples are in the paragraph. A null or empty text has
+    template confirms: at least `least_similarity` of its word triples are in the paragraph. Notices that are wrapped
+    over lines or stand within a long line are found too: in each run of lines without a blank one, every window of
+    words with that share of a template's triples is classified and compared as a paragraph, numbered by its first
+    line; single lines of it that the same family is only suspected in are part of it. Of windows
+    that overlap, the one most like a template counts. A null or empty text has
     no paragraphs. Without documents to train on, templates alone are learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
@@ -140,13 +201,18 @@ def scan(docs: DataFrame, model: Model | None = None, least_similarity: float =
         for batch in batches:
             n, families, hits = [], [], []
             for text in batch.column(1).to_pylist():
-                paragraphs = [p for p in text.split(b"\n") if p.strip()]
-                found = []
-                for i, p in enumerate(paragraphs):
-                    family, probability, alike = judge(p)
-                    if family != "unknown":
-                        found.append({"paragraph": i, "family": family, "probability": probability, "similarity": alike, "confirmed": alike >= least_similarity})
-                n.append(len(paragraphs))
+                found, run_of, total = {}, [], 0
+                for line in [*text.split(b"\n"), b""]:
+                    if line.strip():
+                        run_of.append(words_of(line))
+                        continue
+                    if run_of:
+                        for h in _hits(judge, run_of, least_similarity):
+                            found[total + h["paragraph"], h["family"]] = h | {"paragraph": total + h["paragraph"]}
+                        total += len(run_of)
+                        run_of = []
+                found = [found[k] for k in sorted(found)]
+                n.append(total)
                 hits.append(found)
                 families.append(sorted({h["family"] for h in found if h["confirmed"]}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(families, pa.list_(pa.string())), pa.array(hits, pa.list_(_HIT))], ["doc_id", "n_paragraphs", "families", "hits"])

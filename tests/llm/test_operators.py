@@ -458,3 +458,25 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(sets))})
     ids = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (2, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash.keep_one(ids).collect()) == ["2", "None", "None", "None"]
+
+
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "mpl": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_license_notices_over_lines_and_within_lines(spark, docs):
+    rng = random.Random(7)
+    rows = [(i, f"{words(rng, 30)}\n{t}\n{words(rng, 30)}\n\n{words(rng, 20)}") for i, t in enumerate(NOTICES.values())]
+    rows += [(10 + i, f"{words(rng, 400)} {' '.join(t.split())} {words(rng, 400)}") for i, t in enumerate(NOTICES.values())]
+    cut = NOTICES["bsd"].split("\n")
+    rows += [(20, f"{cut[0]}\n\n{words(rng, 300)}\n{cut[1]}"), (21, f"{words(rng, 300)}\r\n{NOTICES['mit']}\r\n\r\n{NOTICES['mpl']}")]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows), license_scan.train(docs)).collect()}
+    for i, family in enumerate(NOTICES):
+        assert got[i].families == [family] and got[10 + i].families == [family], (family, got[i], got[10 + i])
+        assert [h.paragraph for h in got[i].hits if h.confirmed] == [1]
+    assert got[20].families == [] and got[21].families == ["mit", "mpl"]
