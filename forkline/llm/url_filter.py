@@ -45,15 +45,57 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return reduce(lambda chain, r: F.when(fits(r), value(r)).otherwise(chain), reversed(ordered), nothing)
 
 
+def node_of(url: Column) -> Column:
+    """A url as a node of the links: &amp; decoded, the fragment cut, scheme and host with A-Z in lower case, / for an empty path."""
+    plain = F.regexp_replace(F.regexp_replace(url, "(?i)&(?:amp|#38|#x26);", "&"), r"(?s)#.*$", "")
+    head = F.regexp_extract(plain, r"(?s)^([^:/?#]+://[^/?#]*)", 1)
+    rest = F.substr(plain, F.length(head) + 1)
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(head == "", plain).otherwise(F.concat(F.translate(head, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path))
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The node that `target` names on the page `base` (a node); null for other schemes and where `base` has no ://.
+
+    Whole, //host, /path, ?query and relative targets, with . and .. steps taken out of the path.
+    """
+    plain = F.regexp_replace(F.regexp_replace(target, "(?i)&(?:amp|#38|#x26);", "&"), r"(?s)#.*$", "")
+    scheme = F.regexp_extract(base, r"(?s)^([^:/?#]+:)//", 1)
+    host = F.regexp_extract(base, r"(?s)^([^:/?#]+://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_extract(base, r"(?s)^([^:/?#]+://[^/?#]*/(?:[^?#]*/)?)", 1)
+    whole = plain.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://")
+    full = (
+        F.when(whole, plain)
+        .when((scheme == "") | plain.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(plain == "", base)
+        .when(plain.startswith("//"), F.concat(scheme, plain))
+        .when(plain.startswith("/"), F.concat(host, plain))
+        .when(plain.startswith("?"), F.concat(page, plain))
+        .otherwise(F.concat(folder, plain))
+    )
+    node = node_of(full)
+    top, query = F.regexp_extract(node, r"(?s)^([^:/?#]+://[^/?#]*)", 1), F.regexp_extract(node, r"(?s)^[^?]*(\?.*)$", 1)
+    steps = F.split(F.regexp_extract(node, r"(?s)^[^:/?#]+://[^/?#]*/([^?]*)", 1), "/")
+    up = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    taken = F.aggregate(steps, F.array().cast("array<string>"), up)
+    slash = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(taken) > 0), "/").otherwise("")
+    dotted = node.rlike(r"(?s)^[^?]*/\.\.?(?:[/?]|$)")
+    return F.when(dotted, F.concat(top, F.lit("/"), F.array_join(taken, "/"), slash, query)).otherwise(node)
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the url that its canonical link or its refresh redirect names; relative targets are left out."""
+    """(a, b): the nodes of a page's url and of the url that its canonical link or its refresh redirect names, resolved on the page's url."""
     tags = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
     tag = F.col("tag")
     attribute = r"""(?is)\b%s\s*=\s*["']?\s*([^"'>\s]+)"""
     canonical = F.when(tag.rlike(r"""(?is)\brel\s*=\s*["']?\s*canonical\b"""), F.regexp_extract(tag, attribute % "href", 1))
-    refresh = F.when(tag.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s;]+)""", 1))
-    found = pages.where(F.col(html).isNotNull() & F.col(url).isNotNull()).select(F.col(url).alias("a"), tags.alias("tag"))
-    return found.select("a", F.coalesce(canonical, refresh).alias("b")).where(F.col("b").contains("://") & (F.col("a") != F.col("b")))
+    # ; ends a refresh target, but not that of an &amp;
+    opened = F.regexp_replace(tag, "(?i)&(?:amp|#38|#x26);", "&")
+    refresh = F.when(tag.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract(opened, r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s;]+)""", 1))
+    found = pages.where(F.col(html).isNotNull() & F.col(url).isNotNull()).select(node_of(F.col(url)).alias("a"), tags.alias("tag"))
+    named = found.select("a", F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
+    return named.select("a", resolve(F.col("a"), F.col("target")).alias("b")).where("b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -62,7 +104,7 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest wins and decides.
     Urls without a rule take the decision of their component over canonical links, refresh redirects and `redirects`
     (a, b: urls; optional): allow if a member is allowed by a rule, else block if a member is blocked, else allow.
-    Pages with the same url are one node. A null url, or one without ://, has an empty host and path, no rule and the
+    Urls that differ in the case of scheme and host, in &amp; or in the fragment only are one node. A null url, or one without ://, has an empty host and path, no rule and the
     verdict allow. Nulls in other columns, repeated rows and further columns are harmless.
     """
     url = F.col("url")
@@ -70,12 +112,12 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), own.alias("own"))
     edges = alias_links(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select("a", "b"))
+        edges = edges.union(redirects.select(node_of(F.col("a")), node_of(F.col("b"))))
     nodes = components(store(edges.distinct(), "aliases"))
     # targets need not be pages themselves, so rules judge the nodes; a hub's aliases are aggregated before the shuffle
     node = F.col("node")
     decided = nodes.withColumn("own", rule_of(host_of(node), path_of(node), rules))
     verdicts = decided.groupBy("root").agg(F.bool_or(F.col("own.verdict") == "allow").alias("allowed"), F.bool_or(F.col("own.verdict") == "block").alias("blocked"))
     blocked = nodes.join(verdicts.where("blocked and not coalesce(allowed, false)"), "root").select("node", F.lit("block").alias("inherited"))
-    judged = rows.join(blocked, rows.url == blocked.node, "left")
+    judged = rows.join(blocked, node_of(rows.url) == blocked.node, "left")
     return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "inherited", F.lit("allow")).alias("verdict"))

@@ -480,3 +480,13 @@ def test_license_notices_over_lines_and_within_lines(spark, docs):
         assert got[i].families == [family] and got[10 + i].families == [family], (family, got[i], got[10 + i])
         assert [h.paragraph for h in got[i].hits if h.confirmed] == [1]
     assert got[20].families == [] and got[21].families == ["mit", "mpl"]
+
+
+def test_url_filter_resolves_targets(spark):
+    link, move = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    forms = ["/es/9?a=1&b=2", "//b.net/es/9?a=1&amp;b=2", "../es/./9?a=1&amp;b=2#top", "HTTP://B.NET/es/9?a=1&b=2", "http://b.net/es/9?a=1&amp;b=2"]
+    pages = [(i, f"http://B.net/x/p{i}#f", link.format(t)) for i, t in enumerate(forms)] + [(10 + i, f"http://b.net/x/q{i}", move.format(t)) for i, t in enumerate(forms)]
+    pages += [(20, "http://b.net/es/9?a=1&b=2", None), (21, "http://b.net/x/r", link.format("mailto:x@b.net")), (22, "http://b.net/x/s", link.format("9")), (23, "http://b.net/es2", link.format("es/9?a=1&b=2")), (24, "no scheme", link.format("/es/9"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, [("block", "b.net", "/es/")]).collect()}
+    assert got == {i: "allow" if i in (21, 22, 24) else "block" for i, _, _ in pages}
