@@ -1,7 +1,11 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight bytes at eight positions. Two fingerprints within `bits` differing bits (up to 4) have at
-least 8 - bits bytes in common at the same positions, so they meet in the postings of some choice of that many positions.
+least 8 - bits bytes in common at the same positions. Pairs that meet in a posting have their shared positional bytes
+tallied, those that reach the guaranteed minimum are retained, and the bits of these are compared.
+
+A posting is of POSITIONS bytes at once. One byte alone is shared by 1/256 of all fingerprints, so postings of single
+bytes would bring up nearly all pairs of the table; three bytes bring up one of 2^24 for each choice of positions.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import NO_ID, id_or_none, partitions, store, text_bytes
 from .components import components
 
-#: Fingerprints of a posting are compared in pairs up to this length; those of longer ones are linked through midpoints instead.
-LONG_POSTING = 256
+#: Byte positions of a posting; fewer than the guaranteed minimum of shared bytes.
+POSITIONS = 3
+#: Fingerprints of a posting are compared in pairs up to this length; those of longer ones are linked through midpoints, which is exact too.
+LONG_POSTING = 1024
 #: Bands of minima that bring texts together as candidates, and the minima of each.
 BANDS, BAND_ROWS = 32, 4
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -66,13 +72,12 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "doc_id long, fp long")
 
 
-def _choices(bits: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(8), 8 - bits))
+_CHOICES = list(combinations(range(8), POSITIONS))
 
 
-def _postings(bits: int):
+def _postings():
     """Each fingerprint under every choice of byte positions: (choice, bytes there) -> fingerprint."""
-    masks = [np.uint64(sum(0xFF << 8 * p for p in c)) for c in _choices(bits)]
+    masks = [np.uint64(sum(0xFF << 8 * p for p in c)) for c in _CHOICES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,15 +93,22 @@ def _postings(bits: int):
 
 
 def _pairs(fps: np.ndarray, choice: int, bits: int) -> list[tuple[int, int]]:
-    """Linked pairs of one posting. The bytes a pair shares are tallied; it counts in the first of its postings only."""
-    a, b = (fps[i] for i in np.triu_indices(len(fps), 1))
-    near = distance(a, b) <= bits
-    a, b = a[near], b[near]
-    equal = ((a ^ b).reshape(-1, 1).view(np.uint8) == 0).reshape(-1, 8)
-    shared = equal.sum(1)
-    first = np.argsort(~equal, axis=1, kind="stable")[:, : 8 - bits]
-    mine = (shared >= 8 - bits) & (first == np.array(_choices(bits)[choice])).all(1)
-    return list(zip(a[mine].view("i8").tolist(), b[mine].view("i8").tolist(), strict=True))
+    """Linked pairs of one posting: shared positional bytes are tallied, pairs with 8 - bits or more retained, and these verified.
+
+    A pair counts in the first of its postings only.
+    """
+    found = []
+    for i in range(1, len(fps)):
+        equal = ((fps[:i] ^ fps[i]).reshape(-1, 1).view(np.uint8) == 0).reshape(-1, 8)
+        kept = np.flatnonzero(equal.sum(1) >= 8 - bits)
+        if not len(kept):
+            continue
+        kept = kept[distance(fps[kept], fps[i : i + 1]) <= bits]
+        first = np.argsort(~equal[kept], axis=1, kind="stable")[:, :POSITIONS]
+        mine = kept[(first == np.array(_CHOICES[choice])).all(1)]
+        b = int(fps[i : i + 1].view("i8")[0])
+        found += [(a, b) for a in fps[mine].view("i8").tolist()]
+    return found
 
 
 def _tally(bits: int):
@@ -183,7 +195,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     """
     if bits not in (2, 4):
         raise ValueError("bits must be 2 or 4")
-    index = fps.mapInArrow(_postings(bits), "choice int, part long, fp long")
+    index = fps.mapInArrow(_postings(), "choice int, part long, fp long")
     keys = ["choice", "part", "fp"]
     spread = index.repartitionByRange(partitions(fps.sparkSession), *keys).sortWithinPartitions(*keys)
     found = store(spread.mapInArrow(_tally(bits), "kind int, choice int, part long, a long, b long"), "postings")
@@ -195,6 +207,18 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     return found.where("kind = 0").select("a", "b").union(across).union(through).distinct()
 
 
+def _labels(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """rows (key, least) and links (a, b: keys) -> key, component_id: the smallest `least` of each component.
+
+    A node carries its least id in front of its key, so that the root of its component holds the answer, and no
+    component, however large, is gathered by its root.
+    """
+    node = rows.select(key, F.struct(F.col("least").isNull().alias("none"), F.coalesce("least", F.lit(0)).alias("least"), F.col(key).alias("key")).alias("node"))
+    ends = links.join(node.select(F.col(key).alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col(key).alias("b"), F.col("node").alias("y")), "b")
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.key").alias(key), "root")
+    return rows.select(key, "least").join(roots, key, "left").select(key, F.when(F.col("root").isNull(), F.col("least")).when(~F.col("root.none"), F.col("root.least")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of `docs` (doc_id, text, ...).
 
@@ -205,10 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, seed: int =
     """
     rows = store(fingerprints(docs, width, seed), "fingerprints")
     distinct = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), bits))
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
+    classes = _labels(distinct, links(distinct.select("fp"), bits), "fp")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -253,14 +274,61 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(sizes & (both * 9 >= (F.size("x") + F.size("y")) * 4)).select("a", "b")
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(hash, key, n, pos): the rarest shingles of each set of n, in one order for all sets: by the number of sets that have them, then by hash.
+
+    Two sets at 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of both. Those that no other set has are left out.
+    """
+    each = sets.select("key", F.explode("hashes").alias("hash"))
+    spread = each.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(spread, "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("order"))
+    n = F.size("order")
+    first = ordered.select("key", n.alias("n"), F.posexplode(F.slice("order", 1, n - F.floor((n * 4 + 4) / 5).cast("int") + 1)).alias("pos", "s"))
+    return first.where("s.df > 1").select("s.hash", "key", "n", "pos")
+
+
+#: Sizes and places at which sets can still be alike to 0.8, if the shingle is the first that they share.
+_MAY = "5 * least(n, n2) >= 4 * greatest(n, n2) and 9 * least(n - pos, n2 - pos2) >= 4 * (n + n2)"
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("key"), "root")
+
+
+def _more_links(sets: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): with the links `first`, whose components are `roots` (key, root), what connects `sets` as all pairs at 0.8 or more do.
+
+    Prefix filtering: only sets that share one of their rarest shingles are compared. A shingle's sets are compared with
+    the one in which it comes first, the nearest to what they have in common; then those that are still outside of
+    its largest component are compared with all others of the shingle. So no pair goes unseen, and pairs within a component stay unlisted.
+    """
+
+    def placed(roots: DataFrame) -> DataFrame:
+        return store(rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+
+    rows = store(_prefixes(sets), "prefixes")
+    here = placed(roots)
+    hub = here.groupBy("hash").agg(F.min(F.struct("pos", "key", "n", "root")).alias("h"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    hubs = hub.select("hash", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
+    near = here.join(hubs, (here.hash == hubs.hash) & (here.root != hubs.root2) & F.expr(_MAY))
+    second = first.union(store(_alike(near.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), sets), "alike"))
+    here = placed(_roots(second))
+    parts = here.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("hash").agg(F.max(F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("hash", F.col("x.root").alias("main"))
+    open_ = store(here.join(main, "hash"), "open")
+    apart = open_.where("root <> main").select(F.col("hash").alias("hash2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    rest = open_.join(apart, (open_.hash == apart.hash2) & (open_.root != apart.root2) & F.expr(_MAY))
+    return second.union(_alike(rest.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), sets))
+
+
 def near_copies(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, component_id): one row for each row of `docs` (doc_id, text, ...).
 
     Words and shingles are those of near_duplicates(). Texts link if the Jaccard similarity of their sets of shingles is
     0.8 or more, counted exactly on 64-bit hashes; component_id is the smallest doc_id that can be reached (null only if
     no member has an id). Candidates share one of BANDS bands of BAND_ROWS minima, which a pair at 0.8 misses with
-    a chance of 5e-8 and a closer one with less. A band's texts are compared with its first; those that this leaves in
-    other components are then compared with all of the band, so no pair of a band goes unseen. Texts with the same set are one.
+    a chance of 5e-8 and a closer one with less. A band's texts are compared with its first; the texts of bands that this
+    leaves in several components are compared further by _more_links(). Texts with the same set are one.
     """
     # the least id with a hash of its text finds one text of each set again
     rows = docs.select(id_or_none().alias("doc_id"), F.xxhash64(text_bytes()).alias("digest"), text_bytes().alias("text"))
@@ -275,19 +343,12 @@ def near_copies(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     texts = rows.join(needed, ["doc_id", "digest"]).select("key", "text")
     sets = store(texts.mapInArrow(_sets(width, seed), "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
     first = store(_alike(met.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), sets), "alike")
-    # a band is settled if all its texts are in one component; in others, all but the largest part are compared with the rest
-    roots = components(first).select(F.col("node").alias("key"), "root")
+    roots = _roots(first)
     parted = met.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    parts = parted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("m.root").alias("main"))
-    open_ = store(parted.join(largest, "band"), "open-bands")
-    apart = open_.where("root <> main").select("band", F.col("key").alias("a"), F.col("root").alias("root_a"))
-    others = open_.join(apart, "band").where("root <> root_a").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-    labels = components(first.union(store(_alike(others, sets), "alike")))
-    labelled = distinct.join(labels, distinct.key == labels.node, "left").select("key", F.coalesce("root", "key").alias("root"), "least")
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.select("key", "root").join(least, "root").select("key", "component_id")
-    return marks.join(classes, "key").select(known.alias("doc_id"), "component_id")
+    open_ = parted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    pool = met.join(open_, "band", "left_semi").select("key").distinct()
+    labels = _labels(distinct.select("key", "least"), _more_links(store(sets.join(pool, "key"), "pool"), first, roots), "key")
+    return marks.join(labels, "key").select(known.alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -16,7 +16,7 @@ def test_stages(spark):
     from forkline.llm import quality
     from forkline.llm.common import read_table, store
 
-    from .test_operators import brute_components, brute_fingerprint, brute_lines
+    from .test_operators import brute_jaccard_roots, brute_lines
 
     docs = read_table(spark, SF, "documents")
     columns = docs.columns
@@ -34,7 +34,7 @@ def test_stages(spark):
     # shared lines go
     assert Counter(pairs[2]) == Counter((w[0], w[4]) for w in brute_lines(pairs[1]))
     # one document of each group stays
-    roots = brute_components([brute_fingerprint(t, 5) for _, t in pairs[2]])
+    roots = brute_jaccard_roots([t for _, t in pairs[2]])
     least = {}
     for (i, _), r in zip(pairs[2], roots, strict=True):
         least[r] = min(i, least.get(r, i))
