@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import store, text_bytes
 from .fm_index import FMIndex
 
-#: A shard is closed at so many words; a benchmark is searched in blocks of about so many words, each broadcast on its own.
-SHARD_WORDS, BLOCK_WORDS = 3_000_000, 400_000
+#: A shard is closed at so many words. A benchmark is searched in blocks of about so many words; so many blocks at most are broadcast at once.
+SHARD_WORDS, BLOCK_WORDS, BLOCKS_AT_ONCE = 3_000_000, 400_000, 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_OUT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>"
+_NEW = ("n_words", "n_hit", "items", "spans")
+_TYPES = ("long", "long", "array<string>", "array<struct<start: long, stop: long>>")
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -79,27 +80,39 @@ class Phrases:
         return np.cumsum(delta)[:-1] > 0, found
 
 
-def _blocks(benchmark: DataFrame, width: int) -> list:
-    """The benchmark as broadcast variables of bounded size."""
+def _rounds(benchmark: DataFrame, width: int) -> Iterator[list]:
+    """The benchmark as lists of broadcast variables, whose number and size are bounded."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / 6 / BLOCK_WORDS))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Phrases([(r.item, bytes(r.text)) for r in items.where(block == k).collect()], width)) for k in range(n)]
+    for at in range(0, n, BLOCKS_AT_ONCE):
+        yield [context.broadcast(Phrases([(r.item, bytes(r.text)) for r in items.where(block == k).collect()], width)) for k in range(at, min(n, at + BLOCKS_AT_ONCE))]
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10, names: tuple[str, str, str, str] = _NEW) -> DataFrame:
     """`docs` (doc_id, text, ...) with n_words, n_hit, items (sorted item_ids found) and spans (merged [start, stop) word positions to remove).
 
     Words are runs of ASCII letters and digits (lower-cased) and of all characters beyond ASCII. A window is `width`
     consecutive words of an item (an item of fewer words, but not none, is one window); a word inside any occurrence
-    is hit. A null text has no words, a null item_id counts as the empty string, items that share an id are one.
-    Columns of `docs` named like the four new ones are replaced. No shuffle: a shard is what a task reads, up to
-    SHARD_WORDS words at a time. The benchmark does not grow with the texts; it comes in blocks of bounded size.
+    is hit. A null or empty text has no words, a null item_id counts as the empty string, items that share an id are one.
+    Repeated rows each get their result, an empty table an empty one. Columns of `docs` with the four new `names` are
+    replaced, all others passed on. No shuffle: a shard is what a task reads, up to SHARD_WORDS words at a time.
+    A benchmark of more than BLOCKS_AT_ONCE blocks takes further rounds over the texts, each added to the one before as a stored table.
     """
-    blocks = _blocks(benchmark, width)
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
+    rows, before = docs, False
+    for blocks in _rounds(benchmark, width):
+        if before:
+            rows = store(rows, "overlaps")
+        rows, before = _search(rows, blocks, names, before), True
+    return rows
+
+
+def _search(docs: DataFrame, blocks: list, new: tuple[str, ...], before: bool) -> DataFrame:
+    """One round over the texts; `before`: the rows hold the results of earlier ones, to be added to."""
+    names = [c for c in docs.columns if c not in new]
+    held_names = [*names, *(new if before else ())]
 
     def close(batches: list[pa.RecordBatch], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(t) for t in texts])
@@ -109,6 +122,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
             hit |= h
             found = [a | b for a, b in zip(found, more, strict=True)]
         base = np.cumsum(sizes + 1) - sizes - 1
+        if before:
+            earlier = [[x for b in batches for x in b.column(c).to_pylist()] for c in new[2:]]
+            for i, (items, spans, at) in enumerate(zip(*earlier, base.tolist(), strict=True)):
+                found[i].update(items)
+                for s in spans:
+                    hit[at + s["start"] : at + s["stop"]] = True
         n_hit = np.add.reduceat(hit, base, dtype=np.int64)
         edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
         owner = np.searchsorted(base, edge[::2], "right") - 1
@@ -118,15 +137,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
         at = 0
         for batch in batches:
             part = slice(at, at := at + batch.num_rows)
-            new = [pa.array(sizes[part], pa.int64()), pa.array(n_hit[part], pa.int64()), pa.array([sorted(f) for f in found[part]], pa.list_(pa.string())), pa.array(spans[part], pa.list_(_SPAN))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "n_words", "n_hit", "items", "spans"])
+            made = [pa.array(sizes[part], pa.int64()), pa.array(n_hit[part], pa.int64()), pa.array([sorted(f) for f in found[part]], pa.list_(pa.string())), pa.array(spans[part], pa.list_(_SPAN))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, n = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                held.append(part.select(names))
+                held.append(part.select(held_names))
                 words = [words_of(t) for t in part.column("__bytes").to_pylist()]
                 texts += words
                 n += sum(map(len, words))
@@ -136,8 +155,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
         if texts:
             yield from close(held, texts)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema), _OUT])
-    return docs.select(*names, text_bytes().alias("__bytes")).mapInArrow(run, schema)
+    own = docs.select([f"`{c}`" for c in names]).schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"`{c}` {t}" for c, t in zip(new, _TYPES, strict=True))])
+    return docs.select(*(f"`{c}`" for c in held_names), text_bytes().alias("__bytes")).mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -148,5 +168,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of `docs` in which no benchmark window occurs."""
-    return find_overlaps(docs, benchmark, width).where("n_hit = 0").select(docs.columns)
+    """The rows of `docs` in which no benchmark window occurs, with all their own columns, n_words, n_hit, items and spans too if there are such; see find_overlaps()."""
+    found = find_overlaps(docs, benchmark, width, ("__n_words", "__n_hit", "__items", "__spans"))
+    return found.where("__n_hit = 0").select([f"`{c}`" for c in docs.columns])

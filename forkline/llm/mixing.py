@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEVELS = ("domain", "lang", "source")
-#: Leaves up to this number are broadcast to the documents, more are joined by shuffle; documents of a bucket of a leaf's order.
-BROADCAST_LEAVES, BUCKET_ROWS = 20_000, 5_000
+#: Leaves up to this number are broadcast to the documents, more are joined by shuffle.
+BROADCAST_LEAVES = 20_000
 
 
 def words_in(text: str = "text") -> Column:
@@ -45,15 +45,15 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], fraction: float, max_epochs: int) -> DataFrame:
     """leaves (domain, lang, source, tokens, n_rows) -> with `budget` (long), top down: siblings make up a shortage, and only what all of them lack goes up."""
-    table = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("double"))
+    # what lies under a weight of 0 at any level is nothing that a sibling or an ancestor could be given
+    counts = [_weight(level, weights) > 0 for level in LEVELS]
+    table = leaves.withColumn("capacity", F.when(counts[0] & counts[1] & counts[2], F.col("tokens") * max_epochs).otherwise(0).cast("double"))
     total = table.agg(F.sum("tokens")).first()[0] or 0
     parent: list[str] = []
     above = None
     for level in LEVELS:
         keys = [*parent, level]
         nodes = table.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(level, weights))
-        # children of weight 0 hold nothing that a sibling could be given
-        nodes = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0))
         nodes = nodes.withColumn("parent_budget", F.lit(float(total) * fraction)) if above is None else nodes.join(above, parent)
         above = share_out(nodes, parent, level).select(*keys, F.col("budget").alias("parent_budget"))
         parent = keys
@@ -69,8 +69,9 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], f
     first, equal rows together): documents whose running total is within the budget. Null lang, source or doc_id count as the empty string;
     leaves without tokens or budget give nothing; an empty table gives an empty result. Further columns are passed on.
 
-    Only sums leave the documents: for each leaf, and for each bucket of about BUCKET_ROWS documents of a leaf's order.
-    A window runs over ids and sizes in one bucket of each leaf only, the one in which the prefix ends; it gives the key
+    Only sums leave the documents: for each leaf, and for each bucket of a leaf's order; n documents make the root of n
+    buckets, so that a window over a leaf's buckets and one over the documents of a bucket both see the root of n rows.
+    The latter runs over ids and sizes in the one bucket only in which the leaf's prefix ends; it gives the key
     up to which the leaf's documents are taken, and texts are never shuffled.
     """
     names = [c for c in docs.columns if c not in ("domain", "epoch")]
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], f
         *leaf,
         F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("__whole"),
         (F.col("budget") % F.col("tokens")).alias("__rest"),
-        F.ceil(F.col("n_rows") / BUCKET_ROWS).alias("__buckets"),
+        F.ceil(F.sqrt("n_rows")).alias("__buckets"),
     ).cache()
     few = plan.count() <= BROADCAST_LEAVES
     near = lambda table: F.broadcast(table) if few else table

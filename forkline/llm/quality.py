@@ -153,10 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     return {"scale": np.frombuffer(bytes(got.scale), np.float32), "w": np.frombuffer(bytes(got.w), np.float32), "a": got.a, "b": got.b}
 
 
-def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """`docs` with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= threshold), from the whole text alone; a null text is empty. Without a shuffle."""
+def score(docs: DataFrame, model: dict, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`docs` with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= threshold), from the whole text alone.
+
+    A null or empty text is scored by its lack of features. Repeated rows get equal scores, an empty table an empty result.
+    Columns of `docs` with the two new `names` are replaced, all others passed on. Without a shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    new = list(names)
+    names = [c for c in docs.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, shapes = shared.value, Shapes()
@@ -166,16 +171,17 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
             else:
                 margins = np.array([_margin(features(t, shapes), m["scale"], m["w"]) for t in batch.column("__bytes").to_pylist()])
                 p = 1 / (1 + np.exp(-np.clip(m["a"] * margins + m["b"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*names, *new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema), "score double", "predicted int"])
-    return docs.select(*names, text_bytes().alias("__bytes")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select([f"`{c}`" for c in names]).schema), f"`{new[0]}` double", f"`{new[1]}` int"])
+    return docs.select(*(f"`{c}`" for c in names), text_bytes().alias("__bytes")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row for each row of `docs` (doc_id, text, ...); held_out rows (crc32(doc_id) mod 5 = 0) are never fitted on.
 
-    Inputs of a score are words and word shapes of the text only. See fit() and score() for nulls and missing labels.
+    Inputs of a score are words and word shapes of the text only. Other columns of `docs` are ignored, whatever their names;
+    a null doc_id stays null and counts as the empty text in the remainder. See fit() and score() for nulls, repeated rows and missing labels.
     """
     model = fit(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod() == 0).alias("held_out"), "text")
@@ -183,5 +189,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that are predicted to be of label 1."""
-    return score(docs, fit(docs, labels, sample), threshold).where("predicted = 1").select(docs.columns)
+    """The rows of `docs` that are predicted to be of label 1, with all their own columns, `score` and `predicted` too if there are such; see fit() and score()."""
+    scored = score(docs, fit(docs, labels, sample), threshold, ("__quality_score", "__quality"))
+    return scored.where("__quality = 1").select([f"`{c}`" for c in docs.columns])

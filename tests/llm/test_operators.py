@@ -265,7 +265,24 @@ def test_decontamination_in_blocks_and_shards(spark, monkeypatch):
     items = [(k, words(rng, 20)) for k in range(12)]
     docs = [(i, f"{words(rng, 8)} {items[i % 12][1]} {words(rng, 8)}") for i in range(30)] + [(99, words(rng, 40))]
     got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.n_hit, r.n_items) for r in got.collect()} == {(i, 20, 1) for i in range(30)} | {(99, 0, 0)}
+    want = {(i, 20, 1) for i in range(30)} | {(99, 0, 0)}
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got.collect()} == want
+    # with fewer blocks at once than there are, further rounds add to the results
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 3)
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got.collect()} == want
+
+
+def test_filters_keep_columns_named_like_results(spark):
+    rows = [(i, f"some words of text {i}", 0.123, i, 777, "mine", ["x"], "q") for i in range(20)] + [(None, None, 0.5, 1, 2, "a", [], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted long, n_words long, items string, spans array<string>, `odd name` string")
+    items = spark.createDataFrame([(1, "words of text 3")], "item_id long, text string")
+    clean = decontaminate.remove_contaminated(docs, items)
+    assert clean.columns == docs.columns and Counter(map(str, clean.collect())) == Counter(str(r) for r in docs.collect() if r.doc_id != 3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {str(r) for r in kept.collect()} <= {str(r) for r in docs.collect()}
+    assert {r.score for r in quality.score(docs, {"constant": 0.5}).collect()} == {0.5}
 
 
 def test_mixing(docs, rows):
@@ -301,6 +318,59 @@ def test_budgets_go_to_siblings_first(spark):
     assert got == {("a", "en", "s1"): 10, ("a", "en", "s2"): 90, ("a", "de", "s1"): 100, ("b", "en", "s1"): 200} or all(abs(got[k] - v) <= 1 for k, v in {("a", "en", "s1"): 10, ("a", "en", "s2"): 90, ("a", "de", "s1"): 100, ("b", "en", "s1"): 200}.items())
 
 
+def brute_budgets(leaves, weights, asked, max_epochs):
+    """Budgets of leaves {(domain, lang, source): tokens}: a tree filled step by step, children that are full leaving the rest to their siblings."""
+    names = ("domain", "lang", "source")
+
+    def tree(prefix):
+        level = len(prefix)
+        if level == 3:
+            return leaves[prefix] * max_epochs, {}
+        kids = {}
+        for k in sorted({leaf[level] for leaf in leaves if leaf[:level] == prefix}):
+            weight = weights.get(names[level], {}).get(k, 1.0)
+            room, below = tree((*prefix, k))
+            kids[k] = (weight, room if weight > 0 else 0, below)
+        return sum(room for _, room, _ in kids.values()), kids
+
+    out = {}
+
+    def deal(prefix, kids, budget):
+        got, open_ = dict.fromkeys(kids, 0.0), {k for k, (w, room, _) in kids.items() if w > 0 and room > 0}
+        while open_ and budget > 1e-9:
+            total = sum(kids[k][0] for k in open_)
+            full = {k for k in open_ if got[k] + budget * kids[k][0] / total >= kids[k][1] - 1e-9}
+            if not full:
+                for k in open_:
+                    got[k] += budget * kids[k][0] / total
+                budget = 0
+            for k in full:
+                budget -= kids[k][1] - got[k]
+                got[k] = kids[k][1]
+            open_ -= full
+        for k, (_, _, below) in kids.items():
+            if len(prefix) == 2:
+                out[(*prefix, k)] = got[k]
+            else:
+                deal((*prefix, k), below, got[k])
+
+    deal((), tree(())[1], asked)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budgets_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    leaves = {(d, g, s): rng.choice([1, 10, 100, 5000]) for d in "abc" for g in ("en", "de", "xx") for s in ("s1", "s2", "s3") if rng.random() < 0.8}
+    weights = {"domain": {"a": rng.choice([0.0, 3.0]), "b": 1.0}, "lang": {"en": 4.0, "xx": 0.0}, "source": {"s1": rng.choice([0.0, 1.0, 9.0])}}
+    leaves |= {("a", "xx", "s1"): 10_000}
+    asked = rng.choice([50, 3000, 20_000])
+    table = spark.createDataFrame([(*k, v, 1) for k, v in leaves.items()], "domain string, lang string, source string, tokens long, n_rows long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(table, weights, asked / sum(leaves.values()), 2).collect()}
+    want = brute_budgets(leaves, weights, asked, 2)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1 for k in want), (got, want)
+
+
 def test_suffix_tree(docs, rows):
     got = suffix_tree_lm.score_texts(docs, quality.crc_mod() != 1).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
@@ -425,19 +495,13 @@ def test_empty_tables(spark, docs):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
-def test_near_copies(spark):
-    rng = random.Random(8)
-    base = [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(200)]
-    texts = [None, "", " \n", "one two", "One  two", "one two three"]
-    for n in range(60):  # copies with a few words changed, from alike to far apart; a chain of its own for each
-        words = list(base) if n % 3 else [f"x{rng.randrange(900)}" for _ in range(rng.choice([7, 40, 300]))]
-        for k in range(4):
-            texts.append(" ".join(words))
-            for _ in range(rng.choice([0, 1, 2, 4, 9])):
-                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
-    texts += [" ".join([*base[:100], f"end{i}"]) for i in range(300)]
-    rows = list(enumerate(texts))
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+def brute_shingle_sets(texts):
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+
+
+def brute_jaccard_roots(texts):
+    """The smallest index that each text reaches over pairs of a Jaccard similarity of 0.8 or more."""
+    sets = brute_shingle_sets(texts)
     root = list(range(len(sets)))
 
     def find(i):
@@ -445,17 +509,48 @@ def test_near_copies(spark):
             i = root[i]
         return i
 
-    pairs = 0
     for a in range(len(sets)):
         for b in range(a):
             if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                pairs += sets[a] != sets[b] and (simhash.fingerprint(texts[a].encode(), 5) ^ simhash.fingerprint(texts[b].encode(), 5)).bit_count() > 4
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_of_one_family(spark):
+    """A large family around one text: copies from hardly to mostly changed, which share bands but are often not alike to each other."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 14])):
+            words[rng.randrange(len(words))] = f"x{i}y{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    roots = brute_jaccard_roots(texts)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(roots)) and 3 < len(set(roots)) < 200
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(200)]
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for n in range(60):  # copies with a few words changed, from alike to far apart; a chain of its own for each
+        words = list(base) if n % 3 else [f"x{rng.randrange(900)}" for _ in range(rng.choice([7, 40, 300]))]
+        for k in range(4):
+            texts.append(" ".join(words))
+            for _ in range(rng.choice([0, 1, 2, 4, 9])):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    texts += [" ".join([*base[:100], f"end{i}"]) for i in range(300)]
+    rows = list(enumerate(texts))
+    roots = brute_jaccard_roots(texts)
+    sets = brute_shingle_sets(texts)
+    pairs = sum(sets[a] != sets[b] and roots[a] == roots[b] and (simhash.fingerprint((texts[a] or "").encode(), 5) ^ simhash.fingerprint((texts[b] or "").encode(), 5)).bit_count() > 4 for a in range(len(sets)) for b in range(a))
     assert pairs > 100
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == {i: find(i) for i in range(len(sets))}
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(sets))})
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == dict(enumerate(roots))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(roots))
     ids = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (2, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash.keep_one(ids).collect()) == ["2", "None", "None", "None"]
 
