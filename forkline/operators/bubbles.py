@@ -8,6 +8,8 @@ parts are those of the variant between src and snk, rep all parts of its first p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,16 +87,17 @@ def prune(bubbles: DataFrame, root: int, leaf: int, max_path: int = 15, max_span
     return kept if max_span is None else kept.where(f"snk - src <= {max_span}")
 
 
-def simple_paths(edges: DataFrame, src: int, snk: int, max_steps: int) -> DataFrame:
+def simple_paths(edges: DataFrame, src: int, snk: int, max_steps: int, save: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> DataFrame:
     """(gene, path array<int>): all paths from src to snk over edges(gene, a, b) of directed acyclic graphs with a < b.
 
     Partial paths grow by one edge a round, all genes together, until none is open; max_steps must be at least the
-    number of nodes less one.
+    number of nodes less one. `save` cuts lineage after each round.
     """
-    steps = edges.select("gene", "a", "b").distinct()
+    steps = save(edges.select("gene", "a", "b").distinct(), "steps")
     front = steps.where(F.col("a") == src).select("gene", F.array("a", "b").alias("path"))
     done = None
     for _ in range(max_steps):
+        front = save(front, "paths")
         here = front.where(F.element_at("path", -1) == snk)
         done = here if done is None else done.union(here)
         open_ = front.where(F.element_at("path", -1) < snk).withColumn("a", F.element_at("path", -1))

@@ -6,6 +6,7 @@ edges(gene, a, b, kind, from_pos, to_pos, part, txs): kind is R, L, ex, in or ex
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -132,14 +133,15 @@ def containment(sets: DataFrame) -> DataFrame:
     return sets.join(other, "gene").where((F.size(F.array_except(a, b)) == 0) & (F.size(a) < F.size(b))).select("gene", F.col("path_id").alias("small"), "large")
 
 
-def collapse_bubbles(paths: DataFrame, detect, root: int, leaf: int, save, max_rounds: int = 50) -> DataFrame:
-    """Collapse bubbles, innermost first, all genes in step: tx_paths after it.
+def collapse_bubbles(paths: DataFrame, detect, root: int, leaf: int, save, max_rounds: int = 10_000) -> DataFrame:
+    """Collapse bubbles, innermost first, all genes in step, until none is left: tx_paths after it.
 
     A round takes each gene's shortest bubble that is not done and has neither the root nor the leaf. A variant goes
     if its steps are used by its own transcripts only; those transcripts then follow the variant kept, the one with
-    the most transcripts (at least one stays). `detect` finds bubbles in tx_paths; `save` cuts lineage.
+    the most transcripts (at least one stays). `detect` finds bubbles in tx_paths; `save` cuts lineage. Each round is
+    done with a bubble of every gene that has one left, and leaves the other genes out of the next; beyond max_rounds it raises.
     """
-    done = None
+    done, finished = None, []
     for _ in range(max_rounds):
         bubbles = detect(paths).where(f"src <> {root} and snk <> {leaf}")
         if done is not None:
@@ -147,8 +149,10 @@ def collapse_bubbles(paths: DataFrame, detect, root: int, leaf: int, save, max_r
         order = W.partitionBy("gene").orderBy(F.col("snk") - F.col("src"), "src")
         now = save(bubbles.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k"))
         if now.isEmpty():
-            break
+            return reduce(DataFrame.union, finished, paths)
         here = now.select("gene", "src", "snk")
+        finished.append(paths.join(here, "gene", "left_anti"))
+        paths = paths.join(here, "gene", "left_semi")
         done = save(here if done is None else done.union(here))
         each = now.select("gene", "src", "snk", F.posexplode("variants").alias("i", "v"))
         used = paths.join(here, "gene").select("gene", "tx", F.filter("nodes", lambda x: (x >= F.col("src")) & (x <= F.col("snk"))).alias("in"), "src", "snk")
@@ -168,4 +172,4 @@ def collapse_bubbles(paths: DataFrame, detect, root: int, leaf: int, save, max_r
         nodes = F.when(F.col("src").isNull(), F.col("nodes")).otherwise(F.array_sort(F.array_union(outside("nodes", F.col("src"), F.col("snk")), "keep_inner")))
         parts = F.when(F.col("src").isNull(), F.col("parts")).otherwise(F.array_sort(F.array_union(F.filter("parts", lambda p: (p < F.col("src")) | (p >= F.col("snk"))), F.col("keep_parts"))))
         paths = save(moved.select("gene", "tx", nodes.alias("nodes"), parts.alias("parts")))
-    return paths
+    raise ValueError(f"bubbles left after {max_rounds} rounds")

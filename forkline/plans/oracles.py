@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .views import duck
 
-MAX_PATH = 6
+#: The most variants of a bubble that is split in two sides, and of one whose variants are taken one by one.
+MAX_SIDES, MAX_SINGLE = 15, 20
 
 
 def _with(*parts: str) -> str:
@@ -31,49 +32,51 @@ common AS (SELECT DISTINCT c.gene, c.src, c.snk FROM (SELECT gene, src, snk, nod
   JOIN sizes s ON s.gene = c.gene AND s.src = c.src AND s.snk = c.snk AND c.c = s.n_paths),
 bub AS (SELECT s.* FROM sizes s LEFT JOIN common c ON s.gene = c.gene AND s.src = c.src AND s.snk = c.snk WHERE c.gene IS NULL),
 bvar AS (SELECT v.*, b.n_paths, row_number() OVER (PARTITION BY v.gene, v.src, v.snk ORDER BY v.inn) AS i FROM vparts v JOIN bub b ON v.gene = b.gene AND v.src = b.src AND v.snk = b.snk)"""
-PRUNED = f"pvar AS (SELECT * FROM bvar WHERE NOT (src = 0 AND snk = 11) AND n_paths <= {MAX_PATH})"
+
+
+def _bits(column: str) -> str:
+    """A list of small numbers as the bits of one number."""
+    return f"coalesce(list_bit_or([(1::BIGINT << x::BIGINT) FOR x IN {column}]), 0)"
+
+
+def _unbits(column: str) -> str:
+    return f"[x FOR x IN range(0, 12) IF ({column} >> x) & 1 = 1]"
+
+
+#: Variants of the bubbles that are split; bits are their parts, rep_bits all parts of their first path.
+PRUNED = f"""
+wholes AS (SELECT gene, tx, bit_or(1::BIGINT << part::BIGINT) AS rep_bits FROM steps GROUP BY gene, tx),
+pvar AS (SELECT b.*, {_bits('b.parts')} AS bits, coalesce(w.rep_bits, 0) AS rep_bits FROM bvar b LEFT JOIN wholes w ON w.gene = b.gene AND w.tx = b.rep WHERE NOT (b.src = 0 AND b.snk = 11))"""
 
 _BASE = _with(duck("v_tx_nodes"), WAYS)
 _BUB = _with(duck("v_tx_nodes"), WAYS, BUBBLES)
 _PRU = _with(duck("v_tx_nodes"), WAYS, BUBBLES, PRUNED)
 
-#: Sides of splits -> distinguishing and reference parts; needs sides(gene, src, snk, id, side, i, parts, rep, txs) with two sides for each id.
-SIDES = """
-nside AS (SELECT gene, src, snk, id, side, count(*) AS n, sum(len(txs)) AS n_txs, min(i) AS lead FROM sides GROUP BY gene, src, snk, id, side),
-pc AS (SELECT gene, src, snk, id, side, part, count(*) AS c FROM (SELECT gene, src, snk, id, side, unnest(parts) AS part FROM sides) GROUP BY gene, src, snk, id, side, part),
-whole AS (SELECT p.* FROM pc p JOIN nside n ON p.gene = n.gene AND p.src = n.src AND p.snk = n.snk AND p.id = n.id AND p.side = n.side AND p.c = n.n),
-diffs AS (SELECT w.gene, w.src, w.snk, w.id, w.side, w.part FROM whole w LEFT JOIN pc o ON o.gene = w.gene AND o.src = w.src AND o.snk = w.snk AND o.id = w.id AND o.side <> w.side AND o.part = w.part WHERE o.part IS NULL),
-leads AS (SELECT s.gene, s.src, s.snk, s.id, s.side, s.rep FROM sides s JOIN nside n ON s.gene = n.gene AND s.src = n.src AND s.snk = n.snk AND s.id = n.id AND s.side = n.side AND s.i = n.lead),
-near AS (SELECT l.gene, l.src, l.snk, l.id, t.part FROM leads l JOIN steps t ON t.gene = l.gene AND t.tx = l.rep AND t.part IN (l.src - 1, l.snk) GROUP BY l.gene, l.src, l.snk, l.id, t.part HAVING count(DISTINCT l.side) = 2),
-alike AS (SELECT gene, src, snk, id, part FROM whole GROUP BY gene, src, snk, id, part HAVING count(*) = 2),
-refs AS (SELECT DISTINCT gene, src, snk, id, part FROM (SELECT * FROM near UNION ALL SELECT * FROM alike)),
-ref_list AS (SELECT gene, src, snk, id, list(part ORDER BY part) AS ref FROM refs GROUP BY gene, src, snk, id),
-d1 AS (SELECT gene, src, snk, id, list(part ORDER BY part) AS diff FROM diffs WHERE side = 1 GROUP BY gene, src, snk, id),
-d2 AS (SELECT gene, src, snk, id, list(part ORDER BY part) AS diff FROM diffs WHERE side = 2 GROUP BY gene, src, snk, id),
-split AS (SELECT n1.gene, n1.src, n1.snk, n1.id, coalesce(r.ref, []) AS ref, coalesce(d1.diff, []) AS diff1, coalesce(d2.diff, []) AS diff2, n1.n_txs AS n1, n2.n_txs AS n2
-  FROM nside n1 JOIN nside n2 ON n1.gene = n2.gene AND n1.src = n2.src AND n1.snk = n2.snk AND n1.id = n2.id AND n1.side = 1 AND n2.side = 2
-  LEFT JOIN ref_list r ON r.gene = n1.gene AND r.src = n1.src AND r.snk = n1.snk AND r.id = n1.id
-  LEFT JOIN d1 ON d1.gene = n1.gene AND d1.src = n1.src AND d1.snk = n1.snk AND d1.id = n1.id
-  LEFT JOIN d2 ON d2.gene = n1.gene AND d2.src = n1.src AND d2.snk = n1.snk AND d2.id = n1.id WHERE d1.diff IS NOT NULL OR d2.diff IS NOT NULL)"""
-
-MASKS = """
-masks AS (SELECT gene, src, snk, n_paths, unnest(range(1, (1 << n_paths)::BIGINT - 1, 2)) AS id FROM (SELECT DISTINCT gene, src, snk, n_paths::INT AS n_paths FROM pvar)),
-cont AS (SELECT a.gene, a.src, a.snk, a.i AS small, b.i AS large FROM pvar a JOIN pvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk WHERE len(a.parts) < len(b.parts) AND list_has_all(b.parts, a.parts)),
-bad AS (SELECT m.gene, m.src, m.snk, m.id, bool_or((m.id >> (c.large - 1)::BIGINT) & 1 = 1 AND (m.id >> (c.small - 1)::BIGINT) & 1 = 0) AS bad1, bool_or((m.id >> (c.large - 1)::BIGINT) & 1 = 0 AND (m.id >> (c.small - 1)::BIGINT) & 1 = 1) AS bad2
-  FROM masks m JOIN cont c ON m.gene = c.gene AND m.src = c.src AND m.snk = c.snk GROUP BY m.gene, m.src, m.snk, m.id),
-valid AS (SELECT m.* FROM masks m LEFT JOIN bad b ON m.gene = b.gene AND m.src = b.src AND m.snk = b.snk AND m.id = b.id WHERE NOT (coalesce(b.bad1, false) AND coalesce(b.bad2, false))),
-sides AS (SELECT v.gene, v.src, v.snk, v.id, CASE WHEN (v.id >> (p.i - 1)::BIGINT) & 1 = 1 THEN 1 ELSE 2 END AS side, p.i, p.parts, p.rep, p.txs FROM valid v JOIN pvar p ON v.gene = p.gene AND v.src = p.src AND v.snk = p.snk)"""
-
-PAIRS = """
-sides AS (SELECT a.gene, a.src, a.snk, a.i * 1000 + b.i AS id, s.side, CASE WHEN s.side = 1 THEN a.i ELSE b.i END AS i, CASE WHEN s.side = 1 THEN a.parts ELSE b.parts END AS parts,
-    CASE WHEN s.side = 1 THEN a.rep ELSE b.rep END AS rep, CASE WHEN s.side = 1 THEN a.txs ELSE b.txs END AS txs
-  FROM pvar a JOIN pvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk AND a.i < b.i, (SELECT 1 AS side UNION ALL SELECT 2) s)"""
-
-MULTI = """
-mp AS (SELECT p.gene, p.src, p.snk, p.i, unnest(p.parts) AS part FROM pvar p),
+#: Sides of splits -> distinguishing and reference parts; needs two_sides(gene, src, snk, id, all1, any1, rep1, n1, all2, any2, rep2, n2), bits of what all and any variants of a side have.
+SIDES = f"""
+told AS (SELECT *, all1 & ~any2 AS x1, all2 & ~any1 AS x2, (all1 & all2) | (rep1 & rep2 & ((1::BIGINT << snk::BIGINT) | CASE WHEN src > 0 THEN 1::BIGINT << (src - 1)::BIGINT ELSE 0 END)) AS r FROM two_sides),
+split AS (SELECT gene, src, snk, id, {_unbits('r')} AS ref, {_unbits('x1')} AS diff1, {_unbits('x2')} AS diff2, any1 = 0 AS none1, any2 = 0 AS none2, n1, n2 FROM told WHERE x1 <> 0 OR x2 <> 0)"""
+
+MASKS = f"""
+masks AS (SELECT gene, src, snk, unnest(range(1, (1 << n_paths)::BIGINT - 1, 2)) AS id FROM (SELECT DISTINCT gene, src, snk, n_paths::INT AS n_paths FROM pvar WHERE n_paths <= {MAX_SIDES})),
+below AS (SELECT b.gene, b.src, b.snk, b.i, b.bits, b.rep_bits, b.n_txs, coalesce(bit_or(1::BIGINT << (a.i - 1)::BIGINT) FILTER (WHERE a.bits <> b.bits AND a.bits & ~b.bits = 0), 0) AS inside
+  FROM pvar b JOIN pvar a ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk GROUP BY b.gene, b.src, b.snk, b.i, b.bits, b.rep_bits, b.n_txs),
+placed AS (SELECT m.gene, m.src, m.snk, m.id, p.i, p.bits, p.rep_bits, p.n_txs, (m.id >> (p.i - 1)::BIGINT) & 1 = 1 AS first, p.inside & ~m.id <> 0 AS out1, p.inside & m.id <> 0 AS out2
+  FROM masks m JOIN below p ON m.gene = p.gene AND m.src = p.src AND m.snk = p.snk),
+two_sides AS (SELECT gene, src, snk, id, bit_and(bits) FILTER (WHERE first) AS all1, bit_or(bits) FILTER (WHERE first) AS any1, min_by(rep_bits, i) FILTER (WHERE first) AS rep1, sum(n_txs) FILTER (WHERE first) AS n1,
+    bit_and(bits) FILTER (WHERE NOT first) AS all2, bit_or(bits) FILTER (WHERE NOT first) AS any2, min_by(rep_bits, i) FILTER (WHERE NOT first) AS rep2, sum(n_txs) FILTER (WHERE NOT first) AS n2
+  FROM placed GROUP BY gene, src, snk, id HAVING NOT (bool_or(first AND out1) AND bool_or(NOT first AND out2)))"""
+
+PAIRS = f"""
+two_sides AS (SELECT a.gene, a.src, a.snk, a.i * 1000 + b.i AS id, a.bits AS all1, a.bits AS any1, a.rep_bits AS rep1, a.n_txs AS n1, b.bits AS all2, b.bits AS any2, b.rep_bits AS rep2, b.n_txs AS n2
+  FROM pvar a JOIN pvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk AND a.i < b.i WHERE a.n_paths <= {MAX_SINGLE})"""
+
+MULTI = f"""
+few AS (SELECT * FROM pvar WHERE n_paths <= {MAX_SINGLE}),
+mp AS (SELECT p.gene, p.src, p.snk, p.i, unnest(p.parts) AS part FROM few p),
 mc AS (SELECT gene, src, snk, part, count(*) AS c FROM mp GROUP BY gene, src, snk, part),
 own AS (SELECT m.gene, m.src, m.snk, m.i, list(m.part ORDER BY m.part) AS diff FROM mp m JOIN mc c ON m.gene = c.gene AND m.src = c.src AND m.snk = c.snk AND m.part = c.part AND c.c = 1 GROUP BY m.gene, m.src, m.snk, m.i),
-each AS (SELECT p.gene, p.src, p.snk, p.i, p.n_paths, p.rep, len(p.parts) AS n_parts, coalesce(o.diff, []) AS diff FROM pvar p LEFT JOIN own o ON p.gene = o.gene AND p.src = o.src AND p.snk = o.snk AND p.i = o.i),
+each AS (SELECT p.gene, p.src, p.snk, p.i, p.n_paths, p.rep, len(p.parts) AS n_parts, coalesce(o.diff, []) AS diff FROM few p LEFT JOIN own o ON p.gene = o.gene AND p.src = o.src AND p.snk = o.snk AND p.i = o.i),
 mref AS (SELECT gene, src, snk, list(DISTINCT part ORDER BY part) AS ref FROM (
     SELECT c.gene, c.src, c.snk, c.part FROM mc c JOIN bub b ON b.gene = c.gene AND b.src = c.src AND b.snk = c.snk AND c.c = b.n_paths
     UNION ALL SELECT e.gene, e.src, e.snk, s.part FROM each e JOIN steps s ON s.gene = e.gene AND s.tx = e.rep AND s.part IN (e.src - 1, e.snk) GROUP BY e.gene, e.src, e.snk, s.part HAVING count(*) = max(e.n_paths)) GROUP BY gene, src, snk)"""
@@ -158,8 +161,8 @@ SELECT gene, a, b, count(*)::INT AS n_txs, string_agg(tx::VARCHAR, ',' ORDER BY
     "simple_paths": "WITH RECURSIVE " + duck("v_tx_nodes") + """,
 nx AS (SELECT gene, tx, node AS a, lead(node) OVER (PARTITION BY gene, tx ORDER BY node) AS b FROM v_tx_nodes),
 e AS (SELECT DISTINCT gene, a, b FROM nx WHERE b IS NOT NULL),
-walk AS (SELECT gene, b AS node, '1,' || b AS path FROM e WHERE a = 1 UNION ALL SELECT w.gene, e.b, w.path || ',' || e.b FROM walk w JOIN e ON w.gene = e.gene AND w.node = e.a WHERE w.node < 6)
-SELECT gene, path FROM walk WHERE node = 6""",
+walk AS (SELECT gene, b AS node, '0,' || b AS path FROM e WHERE a = 0 UNION ALL SELECT w.gene, e.b, w.path || ',' || e.b FROM walk w JOIN e ON w.gene = e.gene AND w.node = e.a WHERE w.node < 11)
+SELECT gene, path FROM walk WHERE node = 11""",
     "contained_paths": _PRU + " SELECT a.gene, a.src, a.snk, a.i::INT AS small, b.i::INT AS large FROM pvar a JOIN pvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk WHERE len(a.parts) < len(b.parts) AND list_has_all(b.parts, a.parts)",
     "split_bipartition": _PRU + "," + MASKS + "," + SIDES + f" SELECT gene, src, snk, id::INT AS mask, {_SPLIT_OUT}, n1::INT AS n1, n2::INT AS n2 FROM split",
     "split_pairs": _PRU + "," + PAIRS + "," + SIDES + f" SELECT gene, src, snk, (id // 1000)::INT AS one, (id % 1000)::INT AS two, {_SPLIT_OUT}, n1::INT AS n1, n2::INT AS n2 FROM split",
@@ -171,11 +174,7 @@ LEFT JOIN mref r ON e.gene = r.gene AND e.src = r.src AND e.snk = r.snk""",
 SELECT a.gene, a.src, a.snk, a.i::INT AS one, a.n_txs::INT AS n1, sum(b.n_txs)::INT AS n2, array_to_string(a.inn, ',') AS path1 FROM bvar a JOIN bvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk AND a.i <> b.i
 GROUP BY a.gene, a.src, a.snk, a.i, a.n_txs, a.inn""",
     "dedupe_events": _PRU + "," + MASKS + "," + SIDES + f""",
-blank AS (SELECT gene, src, snk, id, side, bool_and(len(parts) = 0) AS none FROM sides GROUP BY gene, src, snk, id, side),
-keyed AS (SELECT s.*, CASE WHEN b1.none THEN [-1] ELSE s.diff1 END AS k1, CASE WHEN b2.none THEN [-1] ELSE s.diff2 END AS k2, q.near FROM split s
-  JOIN blank b1 ON b1.gene = s.gene AND b1.src = s.src AND b1.snk = s.snk AND b1.id = s.id AND b1.side = 1 JOIN blank b2 ON b2.gene = s.gene AND b2.src = s.src AND b2.snk = s.snk AND b2.id = s.id AND b2.side = 2
-  LEFT JOIN (SELECT r.gene, r.src, r.snk, r.id, min(abs(r.part - d.part)) AS near FROM refs r JOIN diffs d ON r.gene = d.gene AND r.src = d.src AND r.snk = d.snk AND r.id = d.id GROUP BY r.gene, r.src, r.snk, r.id) q
-  ON q.gene = s.gene AND q.src = s.src AND q.snk = s.snk AND q.id = s.id),
+keyed AS (SELECT *, CASE WHEN none1 THEN [-1] ELSE diff1 END AS k1, CASE WHEN none2 THEN [-1] ELSE diff2 END AS k2, list_min([list_min([abs(x - y) FOR y IN list_concat(diff1, diff2)]) FOR x IN ref]) AS near FROM split),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY gene, k1, k2 ORDER BY len(ref), coalesce(near, 1000000), snk - src, src, id) AS f FROM keyed)
 SELECT gene, src, snk, id::INT AS mask, row_number() OVER (PARTITION BY gene ORDER BY k1, k2)::INT AS event, CASE WHEN src = 0 OR snk = 11 THEN 'TSSTTS' ELSE 'internal' END AS "class", {_SPLIT_OUT} FROM firsts WHERE f = 1""",
     "focal_report": _BUB + f"""

@@ -13,8 +13,8 @@ from ..operators import compare, counts, enrich, fdr, graph, intervals, mapping,
 from ..sources.shared import save
 from .views import LEAF, ROOT, view
 
-#: Variants of a bubble that splits are listed for, at most.
-MAX_PATH = 6
+#: The most variants of a bubble that is split in two sides (masks double with each), and of one whose variants are taken one by one.
+MAX_SIDES, MAX_SINGLE = 15, 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -35,8 +35,8 @@ def _bubbles(spark: SparkSession, sf: str) -> DataFrame:
     return b.detect_bubbles(_paths(spark, sf))
 
 
-def _pruned(spark: SparkSession, sf: str) -> DataFrame:
-    return b.prune(_bubbles(spark, sf), ROOT, LEAF, MAX_PATH)
+def _pruned(spark: SparkSession, sf: str, most: int) -> DataFrame:
+    return b.prune(_bubbles(spark, sf), ROOT, LEAF, most)
 
 
 def _split_text(rows: DataFrame) -> DataFrame:
@@ -88,27 +88,27 @@ def path_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def simple_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return b.simple_paths(b.tx_edges(_paths(spark, sf)), 1, 6, 6).select("gene", _text("path").alias("path"))
+    return b.simple_paths(b.tx_edges(_paths(spark, sf)), ROOT, LEAF, LEAF, save).select("gene", _text("path").alias("path"))
 
 
 @query
 def contained_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return b.contained_paths(_pruned(spark, sf))
+    return b.contained_paths(_bubbles(spark, sf).where(f"not (src = {ROOT} and snk = {LEAF})"))
 
 
 @query
 def split_bipartition(spark: SparkSession, sf: str) -> DataFrame:
-    return _split_text(splits.bipartitions(_pruned(spark, sf)))
+    return _split_text(splits.bipartitions(_pruned(spark, sf, MAX_SIDES)))
 
 
 @query
 def split_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _split_text(splits.pairs(_pruned(spark, sf)))
+    return _split_text(splits.pairs(_pruned(spark, sf, MAX_SINGLE)))
 
 
 @query
 def split_multinomial(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.multinomial(_pruned(spark, sf))
+    rows = splits.multinomial(_pruned(spark, sf, MAX_SINGLE))
     return rows.select("gene", "src", "snk", part_labels(F.col("ref")).alias("ref"), F.array_join(F.transform("groups", lambda g: F.when(g["status"] == "none", "no_exon_part").otherwise(part_labels(g["diff"]))), "|").alias("diffs"))
 
 
@@ -119,7 +119,7 @@ def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedupe_events(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.dedupe(splits.bipartitions(_pruned(spark, sf)), [F.col("snk") - F.col("src"), "src", "mask"])
+    rows = splits.dedupe(splits.bipartitions(_pruned(spark, sf, MAX_SIDES)), [F.col("snk") - F.col("src"), "src", "mask"])
     return _split_text(splits.classify(rows, ROOT, LEAF)).drop("n1", "n2")
 
 
@@ -130,7 +130,7 @@ def focal_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def collapse_bubbles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.collapse_bubbles(_paths(spark, sf), b.detect_bubbles, ROOT, LEAF, save, max_rounds=3).select("gene", "tx", _text("nodes").alias("nodes"), part_labels(F.col("parts")).alias("parts"))
+    return graph.collapse_bubbles(_paths(spark, sf), b.detect_bubbles, ROOT, LEAF, save).select("gene", "tx", _text("nodes").alias("nodes"), part_labels(F.col("parts")).alias("parts"))
 
 
 @query

@@ -200,3 +200,56 @@ def test_read_counting(spark):
     pairs = [("p1", 67, "c", 110, 50, "10M", 1), ("p1", 131, "c", 310, 50, "10M", 1), ("p2", 67, "c", 110, 50, "5M", 1), ("p2", 131, "d", 1, 50, "5M", 1), ("p3", 77, "*", 0, 0, "*", None), ("p3", 141, "*", 0, 0, "*", None)]
     got = {(r.gene, r.part, r.special): r.cnt for r in intervals.count_pairs(spark.createDataFrame(pairs, aln.schema), parts).collect()}
     assert got == {("g", 1, None): 1, ("g", 2, None): 1, ("h", 1, None): 0, (None, None, "_ambiguous_readpair_position"): 1, (None, None, "_notaligned"): 1}
+
+
+def brute_collapse(paths, root, leaf):
+    """paths {tx: (nodes, parts)} of one gene, collapsed bubble by bubble."""
+    done = set()
+    while True:
+        found = []
+        nodes = sorted({n for p, _ in paths.values() for n in p})
+        for src in nodes:
+            for snk in nodes:
+                ways = {}
+                for tx, (p, parts) in paths.items():
+                    if src < snk and src in p and snk in p:
+                        ways.setdefault(tuple(n for n in p if src < n < snk), []).append(tx)
+                if len(ways) > 1 and not set.intersection(*map(set, ways)) and src != root and snk != leaf and (src, snk) not in done:
+                    found.append((snk - src, src, snk, ways))
+        if not found:
+            return paths
+        _, src, snk, ways = min(found, key=lambda f: f[:2])
+        done.add((src, snk))
+        inside = {tx: [n for n in p if src <= n <= snk] for tx, (p, _) in paths.items()}
+        ranked = []
+        for i, (inner, txs) in enumerate(sorted(ways.items())):
+            way = [src, *inner, snk]
+            users = {tx for s in zip(way, way[1:]) for tx, p in inside.items() if s in list(zip(p, p[1:]))}
+            ranked.append((users <= set(txs), -len(txs), i, inner, txs))
+        ranked.sort()
+        keep, first = ranked[0][3], min(ranked[0][4])
+        kept_parts = [x for x in paths[first][1] if src <= x < snk]
+        for alone, _, _, _, txs in ranked[1:]:
+            for tx in txs if alone else ():
+                p, parts = paths[tx]
+                paths = paths | {tx: (sorted({n for n in p if n <= src or n >= snk} | set(keep)), sorted({x for x in parts if x < src or x >= snk} | set(kept_parts)))}
+
+
+def test_collapse_like_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for gene in range(12):
+        for tx in range(rng.randint(2, 6)):
+            inner = sorted(rng.sample(range(1, 9), 2 * rng.randint(1, 3)))
+            rows += [(gene, 100 * gene + tx, n) for n in [0, *inner, 9]]
+    paths = b.tx_paths(spark.createDataFrame(rows, "gene int, tx int, node int"), 0, 9).cache()
+    before = {}
+    for r in paths.collect():
+        before.setdefault(r.gene, {})[r.tx] = (list(r.nodes), list(r.parts))
+    got = {}
+    for r in graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, save).collect():
+        got.setdefault(r.gene, {})[r.tx] = (list(r.nodes), list(r.parts))
+    want = {gene: brute_collapse(p, 0, 9) for gene, p in before.items()}
+    assert got == want and got != before
+    with pytest.raises(ValueError):
+        graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, save, max_rounds=1)
