@@ -385,30 +385,86 @@ def test_suffix_tree(docs, rows):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_suffix_tree_learns_contexts_and_is_a_distribution(spark):
-    rng = random.Random(3)
+def brute_tree(train, settings):
+    """A function (text words -> log10 probability) by plain dictionaries over word tuples; None stands for the end of a text."""
+    texts = [[*t.lower().split(), None] for t in train]
+    n, seen = sum(map(len, texts)), Counter(w for t in texts for w in t)
+    counts = Counter(tuple(t[i : i + k]) for t in texts for k in range(1, settings.depth + 2) for i in range(len(t) - k + 1))
+    after = defaultdict(dict)
+    for gram, c in counts.items():
+        if len(gram) > 1 and c >= settings.least:
+            after[gram[:-1]][gram[-1]] = c
+    mass = {}
+
+    def probability(context, w):
+        p = (seen[w] + 0.5) / (n + 0.5 * (len(seen) + 1))
+        for k in range(1, len(context) + 1):
+            s = context[-k:]
+            if mass.get(s, 1) < 1:
+                p = mass[s] * p + (max(after[s][w] - settings.discount, 0) / counts[s] if w in after[s] else 0)
+        return p
+
+    for k in range(1, settings.depth + 1):
+        tested = {}
+        for s in [s for s in after if len(s) == k]:
+            total = counts[s]
+            parent = {w: 10 ** (min(255, round(-20 * math.log10(probability(s[1:], w)))) / -20) for w in after[s]}
+            gain = sum(c * math.log(c / total / parent[w]) for w, c in after[s].items())
+            rest, below = 1 - sum(after[s].values()) / total, 1 - sum(parent.values())
+            if rest > 1e-12 and below > 1e-12:
+                gain += total * rest * math.log(rest / below)
+            if gain > settings.divergence * len(after[s]):
+                tested[s] = 1 - sum(c - settings.discount for c in after[s].values()) / total
+        mass.update(tested)
+
+    def score(text):
+        w = [*text.lower().split(), None]
+        return sum(math.log10(probability(tuple(w[max(0, i - settings.depth) : i]), w[i])) for i in range(len(w)))
+
+    return score, probability, mass
+
+
+@pytest.mark.parametrize("depth, blocks", [(2, 1_500_000), (3, 300)])
+def test_suffix_tree_scores_like_brute_force(spark, monkeypatch, depth, blocks):
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_TOKENS", blocks)
+    monkeypatch.setattr(suffix_tree_lm, "RANGE_TOKENS", 1000)
+    rng = random.Random(depth)
     chain = {"a": "bc", "b": "ca", "c": "ad", "d": "ab"}
-    rows = []
-    for i in range(300):
+    rows = [(None, None), (1, ""), (2, "a")]
+    for i in range(3, 120):
         w = [rng.choice("abcd")]
-        for _ in range(60):
-            w.append(chain[w[-1]][rng.random() < 0.2])
+        for _ in range(rng.randint(1, 60)):
+            w.append(chain.get(w[-1], "ab")[rng.random() < 0.2] if rng.random() < 0.9 else rng.choice(["rare%d" % rng.randrange(60), "Unknown%d" % rng.randrange(10**6), "common"]))
         rows.append((i, " ".join(w)))
-    got = suffix_tree_lm.score_texts(frame(spark, rows), quality.crc_mod() != 1).collect()
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
-    # all texts of two words over the known ones, an unknown word and the end: their probabilities add up to 1
-    vocabulary = [*"abcd", "unknown"]
-    probes = [(10_000, "")] + [(10_000, x) for x in vocabulary]
-    settings = suffix_tree_lm.Settings()
-    base = spark.createDataFrame([(i, t, True) for i, t in rows] + [(i, t, False) for i, t in probes] + [(20_000, f"{x} {y}", False) for x in vocabulary for y in vocabulary], "doc_id long, text string, learn boolean")
-    scored = suffix_tree_lm.score_texts(base, F.col("learn"), settings).collect()
-    p0 = 10 ** next(r.score for r in scored if r.doc_id == 10_000 and r.n_tokens == 1)
-    p1 = sum(10**r.score for r in scored if r.doc_id == 10_000 and r.n_tokens == 2)
-    p2 = sum(10**r.score for r in scored if r.doc_id == 20_000)
-    assert 0 < p0 + p1 + p2 < 1
-    # what is left after two words must be the mass of longer texts: with the last symbol summed out, nothing is lost
-    assert p0 + p1 + p2 < 1e-1
+    rows += rows[5:8]
+    settings = suffix_tree_lm.Settings(depth=depth)
+    got = suffix_tree_lm.score_texts(frame(spark, rows).repartition(3), quality.crc_mod() != 1, settings).collect()
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+    score, probability, mass = brute_tree([t or "" for i, t in rows if not held(i)], settings)
+    want = Counter((i, round(score(t or ""), 3)) for i, t in rows)
+    assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want
+    assert {len(s) for s in mass} == set(range(1, depth + 1))
+    # contexts say something about texts that were held out
+    assert sum(r.score for r in got if r.held_out) > 0.8 * sum(r.base_score for r in got if r.held_out)
+    # what follows a context is a distribution: over all known words, the end and one unknown word it adds up to 1
+    known = {w for i, t in rows if not held(i) for w in (t or "").lower().split()} | {None, "never seen"}
+    for s in [(), *rng.sample(sorted(mass), 20)]:
+        assert abs(sum(probability(s, w) for w in known) - 1) < 1e-9
+
+
+def test_suffix_tree_is_a_distribution(spark):
+    """The scores themselves: a text's next word or end, over all there are, takes up all of the probability of what it continues."""
+    train = [(i, " ".join("ab" if (i + k) % 3 else "cd" for k in range(4))) for i in range(30)] + [(50, "ab cd xy")]
+    vocabulary = ["ab", "cd", "xy", "unknown"]
+    ways = ["", *vocabulary, *(f"{x} {y}" for x in vocabulary for y in vocabulary), *(f"{x} {y} {z}" for x in vocabulary for y in vocabulary for z in vocabulary)]
+    rows = [(i, t, True) for i, t in train] + [(1000 + i, t, False) for i, t in enumerate(ways)]
+    p = {r.doc_id - 1000: 10**r.score for r in suffix_tree_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), F.col("learn")).collect()}
+    p = {ways[i]: x for i, x in p.items() if i >= 0}
+    score, probability, _ = brute_tree([t for _, t in train], suffix_tree_lm.Settings())
+    # all texts of three words or fewer, and the mass of going on after three words
+    total = sum(p.values())
+    longer = sum(10 ** (score(t) - math.log10(probability(tuple(t.split()[-2:]), None))) * (1 - probability(tuple(t.split()[-2:]), None)) for t in ways if t.count(" ") == 2)
+    assert abs(total + longer - 1) < 1e-5
 
 
 def test_quality(spark):
