@@ -20,7 +20,7 @@ def domain_of(source: str = "source") -> Column:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_bitmaps(read_table(spark, sf_dir, "documents"), 40, 5).drop("keep_bitmap")
+    return line_dedup.kept_digests(read_table(spark, sf_dir, "documents"), 40, 5)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

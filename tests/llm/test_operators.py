@@ -70,13 +70,18 @@ def brute_lines(rows):
 
 
 def test_line_dedup(docs, rows):
-    got = line_dedup.line_bitmaps(docs).collect()
     want = list(brute_lines(rows))
-    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == Counter(w[:4] for w in want)
+    assert Counter(tuple(r) for r in line_dedup.kept_digests(docs).collect()) == Counter(w[:4] for w in want)
     assert sum(w[2] for w in want) > 5
-    for r in got:
+    lines = {(i, hashlib.sha256((t or "").encode()).digest()): (t or "").split("\n") for i, t in rows}
+    by_id = defaultdict(list)
+    for (i, _), x in lines.items():
+        by_id[i].append(x)
+    kept = Counter((w[0], w[1], w[2], w[4]) for w in want)
+    for r in line_dedup.line_bitmaps(docs).collect():
         bits = np.unpackbits(np.frombuffer(zlib.decompress(bytes(r.keep_bitmap)), np.uint8), bitorder="little")
         assert bits.sum() == r.n_lines - r.n_dropped
+        assert any((r.doc_id, r.n_lines, r.n_dropped, "\n".join(x for x, k in zip(t, bits, strict=False) if k)) in kept for t in by_id[r.doc_id] if len(t) == r.n_lines)
     cut = line_dedup.drop_lines(docs)
     assert cut.columns == docs.columns
     assert Counter((r.doc_id, r.text or "") for r in cut.collect()) == Counter((w[0], w[4]) for w in want)
@@ -130,6 +135,19 @@ def test_exact_dedup_over_many_runs(spark, monkeypatch):
     rows = [(i, f"text {i % 11}") for i in range(200)]
     got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
     assert {r.doc_id for r in got if r.kept} == set(range(11)) and len(got) == 200
+    # levels merged one after another, and all at once
+    parts = [exact_dedup.entries(exact_dedup.digest_runs(frame(spark, rows[a:b]))) for a, b in ((0, 50), (50, 120), (120, 200))]
+    once = exact_dedup.compact(*parts)
+    twice = exact_dedup.compact(exact_dedup.compact(parts[2], parts[0]), parts[1])
+    short = lambda level: sorted((bytes(r.digest), r.group_size, r.n_runs, r.best_id) for r in level.collect())
+    assert short(once) == short(twice) and once.count() == 11
+    asked = exact_dedup.lookup(once, frame(spark, [(900, " te xt 4"), (901, "new"), (902, None)])).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in asked} == {(900, 4, 18), (901, None, None), (902, None, None)}
+    # a text that is not what its digest says is found out
+    runs = exact_dedup.digest_runs(frame(spark, rows))
+    odd = runs.withColumn("content", F.when((F.col("run") == runs.agg(F.max("run")).first()[0]), F.lit(b"other")).otherwise(F.col("content")))
+    with pytest.raises(ValueError):
+        exact_dedup.verify(odd, exact_dedup.compact(exact_dedup.entries(runs)))
 
 
 def brute_components(fps):
