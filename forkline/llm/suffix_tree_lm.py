@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, store, text_bytes
 
 #: A block is closed at so many tokens, and a range is meant for about so many.
-BLOCK_TOKENS, RANGE_TOKENS = 1_500_000, 4_000_000
+BLOCK_TOKENS, RANGE_TOKENS = 1_300_000, 4_000_000
 #: The hash of the end of a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,7 +170,7 @@ class Block:
             level = Level(state, count, symbols, place, length, settings.least)
             if length not in self.answers:
                 return known, base, p, level
-            found, mass = self.answers[length]
+            found, mass = self.answers.pop(length)
             # a context that is not kept hands everything on to its parent
             share = np.where(mass[level.owner] < 1, np.maximum(found - settings.discount, 0) / level.total[level.owner], 0.0)
             p[level.at] *= mass[level.context]
@@ -178,6 +178,7 @@ class Block:
             state = np.r_[state[:1], _mix(state[:-1], symbols[1:])]
             count = np.zeros(n)
             count[level.listed_at] = found[level.listed]
+            del level, found, mass, share
         return known, base, p, None
 
 
