@@ -143,13 +143,15 @@ def search(f, low: float, high: float, events: int, points: int = 13, rounds: in
     return x[rows, i] + shift * (x[:, 1] - x[:, 0]), v[rows, i]
 
 
-def estimate_precision(y: np.ndarray, n: np.ndarray, g: np.ndarray, prior: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phi, Var(phi), identifiable) of beta-binomials with a mean for each group, or with a normal prior on log phi their modes.
+def estimate_precision(y: np.ndarray, n: np.ndarray, g: np.ndarray, prior: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phi, Var(phi), identifiable) of beta-binomials with a mean for each group, or with a normal prior (mean, sd; one of each or one an event) on log phi their modes.
 
     y, n, g: events x samples, g -1 for no sample. identifiable: the likelihood ratio to a binomial with the same means
     is above the 5 % point of one degree.
     """
-    penalty = (lambda x: -((x - prior[0]) ** 2) / (2 * prior[1] ** 2)) if prior else (lambda x: 0.0 * x)
+    if prior:
+        mean, sd = (np.asarray(v, float).reshape(-1, 1) for v in prior)
+    penalty = (lambda x: -((x - mean) ** 2) / (2 * sd**2)) if prior else (lambda x: 0.0 * x)
     whole = lambda x: profile(y, n, g, x) + penalty(x)
     x, best = search(whole, -5.0, 18.0, len(y))
     step = 1e-3

@@ -205,3 +205,18 @@ def combine_fisher(rows: DataFrame, by: list[str], p: str = "pvalue") -> DataFra
     half = F.col("statistic") / 2
     terms = F.aggregate(F.sequence(F.lit(1), F.col("k")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")), lambda s, i: F.struct((s["term"] * half / i).alias("term"), (s["sum"] + s["term"]).alias("sum")))
     return got.withColumn("pvalue", F.least(F.exp(-half) * terms["sum"], F.lit(1.0)))
+
+
+def combine_sides(rows: DataFrame, by: list[str], how: str = "min_p", method: str = "nested_BH", alpha: float = 0.05, delta: float = 0.0, min_dpi: float = 0.1, filtering: bool = True, p: str = "pvalue") -> DataFrame:
+    """The sides of each event combined (how: min_p or fisher), with the primary side's columns under their own names, then adjusted and flagged anew.
+
+    `by` starts with the gene's column. The filter and the effect gates read the primary side's baseMean, lfc_diff_net and delta_pi, where there are such.
+    """
+    if how not in ("min_p", "fisher"):
+        raise ValueError("how must be min_p or fisher")
+    stale = [c for c in ("padj", "padj_gene", "significant") if c in rows.columns]
+    least = combine_min_p(rows.drop(*stale), by, p)
+    least = least.drop(f"primary_{p}").withColumnsRenamed({c: c.removeprefix("primary_") for c in least.columns if c.startswith("primary_")})
+    if how == "fisher":
+        least = least.drop("pvalue").join(combine_fisher(rows, by, p), by, "left")
+    return add_significant(adjust(least, method, alpha, filtering and "baseMean" in least.columns), alpha, delta, min_dpi)

@@ -135,7 +135,9 @@ def moderate_trend(est: DataFrame, means: DataFrame, keys: list[str], z: str, va
 
 
 def trend_prior(moderated: DataFrame) -> DataFrame:
-    """(comparison, sd): spread of the estimates around the trend of moderate_trend(); comparisons with too few take the spread of all."""
+    """(comparison, sd): spread of the estimates around the trend of moderate_trend(), of the identifiable ones if 10 or more are marked so; comparisons with too few take the spread of all."""
+    if "identifiable" in moderated.columns and moderated.where("identifiable and z is not null").limit(10).count() == 10:
+        moderated = moderated.where("identifiable")
     rest = F.col("z") - F.col("z_trend")
     overall = moderated.agg(F.stddev_samp(rest)).first()[0]
     return moderated.groupBy("comparison").agg(F.coalesce(F.stddev_samp(rest), F.lit(overall), F.lit(1.0)).alias("sd"))
@@ -192,20 +194,27 @@ def _padded(arrays: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return fill(0, 0.0), fill(1, 0.0), fill(2, -1).astype(int)
 
 
-def _precisions(arrays: list[tuple], prior: tuple[float, float] | None = None) -> list[tuple]:
+def _precisions(arrays: list[tuple], prior: tuple | None = None) -> list[tuple]:
     return [(float(p), float(v), bool(s)) for p, v, s in zip(*numerics.estimate_precision(*_padded(arrays), prior), strict=True)]
 
 
 def dispersion(rows: DataFrame, by: list[str] = EVENT, prior: tuple[float, float] | None = None) -> DataFrame:
-    """by, phi, var_phi, identifiable: beta-binomial precision with a mean for each group, or its mode under a normal prior (mean, sd) on its log."""
+    """by, phi, var_phi, identifiable: beta-binomial precision with a mean for each group, or its mode under a normal prior on its log.
+
+    The prior (mean, sd) is one for all, or each event's own where the rows have prior_mean and prior_sd.
+    """
+    own = {"prior_mean", "prior_sd"} <= set(rows.columns)
 
     def run(events: list) -> list:
         arrays = [_arrays(samples) for samples in events]
-        usable = [a for a in arrays if len(a[0]) >= 2]
-        found = iter(_precisions(usable, prior) if usable else [])
-        return [next(found) if len(a[0]) >= 2 else None for a in arrays]
+        at = [i for i, a in enumerate(arrays) if len(a[0]) >= 2]
+        priors = tuple(np.array([events[i][0][c] for i in at]) for c in ("prior_mean", "prior_sd")) if own else prior
+        out: list = [None] * len(events)
+        for i, p in zip(at, _precisions([arrays[i] for i in at], priors) if at else [], strict=True):
+            out[i] = p
+        return out
 
-    return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp")], "phi double, var_phi double, identifiable boolean", run)
+    return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp"), *([F.col("prior_mean"), F.col("prior_sd")] if own else [])], "phi double, var_phi double, identifiable boolean", run)
 
 
 def prior_of(phi: DataFrame, limit: float = 1e10) -> tuple[float, float]:
@@ -325,27 +334,38 @@ def dm_test(long: DataFrame, by: list[str]) -> DataFrame:
     return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp"), F.col("log_prec_mod")], "LRT double, df int, pvalue double, effect_size double", _one_by_one(run)).withColumn("model", F.lit("dirmult_EBplugin"))
 
 
-def apply_test(rows: DataFrame, by: list[str], test: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """A test of your own: a function of one event's rows that returns a frame, or None for no row. An event that raises an error gives no row."""
+def apply_test(rows: DataFrame, by: list[str], test: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, errors: bool = False) -> DataFrame:
+    """A test of your own: a function of one event's rows that returns a frame, or None for no row.
+
+    An event that raises an error does not end the job. It gives no row, or with `errors` one with the names of the
+    event, as far as the schema has them, and the message in a further column `error`, which is null otherwise.
+    """
     names = [c.strip().split()[0].strip("`") for c in schema.split(",")]
+    out_names = [*names, *(["error"] if errors else [])]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         try:
             out = test(frame)
-        except Exception:  # noqa: BLE001  one bad event must not end the job
+        except Exception as e:  # noqa: BLE001  one bad event must not end the job
             out = None
-        return pd.DataFrame(columns=names) if out is None else out[names]
+            if errors:
+                row = dict.fromkeys(names) | {c: frame[c].iloc[0] for c in by if c in names} | {"error": f"{type(e).__name__}: {e}"}
+                return pd.DataFrame([row], dtype=object)
+        if out is None:
+            return pd.DataFrame(columns=out_names)
+        return out[names].assign(error=None) if errors else out[names]
 
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    return rows.groupBy(*by).applyInPandas(run, schema + (", error string" if errors else ""))
 
 
 MODELS = ("betabinom_EBmap", "betabinom_EBapprox", "betabinom_MLE", "dirmult_EBplugin", "wilcoxon")
 
 
-def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], table: list[tuple[str, str, str]] = COMPARISONS, trend: bool = False, alpha: float = 0.05, delta: float = 0.0, share_dispersion: str | None = None, filtering: bool = False) -> DataFrame:
+def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], table: list[tuple[str, str, str]] = COMPARISONS, trend: bool = False, alpha: float = 0.05, delta: float = 0.0, share_dispersion: str | None = None, filtering: bool = True) -> DataFrame:
     """From event counts (long type counts for dirmult_EBplugin) to adjusted and flagged results.
 
-    share_dispersion names the comparison whose estimates stand for those of all comparisons of an event.
+    share_dispersion names the comparison whose estimates stand for those of all comparisons of an event. With trend,
+    precisions are shrunk to their trend over baseMean, and betabinom_EBmap takes that trend and the spread around it as each event's prior.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
@@ -380,7 +400,13 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
             approx = moderate_log(phi, ["comparison"])
         z_mod = approx.select(*EVENT, "z_mod")
         if model == "betabinom_EBmap":
-            mode = dispersion(used, prior=prior_of(phi)).select(*EVENT, F.log("phi").alias("z_map"))
+            mean, sd = prior_of(phi)
+            rows_with_prior = used
+            if trend:
+                spread = trend_prior(approx.join(phi.select(*EVENT, "identifiable"), EVENT, "left"))
+                rows_with_prior = used.join(approx.select(*EVENT, F.col("z_trend").alias("prior_mean")), EVENT, "left").join(spread.withColumnRenamed("sd", "prior_sd"), "comparison", "left")
+                rows_with_prior = rows_with_prior.withColumns({"prior_mean": F.coalesce("prior_mean", F.lit(mean)), "prior_sd": F.greatest(F.coalesce("prior_sd", F.lit(sd)), F.lit(1e-3))})
+            mode = dispersion(rows_with_prior, prior=(mean, sd)).select(*EVENT, F.log("phi").alias("z_map"))
             z_mod = z_mod.join(mode, EVENT, "full").select(*EVENT, F.coalesce("z_map", "z_mod").alias("z_mod"))
         results = wald_test(impute(used.join(z_mod, EVENT, "left"), z_mod), contrasts, model)
     trt, ref = contrasts[0]

@@ -94,6 +94,15 @@ def _bh(table: str, by: str, p: str = "pvalue") -> str:
   SELECT *, row_number() OVER ({over}ORDER BY {p}) AS rn, count(*) OVER ({f'PARTITION BY {by}' if by else ''}) AS cn FROM {table} WHERE {p} IS NOT NULL))"""
 
 
+def _combined(p: str) -> str:
+    """Combined p-values of the sides (p: an SQL expression over groups of x(gene, event, pvalue)), BH over all, and the gate on the primary side."""
+    return _RES + f""",
+x AS (SELECT gene, event, pvalue, delta_pi, row_number() OVER (PARTITION BY gene, event ORDER BY pvalue, comparison, delta_pi) AS k FROM v_results WHERE pvalue IS NOT NULL),
+c AS (SELECT gene, event, {p} AS pvalue, max(delta_pi) FILTER (WHERE k = 1) AS dpi FROM x GROUP BY gene, event)
+SELECT c.gene, c.event, round(c.pvalue, 9) AS pvalue, round(a.bh, 9) AS padj, coalesce(a.bh < 0.5, false) AND coalesce(abs(c.dpi) >= 0.1, true) AS significant
+FROM c LEFT JOIN {_bh('c', '')} a ON a.gene = c.gene AND a.event = c.event"""
+
+
 _LISTS = "lists AS (SELECT gene, event, 'ref' AS role, unnest(ref) AS part FROM v_splits UNION ALL SELECT gene, event, 'diff1', unnest(diff1) FROM v_splits UNION ALL SELECT gene, event, 'diff2', unnest(diff2) FROM v_splits WHERE diff2 IS NOT NULL)"
 _GRID = f"""{_LISTS},
 samples AS (SELECT DISTINCT sample, grp FROM v_counts),
@@ -253,6 +262,8 @@ FROM (SELECT *, event % 7 AS part_, row_number() OVER (PARTITION BY gene, event
     "fisher_combine": _RES + """,
 s AS (SELECT gene, event, count(*)::INT AS k, -2 * sum(ln(pvalue)) AS x FROM v_results WHERE pvalue > 0 AND pvalue <= 1 GROUP BY gene, event)
 SELECT gene, event, k, round(x, 6) AS statistic, round(least(1, exp(-x / 2) * CASE WHEN k = 1 THEN 1 ELSE 1 + x / 2 END), 9) AS pvalue FROM s""",
+    "minp_adjusted": _combined("min(pvalue) FILTER (WHERE pvalue > 0 AND pvalue <= 1)"),
+    "fisher_adjusted": _combined("exp(sum(ln(pvalue)) FILTER (WHERE pvalue > 0 AND pvalue <= 1)) * CASE WHEN count(*) FILTER (WHERE pvalue > 0 AND pvalue <= 1) > 1 THEN 1 - sum(ln(pvalue)) FILTER (WHERE pvalue > 0 AND pvalue <= 1) ELSE 1 END"),
     "junction_sum": _with(duck("v_exons")) + """,
 x AS (SELECT gene, chrom, "start" AS s, "end" AS e FROM v_exons), m AS (SELECT chrom, s, e, (gene % 5)::INT AS sample, count(*) * 3 AS cnt FROM x GROUP BY chrom, s, e, gene % 5),
 want AS (SELECT gene, chrom, s, e FROM x UNION SELECT gene, chrom, s, e - 1 FROM x),

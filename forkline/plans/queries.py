@@ -291,6 +291,18 @@ def fisher_combine(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("gene", "event", "k", F.round("statistic", 6).alias("statistic"), F.round("pvalue", 9).alias("pvalue"))
 
 
+def _combined(how: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = view(spark, sf, "v_results").select("gene", "event", "pvalue", "comparison", "delta_pi", F.array("part").alias("parts"))
+        done = fdr.combine_sides(rows, ["gene", "event"], how, "BH", 0.5, filtering=False)
+        return done.select("gene", "event", F.round("pvalue", 9).alias("pvalue"), F.round("padj", 9).alias("padj"), "significant")
+
+    return run
+
+
+QUERIES |= {"minp_adjusted": _combined("min_p"), "fisher_adjusted": _combined("fisher")}
+
+
 def _junctions(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "v_exons").select("gene", F.col("chrom"), "start", "end")
     return rows.select("gene", "chrom", "start", "end", (F.col("gene") % 5).cast("int").alias("sample"), F.lit("g").alias("grp"), F.lit(1).alias("n_uniq"), F.lit(2).alias("n_multi"))

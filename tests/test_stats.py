@@ -198,6 +198,18 @@ def test_own_test_and_errors(spark):
         return pd.DataFrame({"event": [frame.event[0]], "total": [int(frame.n.sum())]})
 
     assert [tuple(r) for r in stats.apply_test(rows, ["gene", "event"], test, "event string, total long").collect()] == [("e", 60)]
+    failed = {r.event: (r.total, r.error) for r in stats.apply_test(rows, ["gene", "event"], test, "event string, total long", errors=True).collect()}
+    assert failed == {"e": (60, None), "f": (None, "RuntimeError: ")}
+
+
+def test_prior_of_each_event(spark):
+    rows = stats.pseudocount(stats.comparisons(usage(spark, True)))
+    # a prior that is narrow settles the estimate, event by event
+    means = rows.select(*stats.EVENT).distinct().withColumn("prior_mean", F.pmod(F.xxhash64(*stats.EVENT), F.lit(3)).cast("double") + 1)
+    got = stats.dispersion(rows.join(means, stats.EVENT).withColumn("prior_sd", F.lit(1e-3))).join(means, stats.EVENT).collect()
+    assert got and all(abs(math.log(r.phi) - r.prior_mean) < 0.05 for r in got) and len({r.prior_mean for r in got}) > 1
+    done = stats.run_test(usage(spark, True), "betabinom_EBmap", [("g2", "g1")], trend=True)
+    assert done.count() == 12
 
 
 def test_counts_of_parts(spark):
