@@ -34,11 +34,20 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int | None
     return joined.where((F.col("start") <= F.col("end2")) & (F.col("start2") <= F.col("end")) & first).drop("bin")
 
 
+#: Positions of a stretch that one window works through.
+STRETCH = 1 << 16
+
+
 def exonic_parts(exons: DataFrame, by: list[str] | None = None) -> DataFrame:
     """exons (gene, tx, chrom, strand, start, end) -> chrom, strand[, by], start, end, genes, txs: the steps between all starts and ends that a transcript covers."""
     keys = ["chrom", "strand", *(by or [])]
     cuts = exons.select(*keys, F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("start")).distinct()
-    steps = cuts.withColumn("end", F.lead("start").over(W.partitionBy(*keys).orderBy("start")) - 1).where("end is not null")
+    # windows run within stretches of a chromosome; the first cut of the next stretch follows the last one of each
+    cuts = cuts.withColumn("stretch", F.floor(F.col("start") / STRETCH))
+    onward = cuts.groupBy(*keys, "stretch").agg(F.min("start").alias("first"))
+    onward = onward.select(*keys, "stretch", F.lead("first").over(W.partitionBy(*keys).orderBy("stretch")).alias("next"))
+    ends = F.coalesce(F.lead("start").over(W.partitionBy(*keys, "stretch").orderBy("start")), "next") - 1
+    steps = cuts.join(onward, [*keys, "stretch"]).withColumn("end", ends).where("end is not null").drop("stretch", "next")
     covered = overlap_join(steps, exons.select(*keys, "start", "end", F.col("gene").alias("g"), F.col("tx").alias("t")), keys)
     return covered.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_set("g")).alias("genes"), F.array_sort(F.collect_set("t")).alias("txs"))
 

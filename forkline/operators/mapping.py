@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import part_labels
+from .intervals import overlap_join
 
 COORDINATES = ("exonStart_0base", "exonEnd", "upstreamEE", "downstreamES", "longExonStart_0base", "longExonEnd", "shortES", "shortEE", "flankingES", "flankingEE")
 
@@ -35,12 +36,13 @@ def event_parts(bounded: DataFrame, edges: DataFrame) -> DataFrame:
     nothing tells them apart.
     """
     events = bounded.where("b1 is not null and b2 is not null").select("gene", "event_id", "etype", "b1", "b2", "alt_low", "alt_hi")
-    plain = edges.where("kind in ('ex', 'in') and from_pos is not null and to_pos is not null").select("gene", "from_pos", "to_pos", "txs")
-    touch = events.join(plain, "gene")
-    at = lambda b: F.flatten(F.collect_list(F.when((F.col("from_pos") == F.col(b)) | (F.col("to_pos") == F.col(b)), F.col("txs"))))
-    local = touch.where("from_pos in (b1, b2) or to_pos in (b1, b2)").groupBy("gene", "event_id").agg(F.array_intersect(at("b1"), at("b2")).alias("local")).where("size(local) > 0")
-    parts = edges.where("kind = 'ex_part'").select("gene", F.least("from_pos", "to_pos").alias("low"), F.greatest("from_pos", "to_pos").alias("high"), "part", "txs")
-    inside = events.join(local, ["gene", "event_id"]).join(parts, "gene").where("low >= alt_low and high <= alt_hi")
+    plain = edges.where("kind in ('ex', 'in') and from_pos is not null and to_pos is not null").select("gene", F.explode(F.array("from_pos", "to_pos")).alias("pos"), "txs")
+    users = plain.groupBy("gene", "pos").agg(F.array_distinct(F.flatten(F.collect_list("txs"))).alias("users"))
+    at = lambda b: users.select("gene", F.col("pos").alias(b), F.col("users").alias(f"at_{b}"))
+    local = events.join(at("b1"), ["gene", "b1"]).join(at("b2"), ["gene", "b2"]).withColumn("local", F.array_intersect("at_b1", "at_b2")).where("size(local) > 0")
+    regions = local.select("gene", "event_id", "local", F.col("alt_low").alias("start"), (F.col("alt_hi") - 1).alias("end"))
+    parts = edges.where("kind = 'ex_part'").select("gene", F.least("from_pos", "to_pos").alias("start"), (F.greatest("from_pos", "to_pos") - 1).alias("end"), "part", "txs")
+    inside = overlap_join(regions, parts, ["gene"]).where("start2 >= start and end2 <= end")
     gathered = inside.groupBy("gene", "event_id", "local").agg(F.collect_list(F.struct("part", "txs")).alias("alt"))
     one = F.array_intersect("local", F.array_distinct(F.flatten(F.transform("alt", lambda p: p["txs"]))))
     sides = gathered.withColumn("one", one).withColumn("two", F.array_except("local", "one")).where("size(one) > 0 and size(two) > 0")
@@ -57,18 +59,32 @@ def coverage(mapped: DataFrame) -> DataFrame:
 def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) -> DataFrame:
     """Events matched to splits by where the distinguishing parts begin and end.
 
-    splits (gene, event, src, snk, diff1, diff2, ref), positions (gene, part, low, high). A split's side matches if its
-    parts reach from alt_low to alt_hi; of several, one whose source and sink are the event's boundaries goes first, then
-    one with fewer parts, then the first event. Returns gene, event_id, etype, event, side, parts.
+    splits (gene, event, src_pos, snk_pos, diff1, diff2, ref, and pos1, pos2: arrays of the positions of each side's
+    paths), positions (gene, part, low, high). A split's side matches if its parts reach from alt_low to alt_hi, and
+    reference parts end at the flanking boundary: b1 for A3SS, b2 for A5SS, both for SE; for RI none is asked. Where
+    several splits match, only those stay whose source and sink are the event's boundaries (for RI upstreamES and downstreamEE, where given); of several of these, those
+    where one side's paths have the event's own sites (both ends of an SE, else of the longer form) and the other's have
+    none; then the first event. Returns gene, event_id, etype, event, side, parts, ref.
     """
-    sides = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("diff1").alias("parts")), F.struct(F.lit(2).alias("side"), F.col("diff2").alias("parts")))))
-    each = sides.where("size(parts) > 0").select("gene", "event", "ends", "side", "parts", F.explode("parts").alias("part")).join(positions, ["gene", "part"])
-    extent = each.groupBy("gene", "event", "ends", "side", "parts").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    e = bounded.where("b1 is not null").select("gene", "event_id", "etype", "b1", "b2", "alt_low", "alt_hi")
-    met = e.join(extent, (e.gene == extent.gene) & (e.alt_low == extent.low) & (e.alt_hi == extent.high)).drop(extent.gene)
-    exact = F.size(F.array_except("ends", F.array("b1", "b2"))) == 0
-    best = W.partitionBy("gene", "event_id").orderBy(exact.desc(), F.size("parts"), "event", "side")
-    return met.withColumn("k", F.row_number().over(best)).where("k = 1").select("gene", "event_id", "etype", "event", "side", "parts")
+    sides = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), "pos1", "pos2", "ref", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("diff1").alias("parts")), F.struct(F.lit(2).alias("side"), F.col("diff2").alias("parts")))))
+    sides = sides.where("size(parts) > 0")
+    reach = sides.select("gene", "event", "side", F.explode("parts").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event", "side").agg(F.min("low").alias("alt_low"), F.max("high").alias("alt_hi"))
+    touched = splits.select("gene", "event", F.explode("ref").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("flanks"))
+    placed = sides.join(reach, ["gene", "event", "side"]).join(touched, ["gene", "event"], "left")
+    outer = lambda name, b: F.coalesce(F.when(F.col("etype") == "RI", F.col(name).cast("int") + 1), b) if name in bounded.columns else F.col(b)
+    e = bounded.where("b1 is not null and b2 is not null").select("gene", "event_id", "etype", "strand", "b1", "b2", outer("upstreamES", "b1").alias("e1"), outer("downstreamEE", "b2").alias("e2"), "alt_low", "alt_hi")
+    wanted = F.when(F.col("etype") == "SE", F.array("b1", "b2")).when(F.col("etype") == "A3SS", F.array("b1")).when(F.col("etype") == "A5SS", F.array("b2")).otherwise(F.array().cast("array<int>"))
+    met = e.join(placed, ["gene", "alt_low", "alt_hi"]).where(F.size(F.array_except(wanted, F.coalesce("flanks", F.array().cast("array<int>")))) == 0)
+    exact = F.size(F.array_except("ends", F.array("e1", "e2"))) == 0
+    low_is_long = (F.col("etype") == "A3SS") == (F.col("strand") == "+")
+    own = F.when(F.col("etype").isin("SE", "RI"), F.array("alt_low", "alt_hi")).otherwise(F.array(F.when(low_is_long, F.col("alt_low")).otherwise(F.col("alt_hi"))))
+    has = lambda path: F.size(F.array_except(own, path)) == 0
+    lacks = lambda path: ~F.arrays_overlap(own, path)
+    apart = (has("pos1") & lacks("pos2")) | (has("pos2") & lacks("pos1"))
+    group = W.partitionBy("gene", "event_id")
+    several = lambda rows: rows.withColumn("n", F.size(F.collect_set("event").over(group)))
+    met = several(several(met).where((F.col("n") == 1) | exact)).where((F.col("n") == 1) | apart)
+    return met.withColumn("k", F.row_number().over(group.orderBy("event", "side"))).where("k = 1").select("gene", "event_id", "etype", "event", "side", "parts", "ref")
 
 
 def two_sided(splits: DataFrame) -> DataFrame:

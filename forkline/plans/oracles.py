@@ -125,7 +125,7 @@ _TWO = """
 two AS (SELECT a.gene, a.event, a.pvalue AS p_a, a.delta_pi AS e_a, b.pvalue AS p_b, b.delta_pi AS e_b FROM v_results a JOIN v_results b ON a.gene = b.gene AND a.event = b.event AND a.comparison = 'diff1_vs_ref' AND b.comparison = 'diff2_vs_ref')"""
 
 _SETS = """
-sets AS (SELECT gene, sample AS event, coalesce(list(DISTINCT part ORDER BY part) FILTER (WHERE part <= 3), []) AS r, coalesce(list(DISTINCT part ORDER BY part) FILTER (WHERE part > 3), []) AS x FROM v_counts GROUP BY gene, sample),
+sets AS (SELECT gene, sample AS event, coalesce(list(DISTINCT part ORDER BY part) FILTER (WHERE part <= 3 AND cnt % 3 > 0), []) AS r, coalesce(list(DISTINCT part ORDER BY part) FILTER (WHERE part > 3 AND cnt % 3 > 0), []) AS x FROM v_counts GROUP BY gene, sample),
 sa AS (SELECT * FROM sets WHERE event <= 6), sb AS (SELECT * FROM sets WHERE event > 6)"""
 
 _GENES = """
@@ -191,8 +191,6 @@ SELECT a.gene, a.src, a.snk, 'Binary' AS kind, {_labels('[x FOR x IN a.parts IF
   {_labels('list_concat([x FOR x IN a.parts IF NOT list_contains(b.parts, x)], [x FOR x IN b.parts IF NOT list_contains(a.parts, x)])')} AS either
 FROM bvar a JOIN bvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk AND a.i = 1 AND b.i = 2 AND a.n_paths = 2
 UNION ALL SELECT gene, src, snk, 'Complex', 'N/A', 'N/A', 'N/A' FROM bub WHERE n_paths > 2""",
-    "exonic_parts": _with(duck("v_exons"), _parts("chrom, strand")) + """
-SELECT g AS gene, row_number() OVER (PARTITION BY g ORDER BY x, y)::INT AS part, chrom, strand, x AS "start", y AS "end", n_txs, min(x) OVER (PARTITION BY g) AS gene_start, max(y) OVER (PARTITION BY g) AS gene_end FROM covered WHERE n_genes = 1""",
     "gene_parts": _with(duck("v_exons"), _parts("chrom, strand, gene")) + ' SELECT gene, chrom, strand, x AS "start", y AS "end", n_txs FROM covered',
     "overlap_genes": "WITH RECURSIVE " + duck("v_exons") + """,
 ex AS (SELECT DISTINCT gene, strand, ("start" % 30 + gene * 35 + floor(gene / 5) * 1000)::BIGINT AS x, ("start" % 30 + gene * 35 + floor(gene / 5) * 1000 + ("end" - "start") % 8)::BIGINT AS y FROM v_exons),
@@ -317,6 +315,13 @@ SELECT 'g2:g1' AS contrast, CASE WHEN b.gene IS NULL THEN 'DGE_only' WHEN a.gene
 FROM a FULL JOIN b ON a.gene = b.gene GROUP BY 1, 2, 3, 4""",
     "gene_bias_summary": _RES + "," + _GENES + " SELECT gene, n_events, round(total_expr, 6) AS total_expr, is_sig FROM genes",
     "term_membership": _RES + "," + _GENES + """,
-m AS (SELECT DISTINCT l_suppkey::VARCHAR AS gene, l_partkey % 50 AS term FROM lineitem)
-SELECT m.term, count(*) AS n, string_agg(m.gene, '/' ORDER BY m.gene) AS genes FROM m JOIN genes g ON m.gene = g.gene WHERE g.is_sig GROUP BY m.term""",
+m AS (SELECT DISTINCT l_suppkey::VARCHAR AS gene, l_partkey % 50 AS term FROM lineitem),
+t AS (SELECT m.term, count(*) AS size, count(*) FILTER (WHERE g.is_sig) AS n_sig, round(count(*) FILTER (WHERE g.is_sig) / count(*)::DOUBLE, 9) AS pvalue, string_agg(m.gene, '/' ORDER BY m.gene) FILTER (WHERE g.is_sig) AS genes
+  FROM m JOIN genes g ON m.gene = g.gene GROUP BY m.term)
+SELECT * FROM t ORDER BY pvalue, term LIMIT 10""",
 }
+
+from .graph_oracles import GRAPH  # noqa: E402
+from .result_oracles import RESULT  # noqa: E402
+
+ORACLES |= GRAPH | RESULT

@@ -133,12 +133,6 @@ def collapse_bubbles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.collapse_bubbles(_paths(spark, sf), b.detect_bubbles, ROOT, LEAF, save).select("gene", "tx", _text("nodes").alias("nodes"), part_labels(F.col("parts")).alias("parts"))
 
 
-@query
-def exonic_parts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = intervals.number_parts(intervals.aggregate_genes(intervals.exonic_parts(view(spark, sf, "v_exons")), merge=False))
-    return rows.select("gene", "part", "chrom", "strand", "start", "end", F.size("txs").alias("n_txs"), "gene_start", "gene_end")
-
-
 @query
 def gene_parts(spark: SparkSession, sf: str) -> DataFrame:
     rows = intervals.exonic_parts(view(spark, sf, "v_exons"), ["gene"])
@@ -332,43 +326,6 @@ def event_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.boundaries(_tool_events(spark, sf)).select("gene", "event_id", "etype", "strand", "b1", "b2", "alt_low", "alt_hi")
 
 
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    exons = view(spark, sf, "v_exons").withColumn("gene", F.concat_ws(":", F.col("gene").cast("string"), "chrom", "strand"))
-    # one exon for each transcript and gene, and chains of them by customer-sized groups of transcripts
-    exons = exons.groupBy("gene", (F.col("tx") % 40).alias("tx"), "chrom", "strand", (F.col("start") % 25).alias("slot")).agg(F.min("start").alias("start")).withColumn("end", F.col("start") + 9)
-    first = exons.groupBy("gene", "tx", "chrom", "strand", (F.col("start") / 10).cast("int").alias("decade")).agg(F.min("start").alias("start"))
-    exons = first.select("gene", "tx", "chrom", "strand", (F.col("decade") * 10 + F.col("tx") % 3).cast("int").alias("start"), (F.col("decade") * 10 + 8).cast("int").alias("end"))
-    nodes = graph.build_nodes(exons)
-    return exons, graph.build_edges(exons, nodes)
-
-
-@query
-def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph(spark, sf)[1].select("gene", "a", "b", "kind", "from_pos", "to_pos", F.size("txs").alias("n_txs"))
-
-
-@query
-def graph_parts(spark: SparkSession, sf: str) -> DataFrame:
-    exons, _ = _graph(spark, sf)
-    parts = intervals.exonic_parts(exons, ["gene"]).withColumn("part", F.row_number().over(b.W.partitionBy("gene").orderBy("start")))
-    return graph.part_edges(parts, graph.build_nodes(exons)).select("gene", "a", "b", "part", F.size("txs").alias("n_txs"))
-
-
-@query
-def map_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Exon-skipping events laid over the graphs' own middle exons, mapped back to parts."""
-    exons, edges = _graph(spark, sf)
-    parts = intervals.exonic_parts(exons, ["gene"]).withColumn("part", F.row_number().over(b.W.partitionBy("gene").orderBy("start")))
-    every = edges.union(graph.part_edges(parts, graph.build_nodes(exons)))
-    plus = edges.where("gene like '%+'")
-    before = plus.where("kind = 'in'").select("gene", F.col("b").alias("a"), F.col("from_pos").alias("up"))
-    after = plus.where("kind = 'in'").select("gene", F.col("a").alias("b"), F.col("to_pos").alias("down"))
-    one = plus.where("kind = 'ex'").join(before, ["gene", "a"]).join(after, ["gene", "b"]).groupBy("gene", "a", "b").agg(F.min("from_pos").alias("low"), F.min("to_pos").alias("high"), F.max("up").alias("up"), F.min("down").alias("down"))
-    events = one.select("gene", F.concat_ws("_", F.lit("SE"), "gene", F.col("a").cast("string"), F.col("b").cast("string")).alias("event_id"), F.lit("SE").alias("etype"), F.lit("+").alias("strand"), (F.col("low") - 1).alias("exonStart_0base"), (F.col("high") - 1).alias("exonEnd"), (F.col("up") - 1).alias("upstreamEE"), (F.col("down") - 1).alias("downstreamES"))
-    mapped = mapping.event_parts(mapping.boundaries(events), every)
-    return mapped.select("gene", "event_id", part_labels(F.col("parts")).alias("parts"))
-
-
 def _reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Line items as single-block reads, and parts of 25 days, four to a gene."""
     rows = view(spark, sf, "v_exons")
@@ -387,7 +344,8 @@ def read_counting(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs_of_events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = view(spark, sf, "v_counts").groupBy("gene", F.col("sample").alias("event")).agg(F.collect_set(F.when(F.col("part") <= 3, F.col("part"))).alias("ref"), F.collect_set(F.when(F.col("part") > 3, F.col("part"))).alias("alt"))
+    odd = F.col("cnt") % 3 > 0
+    rows = view(spark, sf, "v_counts").groupBy("gene", F.col("sample").alias("event")).agg(F.collect_set(F.when((F.col("part") <= 3) & odd, F.col("part"))).alias("ref"), F.collect_set(F.when((F.col("part") > 3) & odd, F.col("part"))).alias("alt"))
     return rows.where("event <= 6"), rows.where("event > 6")
 
 
@@ -469,5 +427,12 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def term_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten terms with the smallest share of significant genes, and these genes; terms stand in for tested ones."""
     members = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("gene"), (F.col("l_partkey") % 50).alias("term")).distinct()
-    return members.join(_genes(spark, sf).where("is_sig"), "gene").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("gene")), "/").alias("genes"))
+    genes = _genes(spark, sf)
+    terms = members.join(genes, "gene").groupBy("term").agg(F.count(F.lit(1)).alias("size"), F.count_if("is_sig").alias("n_sig")).withColumn("pvalue", F.round(F.col("n_sig") / F.col("size"), 9))
+    return enrich.significant_members(genes, members, terms, 10)
+
+
+# the queries over graphs, sources and joined results are added to QUERIES where they are written
+from . import graph_queries, result_queries  # noqa: E402, F401

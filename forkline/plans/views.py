@@ -13,6 +13,11 @@ VIEWS = {
 SELECT DISTINCT o.o_custkey AS gene, o.o_orderkey AS tx, CAST(l.l_partkey % 10 + 1 AS INT) AS node FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey
 UNION ALL SELECT DISTINCT o.o_custkey, o.o_orderkey, 0 FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey
 UNION ALL SELECT DISTINCT o.o_custkey, o.o_orderkey, 11 FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey""",
+    "v_chains": """
+SELECT gene, tx, 'c' || CAST(gene % 5 AS STRING) AS chrom, CASE WHEN gene % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  CAST(place + CASE WHEN gene % 2 = 0 THEN a * 10 + 1 ELSE 121 - b * 10 END AS INT) AS start, CAST(place + CASE WHEN gene % 2 = 0 THEN b * 10 ELSE 120 - a * 10 END AS INT) AS "end"
+FROM (SELECT gene, tx, floor(gene / 10) * 90 + floor(gene / 30) * 200 AS place, node AS a, lead(node) OVER (PARTITION BY gene, tx ORDER BY node) AS b,
+  row_number() OVER (PARTITION BY gene, tx ORDER BY node) AS k FROM {v_tx_nodes} WHERE node > 0) w WHERE k % 2 = 1 AND b IS NOT NULL""",
     "v_counts": """
 SELECT l_suppkey AS gene, CAST(l_linenumber AS INT) AS part, CAST(month(l_shipdate) AS INT) AS sample, CASE WHEN month(l_shipdate) <= 6 THEN 'g1' ELSE 'g2' END AS grp,
   CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS cnt FROM {lineitem} GROUP BY l_suppkey, l_linenumber, month(l_shipdate), CASE WHEN month(l_shipdate) <= 6 THEN 'g1' ELSE 'g2' END""",

@@ -21,7 +21,7 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(cells) >= 9))
     names = ("chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attrs")
-    out = rows.select(*(cells[i].alias(n) for i, n in enumerate(names)))
+    out = rows.select(*(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)))
     return out.withColumns({"start": F.col("start").cast("int"), "end": F.col("end").cast("int")})
 
 
@@ -66,9 +66,13 @@ def write_parts(parts: DataFrame, path: str) -> None:
 
 
 def read_counts(spark: SparkSession, root: str) -> DataFrame:
-    """counts(gene, part, sample, grp, cnt) of `<root>/<grp>/<name>_counts.txt`; sample is `<grp>_<name>`, special rows (`_empty`, ...) are left out."""
+    """counts(gene, part, sample, grp, cnt) of `<root>/<grp>/<name>_counts.txt`, files or folders of them; sample is `<grp>_<name>`, special rows (`_empty`, ...) are left out.
+
+    Folders may be named as partitionBy() names them (`grp=<grp>/name=<name>_counts.txt`).
+    """
     rows = spark.read.csv(f"{root}/*/*_counts.txt", sep="\t", schema="id string, cnt long").withColumn("path", F.col("_metadata.file_path"))
-    grp, name = F.regexp_extract("path", r"/([^/]+)/[^/]+_counts\.txt$", 1), F.regexp_extract("path", r"/([^/]+)_counts\.txt$", 1)
+    shape = r"/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)_counts\.txt(?:/[^/]+)?$"
+    grp, name = (F.regexp_extract("path", shape, k) for k in (1, 2))
     rows = rows.where(~F.col("id").startswith("_")).select("*", grp.alias("grp"), F.concat_ws("_", grp, name).alias("sample"))
     return rows.select(F.substring_index("id", ":", 1).alias("gene"), F.regexp_replace(F.substring_index("id", ":", -1), "^E", "").cast("int").alias("part"), "sample", "grp", "cnt")
 
@@ -108,9 +112,11 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("@"))
     nh = F.regexp_extract("value", r"\tNH:i:(\d+)", 1)
+    # header lines are shorter, and filters on the cells may run before the one on the line
+    cell = lambda i: F.get(cells, F.lit(i))
     return rows.select(
-        cells[0].alias("read"), cells[1].cast("int").alias("flag"), cells[2].alias("chrom"), cells[3].cast("int").alias("pos"),
-        cells[4].cast("int").alias("mapq"), cells[5].alias("cigar"), F.when(nh != "", nh.cast("int")).alias("nh"),
+        cell(0).alias("read"), cell(1).try_cast("int").alias("flag"), cell(2).alias("chrom"), cell(3).try_cast("int").alias("pos"),
+        cell(4).try_cast("int").alias("mapq"), cell(5).alias("cigar"), F.when(nh != "", nh.cast("int")).alias("nh"),
     )
 
 

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the folder of SparkContext.setCheckpointDir(); where neither is set, a new one on a local master and an error on a cluster."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="forkline-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write `df` under spark.checkpoint.dir and read it back, so that neither rounds nor repeated use run its lineage again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """Write `df` in the shared folder and read it back, so that neither rounds nor repeated use run its lineage again."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

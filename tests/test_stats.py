@@ -244,9 +244,20 @@ def test_event_mapping(spark):
     assert [tuple(r) for r in mapping.coverage(mapped).collect()] == [("SE", 2, 1)]
     assert [tuple(r) for r in mapping.part_to_events(mapped).collect()] == [("g", 2, "SE_1")]
     assert [tuple(r) for r in mapping.event_to_parts(mapped).collect()] == [("g", "SE_1", "E002")]
-    found = spark.createDataFrame([("g", 1, [2], None, [1], 201, 501), ("g", 2, [2], None, [1], 1, 2)], "gene string, event int, diff1 array<int>, diff2 array<int>, ref array<int>, src_pos int, snk_pos int")
-    where = spark.createDataFrame([("g", 2, 301, 401)], "gene string, part int, low int, high int")
-    assert {(r.event_id, r.event, r.side) for r in mapping.match_splits(bounded, found, where).collect()} == {("SE_1", 1, 1), ("SE_2", 1, 1)}
+    schema = "gene string, event int, diff1 array<int>, diff2 array<int>, ref array<int>, src_pos int, snk_pos int, pos1 array<int>, pos2 array<int>"
+    where = spark.createDataFrame([("g", 1, 100, 201), ("g", 2, 301, 401), ("g", 3, 501, 601)], "gene string, part int, low int, high int")
+    one, other, inside = [201, 301, 401, 501], [201, 501], [201, 301, 501]
+
+    def matched(*rows):
+        return {(r.event_id, r.event, r.side) for r in mapping.match_splits(bounded, spark.createDataFrame(list(rows), schema), where).collect()}
+
+    # a boundary that no reference part ends at is no match; a single match stays whatever its source and sink
+    assert matched(("g", 7, [2], None, [1, 3], 1, 2, one, other)) == {("SE_1", 7, 1)}
+    assert matched(("g", 7, [2], None, [1], 201, 501, one, other)) == set()
+    # several: source and sink first, then the side that alone has the exon's ends, then the first
+    assert matched(("g", 1, [2], None, [1, 3], 1, 2, one, other), ("g", 2, None, [2], [1, 3], 201, 501, other, one)) == {("SE_1", 2, 2)}
+    assert matched(("g", 1, [2], None, [1, 3], 201, 501, one, inside), ("g", 2, [2], None, [1, 3], 201, 501, one, other)) == {("SE_1", 2, 1)}
+    assert matched(("g", 1, [2], None, [1, 3], 1, 2, one, other), ("g", 2, [2], None, [1, 3], 1, 2, one, other)) == set()
 
 
 def test_crosswalks_and_sets(spark):
