@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: The white space of every contract: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 #: Stands for a missing doc_id where ids are compared or ordered; missing ids count as one document, below all others.
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="forkline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def store(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no rework before it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -15,7 +15,8 @@ from .components import components
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
-MOST_RULES = 256
+#: Up to as many rules are written into the plan as one expression; more are joined, with the same result.
+INLINE_RULES = 256
 
 
 def host_of(url: Column) -> Column:
@@ -30,8 +31,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """struct(rule, verdict) of the longest rule (host and path together, then host) that fits, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
 
     def fits(rule: Rule) -> Column:
         return ((host == rule[1]) | host.endswith("." + rule[1])) & path.startswith(rule[2])
@@ -45,6 +44,33 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return reduce(lambda chain, r: F.when(fits(r), value(r)).otherwise(chain), reversed(ordered), nothing)
 
 
+def joined_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """`rows` (host, path, ...) with `own` as rule_of() gives it, for any number of rules (verdict, host, path).
+
+    Each distinct host and path looks for its host's endings among the rules' hosts, then for its path's beginnings of
+    the lengths that such a host's rules have: equal-key joins in which a url meets each rule once.
+    """
+    named = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("verdict"))  # allow goes first
+    lengths = named.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(endings).alias("rule_host")).join(lengths, "rule_host")
+    asked = asked.select("host", "path", "rule_host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).withColumn("rule_path", F.substr("path", F.lit(1), F.col("n")))
+    fits = asked.join(named, ["rule_host", "rule_path"])
+    value = F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict")
+    best = fits.groupBy("host", "path").agg(F.max_by(value, F.struct(F.length("rule_host") + F.col("n"), F.length("rule_host"))).alias("own"))
+    return rows.join(best, ["host", "path"], "left")
+
+
+def with_rules(rows: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """`rows` (host, path, ...) with `own`, the rule that decides each and its verdict, or null."""
+    if isinstance(rules, DataFrame):
+        return joined_rules(rows, rules)
+    if len(rules) > INLINE_RULES:
+        return joined_rules(rows, rows.sparkSession.createDataFrame(rules, "verdict string, host string, path string"))
+    return rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+
+
 def node_of(url: Column) -> Column:
     """A url as a node of the links: &amp; decoded, the fragment cut, scheme and host with A-Z in lower case, / for an empty path."""
     plain = F.regexp_replace(F.regexp_replace(url, "(?i)&(?:amp|#38|#x26);", "&"), r"(?s)#.*$", "")
@@ -98,25 +124,24 @@ def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return named.select("a", resolve(F.col("a"), F.col("target")).alias("b")).where("b is not null and a <> b")
 
 
-def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict): one row for each row of `pages` (page_id, url, html, ...).
 
-    A rule fits its host and all subdomains if the url's path starts with the rule's; the longest wins and decides.
+    `rules` is a list, or a table (verdict, host, path) of any size. A rule fits its host and all subdomains if the url's path starts with the rule's; the longest wins and decides.
     Urls without a rule take the decision of their component over canonical links, refresh redirects and `redirects`
     (a, b: urls; optional): allow if a member is allowed by a rule, else block if a member is blocked, else allow.
     Urls that differ in the case of scheme and host, in &amp; or in the fragment only are one node. A null url, or one without ://, has an empty host and path, no rule and the
     verdict allow. Nulls in other columns, repeated rows and further columns are harmless.
     """
     url = F.col("url")
-    own = rule_of(host_of(url), path_of(url), rules)
-    rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), own.alias("own"))
+    rows = with_rules(pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path")), rules)
     edges = alias_links(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("a")), node_of(F.col("b"))))
     nodes = components(store(edges.distinct(), "aliases"))
     # targets need not be pages themselves, so rules judge the nodes; a hub's aliases are aggregated before the shuffle
     node = F.col("node")
-    decided = nodes.withColumn("own", rule_of(host_of(node), path_of(node), rules))
+    decided = with_rules(nodes.select("root", host_of(node).alias("host"), path_of(node).alias("path")), rules)
     verdicts = decided.groupBy("root").agg(F.bool_or(F.col("own.verdict") == "allow").alias("allowed"), F.bool_or(F.col("own.verdict") == "block").alias("blocked"))
     blocked = nodes.join(verdicts.where("blocked and not coalesce(allowed, false)"), "root").select("node", F.lit("block").alias("inherited"))
     judged = rows.join(blocked, node_of(rows.url) == blocked.node, "left")

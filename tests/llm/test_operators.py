@@ -659,3 +659,39 @@ def test_url_filter_resolves_targets(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge(df, [("block", "b.net", "/es/")]).collect()}
     assert got == {i: "allow" if i in (21, 22, 24) else "block" for i, _, _ in pages}
+
+
+def test_url_filter_with_many_rules(spark):
+    """More rules than are written into the plan, and a table of rules, against a plain search."""
+    rng = random.Random(8)
+    hosts = ["com", "b.com", "a.b.com", "xb.com", "", "c.", "net", "é.net"]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), "/" + "".join(rng.choices("ab/", k=rng.randint(0, 5)))) for _ in range(400)]
+    rules += [("block", "com", ""), ("allow", "com", ""), ("allow", "net", "/" + "a" * 5000)]
+    urls = [f"http://{rng.choice(['', 'x.', 'b.'])}{rng.choice(hosts)}/{''.join(rng.choices('ab/', k=rng.randint(0, 7)))}?q" for _ in range(300)]
+    urls += [None, "", "no scheme", "http://", "http://net/" + "a" * 6000, *urls[:20]]
+
+    def expected(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = m.groups() if m else ("", "")
+        fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = min(fit, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "allow"), default=None)
+        return (best[1] + best[2], best[0]) if best else (None, "allow")
+
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    want = {i: expected(u) for i, u in enumerate(urls)}
+    assert len(rules) > url_filter.INLINE_RULES
+    for given in (rules, spark.createDataFrame(rules, "verdict string, host string, path string")):
+        rows = url_filter.judge(pages, given).collect()
+        assert len(rows) == len(urls)
+        assert {r.page_id: (r.rule, r.verdict) for r in rows} == want
+    assert url_filter.judge(pages, spark.createDataFrame([], "verdict string, host string, path string")).where("rule is not null or verdict <> 'allow'").count() == 0
+
+
+def test_scratch_folder_on_a_cluster_must_be_named(spark):
+    from types import SimpleNamespace
+
+    from forkline.llm.common import shared_dir
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(unset)
