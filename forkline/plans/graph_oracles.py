@@ -111,7 +111,6 @@ SELECT n.gene, n.tx, array_to_string(n.nodes, ',') AS nodes, {_labels('s.parts')
 t AS (SELECT gene, a AS node, 1 AS t FROM gd WHERE kind = 'ex' UNION ALL SELECT gene, b, 2 FROM gd WHERE kind = 'ex')
 SELECT gene, node, max(t)::INT AS type, min(t) <> max(t) AS conflict FROM t GROUP BY gene, node UNION ALL SELECT gene, 0, 0, false FROM gl UNION ALL SELECT gene, leaf, 0, false FROM gl""",
     "graph_node_paths": _G + """,
-n AS (SELECT gene, tx, string_agg(DISTINCT node::VARCHAR, ',' ORDER BY node) AS nodes FROM (SELECT gene, tx, unnest([a, b]) AS node FROM ge WHERE kind IN ('ex', 'in')) GROUP BY gene, tx),
 m AS (SELECT gene, tx, list(DISTINCT node ORDER BY node) AS nodes FROM (SELECT gene, tx, unnest([a, b]) AS node FROM ge WHERE kind = 'in' UNION ALL SELECT k.gene, t.tx, unnest([k.a, k.b]) FROM gk k JOIN gt t ON t.gene = k.gene AND t.part = k.part) GROUP BY gene, tx)
 SELECT m.gene, m.tx, w.nodes, array_to_string(m.nodes, ',') AS part_nodes FROM m JOIN (SELECT gene, tx, array_to_string(list(DISTINCT node ORDER BY node), ',') AS nodes FROM (SELECT gene, tx, unnest([a, b]) AS node FROM ge WHERE kind IN ('ex', 'in')) GROUP BY gene, tx) w ON w.gene = m.gene AND w.tx = m.tx""",
     "walk_edges": _G + "," + _WALK + " SELECT gene, path_id, pos, a, b, kind FROM wk",

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import part_labels
 from ..operators import compare, enrich, mapping, splits, stats
-from .queries import _bubbles, _genes, _phi, _pruned, _text, _two_tools, query
+from .queries import MAX_SINGLE, _bubbles, _genes, _phi, _pruned, _text, _two_tools, query
 from .views import view
 
-MAX_SINGLE = 20
-
-
 def _part_table(spark: SparkSession, sf: str) -> DataFrame:
     """One result for each gene and part: the smallest p-value of the events that have the number."""
     return view(spark, sf, "v_results").where("event <> 2").groupBy("gene", "part").agg(F.round(F.min("pvalue"), 9).alias("part_p"))
