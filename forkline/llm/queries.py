@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the thirteen operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, suffix_tree_lm, token_count, url_filter
+from . import decontaminate, exact_dedup, host_rules, license_scan, line_dedup, mixing, prefix_trie, quality, simhash, spelling, suffix_tree_lm, token_count, url_filter
 from .common import read_table, store
 
 #: Rules of the URL filter: verdict, host, path.
@@ -64,4 +64,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_suffix_tree_lm, op4_mixing, op5_simhash, op6_license_scan, op7_quality, op8_decontamination, op9_exact_dedup, op10_url_filter)}
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge(read_table(spark, sf_dir, "documents"), "source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failures", "host_rejected", F.array_join("strict_rules", ",").alias("strict_rules"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+_FUNCTIONS = (
+    op1_line_dedup, op2_token_counts, op3_suffix_tree_lm, op4_mixing, op5_simhash, op6_license_scan, op7_quality, op8_decontamination, op9_exact_dedup, op10_url_filter, op11_host_rules, op12_spelling_variants, op13_prefix_trie,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
