@@ -90,4 +90,76 @@ ordered AS (SELECT r.*, p.whole, p.rest, sum(r.n_tokens) OVER (PARTITION BY r.do
   FROM rows_ r JOIN plan p ON r.domain = p.domain AND r.lang = p.lang AND r.source = p.source)
 SELECT doc_id, lang, source, n_tokens, domain, unnest(range(0, (whole + CASE WHEN rest > 0 AND running <= rest THEN 1 ELSE 0 END)::BIGINT))::INTEGER AS epoch FROM ordered"""
 
-ORACLES = {"op1_line_dedup": OP1, "op4_mixing": OP4, "op8_decontamination": OP8, "op9_exact_dedup": OP9, "op10_url_filter": OP10}
+
+def _moment_rate(f: str, n: str) -> str:
+    return f"({f} * alike + (1 - alike) * mean) / ({n} * alike + (1 - alike))"
+
+
+OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1)::BIGINT)) AS i FROM t)),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS again FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+m AS (SELECT t.r, doc_id, host, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(lines.again, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines FROM t LEFT JOIN lines ON t.r = lines.r LEFT JOIN covered ON t.r = covered.r),
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols,
+  word_chars < 3 * n_words OR word_chars > 10 * n_words AS word_length, 10 * n_dup_lines > 3 * n_lines AS lines FROM m),
+each AS (SELECT r, host, unnest(['short', 'repeats', 'symbols', 'word_length', 'lines', 'any']) AS rule, unnest([short, repeats, symbols, word_length, lines, short OR repeats OR symbols OR word_length OR lines]) AS failed FROM f),
+sums AS (SELECT host, rule, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE failed))::DOUBLE AS bad FROM each GROUP BY host, rule),
+moments AS (SELECT rule, sum(bad) / sum(n) AS mean, sum(bad * bad / n) - sum(bad) / sum(n) * sum(bad) AS spread, count(*) - 1 AS free, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM sums GROUP BY rule),
+priors AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND room > 0 THEN greatest(0.0, least(1.0, (spread / (mean * (1 - mean)) - free) / room)) ELSE 0.0 END AS alike FROM moments),
+rates AS (SELECT host, s.rule, n, bad, {_moment_rate("bad", "n")} AS rate FROM sums s JOIN priors p ON s.rule = p.rule),
+hosts AS (SELECT host, max(n)::BIGINT AS host_docs, (max(bad) FILTER (WHERE rule = 'any'))::BIGINT AS host_failures, bool_or(rule = 'any' AND rate >= 0.5) AS host_rejected,
+  coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (WHERE rule <> 'any' AND rate >= 0.2), '') AS strict_rules FROM rates GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, host_docs, host_failures, host_rejected, strict_rules,
+  NOT (short OR repeats) AND NOT host_rejected AND NOT (symbols AND contains(strict_rules, 'symbols')) AND NOT (word_length AND contains(strict_rules, 'word_length')) AND NOT (lines AND contains(strict_rules, 'lines')) AS kept
+FROM f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host"""
+
+#: The 256 remainders of crc32, and the unsigned crc32 of a text's UTF-8 bytes.
+_CRC_TABLE = "table_ AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b))"
+
+
+def _crc(text: str) -> str:
+    h = f"hex(encode({text}))"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({h}), 2), lambda i: ('0x' || substr({h}, (i + 1)::BIGINT, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, table_.crc[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY doc_id, run),
+hashed AS (SELECT run, k, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, table_ WHERE length(run) >= 5),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN words y ON x.a || x.b = y.word),
+best AS (SELECT word, count(DISTINCT other) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.root = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN forms ON walk.root = forms.word WHERE forms.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word"""
+
+OP13 = f"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS said,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
+lengths AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+plan AS (SELECT l.c, l.h, l.c - l.c % 20 AS source, least(l.h, coalesce(s.n, 0)) AS taken FROM (SELECT c, {_crc("c::VARCHAR")} % 4 AS h FROM lengths, table_) l LEFT JOIN lengths s ON l.c - l.c % 20 = s.c),
+rebuilt AS (
+  SELECT t.c, t.i - p.h + p.taken AS d, said, words FROM turns t JOIN plan p ON t.c = p.c WHERE t.i > p.h
+  UNION ALL SELECT p.c, t.i, said, words FROM turns t JOIN plan p ON t.c = p.source WHERE t.i <= p.taken),
+paths AS (
+  SELECT c, d, words, md5(string_agg(said, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS key FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM plan),
+known AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS above, lead(key) OVER (PARTITION BY c ORDER BY d) IS NULL AS is_end FROM paths),
+nodes AS (SELECT d, key, min(above) AS above, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE is_end) AS ends FROM known GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT n.*, coalesce(k.n, 0) AS n_children, (n.n_convs - 1) * n.words AS saved FROM nodes n LEFT JOIN kids k ON n.d = k.d AND n.key = k.key),
+totals AS (SELECT p.d, p.key, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, sum(o.saved)::BIGINT AS saved_tokens FROM own o JOIN paths p ON p.c = o.conv_id AND p.d <= o.d GROUP BY p.d, p.key)
+SELECT o.conv_id, o.d::BIGINT AS depth, a.conv_id AS parent_conv_id, o.n_convs, o.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM own o JOIN totals t ON o.d = t.d AND o.key = t.key LEFT JOIN own a ON a.d = o.d - 1 AND a.key = o.above"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_mixing": OP4, "op8_decontamination": OP8, "op9_exact_dedup": OP9, "op10_url_filter": OP10, "op11_host_rules": OP11, "op12_spelling_variants": OP12, "op13_prefix_trie": OP13}
