@@ -4,7 +4,7 @@ All sequences are cut at half of the depth. Sequences with the same first half g
 conversation that has it; the first halves, one for each name, are the upper trie, and the second halves are forests that
 grow from the names. Both are cut again, all of them in the same jobs, until a piece is one turn deep. On the way back the totals
 of the forests are grafted on the names they grow from and on what lies above these in the piece. A level takes a
-fixed number of joins and sums, and there are as many levels as the logarithm of the longest conversation.
+fixed number of joins and sums, and there are as many levels as the logarithm of the longest conversation; a level reads only what reaches its cuts.
 
 A sequence is a set of rows, one for each turn, and never an array; a part of a sequence is told by 128 bits that rows add up to in any order.
 """
@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
 from .common import partitions, store
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -119,46 +121,62 @@ def _classes(turns: DataFrame, everyone: DataFrame) -> DataFrame:
     return store(classes.join(digests, "key").select(F.col("key").alias("conv"), "last", "w", "sha"), "classes")
 
 
+def _level(turns: Column) -> Column:
+    """The largest k with 2^k <= `turns`."""
+    return (F.length(F.bin(turns)) - 1).cast("int")
+
+
+def _stored_by(rows: DataFrame, label: str) -> DataFrame:
+    """A stored table with a folder for each value of `level`, so that a level reads its own rows only."""
+    path = new_path(rows.sparkSession, label)
+    rows.write.partitionBy("level").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(rows.columns)
+
+
+def _of_level(tables: list[DataFrame], level: int) -> DataFrame:
+    rows = [t.where(F.col("level") == level).drop("level") for t in tables]
+    return reduce(DataFrame.union, rows)
+
+
 def _cut(strands: DataFrame, half: int) -> DataFrame:
     """One level down: pieces that begin at `base` are cut `half` turns on.
 
     strands (conv, depth, x, y, words, base, root, last, w): the turns of one conversation for each beginning of a piece that is
-    told apart so far; `root` is the name of what comes before the piece, `last` where the strand ends, `w` how many conversations it stands for.
+    told apart so far, of strands that reach the cut; `root` is the name of what comes before the piece, `last` where the strand ends, `w` how many
+    conversations it stands for. Returns them with the level at which each is to be cut next.
     """
     middle = F.col("base") + half
     # those that end at the cut belong to its name, but nothing of theirs goes below
-    reach = strands.where((F.col("last") >= middle) & (F.col("depth") <= middle))
-    slices = store(reach.groupBy("base", "root", "conv", "last", "w").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "slices")
+    slices = store(strands.where(F.col("depth") <= middle).groupBy("base", "root", "conv", "last", "w").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "slices")
     named = slices.groupBy("base", "root", "x", "y").agg(F.min("conv").alias("name"), F.sum(F.when(F.col("last") > middle, F.col("w")).otherwise(0)).alias("below"))
     names = slices.join(named, ["base", "root", "x", "y"]).select(F.col("base").alias("b"), F.col("conv").alias("c"), "name", "below")
-    met = strands.join(names, (F.col("base") == F.col("b")) & (F.col("conv") == F.col("c")), "left")
+    met = strands.join(names, (F.col("base") == F.col("b")) & (F.col("conv") == F.col("c")))
     through, mine = F.col("last") > middle, F.col("name") == F.col("conv")
     lower, upper = through & (F.col("depth") > middle), through & (F.col("depth") <= middle)
     ended = F.col("last") == middle
     weight = F.when(upper, F.col("below")).when(ended & mine, F.col("w") + F.col("below")).otherwise(F.col("w"))
-    return met.where(~upper | mine).select(
+    cut = met.where(~upper | mine).select(
         "conv", "depth", "x", "y", "words", F.when(lower, middle).otherwise(F.col("base")).alias("base"), F.when(lower, F.col("name")).otherwise(F.col("root")).alias("root"),
         F.when(upper, middle).otherwise(F.col("last")).alias("last"), weight.alias("w"),
     )
+    return cut.withColumn("level", F.least(_level(F.col("last") - F.col("base")), _level(F.lit(half)) - 1))
 
 
-def _graft(nodes: DataFrame, spines: DataFrame, half: int) -> tuple[DataFrame, DataFrame]:
+def _graft(tops: DataFrame, spines: DataFrame, half: int) -> tuple[DataFrame, DataFrame]:
     """One level up: totals of the forests below a cut go to the names they grow from and to all above these in the piece.
 
-    nodes (conv, depth, parent, leaves, tokens): sums over each node's subtree within its piece of `half` turns.
-    spines (conv, depth, above): for each node at the lower end of such a piece, itself and what lies above it in the piece, by depth and conversation.
+    tops (depth, parent, leaves, tokens): what the uppermost nodes of the forests have in their subtrees, within pieces of `half` turns.
+    spines (conv, depth, above): for each node at the lower end of such a piece, itself and what lies above it in the piece. Returns what is added to
+    nodes, and the spines of pieces of twice the size.
     """
+    forests = tops.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("conv")).agg(F.sum("leaves").alias("leaves"), F.sum("tokens").alias("tokens"))
     whole = 2 * half
-    tops = nodes.where((F.col("depth") - 1) % whole == half)
-    forests = tops.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("conv")).agg(F.sum("leaves").alias("l"), F.sum("tokens").alias("t"))
-    upper = spines.where(F.col("depth") % whole == half)
-    added = upper.join(forests, ["conv", "depth"]).groupBy(F.col("above.depth").alias("depth"), F.col("above.conv").alias("conv")).agg(F.sum("l").alias("l"), F.sum("t").alias("t"))
-    grown = nodes.join(added, ["conv", "depth"], "left").select("conv", "depth", "parent", (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves"), (F.col("tokens") + F.coalesce("t", F.lit(0))).alias("tokens"))
-    lower = spines.where(F.col("depth") % whole == 0)
+    upper, lower = (spines.where(F.col("depth") % whole == r) for r in (half, 0))
+    added = upper.join(forests, ["conv", "depth"]).groupBy("above").agg(F.sum("leaves").alias("leaves"), F.sum("tokens").alias("tokens")).select("above.conv", "above.depth", "above.parent", "leaves", "tokens")
     # the node at the cut that each lower spine grows from
     feet = lower.where((F.col("above.depth") - 1) % whole == half).select("conv", "depth", F.col("above.parent").alias("foot"))
     over = upper.select(F.col("conv").alias("foot"), (F.col("depth") + half).alias("depth"), "above")
-    return grown, lower.union(feet.join(over, ["foot", "depth"]).select("conv", "depth", "above"))
+    return added, lower.union(feet.join(over, ["foot", "depth"]).select("conv", "depth", "above"))
 
 
 def prefix_trie(conversations: DataFrame, family: int = 20, most: int = 4) -> DataFrame:
@@ -177,20 +195,27 @@ def prefix_trie(conversations: DataFrame, family: int = 20, most: int = 4) -> Da
     levels = max(0, int(size.deep or 0) - 1).bit_length()
     ends = classes.select("conv", "last", "w")
     # of equal sequences one goes down
-    strands = store(marked.join(ends, "conv").select("conv", "depth", "x", "y", "words", F.lit(0).cast("long").alias("base"), F.lit(size.least).cast("long").alias("root"), "last", "w"), "strands")
+    strands = marked.join(ends, "conv").select("conv", "depth", "x", "y", "words", F.lit(0).cast("long").alias("base"), F.lit(size.least).cast("long").alias("root"), "last", "w")
+    waiting = [_stored_by(strands.withColumn("level", F.least(_level(F.col("last")), F.lit(levels - 1))), "strands")]
     for k in reversed(range(levels)):
-        strands = store(_cut(strands, 1 << k), "strands")
+        # a strand waits until a cut reaches it
+        waiting.append(_stored_by(_cut(_of_level(waiting, k), 1 << k), "strands"))
+    strands = _of_level(waiting, -1)
     sha = classes.select("conv", F.col("last").alias("depth"), "sha")
     met = strands.join(sha, ["conv", "depth"], "left")
     found = store(met.groupBy(F.col("depth"), F.col("root").alias("parent"), "x", "y").agg(F.min("conv").alias("conv"), F.sum("w").alias("n_convs"), F.max("words").alias("words"), F.max("sha").alias("sha")), "nodes")
     children = found.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("conv")).agg(F.count(F.lit(1)).alias("n_children"))
     known = store(found.join(children, ["conv", "depth"], "left").select("conv", "depth", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved"), "sha"), "nodes")
-    totals = known.select("conv", "depth", "parent", (F.col("n_children") == 0).cast("long").alias("leaves"), F.col("saved").alias("tokens"))
+    # a node's sums are needed at one level: that of the forest in which it is uppermost
+    level = F.when(F.col("depth") > 1, _level((F.col("depth") - 1).bitwiseAND(1 - F.col("depth")))).otherwise(-1).alias("level")
+    own = known.select("conv", "depth", "parent", (F.col("n_children") == 0).cast("long").alias("leaves"), F.col("saved").alias("tokens"), level)
+    parts = [_stored_by(own, "totals")]
     spines = known.select("conv", "depth", F.struct("depth", "conv", "parent").alias("above"))
     for k in range(levels):
-        grown, longer = _graft(totals, spines, 1 << k)
-        totals = store(grown, "totals")
+        added, longer = _graft(_of_level(parts, k), spines, 1 << k)
+        parts.append(_stored_by(added.select("*", level), "totals"))
         spines = store(longer, "spines") if k < levels - 1 else longer
+    totals = store(reduce(DataFrame.union, parts).groupBy("conv", "depth").agg(F.sum("leaves").alias("leaves"), F.sum("tokens").alias("tokens")), "totals")
     sums = totals.select("conv", "depth", "leaves", "tokens")
     nothing = hashlib.sha256(b"").hexdigest()
     below = known.join(sums, ["conv", "depth"]).select(
