@@ -91,7 +91,7 @@ def simple_paths(edges: DataFrame, src: int, snk: int, max_steps: int, save: Cal
     """(gene, path array<int>): all paths from src to snk over edges(gene, a, b) of directed acyclic graphs with a < b.
 
     Partial paths grow by one edge a round, all genes together, until none is open; max_steps must be at least the
-    number of nodes less one. `save` cuts lineage after each round.
+    number of nodes less one: paths that are still open then are an error. `save` cuts lineage after each round.
     """
     steps = save(edges.select("gene", "a", "b").distinct(), "steps")
     front = steps.where(F.col("a") == src).select("gene", F.array("a", "b").alias("path"))
@@ -102,6 +102,8 @@ def simple_paths(edges: DataFrame, src: int, snk: int, max_steps: int, save: Cal
         done = here if done is None else done.union(here)
         open_ = front.where(F.element_at("path", -1) < snk).withColumn("a", F.element_at("path", -1))
         front = open_.join(steps, ["gene", "a"]).select("gene", F.concat("path", F.array("b")).alias("path"))
+    if not front.isEmpty():
+        raise ValueError(f"some paths take more than {max_steps} steps")
     return done
 
 

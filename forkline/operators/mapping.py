@@ -56,25 +56,53 @@ def coverage(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("etype").agg(F.count(F.lit(1)).alias("n_events"), F.count("parts").alias("n_mapped"))
 
 
+def placed_splits(splits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Splits (gene, event, src, snk, groups, ref) of any kind in the form of match_splits(): the first two groups as diff1 and diff2, and the positions of source, sink and paths.
+
+    nodes (gene, node, position). pos1 has the positions on the paths of the first group, pos2 those on the paths of all others. The root and the leaf have none.
+    """
+    at = nodes.where("position is not null").groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("node", "position"))).alias("at"))  # a gene's nodes
+    place = lambda node: F.try_element_at("at", node)
+    on = lambda groups: F.array_compact(F.array_distinct(F.transform(F.concat(F.array("src", "snk"), F.flatten(F.flatten(F.transform(groups, lambda g: g["paths"])))), place)))
+    rest = F.slice("groups", 2, F.greatest(F.size("groups") - 1, F.lit(0)))
+    rows = two_sided(splits.join(at, "gene").withColumns({"src_pos": place(F.col("src")), "snk_pos": place(F.col("snk")), "pos1": on(F.slice("groups", 1, 1)), "pos2": on(rest)}))
+    return rows.select("gene", "event", "src_pos", "snk_pos", "diff1", "diff2", "ref", "pos1", "pos2")
+
+
+def step_positions(nodes: DataFrame) -> DataFrame:
+    """(gene, part, low, high): where the unit step from each node to the next one of its gene lies."""
+    following = nodes.where("position is not null").select("gene", (F.col("node") - 1).alias("node"), F.col("position").alias("further"))
+    return nodes.join(following, ["gene", "node"]).where("position is not null").select("gene", F.col("node").alias("part"), F.least("position", "further").alias("low"), F.greatest("position", "further").alias("high"))
+
+
 def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) -> DataFrame:
     """Events matched to splits by where the distinguishing parts begin and end.
 
     splits (gene, event, src_pos, snk_pos, diff1, diff2, ref, and pos1, pos2: arrays of the positions of each side's
-    paths), positions (gene, part, low, high). A split's side matches if its parts reach from alt_low to alt_hi, and
-    reference parts end at the flanking boundary: b1 for A3SS, b2 for A5SS, both for SE; for RI none is asked. Where
+    paths), positions (gene, part, low, high). A split's side matches if its parts reach from alt_low to alt_hi, and the
+    reference parts have the flanks: the lowest of them ends at a boundary below the alternative region, the highest begins at one above it (SE: both; A3SS, A5SS: the
+    constant exon's); for RI they begin and end with the whole exon, where its riExonStart_0base and riExonEnd are given. Where
     several splits match, only those stay whose source and sink are the event's boundaries (for RI upstreamES and downstreamEE, where given); of several of these, those
     where one side's paths have the event's own sites (both ends of an SE, else of the longer form) and the other's have
-    none; then the first event. Returns gene, event_id, etype, event, side, parts, ref.
+    none; then the first event. Returns gene, event_id, etype, event, side, parts, ref, and diffs, the parts of both sides.
     """
-    sides = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), "pos1", "pos2", "ref", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("diff1").alias("parts")), F.struct(F.lit(2).alias("side"), F.col("diff2").alias("parts")))))
+    sides = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), "pos1", "pos2", "ref", F.array_sort(F.array_union(F.coalesce("diff1", F.array().cast("array<int>")), F.coalesce("diff2", F.array().cast("array<int>")))).alias("diffs"), F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("diff1").alias("parts")), F.struct(F.lit(2).alias("side"), F.col("diff2").alias("parts")))))
     sides = sides.where("size(parts) > 0")
     reach = sides.select("gene", "event", "side", F.explode("parts").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event", "side").agg(F.min("low").alias("alt_low"), F.max("high").alias("alt_hi"))
-    touched = splits.select("gene", "event", F.explode("ref").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("flanks"))
-    placed = sides.join(reach, ["gene", "event", "side"]).join(touched, ["gene", "event"], "left")
-    outer = lambda name, b: F.coalesce(F.when(F.col("etype") == "RI", F.col(name).cast("int") + 1), b) if name in bounded.columns else F.col(b)
-    e = bounded.where("b1 is not null and b2 is not null").select("gene", "event_id", "etype", "strand", "b1", "b2", outer("upstreamES", "b1").alias("e1"), outer("downstreamEE", "b2").alias("e2"), "alt_low", "alt_hi")
-    wanted = F.when(F.col("etype") == "SE", F.array("b1", "b2")).when(F.col("etype") == "A3SS", F.array("b1")).when(F.col("etype") == "A5SS", F.array("b2")).otherwise(F.array().cast("array<int>"))
-    met = e.join(placed, ["gene", "alt_low", "alt_hi"]).where(F.size(F.array_except(wanted, F.coalesce("flanks", F.array().cast("array<int>")))) == 0)
+    span = F.struct("low", "high")
+    flanks = splits.select("gene", "event", F.explode("ref").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event").agg(F.min(span).alias("first"), F.max(span).alias("last"))
+    placed = sides.join(reach, ["gene", "event", "side"]).join(flanks, ["gene", "event"], "left")
+    given = lambda name: F.when(F.col("etype") == "RI", F.col(name).cast("int") + 1) if name in bounded.columns else F.lit(None).cast("int")
+    e = bounded.where("b1 is not null and b2 is not null").select(
+        "gene", "event_id", "etype", "strand", "b1", "b2", F.coalesce(given("upstreamES"), "b1").alias("e1"), F.coalesce(given("downstreamEE"), "b2").alias("e2"), "alt_low", "alt_hi", given("riExonStart_0base").alias("r1"), given("riExonEnd").alias("r2")
+    )
+    plus = F.col("strand") == "+"
+    below, above = F.col("first.high"), F.col("last.low")
+    flanked = (
+        F.when(F.col("etype") == "SE", (below == F.col("b1")) & (above == F.col("b2"))).when(F.col("etype") == "A3SS", F.when(plus, below).otherwise(above) == F.col("b1"))
+        .when(F.col("etype") == "A5SS", F.when(plus, above).otherwise(below) == F.col("b2")).when(F.col("r1").isNotNull() & F.col("r2").isNotNull(), (F.col("first.low") == F.col("r1")) & (F.col("last.high") == F.col("r2"))).otherwise(True)
+    )
+    met = e.join(placed, ["gene", "alt_low", "alt_hi"]).where(flanked)
     exact = F.size(F.array_except("ends", F.array("e1", "e2"))) == 0
     low_is_long = (F.col("etype") == "A3SS") == (F.col("strand") == "+")
     own = F.when(F.col("etype").isin("SE", "RI"), F.array("alt_low", "alt_hi")).otherwise(F.array(F.when(low_is_long, F.col("alt_low")).otherwise(F.col("alt_hi"))))
@@ -84,7 +112,15 @@ def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) ->
     group = W.partitionBy("gene", "event_id")
     several = lambda rows: rows.withColumn("n", F.size(F.collect_set("event").over(group)))
     met = several(several(met).where((F.col("n") == 1) | exact)).where((F.col("n") == 1) | apart)
-    return met.withColumn("k", F.row_number().over(group.orderBy("event", "side"))).where("k = 1").select("gene", "event_id", "etype", "event", "side", "parts", "ref")
+    return met.withColumn("k", F.row_number().over(group.orderBy("event", "side"))).where("k = 1").select("gene", "event_id", "etype", "event", "side", "parts", "ref", "diffs")
+
+
+def split_maps(matched: DataFrame) -> DataFrame:
+    """(gene, part, etype, event_ids, ref_event_ids): for each part the matched events that it tells apart, and those that it is a reference of, joined in order; one of the two may be null."""
+    each = matched.select("gene", "etype", "event_id", F.inline(F.array(F.struct(F.lit(False).alias("is_ref"), F.col("diffs").alias("numbers")), F.struct(F.lit(True).alias("is_ref"), F.col("ref").alias("numbers")))))
+    rows = each.select("gene", "etype", "event_id", "is_ref", F.explode("numbers").alias("part"))
+    joined = lambda ref: F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_ref") == ref, F.col("event_id")))), ",")
+    return rows.groupBy("gene", "part", "etype").agg(F.nullif(joined(False), F.lit("")).alias("event_ids"), F.nullif(joined(True), F.lit("")).alias("ref_event_ids"))
 
 
 def two_sided(splits: DataFrame) -> DataFrame:

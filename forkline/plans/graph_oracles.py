@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .oracles import BUBBLES, MASKS, MULTI, PRUNED, SIDES, WAYS
 from .views import duck
 
 EDGES = """
@@ -68,6 +69,39 @@ told AS (SELECT n.event_id FROM (SELECT event_id, count(*) AS n FROM loc GROUP B
 mapped AS (SELECT e.gene, e.event_id, e.etype, p.parts FROM evs e LEFT JOIN (SELECT event_id, list(DISTINCT part ORDER BY part) AS parts FROM own WHERE event_id IN (SELECT event_id FROM told) GROUP BY event_id) p ON p.event_id = e.event_id)"""
 
 
+#: Splits of the graphs' bubbles (root 0, leaf 11), numbered; sp has the positions on the paths of the first side and of all others.
+_CHAIN_WAYS = "cn AS (SELECT gene, tx, a AS node FROM ge UNION SELECT gene, tx, CASE WHEN kind = 'L' THEN 11 ELSE b END FROM ge)," + (WAYS + "," + BUBBLES + "," + PRUNED).replace("v_tx_nodes", "cn")
+_NUMBERED_SIDES = MASKS + "," + SIDES + """,
+keyed AS (SELECT *, CASE WHEN none1 THEN [-1] ELSE diff1 END AS k1, CASE WHEN none2 THEN [-1] ELSE diff2 END AS k2, list_min([list_min([abs(x - y) FOR y IN list_concat(diff1, diff2)]) FOR x IN ref]) AS near FROM split),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY gene, k1, k2 ORDER BY len(ref), coalesce(near, 1000000), snk - src, src, id) AS f FROM keyed),
+numbered AS (SELECT gene, src, snk, id, diff1, diff2, ref, row_number() OVER (PARTITION BY gene ORDER BY k1, k2)::INT AS event FROM firsts WHERE f = 1),
+way AS (SELECT n.gene, n.event, n.src, n.snk, p.first, v.inn FROM numbered n JOIN placed p ON p.gene = n.gene AND p.src = n.src AND p.snk = n.snk AND p.id = n.id JOIN bvar v ON v.gene = n.gene AND v.src = n.src AND v.snk = n.snk AND v.i = p.i)"""
+_NUMBERED_MULTI = MULTI + """,
+whole AS (SELECT gene, src, snk, list(diff ORDER BY i) AS diffs FROM each GROUP BY gene, src, snk HAVING bool_and(n_parts = 0 OR len(diff) > 0)),
+numbered AS (SELECT w.gene, w.src, w.snk, w.diffs[1] AS diff1, w.diffs[2] AS diff2, coalesce(r.ref, []) AS ref, row_number() OVER (PARTITION BY w.gene ORDER BY w.src, w.snk)::INT AS event FROM whole w LEFT JOIN mref r ON r.gene = w.gene AND r.src = w.src AND r.snk = w.snk),
+way AS (SELECT n.gene, n.event, n.src, n.snk, v.i = 1 AS first, v.inn FROM numbered n JOIN bvar v ON v.gene = n.gene AND v.src = n.src AND v.snk = n.snk)"""
+_MATCH = """,
+stp AS (SELECT a.gene, a.node AS part, least(a.pos, b.pos) AS low, greatest(a.pos, b.pos) AS high FROM gn a JOIN gn b ON b.gene = a.gene AND b.node = a.node + 1),
+sp AS (SELECT w.gene, w.event, list(DISTINCT n.pos) FILTER (WHERE w.first) AS pos1, list(DISTINCT n.pos) FILTER (WHERE NOT w.first) AS pos2 FROM (SELECT gene, event, first, unnest(list_concat([src, snk], inn)) AS node FROM way) w JOIN gn n ON n.gene = w.gene AND n.node = w.node GROUP BY w.gene, w.event),
+sd AS (SELECT gene, event, 1 AS side, diff1 AS parts FROM numbered UNION ALL SELECT gene, event, 2, diff2 FROM numbered),
+reach AS (SELECT d.gene, d.event, d.side, min(s.low) AS alt_low, max(s.high) AS alt_hi FROM (SELECT gene, event, side, unnest(parts) AS part FROM sd) d JOIN stp s ON s.gene = d.gene AND s.part = d.part GROUP BY ALL),
+fl AS (SELECT d.gene, d.event, min(s.low) AS first_low, arg_min(s.high, s.low) AS first_high, max(s.low) AS last_low, arg_max(s.high, s.low) AS last_high FROM (SELECT gene, event, unnest(ref) AS part FROM numbered) d JOIN stp s ON s.gene = d.gene AND s.part = d.part GROUP BY ALL),
+ev AS (SELECT gene, event_id, etype, b1, b2, alt_low, alt_hi, b1 AS e1, b2 AS e2 FROM evs WHERE etype <> 'RI'
+  UNION ALL SELECT DISTINCT i.gene, 'RI_' || i.gene || '_' || i.a || '_' || i.b || '_' || x.a || '_' || x.b, 'RI', least(i.from_pos, i.to_pos), greatest(i.from_pos, i.to_pos), least(i.from_pos, i.to_pos), greatest(i.from_pos, i.to_pos), least(x.from_pos, x.to_pos), greatest(x.from_pos, x.to_pos)
+    FROM xi i JOIN xe x ON x.gene = i.gene AND x.a < i.a AND i.b < x.b),
+met AS (SELECT e.*, r.event, r.side, sp.pos1, sp.pos2, n.diff1, n.diff2, n.ref, CASE WHEN etype IN ('SE', 'RI') THEN [e.alt_low, e.alt_hi] WHEN (etype = 'A3SS') = (e.gene % 2 = 0) THEN [e.alt_low] ELSE [e.alt_hi] END AS own,
+    coalesce(a.pos IN (e.e1, e.e2), false) AND coalesce(z.pos IN (e.e1, e.e2), false) AS exact
+  FROM ev e JOIN reach r ON r.gene = e.gene AND r.alt_low = e.alt_low AND r.alt_hi = e.alt_hi JOIN numbered n ON n.gene = r.gene AND n.event = r.event LEFT JOIN fl f ON f.gene = r.gene AND f.event = r.event JOIN sp ON sp.gene = r.gene AND sp.event = r.event
+    LEFT JOIN gn a ON a.gene = n.gene AND a.node = n.src LEFT JOIN gn z ON z.gene = n.gene AND z.node = n.snk
+  WHERE CASE etype WHEN 'SE' THEN f.first_high = e.b1 AND f.last_low = e.b2 WHEN 'RI' THEN f.first_low = e.e1 AND f.last_high = e.e2
+    WHEN 'A3SS' THEN CASE WHEN e.gene % 2 = 0 THEN f.first_high ELSE f.last_low END = e.b1 ELSE CASE WHEN e.gene % 2 = 0 THEN f.last_low ELSE f.first_high END = e.b2 END),
+one AS (SELECT * FROM (SELECT *, count(DISTINCT event) OVER (PARTITION BY gene, event_id) AS n FROM met) WHERE n = 1 OR exact),
+two AS (SELECT * FROM (SELECT * EXCLUDE (n), count(DISTINCT event) OVER (PARTITION BY gene, event_id) AS m FROM one) WHERE m = 1 OR list_has_all(pos1, own) AND NOT list_has_any(pos2, own) OR list_has_all(pos2, own) AND NOT list_has_any(pos1, own)),
+matched AS (SELECT *, list_sort(list_distinct(list_concat(diff1, diff2))) AS diffs FROM (SELECT *, row_number() OVER (PARTITION BY gene, event_id ORDER BY event, side) AS k FROM two) WHERE k = 1)"""
+_SITES = _EVENTS[: _EVENTS.index("ends AS (")].rstrip().rstrip(",")
+_MATCHED = {kind: _G + "," + _CHAIN_WAYS + "," + numbered + "," + _SITES.strip() + _MATCH for kind, numbered in (("bipartition", _NUMBERED_SIDES), ("multinomial", _NUMBERED_MULTI))}
+
+
 def _labels(column: str) -> str:
     return f"array_to_string([('E' || lpad(x::VARCHAR, 3, '0')) FOR x IN {column}], ',')"
 
@@ -140,3 +174,9 @@ SELECT tx::VARCHAR AS "read", CASE WHEN strand = '+' THEN 0 ELSE 16 END AS flag,
 e AS (SELECT list_extract(['SE', 'RI', 'A3SS', 'A5SS'], (tx % 4 + 1)::INT) AS etype, (tx * 10 + "start" % 10)::VARCHAR AS id, gene::VARCHAR AS g FROM v_exons) SELECT etype || '_' || id AS event_id, etype, g AS GeneID, CASE WHEN etype = 'RI' THEN g END AS onlyRI FROM e""",
     "sink_tables": "WITH " + duck("v_counts") + " SELECT grp, sample, sum(cnt)::BIGINT AS cnt, count(*) AS n, sum(cnt)::BIGINT AS text_cnt FROM v_counts GROUP BY grp, sample",
 }
+GRAPH |= {f"match_{kind}": text + f" SELECT gene, event_id, etype, event, side, {_labels('diffs')} AS parts, {_labels('list_sort(ref)')} AS ref_parts FROM matched" for kind, text in _MATCHED.items()}
+GRAPH["match_maps"] = _MATCHED["bipartition"] + """,
+uses AS (SELECT gene, etype, event_id, unnest(diffs) AS step, false AS is_ref FROM matched UNION ALL SELECT gene, etype, event_id, unnest(ref), true FROM matched),
+numbers AS (SELECT gene, unnest(range(a, b)) AS step, part FROM gk)
+SELECT u.gene, n.part, u.etype, string_agg(event_id, ',' ORDER BY event_id) FILTER (WHERE NOT is_ref) AS event_ids, string_agg(event_id, ',' ORDER BY event_id) FILTER (WHERE is_ref) AS ref_event_ids
+FROM (SELECT DISTINCT * FROM uses) u JOIN numbers n ON n.gene = u.gene AND n.step = u.step GROUP BY u.gene, n.part, u.etype"""

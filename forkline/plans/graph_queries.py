@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import part_labels
-from ..operators import counts, graph, intervals, mapping
+from ..operators import counts, graph, intervals, mapping, splits
 from ..operators import bubbles as b
 from ..sources import annotation
 from ..sources.shared import new_path, save
-from .queries import _text, query
-from .views import view
+from .queries import MAX_SIDES, MAX_SINGLE, QUERIES, _text, query
+from .views import LEAF, ROOT, view
 
 
 def _exons(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,8 +195,11 @@ def junction_unpivot(spark: SparkSession, sf: str) -> DataFrame:
 # --- events of a junction tool ------------------------------------------------------------------------------------
 
 
-def _tool_table(edges: DataFrame) -> DataFrame:
-    """Skipped exons, retained introns and alternative sites of all genes' graphs, in a junction tool's 0-based coordinates."""
+def _tool_table(edges: DataFrame, whole_exons: bool = False) -> DataFrame:
+    """Skipped exons, retained introns and alternative sites of all genes' graphs, in a junction tool's 0-based coordinates.
+
+    With whole_exons a retained intron is an event for each exon that holds it, with that exon's ends.
+    """
     ex = edges.where("kind = 'ex'").select("gene", "a", "b", F.col("from_pos").alias("p"), F.col("to_pos").alias("q"))
     into = edges.where("kind = 'in'").select("gene", "a", "b", F.col("from_pos").alias("p"), F.col("to_pos").alias("q"))
     plus = F.col("gene") % 2 == 0
@@ -211,6 +216,14 @@ def _tool_table(edges: DataFrame) -> DataFrame:
     kept = into.join(whole, "gene").where("ea < a and b < eb").select("gene", "a", "b", "p", "q").distinct()
     ri = kept.select("gene", name("RI", "a", "b").alias("event_id"), F.lit("RI").alias("etype"), zero(low).alias("upstreamEE"), zero(high).alias("downstreamES"))
 
+    if whole_exons:
+        long = ex.select("gene", F.col("a").alias("ea"), F.col("b").alias("eb"), F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+        kept = into.join(long, "gene").where("ea < a and b < eb").select("gene", "a", "b", "p", "q", "ea", "eb", "x", "y").distinct()
+        ri = kept.select(
+            "gene", name("RI", "a", "b", "ea", "eb").alias("event_id"), F.lit("RI").alias("etype"), zero(low).alias("upstreamEE"), zero(high).alias("downstreamES"),
+            zero(F.col("x")).alias("riExonStart_0base"), zero(F.col("y")).alias("riExonEnd"), zero(F.col("x")).alias("upstreamES"), zero(F.col("y")).alias("downstreamEE"),
+        )
+
     one = ex.select("gene", F.col("a").alias("a1"), "b", F.col("p").alias("p1"), F.col("q").alias("end"))
     two = ex.select("gene", F.col("a").alias("a2"), "b", F.col("p").alias("p2"))
     f1, f2 = (into.select("gene", F.col("a").alias("f"), F.col("b").alias(f"a{k}"), F.col("p").alias(f"x{k}")) for k in (1, 2))
@@ -260,6 +273,45 @@ def event_to_parts(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.event_to_parts(rows)
 
 
+# --- events matched to splits -------------------------------------------------------------------------------------
+
+
+def _numbered_splits(edges: DataFrame, kind: str) -> DataFrame:
+    """The splits of all genes' graphs, numbered within the gene; the leaf of each graph is numbered LEAF."""
+    last = edges.where("kind = 'L'").select("gene", F.col("b").alias("leaf")).distinct()
+    nodes = graph.tx_nodes(edges).join(last, "gene").select("gene", "tx", F.when(F.col("node") == F.col("leaf"), LEAF).otherwise(F.col("node")).alias("node"))
+    found = b.prune(b.detect_bubbles(b.tx_paths(nodes, ROOT, LEAF)), ROOT, LEAF, MAX_SIDES if kind == "bipartition" else MAX_SINGLE)
+    if kind == "bipartition":
+        return splits.dedupe(splits.bipartitions(found), [F.col("snk") - F.col("src"), "src", "mask"])
+    return splits.multinomial(found).withColumn("event", F.row_number().over(b.W.partitionBy("gene").orderBy("src", "snk")))
+
+
+def _matched(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    exons = _exons(spark, sf)
+    nodes = save(graph.build_nodes(exons))
+    edges = save(graph.build_edges(exons, nodes))
+    events = mapping.boundaries(_tool_table(edges, whole_exons=True))
+    return save(mapping.match_splits(events, save(mapping.placed_splits(_numbered_splits(edges, kind), nodes)), mapping.step_positions(nodes)))
+
+
+def _match(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _matched(spark, sf, kind)
+        return rows.select("gene", "event_id", "etype", "event", "side", part_labels(F.col("diffs")).alias("parts"), part_labels(F.col("ref")).alias("ref_parts"))
+
+    return run
+
+
+QUERIES |= {f"match_{kind}": _match(kind) for kind in ("bipartition", "multinomial")}
+
+
+@query
+def match_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered parts that matched events are told apart by, and those that are their references, by kind."""
+    maps = mapping.split_maps(_matched(spark, sf, "bipartition")).withColumnRenamed("part", "step")
+    return maps.join(graph.part_of_step(_all_edges(spark, sf)), ["gene", "step"]).drop("step")
+
+
 # --- files --------------------------------------------------------------------------------------------------------
 
 
