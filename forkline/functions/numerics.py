@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 
 _ERFC = np.vectorize(math.erfc, otypes=[float])
 
@@ -168,56 +170,19 @@ def estimate_precision(y: np.ndarray, n: np.ndarray, g: np.ndarray, prior: tuple
     return phi, np.where(curve < -1e-8, phi * phi / np.where(curve < -1e-8, -curve, 1), np.inf), 2 * (best - binomial) > 3.841458820694124
 
 
-def estimate_dm_precision(counts: np.ndarray) -> tuple[float, float, bool] | None:
-    """(log alpha, its variance, identifiable) of a Dirichlet-multinomial with the overall proportions plugged in; counts: samples x types."""
-    counts = counts[counts.sum(1) > 0].astype(float)
-    if counts.shape[0] < 2 or counts.shape[1] < 2 or (counts.sum(0) > 0).sum() < 2:
-        return None
-    counts = counts[:, counts.sum(0) > 0]
-    pi, n, size = counts.sum(0) / counts.sum(), counts.sum(1), counts.shape[0]
-
-    def likelihood(x: np.ndarray) -> np.ndarray:
-        a = np.exp(x[0])[:, None]
-        rows = size * lgamma(a[:, 0]) - lgamma(n[None] + a).sum(1)
-        ap = a[:, :, None] * pi[None, None]
-        return (rows + (lgamma(counts[None] + ap) - lgamma(ap)).sum((1, 2)))[None]
-
-    x, best = (float(v[0]) for v in search(likelihood, -10.0, 12.0, 1))
-    a = math.exp(x)
-    ap = a * pi
-    second = size * trigamma(a) - trigamma(n + a).sum() + (pi**2 * (trigamma(counts + ap).sum(0) - size * trigamma(ap))).sum()
-    second = float(a * a * second)
-    if not math.isfinite(second) or second >= 0:
-        return None
-    flat = float((counts * np.log(pi)).sum())
-    ratio = 2 * (best - flat)
-    return x, -1 / second, bool(ratio > 3.841458820694124 and x < 12 - 1e-3)
-
-
-def rank_sum(x: np.ndarray, y: np.ndarray) -> float:
-    """Two-sided Wilcoxon rank-sum p-value: exact for fewer than 50 untied values on each side, else normal with ties and a continuity correction."""
-    both = np.concatenate([x, y])
-    m, n = len(x), len(y)
-    values, where, ties = np.unique(both, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(ties) - (ties - 1) / 2)[where]
-    w = ranks[:m].sum() - m * (m + 1) / 2
-    if m < 50 and n < 50 and len(values) == m + n:
-        ways = np.zeros((m + 1, m * n + 1))
-        ways[0, 0] = 1
-        for k in range(1, m + n + 1):  # the k-th smallest value joins the first side after k - i values of the other
-            for i in range(min(k, m), 0, -1):
-                d = k - i
-                if d <= n and d <= m * n:
-                    ways[i, d:] += ways[i - 1, : m * n + 1 - d] if d else ways[i - 1]
-        p = ways[m] / ways[m].sum()
-        low, high = p[: int(w) + 1].sum(), p[int(w) :].sum()
-        return float(min(1.0, 2 * (high if w > m * n / 2 else low)))
-    z = w - m * n / 2
-    sigma = math.sqrt(m * n / 12 * (m + n + 1 - (ties**3 - ties).sum() / ((m + n) * (m + n - 1))))
-    if sigma == 0:
-        return math.nan
-    z = (z - math.copysign(0.5, z) * (z != 0)) / sigma
-    return float(min(1.0, 2 * min(normal_tail(z), 1 - normal_tail(z))))
+def rank_sum_tails(m: int, n: int) -> pd.DataFrame:
+    """(m, n, u, low, high): for each excess u of the rank sum of m of m + n untied values over its least, the shares of all choices with u or less, and with u or more."""
+    ways = [1]
+    for i in range(1, m + 1):
+        # choices of i among i + n values: times (1 - q^(n + i)) / (1 - q^i), in whole numbers
+        ways = ways + [0] * n
+        longer = [w - (ways[k - n - i] if k >= n + i else 0) for k, w in enumerate(ways)]
+        for k in range(i, len(longer)):
+            longer[k] += longer[k - i]
+        ways = longer
+    below = list(accumulate(ways))
+    total = below[-1]
+    return pd.DataFrame({"m": m, "n": n, "u": range(len(ways)), "low": [b / total for b in below], "high": [(total - b + w) / total for b, w in zip(below, ways, strict=True)]})
 
 
 def local_regression(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float, degree: int = 2) -> np.ndarray:

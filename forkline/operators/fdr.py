@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import save
+from .ranks import quantiles, ranked_values, running_best, same_group
+
 
-def p_adjust(rows: DataFrame, by: list[str], p: str = "pvalue", out: str = "padj", method: str = "BH") -> DataFrame:
+def p_adjust(rows: DataFrame, by: list[str], p: str = "pvalue", out: str = "padj", method: str = "BH", small_groups: bool = False) -> DataFrame:
     """`rows` with adjusted p-values among the rows with the same `by`; null p-values are not counted and stay null.
 
-    Methods: BH, BY, bonferroni, holm, hochberg, none. With `by` empty, ranks are
-    added up over steps of the p-values' order (see _adjust_all()), not in one task.
+    Methods: BH, BY, bonferroni, holm, hochberg, none. Groups are ranked in ranges and may have any size (see ranks.py); small_groups
+    says that each is known to be small, as the tests of one gene, and is ranked in one task.
     """
-    known = F.col(p).isNotNull()
     if method == "none":
         return rows.withColumn(out, F.col(p))
-    if not by:
-        return _adjust_all(rows, p, out, method)
+    if not small_groups:
+        return _adjust_ranges(rows, by, p, out, method)
+    known = F.col(p).isNotNull()
     group = W.partitionBy(*by, known)
     n, up = F.count(F.lit(1)).over(group), F.row_number().over(group.orderBy(p))
     ranked = rows.withColumn("__n", n).withColumn("__i", up)
@@ -44,48 +49,18 @@ def _step(p: Column, n: Column, i: Column, method: str) -> Column:
     raise ValueError(f"unknown method {method}")
 
 
-#: Ranges of p-values that a table which is adjusted as a whole is ranked in; the driver reads a count of each.
-STEPS = 64
-
-
-def _adjust_all(rows: DataFrame, p: str, out: str, method: str) -> DataFrame:
-    """Adjust over the whole table: p-values are counted once each, and ranks add up over steps of the p-value's order.
-
-    A step is a range of p-values between approximate quantiles; windows run within a step, and the driver carries counts and extremes of the steps onward.
-    """
-    cuts = sorted(set(rows.where(F.col(p).isNotNull()).approxQuantile(p, [k / STEPS for k in range(1, STEPS)], 0.001)))
-    values = rows.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__c"))
-    step = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(p))) if cuts else F.lit(0)
-    values = values.withColumn("__s", step)
-    sums = values.groupBy("__s").agg(F.sum("__c").alias("m")).orderBy("__s").collect()
-    total, before = 0, {}
-    for r in sums:
-        before[r["__s"]] = total
-        total += r.m
-    if not sums:
-        return rows.withColumn(out, F.lit(None).cast("double"))
-    base = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    within = W.partitionBy("__s").orderBy(p)
-    ranked = values.withColumn("__i", F.sum("__c").over(within.rowsBetween(W.unboundedPreceding, 0)) + F.element_at(base, F.col("__s")))
-    n = F.lit(total)
+def _adjust_ranges(rows: DataFrame, by: list[str], p: str, out: str, method: str) -> DataFrame:
+    values = ranked_values(rows, by, p)
     # of rows with the same p the last rank counts downwards, the first one upwards
-    i = F.col("__i") - F.col("__c") + 1 if method == "holm" else F.col("__i")
-    ranked = ranked.withColumn("__v", _step(F.col(p), n, i, method))
+    rank = F.col("__upto") - F.col("__c") + 1 if method == "holm" else F.col("__upto")
+    values = values.withColumn("__v", _step(F.col(p), F.col("__total"), rank, method))
     if method == "bonferroni":
-        done = ranked.withColumn(out, F.col("__v"))
+        done = values.withColumn("__best", F.col("__v"))
     else:
-        up = method == "holm"
-        pick, best = (F.max, max) if up else (F.min, min)
-        ends = ranked.groupBy("__s").agg(pick("__v").alias("v")).orderBy("__s", ascending=up).collect()
-        carry, reached = {}, 0.0 if up else 1.0
-        for r in ends:
-            carry[r["__s"]] = reached
-            reached = best(reached, r.v)
-        order = W.partitionBy("__s").orderBy(F.col(p) if up else F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-        edge = F.element_at(F.create_map(*(F.lit(x) for kv in carry.items() for x in kv)), F.col("__s"))
-        done = ranked.withColumn(out, F.least((F.greatest if up else F.least)(pick("__v").over(order), edge), F.lit(1.0)))
-    table = done.select(F.col(p).alias("__p"), out)
-    return rows.join(table, rows[p] == table["__p"], "left").drop("__p")
+        done = running_best(values, by, p, "__v", largest_first=method != "holm", least=method != "holm")
+    table = done.select(*(F.col(b).alias(f"__by_{b}") for b in by), F.col(p).alias("__p"), F.least("__best", F.lit(1.0)).alias(out))
+    here = rows.drop(out)
+    return here.join(table, same_group(here, table, by, [f"__by_{b}" for b in by]) & (here[p] == table["__p"]), "left").drop("__p", *(f"__by_{b}" for b in by))
 
 
 def simes(rows: DataFrame, by: list[str], p: str = "pvalue") -> DataFrame:
@@ -100,17 +75,16 @@ def nested_bh(rows: DataFrame, alpha: float = 0.05, by: list[str] | None = None,
     by = by or []
     genes = p_adjust(simes(rows, [*by, gene], p), by, "simes", "padj_gene").drop("simes")
     joined = rows.join(genes, [*by, gene], "left")
-    within = p_adjust(joined.withColumn("__p", F.when(F.col("padj_gene") < alpha, F.col(p))), [*by, gene], "__p", "padj")
+    within = p_adjust(joined.withColumn("__p", F.when(F.col("padj_gene") < alpha, F.col(p))), [*by, gene], "__p", "padj", small_groups=True)
     return within.drop("__p")
 
 
-def filtered_p(rows: DataFrame, thetas: list[float], filter_by: str = "baseMean", p: str = "pvalue", method: str = "BH") -> DataFrame:
-    """A row of `rows` for each quantile theta of the filter that it reaches, with theta, cutoff and padj among those rows."""
-    q = rows.agg(F.percentile(filter_by, F.array(*map(F.lit, thetas))).alias("q"))
-    cuts = q.first().q or []
-    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("theta"), F.lit(c).alias("cutoff")) for k, (t, c) in enumerate(zip(thetas, cuts, strict=True)))))
-    each = rows.select("*", levels.alias("__l")).where(F.col(filter_by) >= F.col("__l.cutoff")).select(*rows.columns, "__l.k", "__l.theta", "__l.cutoff")
-    return p_adjust(each, ["k", "theta", "cutoff"], p, "padj", method)
+def filtered_p(rows: DataFrame, thetas: list[float], filter_by: str = "baseMean", p: str = "pvalue", method: str = "BH", by: list[str] | None = None) -> DataFrame:
+    """A row of `rows` for each quantile theta of the filter (within `by`) that it reaches, with theta, cutoff and padj among those rows: the result is meant, so rows multiply. independent_filtering() does not go this way."""
+    by = by or []
+    q = quantiles(rows, by, filter_by, thetas).select(*(F.col(b).alias(f"__by_{b}") for b in by), F.col("at").alias("theta"), F.col("q").alias("cutoff"))
+    each = rows.join(F.broadcast(q) if not by else q, same_group(rows, q, by, [f"__by_{b}" for b in by]) & (rows[filter_by] >= q["cutoff"])).drop(*(f"__by_{b}" for b in by))
+    return p_adjust(each, [*by, "theta"], p, "padj", method)
 
 
 def _lowess(x: np.ndarray, y: np.ndarray, f: float, rounds: int = 3) -> np.ndarray:
@@ -155,24 +129,73 @@ def choose_theta(thetas: list[float], rejections: list[int]) -> int:
     return 0
 
 
-def independent_filtering(rows: DataFrame, alpha: float = 0.05, filter_by: str = "baseMean", p: str = "pvalue", method: str = "BH", n_thetas: int = 50) -> DataFrame:
-    """`rows` with padj under the filter quantile that gains most; rows below it get null. The driver reads one count for each theta."""
-    zero = rows.agg(F.avg((F.col(filter_by) == 0).cast("double"))).first()[0] or 0.0
-    thetas = np.linspace(zero, 0.95 if zero < 0.95 else 1.0, n_thetas).tolist()
-    each = filtered_p(rows, thetas, filter_by, p, method)
-    counted = {r.k: r.n for r in each.groupBy("k").agg(F.count_if(F.col("padj") < alpha).alias("n")).collect()}
-    j = choose_theta(thetas, [counted.get(k, 0) for k in range(len(thetas))])
-    cutoff = rows.agg(F.percentile(filter_by, F.lit(thetas[j]))).first()[0]
-    marked = rows.withColumn("__p", F.when(F.col(filter_by) >= F.lit(cutoff), F.col(p)))
-    return p_adjust(marked, [], "__p", "padj", method).drop("__p")
+def rejections(rows: DataFrame, by: list[str], p: str, step: str, n_steps: int, alpha: float, method: str) -> DataFrame:
+    """(by, rejections array<bigint>): for each k below n_steps, how many of the rows whose `step` is above k have an adjusted p-value under alpha among them.
+
+    Rows are counted once by (by, p-value, step); a running count for each k is a column, so no row is multiplied. Only p-values under alpha
+    can be rejected; the others count in the totals alone.
+    """
+    known = rows.where(F.col(p).isNotNull() & (F.col(step) > 0))
+    sizes = known.groupBy(*by).agg(F.array(*(F.count_if(F.col(step) > k) for k in range(n_steps))).alias("__sizes"))
+    low = known.where(F.col(p) < alpha)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = low.groupBy(*by, p).agg(F.array(*(F.count_if(F.col(step) > k) for k in range(n_steps))).alias("__c"))
+    values = save(counted.repartitionByRange(n, *by, p).withColumn("__range", F.spark_partition_id()), "filter-counts")
+    add = lambda column: F.array(*(F.sum(column[k]) for k in range(n_steps)))
+    sums = values.groupBy(*by, "__range").agg(add(F.col("__c")).alias("__m"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a row for each range
+    line = group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    before = F.array(*(F.coalesce(F.sum(F.col("__m")[k]).over(line), F.lit(0)) for k in range(n_steps)))
+    names = [f"__by_{b}" for b in by]
+    starts = sums.select(*(F.col(b).alias(x) for b, x in zip(by, names, strict=True)), F.col("__range").alias("__range2"), before.alias("__before"))
+    met = values.join(starts, same_group(values, starts, by, names) & (values["__range"] == starts["__range2"])).drop(*names, "__range2")
+    met = met.join(sizes.withColumnsRenamed(dict(zip(by, names, strict=True))), reduce(lambda a, k: a & F.col(k[0]).eqNullSafe(F.col(k[1])), zip(by, names, strict=True), F.lit(True))) if by else met.crossJoin(F.broadcast(sizes))  # one row
+    inside = W.partitionBy(*by, "__range").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+    upto = F.array(*(F.sum(F.col("__c")[k]).over(inside) + F.col("__before")[k] for k in range(n_steps)))
+    ranked = met.withColumn("__upto", upto)
+
+    def rejected(k: int) -> Column:
+        i, own, total, value = F.col("__upto")[k], F.col("__c")[k], F.col("__sizes")[k], F.col(p)
+        here = own > 0
+        if method == "holm":
+            fails = here & (_step(value, total, i - own + 1, method) >= alpha)
+            return F.coalesce(F.min(F.when(fails, i - own)), F.max(i), F.lit(0))
+        return F.coalesce(F.max(F.when(here & (_step(value, total, i, method) < alpha), i)), F.lit(0))
+
+    return ranked.groupBy(*by).agg(F.array(*(rejected(k) for k in range(n_steps))).alias("rejections"))
+
+
+def independent_filtering(rows: DataFrame, alpha: float = 0.05, filter_by: str = "baseMean", p: str = "pvalue", method: str = "BH", n_thetas: int = 50, by: list[str] | None = None) -> DataFrame:
+    """`rows` with padj under the filter quantile that gains most, for each value of `by` alone; rows below it get null.
+
+    Quantiles go from the share of zeros to 0.95 (1 beyond that). The driver reads n_thetas counts for each value of `by`, which are the contrasts of an experiment.
+    """
+    by = by or []
+    shares = rows.groupBy(*by).agg(F.coalesce(F.avg((F.col(filter_by) == 0).cast("double")), F.lit(0.0)).alias("zero")).collect()
+    key = lambda r: tuple(r[b] for b in by)
+    thetas = {key(r): np.linspace(r.zero, 0.95 if r.zero < 0.95 else 1.0, n_thetas).tolist() for r in shares}
+    points = sorted({t for line in thetas.values() for t in line})
+    q = {(key(r), r["at"]): r.q for r in quantiles(rows, by, filter_by, points).collect()} if points else {}
+    schema = ", ".join([*(f"`__by_{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema), "__cutoffs array<double>"])
+    lines = [(*k, [q.get((k, t)) for t in line]) for k, line in thetas.items()]
+    table = rows.sparkSession.createDataFrame(lines, schema)
+    names = [f"__by_{b}" for b in by]
+    stepped = rows.join(F.broadcast(table), same_group(rows, table, by, names)).drop(*names)  # a row for each contrast
+    stepped = save(stepped.withColumn("__step", F.size(F.filter("__cutoffs", lambda c: F.coalesce(c <= F.col(filter_by), F.lit(False))))).drop("__cutoffs"), "filter-steps")
+    counts = {key(r): r.rejections for r in rejections(stepped, by, p, "__step", n_thetas, alpha, method).collect()}
+    chosen = [(*k, choose_theta(line, counts.get(k, [0] * n_thetas))) for k, line in thetas.items()]
+    best = rows.sparkSession.createDataFrame(chosen, ", ".join([*(f"`__by_{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema), "__k int"]))
+    kept = stepped.join(F.broadcast(best), same_group(stepped, best, by, names)).drop(*names)
+    marked = kept.withColumn("__p", F.when(F.col("__step") > F.col("__k"), F.col(p))).drop("__step", "__k")
+    return p_adjust(marked, by, "__p", "padj", method).drop("__p")
 
 
 def adjust(rows: DataFrame, method: str = "nested_BH", alpha: float = 0.05, filtering: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Nested or plain adjustment; with filtering, p-values under the filter's cutoff are null before a nested one."""
+    """Nested or plain adjustment for each value of `by`; with filtering, p-values under the filter's cutoff are null before a nested one."""
     if method != "nested_BH":
-        return independent_filtering(rows, alpha, method=method) if filtering else p_adjust(rows, by or [], method=method)
+        return independent_filtering(rows, alpha, method=method, by=by) if filtering else p_adjust(rows, by or [], method=method)
     if filtering:
-        rows = independent_filtering(rows, alpha).withColumn("pvalue", F.when(F.col("padj").isNotNull(), F.col("pvalue"))).drop("padj")
+        rows = independent_filtering(rows, alpha, by=by).withColumn("pvalue", F.when(F.col("padj").isNotNull(), F.col("pvalue"))).drop("padj")
     return nested_bh(rows, alpha, by)
 
 

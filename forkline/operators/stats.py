@@ -6,6 +6,7 @@ event_counts(gene, event, sample, grp, ref, diff1, diff2); comparisons(gene, eve
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import numerics
+from ..functions import numerics, special
 from ..sources.shared import save
 from .fdr import add_significant, adjust
+from .ranks import medians
 
 EVENT = ["gene", "event", "comparison"]
 #: Label, the side that is tested and the side it is measured against.
@@ -65,33 +67,46 @@ def lfc_summary(rows: DataFrame, ref: str, trt: str, by: list[str] = EVENT, pc:
 
 
 def _shrunk(rows: DataFrame, by: list[str], z: str, var: str, target: Column | None = None) -> DataFrame:
-    """Adds w and z_mod from z_bar, tau2 (columns) and a target (z_bar unless given)."""
-    w = F.coalesce(F.col("tau2") / F.when(F.col("tau2") + F.col(var) != 0, F.col("tau2") + F.col(var)), F.lit(0.0))
+    """Adds w and z_mod from z_bar, tau2 (columns) and a target (z_bar unless given); a weight that is not a number is 0."""
+    w = F.coalesce(F.nanvl(F.col("tau2") / F.when(F.col("tau2") + F.col(var) != 0, F.col("tau2") + F.col(var)), F.lit(0.0)), F.lit(0.0))
     return rows.withColumn("w", w).withColumn("z_mod", F.col("w") * F.col(z) + (1 - F.col("w")) * (F.col("z_bar") if target is None else target))
 
 
+def _priors(rows: DataFrame, by: list[str], z: str, var: str, sure: Column) -> DataFrame:
+    """by, middle, middle_var, spread, n (and sure_middle, sure_var, sure_spread, sure_n of the rows that are `sure`): exact medians, sample variance and count of the estimates."""
+    marked = rows.withColumns({"middle": F.col(z), "middle_var": F.col(var), "sure_middle": F.when(sure, F.col(z)), "sure_var": F.when(sure, F.col(var))})
+    points = medians(marked, by, ["middle", "middle_var", "sure_middle", "sure_var"])
+    sums = rows.groupBy(*by).agg(F.var_samp(z).alias("spread"), F.var_samp(F.when(sure, F.col(z))).alias("sure_spread"), F.count(F.lit(1)).alias("n"), F.count_if(sure).alias("sure_n"))
+    return points.join(sums, by) if by else points.crossJoin(sums)  # one row each
+
+
+def _with_prior(rows: DataFrame, prior: DataFrame, by: list[str]) -> DataFrame:
+    """A prior is one row for each comparison."""
+    return rows.join(F.broadcast(prior), by) if by else rows.crossJoin(F.broadcast(prior))
+
+
 def moderate_log(phi: DataFrame, by: list[str], limit: float = 1e10) -> DataFrame:
     """phi (..., phi, var_phi[, identifiable]) -> z, var_z, w, z_mod, phi_mod: log precisions shrunk to the median of the identifiable ones (all, if those are fewer than 10) of each `by`."""
     rows = phi.where((F.col("phi") > 0) & (F.col("phi") < limit)).withColumn("z", F.log("phi")).withColumn("var_z", F.col("var_phi") / (F.col("phi") * F.col("phi")))
     sure = F.coalesce(F.col("identifiable"), F.lit(False)) if "identifiable" in phi.columns else F.lit(True)
-    few = F.count_if(sure) < 10
-    pick = lambda f, c: F.when(few, f(F.col(c))).otherwise(f(F.when(sure, F.col(c))))
-    prior = rows.groupBy(*by).agg(pick(F.median, "z").alias("z_bar"), F.greatest(pick(F.var_samp, "z") - pick(F.median, "var_z"), F.lit(0.0)).alias("tau2"))
-    joined = rows.join(prior, by) if by else rows.crossJoin(F.broadcast(prior))  # one row
-    return _shrunk(joined, by, "z", "var_z").withColumn("phi_mod", F.exp("z_mod")).drop("z_bar", "tau2")
+    pick = lambda a, b: F.when(F.col("sure_n") < 10, F.col(a)).otherwise(F.col(b))
+    prior = _priors(rows, by, "z", "var_z", sure).select(*by, pick("middle", "sure_middle").alias("z_bar"), F.greatest(pick("spread", "sure_spread") - pick("middle_var", "sure_var"), F.lit(0.0)).alias("tau2"))
+    return _shrunk(_with_prior(rows, prior, by), by, "z", "var_z").withColumn("phi_mod", F.exp("z_mod")).drop("z_bar", "tau2")
 
 
 def moderate_precision(prec: DataFrame, by: list[str]) -> DataFrame:
     """prec (..., log_prec, var_log_prec[, identifiable]) -> w_prec, log_prec_mod, prec_mod, rho_mod (kept within 1e-6 of 0 and 1)."""
     valid = F.coalesce((F.col("var_log_prec") < 1000) & (F.abs("log_prec") < 50), F.lit(False))
-    sure = valid & F.coalesce(F.col("identifiable"), F.lit(False)) if "identifiable" in prec.columns else valid
-    many = F.count_if(sure) >= 10
-    pick = lambda f, c: F.when(many, f(F.when(sure, F.col(c)))).otherwise(f(F.when(valid, F.col(c))))
-    enough = F.when(many, F.count_if(sure)).otherwise(F.count_if(valid)) >= 10
-    tau = F.greatest(pick(F.var_samp, "log_prec") - pick(F.median, "var_log_prec"), F.lit(0.0))
-    prior = prec.groupBy(*by).agg(F.when(enough, pick(F.median, "log_prec")).otherwise(F.median("log_prec")).alias("z_bar"), F.when(enough, tau).otherwise(0.0).alias("tau2"))
-    joined = prec.join(prior, by) if by else prec.crossJoin(F.broadcast(prior))  # one row
-    out = _shrunk(joined, by, "log_prec", "var_log_prec").withColumnsRenamed({"w": "w_prec", "z_mod": "log_prec_mod"})
+    sure = F.coalesce(F.col("identifiable"), F.lit(False)) if "identifiable" in prec.columns else F.lit(True)
+    whole = medians(prec, by, ["log_prec"]).withColumnRenamed("log_prec", "any_middle")
+    usable = _priors(prec.where(valid), by, "log_prec", "var_log_prec", sure)
+    joined = whole.join(usable, by, "left") if by else whole.crossJoin(usable)  # one row each
+    many = F.coalesce(F.col("sure_n"), F.lit(0)) >= 10
+    pick = lambda a, b: F.when(many, F.col(b)).otherwise(F.col(a))
+    enough = many | (F.coalesce(F.col("n"), F.lit(0)) >= 10)
+    tau = F.greatest(pick("spread", "sure_spread") - pick("middle_var", "sure_var"), F.lit(0.0))
+    prior = joined.select(*by, F.when(enough, pick("middle", "sure_middle")).otherwise(F.col("any_middle")).alias("z_bar"), F.when(enough, tau).otherwise(0.0).alias("tau2"))
+    out = _shrunk(_with_prior(prec, prior, by), by, "log_prec", "var_log_prec").withColumnsRenamed({"w": "w_prec", "z_mod": "log_prec_mod"})
     rho = F.greatest(F.least(1 / (1 + F.exp("log_prec_mod")), F.lit(1 - 1e-6)), F.lit(1e-6))
     return out.withColumn("prec_mod", F.exp("log_prec_mod")).withColumn("rho_mod", rho).drop("z_bar", "tau2")
 
@@ -135,19 +150,20 @@ def moderate_trend(est: DataFrame, means: DataFrame, keys: list[str], z: str, va
 
 
 def trend_prior(moderated: DataFrame) -> DataFrame:
-    """(comparison, sd): spread of the estimates around the trend of moderate_trend(), of the identifiable ones if 10 or more are marked so; comparisons with too few take the spread of all."""
+    """(comparison, sd): spread of the estimates around the trend of moderate_trend(), of the identifiable ones if 10 or more are marked so; comparisons with too few take the spread of all, and if that is not known that of the estimates themselves."""
+    used = moderated
     if "identifiable" in moderated.columns and moderated.where("identifiable and z is not null").limit(10).count() == 10:
-        moderated = moderated.where("identifiable")
+        used = moderated.where("identifiable")
     rest = F.col("z") - F.col("z_trend")
-    overall = moderated.agg(F.stddev_samp(rest)).first()[0]
-    return moderated.groupBy("comparison").agg(F.coalesce(F.stddev_samp(rest), F.lit(overall), F.lit(1.0)).alias("sd"))
+    overall, plain = used.agg(F.stddev_samp(rest), F.stddev_samp("z")).first()
+    return used.groupBy("comparison").agg(F.coalesce(F.stddev_samp(rest), F.lit(overall), F.lit(plain)).alias("sd"))
 
 
 def impute(rows: DataFrame, table: DataFrame) -> DataFrame:
     """`rows` (comparison, z_mod, ...) with missing z_mod from the comparison's median in `table`, else the median of all, else 0."""
-    each = table.groupBy("comparison").agg(F.median("z_mod").alias("m"))
-    overall = table.agg(F.median("z_mod")).first()[0]
-    return rows.join(each, "comparison", "left").withColumn("z_mod", F.coalesce("z_mod", "m", F.lit(overall), F.lit(0.0))).drop("m")
+    each = medians(table, ["comparison"], ["z_mod"]).withColumnRenamed("z_mod", "m")
+    overall = medians(table, [], ["z_mod"]).first()
+    return rows.join(F.broadcast(each), "comparison", "left").withColumn("z_mod", F.coalesce("z_mod", "m", F.lit(overall[0] if overall else None), F.lit(0.0))).drop("m")
 
 
 # --- estimates and tests of single events ----------------------------------------------------------------------
@@ -175,10 +191,6 @@ def _per_event(rows: DataFrame, by: list[str], columns: list[Column], schema: st
     return table.mapInPandas(each, f"{head}, {schema}")
 
 
-def _one_by_one(f: Callable[[list], tuple | None]) -> Callable[[list], list]:
-    return lambda events: [f(samples) for samples in events]
-
-
 def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """y, n, group numbers and group names of an event's samples with counts."""
     y, n, g = np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float), np.array([r["grp"] for r in rows])
@@ -267,71 +279,151 @@ def wald_test(rows: DataFrame, contrasts: list[tuple[str, str]], model: str, by:
     return got.select(*by, F.inline("tests")).withColumn("model", F.lit(model))
 
 
-def wilcoxon_test(rows: DataFrame, by: list[str] = EVENT) -> DataFrame:
-    """by, pvalue, effect_size, model: rank sums of the proportions y / n of the first two groups; effect is the second mean less the first."""
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Samples with counts, with prop, y / n, its average rank in the event and how many samples share it; an event has as many rows as the experiment has samples."""
+    props = rows.where("n > 0").withColumn("prop", F.col("y") / F.col("n"))
+    first, same = F.rank().over(W.partitionBy(*by).orderBy("prop")), F.count(F.lit(1)).over(W.partitionBy(*by, "prop"))
+    return props.withColumn("same", same).withColumn("rank", first + (same - 1) / 2)
+
+
+def rank_sum_table(sizes: DataFrame) -> DataFrame:
+    """sizes (m, n) -> (m, n, u, low, high): the share of all orders of m and n untied values whose rank sum exceeds its least value by u or less, and by u or more.
+
+    Made once for each pair of sizes under EXACT, so the table is bounded.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for m, n in zip(frame.m.tolist(), frame.n.tolist(), strict=True):
+                yield numerics.rank_sum_tails(m, n)
+
+    return sizes.select("m", "n").distinct().mapInPandas(run, "m long, n long, u long, low double, high double")
+
+
+#: Groups of fewer samples have an exact rank-sum tail, if no two values are equal.
+EXACT = 50
+
 
-    def run(samples: list) -> tuple | None:
-        y, n, g, levels = _arrays(samples)
-        if len(y) < 2 or len(levels) != 2 or y.mean() == 0:
-            return None
-        p = y / n
-        a, b = p[g == 0], p[g == 1]
-        return numerics.rank_sum(a, b), float(b.mean() - a.mean())
+def wilcoxon_test(rows: DataFrame, by: list[str] = EVENT, first: str | None = None) -> DataFrame:
+    """by, pvalue, effect_size, model: rank sums of the proportions y / n of events with two groups; `first` is the group that the other is measured against, the smaller name unless given.
 
-    return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp")], "pvalue double, effect_size double", _one_by_one(run)).withColumn("model", F.lit("wilcoxon"))
+    effect_size is the second mean less the first. Two-sided p-values: exact from rank_sum_table() for small groups without ties, else normal with
+    a tie correction and half a rank of continuity; null where all values are equal.
+    """
+    ranked = _ranked(rows, by)
+    one = F.col("grp") == (F.lit(first) if first is not None else F.min("grp").over(W.partitionBy(*by)))
+    of = lambda f, c: f(F.when(F.col("one"), F.col(c)))
+    sums = ranked.withColumn("one", one).groupBy(*by).agg(
+        F.count_if("one").alias("m"), F.count_if(~F.col("one")).alias("n"), of(F.sum, "rank").alias("w"), F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"), F.count_distinct("grp").alias("groups"), F.sum("y").alias("y"),
+        of(F.avg, "prop").alias("mean1"), F.avg(F.when(~F.col("one"), F.col("prop"))).alias("mean2"),
+    )
+    usable = sums.where("groups = 2 and m > 0 and n > 0 and y <> 0").withColumn("u", F.col("w") - F.col("m") * (F.col("m") + 1) / 2).withColumn("exact", (F.col("m") < EXACT) & (F.col("n") < EXACT) & (F.col("ties") == 0))
+    usable = save(usable, "rank-sums")
+    table = rank_sum_table(usable.where("exact")).select(F.col("m").alias("tm"), F.col("n").alias("tn"), F.col("u").alias("tu"), "low", "high")
+    met = usable.join(table, F.col("exact") & (F.col("m") == F.col("tm")) & (F.col("n") == F.col("tn")) & (F.round("u").cast("long") == F.col("tu")), "left")
+    size, half = F.col("m") + F.col("n"), F.col("m") * F.col("n") / 2
+    sigma = F.sqrt(F.col("m") * F.col("n") / 12 * (size + 1 - F.col("ties") / (size * (size - 1))))
+    z = F.abs(F.col("u") - half)
+    far = F.when(z > 0, z - 0.5).otherwise(0.0)
+    normal = F.when(sigma > 0, F.least(F.lit(1.0), special.erfc(F.abs(far) / sigma / F.sqrt(F.lit(2.0)))))
+    exact = F.least(F.lit(1.0), 2 * F.when(F.col("u") > half, F.col("high")).otherwise(F.col("low")))
+    return met.select(*by, F.when(F.col("exact"), exact).otherwise(normal).alias("pvalue"), (F.col("mean2") - F.col("mean1")).alias("effect_size"), F.lit("wilcoxon").alias("model"))
 
 
 def rank_sums(rows: DataFrame, by: list[str] = EVENT) -> DataFrame:
-    """by, grp, n_samples, rank_sum, mean_prop: average ranks of y / n within an event, summed by group; windows only."""
-    props = rows.where("n > 0").withColumn("prop", F.col("y") / F.col("n"))
+    """by, grp, n_samples, rank_sum, mean_prop: average ranks of y / n within an event, summed by group."""
+    return _ranked(rows, by).groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("rank").alias("rank_sum"), F.avg("prop").alias("mean_prop"))
+
+
+def _type_counts(long: DataFrame, by: list[str]) -> DataFrame:
+    """(by, grp, sample, type, cnt, total): counts of an event's samples, null as 0, with each sample's total; samples without counts are left out."""
+    cells = long.groupBy(*by, "grp", "sample", "type").agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("double").alias("cnt"))
+    return cells.withColumn("total", F.sum("cnt").over(W.partitionBy(*by, "grp", "sample"))).where("total > 0")
+
+
+def _dm_terms(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sign, share, y, w): the log likelihood of a Dirichlet-multinomial of precision a is the sum of w * sign * (ln gamma(a share + y) - ln gamma(a share)).
+
+    Shares are the types' parts of all of the event's counts; a sample's total has the share 1 and the sign -1. Equal terms are one. Events of fewer than two
+    samples, or of fewer than two types with counts, have none.
+    """
     event = W.partitionBy(*by)
-    first, same = F.rank().over(event.orderBy("prop")), F.count(F.lit(1)).over(W.partitionBy(*by, "prop"))
-    ranked = props.withColumn("rank", first + (same - 1) / 2)
-    return ranked.groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("rank").alias("rank_sum"), F.avg("prop").alias("mean_prop"))
+    shared = cells.withColumns({"share": F.sum("cnt").over(W.partitionBy(*by, "type")) / F.sum("cnt").over(event)}).where("share > 0")
+    facts = cells.groupBy(*by).agg(F.count_distinct("grp", "sample").alias("samples"), F.count_distinct(F.when(F.col("cnt") > 0, F.col("type"))).alias("types")).where("samples >= 2 and types >= 2")
+    kinds = shared.where("cnt > 0").select(*by, F.lit(1.0).alias("sign"), "share", F.col("cnt").alias("y"))
+    wholes = cells.select(*by, "grp", "sample", "total").distinct().select(*by, F.lit(-1.0).alias("sign"), F.lit(1.0).alias("share"), F.col("total").alias("y"))
+    return kinds.union(wholes).join(facts.select(*by), by, "left_semi").groupBy(*by, "sign", "share", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def _matrix(samples: list) -> tuple[np.ndarray, list[str]]:
-    """samples x types counts, and the group of each sample; samples without counts are left out."""
-    types = sorted({r["type"] for r in samples})
-    keys = sorted({(r["sample"], r["grp"]) for r in samples})
-    out = np.zeros((len(keys), len(types)))
-    at = {k: i for i, k in enumerate(keys)}
-    for r in samples:
-        out[at[(r["sample"], r["grp"])], types.index(r["type"])] += r["cnt"] or 0
-    some = out.sum(1) > 0
-    return out[some], [k[1] for k, s in zip(keys, some, strict=True) if s]
+#: Bounds of the log precision of a Dirichlet-multinomial, points of a grid, and how often it is drawn again between the best point's neighbours.
+DM_RANGE, POINTS, REDRAWN = (-10.0, 12.0), 13, 4
 
 
-def dm_precision(long: DataFrame, by: list[str]) -> DataFrame:
-    """by, log_prec, var_log_prec, identifiable of a long count table (by, type, sample, grp, cnt)."""
-    return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp")], "log_prec double, var_log_prec double, identifiable boolean", _one_by_one(lambda s: numerics.estimate_dm_precision(_matrix(s)[0])))
+def maximum(terms: DataFrame, by: list[str], value: Callable[[Column], Column], low: float, high: float) -> DataFrame:
+    """(by, x, best): where the sum of value(x) over an event's rows is greatest between two bounds, and how great.
 
+    The rows meet each point of a grid and are summed by (event, point); then the grid is drawn between the best point's neighbours, and at last
+    the top of the parabola through the best point and its neighbours is taken. Every step is a grouping by the event.
+    """
+    ends = terms.select(*by).distinct().withColumns({"low": F.lit(low), "high": F.lit(high)})
+    k = F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("k")
+    at = F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") / (POINTS - 1))
+    for last in [False] * REDRAWN + [True]:
+        points = ends.select(*by, "low", "high", k).withColumn("x", at)
+        sums = terms.join(points, by).withColumn("v", value(F.col("x"))).groupBy(*by, "k").agg(F.first("x").alias("x"), F.sum("v").alias("v"))
+        line = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "x", "v"))).alias("line"))  # POINTS items
+        values = F.transform("line", lambda p: p["v"])
+        line = line.withColumn("i", F.array_position(values, F.array_max(values)).cast("int"))
+        nth = lambda i: F.element_at("line", i)
+        if not last:
+            ends = save(line.select(*by, nth(F.greatest(F.col("i") - 1, F.lit(1)))["x"].alias("low"), nth(F.least(F.col("i") + 1, F.lit(POINTS)))["x"].alias("high")), "grid")
+    top = nth(F.col("i"))
+    inner = (F.col("i") > 1) & (F.col("i") < POINTS)
+    left, right = nth(F.greatest(F.col("i") - 1, F.lit(1)))["v"], nth(F.least(F.col("i") + 1, F.lit(POINTS)))["v"]
+    bend = left - 2 * top["v"] + right
+    step = nth(F.lit(2))["x"] - nth(F.lit(1))["x"]
+    return line.select(*by, (top["x"] + F.when(inner & (bend < 0), 0.5 * (left - right) / bend).otherwise(0.0) * step).alias("x"), top["v"].alias("best"))
 
-def dm_test(long: DataFrame, by: list[str]) -> DataFrame:
-    """by, LRT, df, pvalue, effect_size, model: one set of proportions against one for each group, at the precision exp(log_prec_mod) of the rows.
 
-    effect_size is the change, from the first group to the second, of the log ratio of the first type to the last.
+def dm_precision(long: DataFrame, by: list[str]) -> DataFrame:
+    """by, log_prec, var_log_prec, identifiable of a long count table (by, type, sample, grp, cnt): Dirichlet-multinomials with the types' shares of all counts plugged in.
+
+    The variance is that of the curvature; events whose likelihood has no top have no row. identifiable: better than a multinomial at the 5 % point of one degree, and not at the upper bound.
     """
+    terms = save(_dm_terms(_type_counts(long, by), by), "dm-terms")
+    rise = lambda f, a: F.col("w") * F.col("sign") * f(a * F.col("share"), F.col("y"))
+    found = save(maximum(terms, by, lambda x: rise(special.log_rising, F.exp(x)), *DM_RANGE), "dm-tops")
+    a = F.exp("x")
+    bends = terms.join(found, by).groupBy(*by, "x", "best").agg(
+        (F.first(a) * F.first(a) * F.sum(F.col("share") * F.col("share") * rise(special.trigamma_rise, a))).alias("bend"), F.sum(F.when(F.col("sign") > 0, F.col("w") * F.col("y") * F.log("share"))).alias("flat")
+    )
+    sure = (2 * (F.col("best") - F.col("flat")) > CHI2_95) & (F.col("x") < DM_RANGE[1] - 1e-3)
+    return bends.where("bend < 0").select(*by, F.col("x").alias("log_prec"), (-1 / F.col("bend")).alias("var_log_prec"), sure.alias("identifiable"))
 
-    def likelihood(c: np.ndarray, a: float) -> float:
-        pi = np.maximum(c.sum(0) / c.sum(), 1e-300)
-        ap = a * pi / pi.sum()
-        lg = numerics.lgamma
-        return float(len(c) * lg(np.array([a]))[0] - lg(c.sum(1) + a).sum() + (lg(c + ap) - lg(ap)).sum())
 
-    def run(samples: list) -> tuple | None:
-        z = samples[0]["log_prec_mod"]
-        counts, groups = _matrix(samples)
-        levels = sorted(set(groups))
-        if z is None or not np.isfinite(z) or len(counts) < 2 or len(levels) < 2 or (counts.sum(0) > 0).sum() < 2:
-            return None
-        a, g = float(np.exp(z)), np.array(groups)
-        ratio = max(2 * (sum(likelihood(counts[g == x], a) for x in levels) - likelihood(counts, a)), 0.0)
-        df = (counts.shape[1] - 1) * (len(levels) - 1)
-        p = [np.maximum(counts[g == x].sum(0) / counts[g == x].sum(), 1e-10) for x in levels[:2]]
-        return ratio, df, float(numerics.chi2_tail(np.array([ratio]), df)[0]), float(np.log(p[1][0] / p[1][-1]) - np.log(p[0][0] / p[0][-1]))
+#: The 95 % point of a chi-square of one degree.
+CHI2_95 = 3.841458820694124
 
-    return _per_event(long, by, [F.col("type"), F.col("cnt"), F.col("grp"), F.col("log_prec_mod")], "LRT double, df int, pvalue double, effect_size double", _one_by_one(run)).withColumn("model", F.lit("dirmult_EBplugin"))
+
+def dm_test(long: DataFrame, by: list[str]) -> DataFrame:
+    """by, LRT, df, pvalue, effect_size, model: one set of shares against one for each group, at the precision exp(log_prec_mod) of the rows.
+
+    What samples' totals add is the same on both sides, so the ratio is a sum over (sample, type). effect_size is the change, from the first group to the second, of
+    the log ratio of the first type to the last.
+    """
+    prec = long.groupBy(*by).agg(F.exp(F.min("log_prec_mod")).alias("a")).where("a is not null")
+    cells = _type_counts(long, by)
+    event = lambda *more: W.partitionBy(*by, *more)
+    shares = cells.withColumns({"common": F.sum("cnt").over(event("type")) / F.sum("cnt").over(event()), "own": F.sum("cnt").over(event("grp", "type")) / F.sum("cnt").over(event("grp"))})
+    gain = F.when(F.col("cnt") > 0, special.log_rising(F.col("a") * F.col("own"), F.col("cnt")) - special.log_rising(F.col("a") * F.col("common"), F.col("cnt"))).otherwise(0.0)
+    sums = shares.join(prec, by).groupBy(*by).agg(
+        F.greatest(2 * F.sum(gain), F.lit(0.0)).alias("LRT"), F.count_distinct("type").alias("types"), F.count_distinct("grp").alias("groups"), F.count_distinct("grp", "sample").alias("samples"),
+        F.count_distinct(F.when(F.col("cnt") > 0, F.col("type"))).alias("some"), F.array_sort(F.collect_set(F.struct("grp", "type", F.greatest("own", F.lit(1e-10)).alias("own")))).alias("table"),  # groups x types
+    ).where("samples >= 2 and groups >= 2 and some >= 2")
+    first = lambda g, t: F.element_at("table", ((g - 1) * F.col("types") + t).cast("int"))["own"]
+    ratio = lambda g: F.log(first(F.lit(g), F.lit(1)) / first(F.lit(g), F.col("types")))
+    df = ((F.col("types") - 1) * (F.col("groups") - 1)).cast("int")
+    return sums.select(*by, "LRT", df.alias("df"), special.chi2_tail(F.col("LRT"), df).alias("pvalue"), (ratio(2) - ratio(1)).alias("effect_size"), F.lit("dirmult_EBplugin").alias("model"))
 
 
 def apply_test(rows: DataFrame, by: list[str], test: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, errors: bool = False) -> DataFrame:
@@ -364,11 +456,14 @@ MODELS = ("betabinom_EBmap", "betabinom_EBapprox", "betabinom_MLE", "dirmult_EBp
 def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], table: list[tuple[str, str, str]] = COMPARISONS, trend: bool = False, alpha: float = 0.05, delta: float = 0.0, share_dispersion: str | None = None, filtering: bool = True) -> DataFrame:
     """From event counts (long type counts for dirmult_EBplugin) to adjusted and flagged results.
 
-    share_dispersion names the comparison whose estimates stand for those of all comparisons of an event. With trend,
+    Contrasts are (treated, reference) groups; samples of other groups are left out. Effects, filtering and adjustment are of each contrast alone, and so is
+    wilcoxon, which tests the contrast's two groups; dirmult_EBplugin has one test over all groups. share_dispersion names the comparison whose estimates stand for those of all comparisons of an event. With trend,
     precisions are shrunk to their trend over baseMean, and betabinom_EBmap takes that trend and the spread around it as each event's prior.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
+    groups = sorted({g for pair in contrasts for g in pair})
+    counts = counts.where(F.col("grp").isin(groups))
     if model == "dirmult_EBplugin":
         by = ["gene", "event"]
         prec = save(dm_precision(counts, by), "precision")
@@ -377,7 +472,7 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
             mod = moderate_trend(prec, means, by, "log_prec", "var_log_prec").withColumnRenamed("z_mod", "log_prec_mod")
         else:
             mod = moderate_precision(prec, [])
-        middle = mod.agg(F.median("log_prec_mod")).first()[0]
+        middle = medians(mod, [], ["log_prec_mod"]).first()[0]
         rows = counts.join(mod.select(*by, "log_prec_mod"), by, "left").withColumn("log_prec_mod", F.coalesce("log_prec_mod", F.lit(middle)))
         results = dm_test(rows, by).join(means, by, "left").withColumn("contrast", F.lit("all"))
         return add_significant(adjust(save(results, "results"), alpha=alpha, filtering=filtering), alpha, delta)
@@ -385,7 +480,7 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
     means = base_mean(rows)
     used = pseudocount(rows)
     if model == "wilcoxon":
-        results = wilcoxon_test(used).withColumn("contrast", F.lit(":".join(contrasts[0])))
+        results = reduce(DataFrame.unionByName, [wilcoxon_test(used.where(F.col("grp").isin(trt, ref)), first=ref).withColumn("contrast", F.lit(f"{trt}:{ref}")) for trt, ref in contrasts])
     elif model == "betabinom_MLE":
         results = wald_test(used, contrasts, model)
     else:
@@ -409,6 +504,6 @@ def run_test(counts: DataFrame, model: str, contrasts: list[tuple[str, str]], ta
             mode = dispersion(rows_with_prior, prior=(mean, sd)).select(*EVENT, F.log("phi").alias("z_map"))
             z_mod = z_mod.join(mode, EVENT, "full").select(*EVENT, F.coalesce("z_map", "z_mod").alias("z_mod"))
         results = wald_test(impute(used.join(z_mod, EVENT, "left"), z_mod), contrasts, model)
-    trt, ref = contrasts[0]
-    results = results.join(means, EVENT, "left").join(lfc_summary(rows, ref, trt), EVENT, "left")
+    effects = reduce(DataFrame.unionByName, [lfc_summary(rows, ref, trt).withColumn("contrast", F.lit(f"{trt}:{ref}")) for trt, ref in contrasts])
+    results = results.join(means, EVENT, "left").join(effects, [*EVENT, "contrast"], "left")
     return add_significant(adjust(save(results, "results"), alpha=alpha, by=["contrast"], filtering=filtering), alpha, delta)

@@ -325,3 +325,78 @@ from .graph_oracles import GRAPH  # noqa: E402
 from .result_oracles import RESULT  # noqa: E402
 
 ORACLES |= GRAPH | RESULT
+
+#: erfc(x) for x >= 0, as an SQL expression: the series up to 2, the continued fraction beyond.
+def _erfc(x: str) -> str:
+    series = f"list_reduce([struct_pack(t := {x}, s := {x})] || [struct_pack(t := 0.0::DOUBLE, s := (2.0 * k + 1)::DOUBLE) FOR k IN range(1, 61)], lambda a, b: struct_pack(t := a.t * 2 * {x} * {x} / b.s, s := a.s + a.t * 2 * {x} * {x} / b.s)).s"
+    deep = f"list_reduce([{x}] || [(81 - k)::DOUBLE FOR k IN range(1, 81)], lambda t, k: {x} + k / 2 / t)"
+    return f"CASE WHEN {x} < 2 THEN 1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * {series} ELSE exp(-({x}) * ({x})) / (sqrt(pi()) * {deep}) END"
+
+
+_LONG = """
+long AS (SELECT gene, event, sample, grp, 'ref' AS type, ref::DOUBLE AS cnt FROM v_events UNION ALL SELECT gene, event, sample, grp, 'diff1', diff1 FROM v_events UNION ALL SELECT gene, event, sample, grp, 'diff2', diff2 FROM v_events WHERE diff2 IS NOT NULL),
+cells AS (SELECT * FROM (SELECT *, sum(cnt) OVER (PARTITION BY gene, event, sample, grp) AS total FROM long) WHERE total > 0),
+shares AS (SELECT *, sum(cnt) OVER (PARTITION BY gene, event, type) / sum(cnt) OVER (PARTITION BY gene, event) AS share, sum(cnt) OVER (PARTITION BY gene, event, grp, type) / sum(cnt) OVER (PARTITION BY gene, event, grp) AS own FROM cells),
+facts AS (SELECT gene, event, count(DISTINCT sample) AS samples, count(DISTINCT type) AS types, count(DISTINCT grp) AS groups, count(DISTINCT type) FILTER (WHERE cnt > 0) AS some_types FROM cells GROUP BY gene, event)"""
+
+
+def _rise(a: str, y: str) -> str:
+    """ln gamma(a + y) - ln gamma(a) without loss where a is large, as DuckDB works it out."""
+    return f"CASE WHEN {a} < 1e5 THEN lgamma({a} + {y}) - lgamma({a}) ELSE {y} * ln({a}) + ({a} + {y} - 0.5) * ({y} / {a} - ({y} / {a}) ** 2 / 2 + ({y} / {a}) ** 3 / 3 - ({y} / {a}) ** 4 / 4) - {y} END"
+
+
+_MONTHS = """
+ev3 AS (SELECT *, CASE WHEN sample <= 4 THEN 'a' WHEN sample <= 8 THEN 'b' ELSE 'c' END AS g3 FROM v_events),
+cmp AS (SELECT gene, event, 'diff1_vs_ref' AS comparison, sample, g3 AS grp, diff1 AS diff, ref FROM ev3 WHERE diff1 IS NOT NULL UNION ALL SELECT gene, event, 'diff2_vs_ref', sample, g3, diff2, ref FROM ev3 WHERE diff2 IS NOT NULL),
+big AS (SELECT gene, event, comparison, avg((diff + ref)::DOUBLE) AS base FROM cmp GROUP BY ALL HAVING count(*) >= 5),
+ups AS (SELECT c.*, CASE WHEN c.ref = 0 THEN 1 ELSE c.ref END AS ref1 FROM cmp c JOIN big b ON b.gene = c.gene AND b.event = c.event AND b.comparison = c.comparison),
+con AS (SELECT u.*, k.contrast, diff::DOUBLE / (diff + ref1) AS prop FROM ups u JOIN (VALUES ('b:a', 'b'), ('c:a', 'c')) k(contrast, trt) ON u.grp = 'a' OR u.grp = k.trt WHERE diff + ref1 > 0),
+rk AS (SELECT *, rank() OVER (PARTITION BY gene, event, comparison, contrast ORDER BY prop) + (count(*) OVER (PARTITION BY gene, event, comparison, contrast, prop) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene, event, comparison, contrast, prop) AS same FROM con),
+rs AS (SELECT gene, event, comparison, contrast, count(*) FILTER (WHERE grp = 'a') AS m, count(*) FILTER (WHERE grp <> 'a') AS n, (sum(r) FILTER (WHERE grp = 'a'))::DOUBLE AS w, sum(same * same - 1)::DOUBLE AS ties, avg(prop) FILTER (WHERE grp = 'a') AS p1, avg(prop) FILTER (WHERE grp <> 'a') AS p2
+  FROM rk GROUP BY ALL HAVING count(DISTINCT grp) = 2 AND sum(diff) <> 0),
+us AS (SELECT *, w - m * (m + 1) / 2 AS u FROM rs),
+pairs AS (SELECT DISTINCT m, n FROM us WHERE ties = 0),
+ways AS (SELECT m, n, 0::BIGINT AS k, 0::BIGINT AS i, 0::BIGINT AS u FROM pairs UNION ALL SELECT m, n, k + 1, i + b, u + CASE WHEN b = 1 THEN k - i ELSE 0 END FROM ways, (VALUES (0), (1)) v(b) WHERE k < m + n AND i + b <= m AND (k - i) + (1 - b) <= n),
+dist AS (SELECT m, n, u, count(*)::DOUBLE AS c FROM ways WHERE k = m + n GROUP BY m, n, u),
+tail AS (SELECT s.gene, s.event, s.comparison, s.contrast, sum(d.c) FILTER (WHERE d.u <= s.u) / sum(d.c) AS low, sum(d.c) FILTER (WHERE d.u >= s.u) / sum(d.c) AS high FROM us s JOIN dist d ON d.m = s.m AND d.n = s.n WHERE s.ties = 0 GROUP BY ALL),
+zs AS (SELECT *, greatest(abs(u - m * n / 2.0) - 0.5, 0) / nullif(sqrt(m * n / 12.0 * (m + n + 1 - ties / ((m + n) * (m + n - 1)))), 0) / sqrt(2.0) AS z FROM us),
+ps AS (SELECT z.gene, z.event, z.comparison, z.contrast, CASE WHEN z.ties = 0 THEN least(1.0, 2 * CASE WHEN z.u > z.m * z.n / 2.0 THEN t.high ELSE t.low END) WHEN z.z IS NOT NULL THEN least(1.0, {erfc}) END AS pvalue, z.p2 - z.p1 AS effect
+  FROM zs z LEFT JOIN tail t ON t.gene = z.gene AND t.event = z.event AND t.comparison = z.comparison AND t.contrast = z.contrast),
+eff AS (SELECT gene, event, comparison, contrast, avg(diff::DOUBLE) FILTER (WHERE grp <> 'a') AS dt, avg(diff::DOUBLE) FILTER (WHERE grp = 'a') AS dr, avg(ref::DOUBLE) FILTER (WHERE grp <> 'a') AS rt, avg(ref::DOUBLE) FILTER (WHERE grp = 'a') AS rr
+  FROM (SELECT u.*, k.contrast FROM ups u JOIN (VALUES ('b:a', 'b'), ('c:a', 'c')) k(contrast, trt) ON u.grp = 'a' OR u.grp = k.trt) GROUP BY ALL),
+sm AS (SELECT contrast, gene, min(s) AS pvalue FROM (SELECT contrast, gene, pvalue * count(*) OVER (PARTITION BY contrast, gene) / row_number() OVER (PARTITION BY contrast, gene ORDER BY pvalue) AS s FROM ps WHERE pvalue IS NOT NULL) GROUP BY ALL)"""
+
+ORACLES |= {
+    "wilcoxon_contrasts": "WITH RECURSIVE " + duck("v_events") + "," + _MONTHS.replace("{erfc}", _erfc("z.z")) + f""",
+gg AS (SELECT contrast, gene, bh AS padj_gene FROM {_bh('sm', 'contrast')}),
+sel AS (SELECT p.* FROM ps p JOIN gg ON gg.contrast = p.contrast AND gg.gene = p.gene WHERE gg.padj_gene < 0.5 AND p.pvalue IS NOT NULL),
+w AS (SELECT contrast, gene, event, comparison, bh FROM {_bh('sel', 'contrast, gene')}),
+fx AS (SELECT *, abs(log2((dt + 1) / (dr + 1))) - abs(log2((rt + 1) / (rr + 1))) AS net, dt / nullif(dt + rt, 0) - dr / nullif(dr + rr, 0) AS dpi FROM eff)
+SELECT p.gene, p.event, p.comparison, p.contrast, round(p.pvalue, 8) AS pvalue, round(p.effect, 8) AS effect_size, round(b.base, 8) AS baseMean, round(f.net, 8) AS lfc_diff_net, round(f.dpi, 8) AS delta_pi, round(gg.padj_gene, 8) AS padj_gene, round(w.bh, 8) AS padj,
+  coalesce(w.bh < 0.5, false) AND coalesce(f.net > 0, true) AND coalesce(abs(f.dpi) >= 0.1, true) AS significant
+FROM ps p JOIN big b ON b.gene = p.gene AND b.event = p.event AND b.comparison = p.comparison LEFT JOIN fx f ON f.gene = p.gene AND f.event = p.event AND f.comparison = p.comparison AND f.contrast = p.contrast
+  LEFT JOIN gg ON gg.contrast = p.contrast AND gg.gene = p.gene LEFT JOIN w ON w.contrast = p.contrast AND w.gene = p.gene AND w.event = p.event AND w.comparison = p.comparison""",
+    "filter_rejections": _RES + f""",
+q AS (SELECT comparison, k, quantile_cont(baseMean, k / 20.0) AS cut FROM v_results, (SELECT unnest(range(20)) AS k) WHERE baseMean IS NOT NULL GROUP BY comparison, k)""".replace("quantile_cont(baseMean, k / 20.0)", "list_extract(quantile_cont(baseMean, [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]), (k + 1)::BIGINT)") + f""",
+x AS (SELECT v.comparison, q.k, v.pvalue FROM v_results v JOIN q ON q.comparison = v.comparison AND v.baseMean >= q.cut)
+SELECT q.comparison, q.k::INT AS k, count(*) FILTER (WHERE a.bh < 0.7) AS n FROM q LEFT JOIN {_bh('x', 'comparison, k')} a ON a.comparison = q.comparison AND a.k = q.k GROUP BY q.comparison, q.k""",
+    "dirmult_ratio": _with(duck("v_events"), _LONG) + f""",
+lr AS (SELECT gene, event, greatest(2 * sum(CASE WHEN cnt > 0 THEN {_rise('(exp(event + 1.0) * own)', 'cnt')} - ({_rise('(exp(event + 1.0) * share)', 'cnt')}) ELSE 0 END), 0) AS x,
+    list(DISTINCT [grp, type, greatest(own, 1e-10)::VARCHAR]) AS t FROM shares GROUP BY gene, event),
+ends AS (SELECT gene, event, grp, max(own) FILTER (WHERE type = 'diff1') AS one, max(own) FILTER (WHERE type = 'ref') AS last FROM shares GROUP BY gene, event, grp),
+lo AS (SELECT gene, event, arg_max(v, grp) - arg_min(v, grp) AS effect FROM (SELECT *, ln(greatest(one, 1e-10) / greatest(last, 1e-10)) AS v FROM ends) GROUP BY gene, event),
+d AS (SELECT l.gene, l.event, l.x, ((f.types - 1) * (f.groups - 1))::INT AS df, o.effect FROM lr l JOIN facts f ON f.gene = l.gene AND f.event = l.event JOIN lo o ON o.gene = l.gene AND o.event = l.event WHERE f.samples >= 2 AND f.groups >= 2 AND f.some_types >= 2)
+SELECT gene, event, round(x, 6) AS LRT, df, round(CASE df WHEN 2 THEN exp(-x / 2) ELSE {_erfc('sqrt(x / 2)')} END, 8) AS pvalue, round(effect, 6) AS effect_size FROM d""",
+    "dirmult_precision": "WITH " + duck("v_events") + "," + _LONG + """,
+ok AS (SELECT gene, event FROM facts WHERE samples >= 2 AND some_types >= 2),
+terms AS (SELECT gene, event, 1.0::DOUBLE AS sg, share, cnt AS y, 1.0::DOUBLE AS k FROM shares WHERE cnt > 0 UNION ALL SELECT DISTINCT gene, event, -1.0, 1.0, total, count(*) OVER (PARTITION BY gene, event, total, type)::DOUBLE FROM cells WHERE type = 'ref'),
+t AS (SELECT t.* FROM terms t JOIN ok ON ok.gene = t.gene AND ok.event = t.event),
+g0 AS (SELECT gene, event, -10.0::DOUBLE AS lo, 12.0::DOUBLE AS hi FROM ok)""" + "".join(f""",
+v{r} AS (SELECT g.gene, g.event, p.k, g.lo + (g.hi - g.lo) * (p.k / 12.0) AS x, g.lo, g.hi, sum(t.k * t.sg * ({_rise('(exp(g.lo + (g.hi - g.lo) * (p.k / 12.0)) * t.share)', 't.y')})) AS v FROM g{r} g JOIN t ON t.gene = g.gene AND t.event = g.event, (SELECT unnest(range(13)) AS k) p GROUP BY g.gene, g.event, p.k, g.lo, g.hi),
+b{r} AS (SELECT gene, event, arg_max(k, v) AS i, max(v) AS best FROM v{r} GROUP BY gene, event),
+g{r + 1} AS (SELECT v.gene, v.event, min(v.x) AS lo, max(v.x) AS hi, max(b.best) AS best, max(v.x) FILTER (WHERE v.k = b.i) AS x, max(v.v) FILTER (WHERE v.k = b.i - 1) AS l, max(v.v) FILTER (WHERE v.k = b.i + 1) AS rr, max((v.hi - v.lo) / 12) AS step
+  FROM v{r} v JOIN b{r} b ON b.gene = v.gene AND b.event = v.event WHERE abs(v.k - b.i) <= 1 GROUP BY v.gene, v.event)""" for r in range(5)) + """,
+top AS (SELECT gene, event, best, x + coalesce(CASE WHEN l - 2 * best + rr < 0 THEN 0.5 * (l - rr) / (l - 2 * best + rr) END, 0) * step AS x FROM g5),
+sums AS (SELECT t.gene, t.event, o.x, o.best, exp(o.x) ** 2 * sum(t.k * t.sg * t.share ** 2 * (SELECT -sum(1 / (exp(o.x) * t.share + j) ** 2) FROM range(0, t.y::BIGINT) r(j))) AS bend, sum(CASE WHEN t.sg > 0 THEN t.k * t.y * ln(t.share) END) AS flat FROM top o JOIN t ON t.gene = o.gene AND t.event = o.event GROUP BY t.gene, t.event, o.x, o.best)
+SELECT gene, event, round(x, 3) AS log_prec, round(-1 / bend, 3) AS var_log_prec, 2 * (best - flat) > 3.841458820694124 AND x < 12 - 1e-3 AS identifiable FROM sums WHERE bend < 0""",
+}

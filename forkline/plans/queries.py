@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import part_labels
 from ..operators import bubbles as b
 from ..operators import compare, counts, enrich, fdr, graph, intervals, mapping, splits, stats
+from ..operators.ranks import quantiles
 from ..sources.shared import save
 from .views import LEAF, ROOT, view
 
@@ -236,6 +237,45 @@ QUERIES["test_trend_filtered"] = _test("betabinom_EBapprox", trend=True, filteri
 QUERIES["test_junctions"] = _test("betabinom_EBapprox", table=stats.JUNCTION_COMPARISONS, share_dispersion="diff2_vs_diff1")
 
 
+def _three_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Event counts with the months in three groups of four."""
+    return view(spark, sf, "v_events").withColumn("grp", F.when(F.col("sample") <= 4, "a").when(F.col("sample") <= 8, "b").otherwise("c"))
+
+
+@query
+def wilcoxon_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two contrasts against one reference: rank sums, effects, nested adjustment and flags of each alone."""
+    rows = stats.run_test(_three_groups(spark, sf), "wilcoxon", [("b", "a"), ("c", "a")], alpha=0.5, filtering=False)
+    return rows.select(*stats.EVENT, "contrast", *(F.round(c, 8).alias(c) for c in ("pvalue", "effect_size", "baseMean", "lfc_diff_net", "delta_pi", "padj_gene", "padj")), "significant")
+
+
+@query
+def dirmult_precision(spark: SparkSession, sf: str) -> DataFrame:
+    """Log precisions, on a grid of 22 / 12 and four finer ones; and the multinomial's log likelihood beside the best one."""
+    long = counts.unpivot_counts(view(spark, sf, "v_events"), ["ref", "diff1", "diff2"]).where("cnt is not null")
+    rows = stats.dm_precision(long, ["gene", "event"])
+    return rows.select("gene", "event", F.round("log_prec", 3).alias("log_prec"), F.round(F.col("var_log_prec"), 3).alias("var_log_prec"), "identifiable")
+
+
+@query
+def dirmult_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Likelihood ratios of one set of shares to one for each group, at a precision that goes with the event's number."""
+    long = counts.unpivot_counts(view(spark, sf, "v_events"), ["ref", "diff1", "diff2"]).where("cnt is not null")
+    rows = stats.dm_test(long.withColumn("log_prec_mod", F.col("event").cast("double") + 1), ["gene", "event"])
+    return rows.select("gene", "event", F.round("LRT", 6).alias("LRT"), "df", F.round("pvalue", 8).alias("pvalue"), F.round("effect_size", 6).alias("effect_size"))
+
+
+@query
+def filter_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    """For each comparison and each of 20 quantiles of the filter, how many p-values are rejected among the rows that reach it."""
+    rows = view(spark, sf, "v_results").where("baseMean is not null")
+    at = [k / 20 for k in range(20)]
+    cuts = quantiles(rows, ["comparison"], "baseMean", at).groupBy(F.col("comparison").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "q"))), lambda x: x["q"]).alias("cuts"))
+    stepped = rows.join(cuts, rows.comparison == cuts.c).withColumn("step", F.size(F.filter("cuts", lambda c: c <= F.col("baseMean"))))
+    found = fdr.rejections(stepped, ["comparison"], "pvalue", "step", len(at), 0.7, "BH")
+    return found.select("comparison", F.posexplode("rejections").alias("k", "n"))
+
+
 @query
 def wilcoxon_stat(spark: SparkSession, sf: str) -> DataFrame:
     rows = stats.rank_sums(view(spark, sf, "v_comparisons"))

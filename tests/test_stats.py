@@ -22,18 +22,56 @@ def test_special_functions():
     assert np.allclose(num.chi2_tail(np.array([3.841458820694124, 5.991464547107979, 7.814727903251179, 9.487729036781154]), np.array([1, 2, 3, 4])), 0.05, atol=1e-9)
 
 
-def test_rank_sum():
-    assert num.rank_sum(np.arange(5.0), np.arange(5.0) + 10) == pytest.approx(2 / 252)
-    assert num.rank_sum(np.array([1.0, 4, 6]), np.array([2.0, 3, 5, 7])) == pytest.approx(1.0, abs=0.2)
-    tied = num.rank_sum(np.array([1.0, 1, 2, 3]), np.array([2.0, 3, 3, 4]))
-    assert 0.1 < tied < 0.3
-    # every assignment of ranks, counted
+def test_columns_of_special_functions(spark):
+    from forkline.functions import special
+
+    a, y = [1e-3, 0.3, 1.0, 2.5, 9.9, 50.0, 1e4, 1e9], [0.0, 1.0, 3.0, 40.0, 5000.0]
+    rows = spark.createDataFrame([(p, q) for p in a for q in y], "a double, y double")
+    got = rows.select("a", "y", special.log_rising(F.col("a"), F.col("y")).alias("l"), special.digamma_rise(F.col("a"), F.col("y")).alias("d"), special.trigamma_rise(F.col("a"), F.col("y")).alias("t")).collect()
+    for r in got:
+        log = sum(math.log(r.a + k) for k in range(int(r.y)))
+        assert r.l == pytest.approx(log, rel=1e-11, abs=1e-11)
+        assert r.d == pytest.approx(sum(1 / (r.a + k) for k in range(int(r.y))), rel=1e-10, abs=1e-16)
+        assert r.t == pytest.approx(-sum(1 / (r.a + k) ** 2 for k in range(int(r.y))), rel=1e-9, abs=1e-24)
+    x = [0.0, 1e-9, 0.5, 1.9999, 2.0, 3.0, 6.0, 20.0]
+    tails = spark.createDataFrame([(v,) for v in x], "x double").select("x", special.erfc(F.col("x")).alias("e"), *(special.chi2_tail(F.col("x"), F.lit(k)).alias(f"c{k}") for k in range(1, 8))).collect()
+    for r in tails:
+        assert r.e == pytest.approx(math.erfc(r.x), rel=1e-12)
+        for k in range(1, 8):
+            assert r[f"c{k}"] == pytest.approx(float(num.chi2_tail(np.array([r.x]), k)[0]), rel=1e-10), k
+
+
+def brute_rank_sum(x, y):
+    """Two-sided: every choice of ranks counted, or the normal with ties."""
     from itertools import combinations
 
-    w = [sum(c) - 6 for c in combinations(range(1, 8), 3)]
-    x, y = np.array([1.0, 2, 5]), np.array([3.0, 4, 6, 7])
-    seen = 8 - 6
-    assert num.rank_sum(x, y) == pytest.approx(min(1, 2 * sum(v <= seen for v in w) / len(w)))
+    both = sorted([*x, *y])
+    m, n = len(x), len(y)
+    u = sum(both.index(v) + (both.count(v) - 1) / 2 for v in x) - m * (m - 1) / 2
+    if len(set(both)) == len(both):
+        every = [sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m)]
+        tail = sum(v >= u for v in every) if u > m * n / 2 else sum(v <= u for v in every)
+        return min(1.0, 2 * tail / len(every))
+    ties = sum(both.count(v) ** 3 - both.count(v) for v in set(both))
+    sigma = math.sqrt(m * n / 12 * (m + n + 1 - ties / ((m + n) * (m + n - 1))))
+    return math.erfc(abs(max(abs(u - m * n / 2) - 0.5, 0) if u != m * n / 2 else 0) / sigma / math.sqrt(2)) if sigma else None
+
+
+def test_rank_sums_against_every_choice(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for e in range(40):
+        m, n = rng.randint(1, 6), rng.randint(1, 6)
+        x, y = ([rng.randint(1, 100 if e % 2 else 6) for _ in range(k)] for k in (m, n))
+        rows += [("g", e, "a", v, 101) for v in x] + [("g", e, "b", v, 101) for v in y]
+        want[e] = (brute_rank_sum(x, y), sum(y) / n / 101 - sum(x) / m / 101)
+    rows += [("g", 99, "a", 1, 0), ("g", 99, "b", 1, 10), ("g", 98, "a", 0, 10), ("g", 98, "b", 0, 10)]
+    got = {r.event: (r.pvalue, r.effect_size) for r in stats.wilcoxon_test(spark.createDataFrame(rows, "gene string, event int, grp string, y long, n long"), ["gene", "event"]).collect()}
+    assert set(got) == set(want)
+    for e, (p, effect) in want.items():
+        assert got[e] == (None if p is None else pytest.approx(p, rel=1e-9), pytest.approx(effect))
+    table = num.rank_sum_tails(30, 40)
+    assert table.low.iloc[-1] == 1 and table.high.iloc[0] == 1 and table.low.iloc[0] == pytest.approx(1 / math.comb(70, 30))
 
 
 def event_rows(spark, n, event="e"):
@@ -84,6 +122,75 @@ def test_nested_and_simes(spark):
     assert got["b", 1] == (pytest.approx(0.7), None) and got["c", 1] == (None, None)
 
 
+def brute_filtering(rows, alpha, method="BH"):
+    """padj of (p, filter) rows, with every theta's rows adjusted anew."""
+    known = sorted(f for _, f in rows if f is not None)
+    zero = sum(f == 0 for f in known) / len(known)
+    thetas = np.linspace(zero, 0.95 if zero < 0.95 else 1.0, 50).tolist()
+
+    def adjusted(cut):
+        keep = sorted((p, i) for i, (p, f) in enumerate(rows) if p is not None and f is not None and f >= cut)
+        n, out, best = len(keep), {}, 1.0
+        steps = list(enumerate(keep, 1))
+        if method == "BH":
+            for k, (p, i) in reversed(steps):
+                best = min(best, p * n / k)
+                out[i] = best
+        else:
+            best = 0.0
+            for k, (p, i) in steps:
+                best = max(best, p * (n - k + 1))
+                out[i] = min(1.0, best)
+        return out
+
+    cuts = np.quantile(known, thetas)
+    counts = [sum(v < alpha for v in adjusted(c).values()) for c in cuts]
+    return adjusted(cuts[fdr.choose_theta(thetas, counts)]), counts
+
+
+@pytest.mark.parametrize("method", ["BH", "holm"])
+def test_filtering_of_each_contrast_alone(spark, method):
+    rng = random.Random(2)
+    made = []
+    for c, power in (("x", 9), ("y", 3)):
+        for i in range(300):
+            f = float(rng.choice([0, 0, i, i // 3]))
+            made.append((c, i, None if rng.random() < 0.05 else round(rng.random() ** (power if f > 100 else 1), 3), f))
+    table = spark.createDataFrame(made, "contrast string, id int, pvalue double, baseMean double")
+    got = {(r.contrast, r.id): r.padj for r in fdr.independent_filtering(table, 0.1, method=method, by=["contrast"]).collect()}
+    for c in ("x", "y"):
+        mine = [r for r in made if r[0] == c]
+        want, counts = brute_filtering([(p, f) for _, _, p, f in mine], 0.1, method)
+        assert max(counts) > 10 or method == "holm"
+        assert all(got[c, r[1]] == (pytest.approx(want[k]) if k in want else None) for k, r in enumerate(mine))
+
+
+def test_quantiles_and_medians(spark):
+    from forkline.operators.ranks import medians, quantiles
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), None if rng.random() < 0.1 else float(rng.randint(0, 20))) for _ in range(500)] + [("empty", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    at = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    got = {(r.g, r["at"]): r.q for r in quantiles(table, ["g"], "v", at).collect()}
+    for g in ("a", "b", None):
+        assert [got[g, p] for p in at] == pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], at).tolist())
+    assert {r.g: r.v for r in medians(table, ["g"], ["v"]).collect()} == {g: (None if g == "empty" else got[g, 0.5]) for g in ("a", "b", None, "empty")}
+    assert medians(table, [], ["v"]).first()[0] == float(np.median([v for _, v in rows if v is not None]))
+
+
+def test_contrasts_have_effects_and_flags_of_their_own(spark):
+    """Of two contrasts one changes nothing and one from 20 to 60 in a hundred."""
+    rng = np.random.default_rng(9)
+    rows = [("g", e, f"{g}{s}", g, 100 - d, d, None) for e in range(12) for g, share in (("a", 20), ("b", 20), ("c", 60), ("left out", 50)) for s in range(5) for d in [int(rng.binomial(100, share / 100))]]
+    table = spark.createDataFrame(rows, "gene string, event int, sample string, grp string, ref long, diff1 long, diff2 long")
+    for model in ("betabinom_MLE", "betabinom_EBapprox", "wilcoxon"):
+        got = stats.run_test(table, model, [("b", "a"), ("c", "a")]).collect()
+        assert len(got) == 24, model
+        for r in got:
+            assert (r.delta_pi > 0.3 and r.significant) if r.contrast == "c:a" else (abs(r.delta_pi) < 0.15 and not r.significant), model
+
+
 def test_combinations(spark):
     rows = spark.createDataFrame([("g", 0.02, [3], "x"), ("g", 0.5, [1, 3], "y"), ("h", 0.0, [2], "x"), ("i", None, [2], "x")], "gene string, pvalue double, parts array<int>, side string")
     got = {r.gene: (r.pvalue, r.parts, r.primary_side) for r in fdr.combine_min_p(rows, ["gene"]).collect()}
@@ -119,6 +226,9 @@ def test_trend_prior_and_annotation(spark):
     rows = spark.createDataFrame([("c", 1.0, 0.0), ("c", -1.0, 0.0), ("d", 3.0, 3.0)], "comparison string, z double, z_trend double")
     got = {r.comparison: r.sd for r in stats.trend_prior(rows).collect()}
     assert got == {"c": pytest.approx(math.sqrt(2)), "d": pytest.approx(1.0)}
+    # without a spread around the trend that of the estimates counts
+    lone = stats.trend_prior(spark.createDataFrame([("c", 1.0, None), ("d", 4.0, None)], "comparison string, z double, z_trend double")).collect()
+    assert [r.sd for r in lone] == [pytest.approx(3 / math.sqrt(2))] * 2
     results = spark.createDataFrame([("g", 1, 0.1), ("h", 1, 0.2)], "gene string, event int, pvalue double")
     table = spark.createDataFrame([("g", 1, "E001", "s1"), ("g", 1, "E001", "s2")], "gene string, event int, setdiff1 string, sample string")
     assert {(r.gene, r.setdiff1) for r in compare.annotate(results, table, ["setdiff1"]).collect()} == {("g", "E001"), ("h", None)}
@@ -134,8 +244,6 @@ def test_dispersion_finds_the_truth():
     assert flat[0][0] > 300
     mode = num.estimate_precision(y[:, :10], n[:, :10], np.zeros((1, 10), int), prior=(math.log(5), 0.01))
     assert mode[0][0] == pytest.approx(5, rel=0.05)
-    log_prec, v, sure = num.estimate_dm_precision(np.stack([y[0], n[0] - y[0]], 1))
-    assert sure and abs(log_prec - math.log(20)) < 0.3 and v > 0
 
 
 def test_events_in_a_chunk_do_not_touch_each_other():
@@ -157,6 +265,54 @@ def test_events_in_a_chunk_do_not_touch_each_other():
     assert info[0, 0, 1] == pytest.approx(n[0, g[0] == 1].sum() * share * (1 - share), rel=1e-3)
 
 
+def brute_dm(counts, groups, log_prec=None):
+    """Dirichlet-multinomial by plain sums: the top of the log likelihood over a fine grid and its curvature, or at a given precision the ratio of one set of shares to one a group."""
+    likelihood = lambda rows, shares, a: sum(math.lgamma(a) - math.lgamma(a + sum(r)) + sum(math.lgamma(a * p + c) - math.lgamma(a * p) for c, p in zip(r, shares, strict=True) if p > 0) for r in rows)
+    share = lambda rows: [sum(c) / sum(map(sum, rows)) for c in zip(*rows, strict=True)]
+    rows = [r for r in counts if sum(r)]
+    if log_prec is not None:
+        kept = [(r, g) for r, g in zip(counts, groups, strict=True) if sum(r)]
+        parts = [[r for r, h in kept if h == g] for g in sorted({g for _, g in kept})]
+        return 2 * (sum(likelihood(p, share(p), math.exp(log_prec)) for p in parts) - likelihood(rows, share(rows), math.exp(log_prec)))
+    f = lambda x: likelihood(rows, share(rows), math.exp(x))
+    low, high = -10.0, 12.0
+    for _ in range(200):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if f(a) > f(b) else (a, high)
+    x = (low + high) / 2
+    h = 1e-3
+    return x, -h * h / (f(x + h) - 2 * f(x) + f(x - h)), 2 * (f(x) - sum(c * math.log(p) for r in rows for c, p in zip(r, share(rows), strict=True) if c))
+
+
+def test_dirichlet_multinomials_against_plain_sums(spark):
+    rng = np.random.default_rng(11)
+    rows, tables = [], {}
+    for e in range(8):
+        types = 2 + e % 3
+        groups = [f"g{i % (2 + e % 2)}" for i in range(10)]
+        shares = {g: rng.dirichlet(np.full(types, 3.0)) if e % 4 else np.full(types, 1 / types) for g in set(groups)}
+        table = [rng.multinomial(rng.integers(5, 200), rng.dirichlet((2.0, 20.0)[e % 2] * shares[g])).tolist() for g in groups]
+        if e == 5:
+            table[3] = [0] * types
+        tables[e] = (table, groups)
+        rows += [("g", e, f"s{i}", g, f"t{k}", int(c) if c or e != 6 else None) for i, (r, g) in enumerate(zip(table, groups, strict=True)) for k, c in enumerate(r)]
+    rows += [("g", 90, "s0", "g0", "t0", 5), ("g", 90, "s1", "g1", "t0", 5), ("g", 91, "s0", "g0", "t0", 5), ("g", 91, "s0", "g0", "t1", 5)]
+    long = spark.createDataFrame(rows, "gene string, event int, sample string, grp string, type string, cnt long")
+    got = {r.event: r for r in stats.dm_precision(long, ["gene", "event"]).collect()}
+    assert set(got) <= set(tables) and len(got) >= 6
+    for e, r in got.items():
+        x, var, gain = brute_dm(*tables[e])
+        assert r.log_prec == pytest.approx(x, abs=1e-3) and r.var_log_prec == pytest.approx(var, rel=1e-2) and r.identifiable == (gain > 3.8415)
+    tested = {r.event: r for r in stats.dm_test(long.withColumn("log_prec_mod", F.lit(1.5)), ["gene", "event"]).collect()}
+    assert set(tested) == set(tables)
+    for e, r in tested.items():
+        table, groups = tables[e]
+        assert r.LRT == pytest.approx(max(0.0, brute_dm(table, groups, 1.5)), rel=1e-8, abs=1e-9) and r.df == (len(table[0]) - 1) * (len(set(groups)) - 1)
+        assert r.pvalue == pytest.approx(float(num.chi2_tail(np.array([r.LRT]), r.df)[0]), rel=1e-8)
+        share = lambda g: np.maximum(np.sum([t for t, h in zip(table, groups, strict=True) if h == g], 0) / np.sum([t for t, h in zip(table, groups, strict=True) if h == g]), 1e-10)  # noqa: E731, B023
+        assert r.effect_size == pytest.approx(math.log(share("g1")[0] / share("g1")[-1]) - math.log(share("g0")[0] / share("g0")[-1]))
+
+
 def usage(spark, shift):
     rng = np.random.default_rng(4)
     rows = []
