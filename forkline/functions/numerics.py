@@ -11,47 +11,6 @@ import pandas as pd
 _ERFC = np.vectorize(math.erfc, otypes=[float])
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """log of the gamma function for x > 0: the argument is raised to 10 or more, then Stirling's series."""
-    x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    for _ in range(10):
-        low = x < 10
-        if not low.any():
-            break
-        shift = np.where(low, shift - np.log(np.where(low, x, 1.0)), shift)
-        x = np.where(low, x + 1, x)
-    z = 1 / (x * x)
-    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
-
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    for _ in range(10):
-        low = x < 10
-        if not low.any():
-            break
-        shift = np.where(low, shift - 1 / np.where(low, x, 1.0), shift)
-        x = np.where(low, x + 1, x)
-    z = 1 / (x * x)
-    return shift + np.log(x) - 0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
-
-
-def trigamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    for _ in range(10):
-        low = x < 10
-        if not low.any():
-            break
-        shift = np.where(low, shift + 1 / np.where(low, x, 1.0) ** 2, shift)
-        x = np.where(low, x + 1, x)
-    z = 1 / (x * x)
-    return shift + 1 / x + 0.5 * z + z / x * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z * (1 / 30 - z * 5 / 66))))
-
-
 def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(X > x) for a chi-square of a whole number of degrees: a finite sum, with erfc for odd ones."""
     x, df = np.broadcast_arrays(np.asarray(x, float), np.asarray(df, int))
@@ -79,97 +38,6 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
     return 0.5 * _ERFC(np.asarray(z, float) / math.sqrt(2))
 
 
-def _bb_terms(y: np.ndarray, n: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """Beta-binomial log-likelihoods without the binomial coefficient; phi is the precision."""
-    a, b = mu * phi, (1 - mu) * phi
-    return lgamma(y + a) - lgamma(a) + lgamma(n - y + b) - lgamma(b) - lgamma(n + phi) + lgamma(phi)
-
-
-def fit_means(y: np.ndarray, n: np.ndarray, g: np.ndarray, phi: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of the groups' means at fixed precisions, and the observed information of each.
-
-    y, n, g: events x samples (g: -1 for no sample); phi: events x precisions; returns events x precisions x groups.
-    Groups have nothing in common once the precision is fixed, so each is a Newton search in one variable with
-    bounded steps and the mean kept inside (0, 1).
-    """
-    p = phi[:, :, None]
-    eta, info = [], []
-    for k in range(int(g.max()) + 1):
-        own = g == k
-        width = max(1, int(own.sum(1).max()))
-        order = np.argsort(~own, axis=1, kind="stable")[:, :width]  # the group's samples first
-        yk, nk, w = (np.take_along_axis(x, order, 1)[:, None] for x in (y, n, own.astype(float)))
-        yk, nk = yk * w, nk * w
-        m = np.clip((yk.sum(2) + 0.5) / (nk.sum(2) + 1), 1e-6, 1 - 1e-6)
-        e = np.repeat(np.log(m / (1 - m)), phi.shape[1], 1)
-        for _ in range(rounds):
-            mu = 1 / (1 + np.exp(-e))
-            a, b, d = (mu * phi)[:, :, None], ((1 - mu) * phi)[:, :, None], p[:, :, 0] * mu * (1 - mu)
-            s = (w * (digamma(yk + a) - digamma(a) - digamma(nk - yk + b) + digamma(b))).sum(2)
-            t = (w * (trigamma(yk + a) - trigamma(a) + trigamma(nk - yk + b) - trigamma(b))).sum(2)
-            h = -(t * d * d + s * d * (1 - 2 * mu))
-            sound = h > 1e-10
-            move = np.clip(np.where(sound, s * d / np.where(sound, h, 1), np.sign(s) * 0.5), -2, 2)
-            e = np.clip(e + move, -25, 25)
-            if np.abs(move).max() < 1e-7:
-                break
-        eta.append(e)
-        info.append(h)
-    return np.stack(eta, 2), np.stack(info, 2)
-
-
-def profile(y: np.ndarray, n: np.ndarray, g: np.ndarray, log_phi: np.ndarray) -> np.ndarray:
-    """Log-likelihoods (events x precisions) with the groups' means at their best."""
-    phi = np.exp(log_phi)
-    eta, _ = fit_means(y, n, g, phi)
-    mu = 1 / (1 + np.exp(-np.take_along_axis(eta, np.maximum(g, 0)[:, None, :], 2)))
-    terms = _bb_terms(y[:, None], n[:, None], mu, phi[:, :, None])
-    return np.where((g >= 0)[:, None], terms, 0.0).sum(2)
-
-
-def search(f, low: float, high: float, events: int, points: int = 13, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Maxima of functions on events x points: a grid, then finer ones around each best point, then the top of a parabola."""
-    x = np.tile(np.linspace(low, high, points), (events, 1))
-    v = f(x)
-    rows = np.arange(events)
-    for _ in range(rounds):
-        i = v.argmax(1)
-        a, b = x[rows, np.maximum(i - 1, 0)], x[rows, np.minimum(i + 1, points - 1)]
-        x = a[:, None] + (b - a)[:, None] * np.linspace(0, 1, points)[None]
-        v = f(x)
-    i = v.argmax(1)
-    j = np.clip(i, 1, points - 2)
-    left, top, right = v[rows, j - 1], v[rows, j], v[rows, j + 1]
-    bend = left - 2 * top + right
-    shift = np.where((bend < 0) & (i == j), 0.5 * (left - right) / np.where(bend < 0, bend, -1), 0.0)
-    return x[rows, i] + shift * (x[:, 1] - x[:, 0]), v[rows, i]
-
-
-def estimate_precision(y: np.ndarray, n: np.ndarray, g: np.ndarray, prior: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phi, Var(phi), identifiable) of beta-binomials with a mean for each group, or with a normal prior (mean, sd; one of each or one an event) on log phi their modes.
-
-    y, n, g: events x samples, g -1 for no sample. identifiable: the likelihood ratio to a binomial with the same means
-    is above the 5 % point of one degree.
-    """
-    if prior:
-        mean, sd = (np.asarray(v, float).reshape(-1, 1) for v in prior)
-    penalty = (lambda x: -((x - mean) ** 2) / (2 * sd**2)) if prior else (lambda x: 0.0 * x)
-    whole = lambda x: profile(y, n, g, x) + penalty(x)
-    x, best = search(whole, -5.0, 18.0, len(y))
-    step = 1e-3
-    around = whole(x[:, None] + np.array([-step, 0, step])[None])
-    curve = (around[:, 0] - 2 * around[:, 1] + around[:, 2]) / step**2
-    binomial = np.zeros(len(y))
-    for k in range(int(g.max()) + 1):
-        own = g == k
-        total_y, total_n = np.where(own, y, 0).sum(1), np.where(own, n, 0).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            m = total_y / total_n
-            binomial += np.where(total_y > 0, total_y * np.log(m), 0) + np.where(total_n > total_y, (total_n - total_y) * np.log(1 - m), 0)
-    phi = np.exp(x)
-    return phi, np.where(curve < -1e-8, phi * phi / np.where(curve < -1e-8, -curve, 1), np.inf), 2 * (best - binomial) > 3.841458820694124
-
-
 def rank_sum_tails(m: int, n: int) -> pd.DataFrame:
     """(m, n, u, low, high): for each excess u of the rank sum of m of m + n untied values over its least, the shares of all choices with u or less, and with u or more."""
     ways = [1]

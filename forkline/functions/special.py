@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Arguments are raised by so much before an asymptotic series is used.
 RAISED = 8
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start in here have long expressions split into methods that the JVM compiles; one method of more than 8,000 bytes of code would be interpreted, six times slower. The session's own setting comes back."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 

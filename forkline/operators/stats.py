@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -169,64 +170,130 @@ def impute(rows: DataFrame, table: DataFrame) -> DataFrame:
 # --- estimates and tests of single events ----------------------------------------------------------------------
 
 
-#: Events whose samples are worked on together.
-CHUNK = 64
+#: Bounds of the log precision of a beta-binomial; Newton steps of the means at each point of the grid, of those that are tested, and of all parameters at once.
+BB_RANGE, STEPS, MORE_STEPS, CLIMB = (-5.0, 18.0), 6, 14, 8
 
 
-def _per_event(rows: DataFrame, by: list[str], columns: list[Column], schema: str, run: Callable[[list], list]) -> DataFrame:
-    """Gather each event's samples (as many as the experiment has) in one row; `run` makes a tuple, or None for no row, of each event of a chunk."""
-    table = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("sample", *columns))).alias("rows"))
-    names = [c.split()[0] for c in schema.split(", ")]
+def _samples(rows: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """(by, grp, y, z, n, more): samples with counts, of which y are the event's and z the rest, of events with two or more."""
+    some = rows.where("n > 0")
+    many = some.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select(*by)
+    return some.join(many, by, "left_semi").select(*by, "grp", F.col("y").cast("double").alias("y"), (F.col("n") - F.col("y")).cast("double").alias("z"), F.col("n").cast("double").alias("n"), *more)
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), CHUNK):
-                part = frame.iloc[at : at + CHUNK]
-                got = run(list(part["rows"]))
-                keep = [g is not None for g in got]
-                values = pd.DataFrame([g for g in got if g is not None], columns=names)
-                yield pd.concat([part.loc[keep, by].reset_index(drop=True), values], axis=1)
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*by).schema)
-    return table.mapInPandas(each, f"{head}, {schema}")
+_COLUMNS: dict[tuple, dict[str, Column]] = {}
+
+
+def _columns(name: str, make: Callable[[], dict[str, Column]]) -> dict[str, Column]:
+    """Long expressions over fixed column names, built once for each JVM."""
+    key = (id(SparkContext._gateway), name)
+    if key not in _COLUMNS:
+        _COLUMNS[key] = make()
+    return _COLUMNS[key]
+
+
+def _rises() -> dict[str, Column]:
+    """Of a sample, at a = mu phi and b = (1 - mu) phi: differences of digamma and trigamma that its likelihood's derivatives are made of."""
+    a, b, y, z = map(F.col, ("a", "b", "y", "z"))
+    return {"da": special.digamma_rise(a, y), "db": special.digamma_rise(b, z), "ta": special.trigamma_rise(a, y), "tb": special.trigamma_rise(b, z)}
+
 
+def _whole_rises() -> dict[str, Column]:
+    return {"dn": special.digamma_rise(F.col("phi"), F.col("n")), "tn": special.trigamma_rise(F.col("phi"), F.col("n"))}
 
-def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """y, n, group numbers and group names of an event's samples with counts."""
-    y, n, g = np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float), np.array([r["grp"] for r in rows])
-    use = n > 0
-    levels, codes = np.unique(g[use], return_inverse=True)
-    return y[use], n[use], codes, levels.tolist()
 
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("mu", 1 / (1 + F.exp(-F.col("e")))).withColumns({"a": F.col("mu") * F.col("phi"), "b": (1 - F.col("mu")) * F.col("phi")}).withColumns(_columns("rises", _rises))
 
-def _padded(arrays: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Events x samples, filled up with samples of group -1."""
-    width = max(len(a[0]) for a in arrays)
-    fill = lambda k, value: np.array([np.r_[a[k], np.full(width - len(a[k]), value)] for a in arrays])
-    return fill(0, 0.0), fill(1, 0.0), fill(2, -1).astype(int)
 
+def _clipped(column: Column, most: float) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), column))
 
-def _precisions(arrays: list[tuple], prior: tuple | None = None) -> list[tuple]:
-    return [(float(p), float(v), bool(s)) for p, v, s in zip(*numerics.estimate_precision(*_padded(arrays), prior), strict=True)]
+
+def fit_means(rows: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    """`rows` (keys, grp, y, z, n, phi) with the group's mean mu, a, b, its logit e and the information h on that, at the precision phi.
+
+    Groups have nothing in common once the precision is fixed, so each is a Newton search in one variable, with bounded steps; a step is two sums over
+    the group's rows, and all steps keep the rows where they are.
+    """
+    group = W.partitionBy(*keys, "grp")
+    start = (F.sum("y").over(group) + 0.5) / (F.sum("n").over(group) + 1)
+    rows = rows.withColumn("start", start).withColumn("e", F.log(F.col("start") / (1 - F.col("start")))).drop("start")
+    d = F.col("phi") * F.col("mu") * (1 - F.col("mu"))
+    h = -(F.col("t") * d * d + F.col("s") * d * (1 - 2 * F.col("mu")))
+    move = F.when(F.col("h") > 1e-10, F.col("s") * d / F.col("h")).otherwise(F.signum("s") * 0.5)
+    for step in range(steps + 1):
+        rows = _placed(rows).withColumns({"s": F.sum(F.col("da") - F.col("db")).over(group), "t": F.sum(F.col("ta") + F.col("tb")).over(group)}).withColumn("h", h)
+        if step < steps:
+            rows = rows.withColumn("e", _clipped(F.col("e") + _clipped(move, 2.0), 25.0))
+    return rows
+
+
+def _climbed(rows: DataFrame, by: list[str], steps: int, penalised: bool) -> DataFrame:
+    """`rows` (by, grp, y, z, n, e, x, low, high) with the log precision x and the means' logits e at the top of the likelihood, by Newton steps in all of them at once; x stays between low and high.
+
+    Groups meet in the precision alone, so the matrix of second derivatives is an arrow: a step is sums over the groups' rows, and sums of these over the event's.
+    Leaves curve, the second derivative by x with the means at their best.
+    """
+    group, event = W.partitionBy(*by, "grp"), W.partitionBy(*by)
+    mu, phi = F.col("mu"), F.col("phi")
+    v = phi * mu * (1 - mu)
+    rows = rows.withColumn("members", F.count(F.lit(1)).over(group))
+    sums = {
+        "s": F.col("da") - F.col("db"), "t": F.col("ta") + F.col("tb"), "mixed": F.col("da") - F.col("db") + phi * (mu * F.col("ta") - (1 - mu) * F.col("tb")),
+    }
+    slope = mu * F.col("da") + (1 - mu) * F.col("db") - F.col("dn")
+    bend = mu * mu * F.col("ta") + (1 - mu) * (1 - mu) * F.col("tb") - F.col("tn")
+    sure = F.col("h") > 1e-10
+    per_row = lambda c: c / F.col("members")
+    pull = -(F.col("x") - F.col("prior_mean")) / (F.col("prior_sd") * F.col("prior_sd")) if penalised else F.lit(0.0)
+    stiff = 1 / (F.col("prior_sd") * F.col("prior_sd")) if penalised else F.lit(0.0)
+    for step in range(steps + 1):
+        rows = _placed(rows.withColumn("phi", F.exp("x"))).withColumns(_columns("whole", _whole_rises))
+        rows = rows.withColumns({name: F.sum(c).over(group) for name, c in sums.items()})
+        rows = rows.withColumn("h", -(F.col("t") * v * v + F.col("s") * v * (1 - 2 * mu))).withColumns({"ge": F.col("s") * v, "xe": v * F.col("mixed")})
+        by_x = phi * slope + per_row(F.when(sure, F.col("xe") * F.col("ge") / F.col("h")).otherwise(0.0))
+        by_xx = phi * phi * bend + phi * slope + per_row(F.when(sure, F.col("xe") * F.col("xe") / F.col("h")).otherwise(0.0))
+        rows = rows.withColumns({"gx": F.sum(by_x).over(event) + pull, "curve": F.sum(by_xx).over(event) - stiff})
+        if step < steps:
+            dx = _clipped(F.when(F.col("curve") < -1e-12, -F.col("gx") / F.col("curve")).otherwise(F.signum("gx") * 0.5), 1.0)
+            rows = rows.withColumn("x2", F.greatest(F.col("low"), F.least(F.col("high"), F.col("x") + dx)))
+            de = F.when(sure, (F.col("ge") + F.col("xe") * (F.col("x2") - F.col("x"))) / F.col("h")).otherwise(F.signum("s") * 0.5)
+            rows = rows.withColumn("e", _clipped(F.col("e") + _clipped(de, 2.0), 25.0)).withColumn("x", F.col("x2")).drop("x2")
+    return rows
+
+
+def _bb_likelihood() -> dict[str, Column]:
+    """A sample's beta-binomial log likelihood without the binomial coefficient."""
+    return {"v": special.log_rising(F.col("a"), F.col("y")) + special.log_rising(F.col("b"), F.col("z")) - special.log_rising(F.col("phi"), F.col("n"))}
 
 
 def dispersion(rows: DataFrame, by: list[str] = EVENT, prior: tuple[float, float] | None = None) -> DataFrame:
     """by, phi, var_phi, identifiable: beta-binomial precision with a mean for each group, or its mode under a normal prior on its log.
 
-    The prior (mean, sd) is one for all, or each event's own where the rows have prior_mean and prior_sd.
+    The prior (mean, sd) is one for all, or each event's own where the rows have prior_mean and prior_sd. A grid of log precisions, each with the best means, finds the
+    neighbourhood of the top, and Newton steps in all parameters climb it. The variance is that of the curvature there (infinite where there is none). identifiable: better
+    than binomials with the same means at the 5 % point of one degree. Each point of the grid is a row for each sample, and everything is summed by event, point and group.
     """
     own = {"prior_mean", "prior_sd"} <= set(rows.columns)
-
-    def run(events: list) -> list:
-        arrays = [_arrays(samples) for samples in events]
-        at = [i for i, a in enumerate(arrays) if len(a[0]) >= 2]
-        priors = tuple(np.array([events[i][0][c] for i in at]) for c in ("prior_mean", "prior_sd")) if own else prior
-        out: list = [None] * len(events)
-        for i, p in zip(at, _precisions([arrays[i] for i in at], priors) if at else [], strict=True):
-            out[i] = p
-        return out
-
-    return _per_event(rows, by, [F.col("y"), F.col("n"), F.col("grp"), *([F.col("prior_mean"), F.col("prior_sd")] if own else [])], "phi double, var_phi double, identifiable boolean", run)
+    if prior and not own:
+        rows = rows.withColumns({"prior_mean": F.lit(float(prior[0])), "prior_sd": F.lit(float(prior[1]))})
+    penalised = own or prior is not None
+    terms = save(_samples(rows, by, *(["prior_mean", "prior_sd"] if penalised else [])), "samples")
+    penalty = -((F.col("x") - F.col("prior_mean")) * (F.col("x") - F.col("prior_mean"))) / (2 * F.col("prior_sd") * F.col("prior_sd")) if penalised else None
+    scored = lambda joined: fit_means(joined.withColumn("phi", F.exp("x")), [*by, "k"], STEPS).withColumns(_columns("likelihood", _bb_likelihood))
+    spread = _by_event(terms, by)
+    with special.small_methods(rows.sparkSession):
+        ends = terms.select(*by).distinct().withColumns({"low": F.lit(BB_RANGE[0]), "high": F.lit(BB_RANGE[1])})
+        near = save(_grid(spread, by, ends, scored, penalty).select(*by, _point(-1)["x"].alias("low"), _point(0)["x"].alias("x"), _point(1)["x"].alias("high")), "grid")
+        at = fit_means(spread.join(near, by).withColumn("phi", F.exp("x")), by, STEPS // 2)
+        top = _climbed(at, by, CLIMB, penalised).withColumns(_columns("likelihood", _bb_likelihood))
+        y, n = F.col("y"), F.col("n")
+        groups = top.groupBy(*by, "grp").agg(F.first("phi").alias("phi"), F.first("curve").alias("curve"), F.sum("v").alias("v"), F.sum("y").alias("y"), F.sum("n").alias("n"))
+        flat = F.when(y > 0, y * F.log(y / n)).otherwise(0.0) + F.when(n > y, (n - y) * F.log(1 - y / n)).otherwise(0.0)
+        found = groups.withColumn("flat", flat).groupBy(*by).agg(F.first("phi").alias("phi"), F.first("curve").alias("curve"), F.sum("v").alias("best"), F.sum("flat").alias("flat"))
+        variance = F.when(F.col("curve") < -1e-8, F.col("phi") * F.col("phi") / -F.col("curve")).otherwise(F.lit(float("inf")))
+        return save(found.select(*by, "phi", variance.alias("var_phi"), (2 * (F.col("best") - F.col("flat")) > CHI2_95).alias("identifiable")), "dispersion")
 
 
 def prior_of(phi: DataFrame, limit: float = 1e10) -> tuple[float, float]:
@@ -244,39 +311,19 @@ def wald_test(rows: DataFrame, contrasts: list[tuple[str, str]], model: str, by:
     The precision is exp(z_mod) of the rows, or each event's own estimate where they have none (`z_mod` not a column).
     At a fixed precision groups are independent, so a contrast's variance is the sum of two inverse informations.
     """
-    fixed = "z_mod" in rows.columns
-
-    def tests(levels: list[str], eta: np.ndarray, info: np.ndarray, phi: float) -> tuple | None:
-        out = []
-        for trt, ref in contrasts:
-            if trt not in levels or ref not in levels:
-                continue
-            a, b = levels.index(trt), levels.index(ref)
-            if info[a] <= 0 or info[b] <= 0:
-                continue
-            est, se = float(eta[a] - eta[b]), float(np.sqrt(1 / info[a] + 1 / info[b]))
-            if not np.isfinite(se) or se <= 0:
-                continue
-            z2 = (est / se) ** 2
-            out.append({"contrast": f"{trt}:{ref}", "LRT": z2, "pvalue": float(numerics.chi2_tail(np.array([z2]), 1)[0]), "phi": phi, "effect_size": est})
-        return (out,) if out else None
-
-    def run(events: list) -> list:
-        arrays = [_arrays(samples) for samples in events]
-        known = [not fixed or (s[0]["z_mod"] is not None and np.isfinite(s[0]["z_mod"])) for s in events]
-        at = [i for i, a in enumerate(arrays) if known[i] and len(a[0]) >= 2 and len(a[3]) >= 2 and a[0].mean() > 0]
-        out: list = [None] * len(events)
-        if at:
-            usable = [arrays[i] for i in at]
-            phi = np.array([np.exp(events[i][0]["z_mod"]) for i in at]) if fixed else np.array([p[0] for p in _precisions(usable)])
-            eta, info = numerics.fit_means(*_padded(usable), phi[:, None])
-            for k, i in enumerate(at):
-                out[i] = tests(arrays[i][3], eta[k, 0], info[k, 0], float(phi[k]))
-        return out
-
-    columns = [F.col("y"), F.col("n"), F.col("grp"), *([F.col("z_mod")] if fixed else [])]
-    got = _per_event(rows, by, columns, "tests array<struct<contrast:string,LRT:double,pvalue:double,phi:double,effect_size:double>>", run)
-    return got.select(*by, F.inline("tests")).withColumn("model", F.lit(model))
+    if "z_mod" in rows.columns:
+        known = rows.where(F.col("z_mod").isNotNull() & ~F.isnan("z_mod"))
+        samples = _samples(known.withColumn("phi", F.exp("z_mod")), by, "phi")
+    else:
+        samples = _samples(rows, by).join(dispersion(rows, by).select(*by, "phi"), by)
+    usable = samples.groupBy(*by).agg(F.count_distinct("grp").alias("g"), F.sum("y").alias("c")).where("g >= 2 and c > 0").select(*by)
+    with special.small_methods(rows.sparkSession):
+        fits = save(fit_means(_by_event(samples.join(usable, by, "left_semi"), by), by, MORE_STEPS).groupBy(*by, "grp").agg(F.first("e").alias("e"), F.first("h").alias("h"), F.first("phi").alias("phi")), "fits")
+    of = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
+    tests = F.inline(F.array(*(F.struct(F.lit(f"{trt}:{ref}").alias("contrast"), F.col(f"c{i}").alias("c")) for i, (trt, ref) in enumerate(contrasts))))
+    wide = fits.groupBy(*by).agg(F.first("phi").alias("phi"), *(F.struct((of(trt, "e") - of(ref, "e")).alias("d"), of(trt, "h").alias("h1"), of(ref, "h").alias("h2")).alias(f"c{i}") for i, (trt, ref) in enumerate(contrasts)))
+    each = wide.select(*by, "phi", tests).where("c.h1 > 0 and c.h2 > 0 and c.d is not null").withColumn("LRT", F.col("c.d") * F.col("c.d") / (1 / F.col("c.h1") + 1 / F.col("c.h2")))
+    return each.select(*by, "contrast", "LRT", special.chi2_tail(F.col("LRT"), F.lit(1)).alias("pvalue"), "phi", F.col("c.d").alias("effect_size"), F.lit(model).alias("model"))
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -359,30 +406,43 @@ def _dm_terms(cells: DataFrame, by: list[str]) -> DataFrame:
 DM_RANGE, POINTS, REDRAWN = (-10.0, 12.0), 13, 4
 
 
-def maximum(terms: DataFrame, by: list[str], value: Callable[[Column], Column], low: float, high: float) -> DataFrame:
-    """(by, x, best): where the sum of value(x) over an event's rows is greatest between two bounds, and how great.
+def _by_event(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows dealt out by event, in as many tasks as the session asks for: they are few bytes and much work, which adaptive merging of partitions would put in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _grid(spread: DataFrame, by: list[str], ends: DataFrame, scored: Callable[[DataFrame], DataFrame], extra: Column | None = None) -> DataFrame:
+    """(by, line, i): the points (k, x, v) of a grid between each event's `low` and `high`, v the sum of the v that `scored` gives an event's rows (with `extra` added once), and the number of the best."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("k")
+    points = ends.select(*by, "low", "high", k).withColumn("x", F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") / (POINTS - 1))).drop("low", "high")
+    total = F.sum("v") if extra is None else F.sum("v") + F.first(extra)
+    sums = scored(spread.join(points, by)).groupBy(*by, "k").agg(F.first("x").alias("x"), total.alias("v"))
+    line = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "x", "v"))).alias("line"))  # POINTS items
+    values = F.transform("line", lambda p: p["v"])
+    return line.withColumn("i", F.array_position(values, F.array_max(values)).cast("int"))
+
+
+def _point(move: int) -> Column:
+    """The best point of _grid(), or the one before or behind it, as far as there is one."""
+    return F.element_at("line", F.greatest(F.lit(1), F.least(F.lit(POINTS), F.col("i") + move)))
+
 
-    The rows meet each point of a grid and are summed by (event, point); then the grid is drawn between the best point's neighbours, and at last
-    the top of the parabola through the best point and its neighbours is taken. Every step is a grouping by the event.
+def maximum(terms: DataFrame, by: list[str], scored: Callable[[DataFrame], DataFrame], low: float, high: float) -> DataFrame:
+    """(by, x, best): where the sum of `v` over an event's rows is greatest between two bounds, and how great.
+
+    The grid is drawn anew between the best point's neighbours, and at last the top of the parabola through the best point and its neighbours is taken.
+    Every step is a grouping by the event.
     """
     ends = terms.select(*by).distinct().withColumns({"low": F.lit(low), "high": F.lit(high)})
-    k = F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("k")
-    at = F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") / (POINTS - 1))
-    for last in [False] * REDRAWN + [True]:
-        points = ends.select(*by, "low", "high", k).withColumn("x", at)
-        sums = terms.join(points, by).withColumn("v", value(F.col("x"))).groupBy(*by, "k").agg(F.first("x").alias("x"), F.sum("v").alias("v"))
-        line = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "x", "v"))).alias("line"))  # POINTS items
-        values = F.transform("line", lambda p: p["v"])
-        line = line.withColumn("i", F.array_position(values, F.array_max(values)).cast("int"))
-        nth = lambda i: F.element_at("line", i)
-        if not last:
-            ends = save(line.select(*by, nth(F.greatest(F.col("i") - 1, F.lit(1)))["x"].alias("low"), nth(F.least(F.col("i") + 1, F.lit(POINTS)))["x"].alias("high")), "grid")
-    top = nth(F.col("i"))
-    inner = (F.col("i") > 1) & (F.col("i") < POINTS)
-    left, right = nth(F.greatest(F.col("i") - 1, F.lit(1)))["v"], nth(F.least(F.col("i") + 1, F.lit(POINTS)))["v"]
-    bend = left - 2 * top["v"] + right
-    step = nth(F.lit(2))["x"] - nth(F.lit(1))["x"]
-    return line.select(*by, (top["x"] + F.when(inner & (bend < 0), 0.5 * (left - right) / bend).otherwise(0.0) * step).alias("x"), top["v"].alias("best"))
+    spread = _by_event(terms, by)
+    for _ in range(REDRAWN):
+        ends = save(_grid(spread, by, ends, scored).select(*by, _point(-1)["x"].alias("low"), _point(1)["x"].alias("high")), "grid")
+    line = _grid(spread, by, ends, scored)
+    left, top, right = (_point(k)["v"] for k in (-1, 0, 1))
+    bend = left - 2 * top + right
+    inner = (F.col("i") > 1) & (F.col("i") < POINTS) & (bend < 0)
+    step = F.element_at("line", 2)["x"] - F.element_at("line", 1)["x"]
+    return line.select(*by, (_point(0)["x"] + F.when(inner, 0.5 * (left - right) / bend).otherwise(0.0) * step).alias("x"), top.alias("best"))
 
 
 def dm_precision(long: DataFrame, by: list[str]) -> DataFrame:
@@ -392,7 +452,8 @@ def dm_precision(long: DataFrame, by: list[str]) -> DataFrame:
     """
     terms = save(_dm_terms(_type_counts(long, by), by), "dm-terms")
     rise = lambda f, a: F.col("w") * F.col("sign") * f(a * F.col("share"), F.col("y"))
-    found = save(maximum(terms, by, lambda x: rise(special.log_rising, F.exp(x)), *DM_RANGE), "dm-tops")
+    with special.small_methods(long.sparkSession):
+        found = save(maximum(terms, by, lambda rows: rows.withColumn("v", rise(special.log_rising, F.exp("x"))), *DM_RANGE), "dm-tops")
     a = F.exp("x")
     bends = terms.join(found, by).groupBy(*by, "x", "best").agg(
         (F.first(a) * F.first(a) * F.sum(F.col("share") * F.col("share") * rise(special.trigamma_rise, a))).alias("bend"), F.sum(F.when(F.col("sign") > 0, F.col("w") * F.col("y") * F.log("share"))).alias("flat")

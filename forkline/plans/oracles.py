@@ -400,3 +400,88 @@ top AS (SELECT gene, event, best, x + coalesce(CASE WHEN l - 2 * best + rr < 0 T
 sums AS (SELECT t.gene, t.event, o.x, o.best, exp(o.x) ** 2 * sum(t.k * t.sg * t.share ** 2 * (SELECT -sum(1 / (exp(o.x) * t.share + j) ** 2) FROM range(0, t.y::BIGINT) r(j))) AS bend, sum(CASE WHEN t.sg > 0 THEN t.k * t.y * ln(t.share) END) AS flat FROM top o JOIN t ON t.gene = o.gene AND t.event = o.event GROUP BY t.gene, t.event, o.x, o.best)
 SELECT gene, event, round(x, 3) AS log_prec, round(-1 / bend, 3) AS var_log_prec, 2 * (best - flat) > 3.841458820694124 AND x < 12 - 1e-3 AS identifiable FROM sums WHERE bend < 0""",
 }
+
+
+def _log1p(u: str) -> str:
+    return f"(CASE WHEN 1 + {u} = 1 THEN {u} ELSE ln(1 + {u}) * ({u}) / ((1 + {u}) - 1) END)"
+
+
+def _exact_rise(a: str, y: str) -> str:
+    """ln gamma(a + y) - ln gamma(a) by Stirling's series at a + 8, without loss for any a."""
+    low, high = f"({a} + 8)", f"({a} + {y} + 8)"
+    series = lambda x: f"(1 / (12 * {x}) - 1 / (360 * {x} ** 3) + 1 / (1260 * {x} ** 5) - 1 / (1680 * {x} ** 7))"
+    steps = " * ".join(f"(1 + {y} / ({a} + {k}))" for k in range(8))
+    return f"({y} * ln({low}) + ({high} - 0.5) * {_log1p(f'({y} / {low})')} - {y} + {series(high)} - {series(low)} - ln({steps}))"
+
+
+def _digamma_rise(a: str, y: str) -> str:
+    low, high = f"({a} + 8)", f"({a} + {y} + 8)"
+    series = lambda x: f"(-1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8))"
+    steps = " + ".join(f"{y} / (({a} + {k}) * ({a} + {y} + {k}))" for k in range(8))
+    return f"({_log1p(f'({y} / {low})')} + {series(high)} - {series(low)} + {steps})"
+
+
+def _trigamma_rise(a: str, y: str) -> str:
+    low, high = f"({a} + 8)", f"({a} + {y} + 8)"
+    series = lambda x: f"(1 / (2 * {x} ** 2) + 1 / (6 * {x} ** 3) - 1 / (30 * {x} ** 5) + 1 / (42 * {x} ** 7) - 1 / (30 * {x} ** 9))"
+    steps = " + ".join(f"{y} * (2 * ({a} + {k}) + {y}) / (({a} + {k}) * ({a} + {y} + {k})) ** 2" for k in range(8))
+    return f"(-{y} / ({low} * {high}) + {series(high)} - {series(low)} - ({steps}))"
+
+
+def _newton(name: str, source: str, keys: str, steps: int) -> str:
+    """Tables name0 ... name<steps> of `source` (keys, grp, y, z, n, phi) with the logit e of the group's mean; the last one has mu and the information h too."""
+    over = f"OVER (PARTITION BY {keys}, grp)"
+    out = f"{name}0 AS (SELECT *, ln((sum(y) {over} + 0.5) / (sum(n) {over} + 1) / (1 - (sum(y) {over} + 0.5) / (sum(n) {over} + 1))) AS e FROM {source})"
+    for j in range(steps + 1):
+        head = "* EXCLUDE (e, mu, s, t, h), greatest(-25, least(25, e + greatest(-2, least(2, CASE WHEN h > 1e-10 THEN s * phi * mu * (1 - mu) / h ELSE sign(s) * 0.5 END)))) AS e" if j < steps else "*"
+        out += f""",
+{name}{j + 1} AS (SELECT {head} FROM (SELECT *, -(t * (phi * mu * (1 - mu)) ** 2 + s * phi * mu * (1 - mu) * (1 - 2 * mu)) AS h FROM (
+  SELECT * EXCLUDE (s0, t0), sum(s0) {over} AS s, sum(t0) {over} AS t FROM (
+    SELECT *, {_digamma_rise("(mu * phi)", "y")} - {_digamma_rise("((1 - mu) * phi)", "z")} AS s0, {_trigamma_rise("(mu * phi)", "y")} + {_trigamma_rise("((1 - mu) * phi)", "z")} AS t0 FROM (SELECT *, 1 / (1 + exp(-e)) AS mu FROM {name}{j})))))"""
+    return out
+
+
+_KEYS = "gene, event, comparison"
+_LL = f"{_exact_rise('(mu * phi)', 'y')} + {_exact_rise('((1 - mu) * phi)', 'z')} - {_exact_rise('phi', 'n')}"
+
+
+def _grid_rounds(rounds: int, steps: int) -> str:
+    """Grids of 13 log precisions, each between the neighbours of the last one's best; the last range is r<rounds>."""
+    out = f"r0 AS (SELECT {_KEYS}, -5.0::DOUBLE AS lo, 18.0::DOUBLE AS hi FROM smp GROUP BY {_KEYS})"
+    for r in range(rounds):
+        out += f""",
+p{r} AS (SELECT s.*, g.k, r.lo + (r.hi - r.lo) * g.k / 12.0 AS x, exp(r.lo + (r.hi - r.lo) * g.k / 12.0) AS phi FROM smp s JOIN r{r} r USING ({_KEYS}), (SELECT unnest(range(13)) AS k) g),
+{_newton(f"w{r}_", f"p{r}", _KEYS + ", k", steps)},
+l{r} AS MATERIALIZED (SELECT {_KEYS}, k, x, sum({_LL}) AS v FROM w{r}_{steps + 1} GROUP BY {_KEYS}, k, x),
+r{r + 1} AS (SELECT {_KEYS}, min(x) AS lo, max(x) AS hi, max(x) FILTER (WHERE k = i) AS x, max(v) AS best, max(v) FILTER (WHERE k = i - 1) AS a, max(v) FILTER (WHERE k = i + 1) AS b FROM (SELECT *, arg_max(k, v) OVER (PARTITION BY {_KEYS}) AS i FROM l{r}) WHERE abs(k - i) <= 1 GROUP BY {_KEYS})"""
+    return out
+
+
+_ROUNDS = 6
+ORACLES |= {
+    "wald_fixed": "WITH " + duck("v_events") + "," + _MONTHS[: _MONTHS.index("big AS (")].rstrip().rstrip(",") + f""",
+raw AS (SELECT {_KEYS}, grp, diff::DOUBLE AS y, ref::DOUBLE AS z, (diff + ref)::DOUBLE AS n, exp(event + 1.0) AS phi FROM cmp WHERE diff + ref > 0),
+smp AS (SELECT * FROM raw QUALIFY count(*) OVER (PARTITION BY {_KEYS}) >= 2),
+{_newton("f", "smp", _KEYS, 20)},
+fit AS (SELECT {_KEYS}, grp, max(e) AS e, max(h) AS h, max(phi) AS phi, sum(y) AS y FROM f21 GROUP BY {_KEYS}, grp),
+two_groups AS (SELECT a.*, b.e AS e2, b.h AS h2, b.grp || ':a' AS contrast FROM fit a JOIN fit b USING ({_KEYS}) JOIN (SELECT {_KEYS} FROM fit GROUP BY {_KEYS} HAVING sum(y) > 0) USING ({_KEYS}) WHERE a.grp = 'a' AND b.grp <> 'a' AND a.h > 0 AND b.h > 0),
+w AS (SELECT *, (e2 - e) ** 2 / (1 / h + 1 / h2) AS q FROM two_groups)
+SELECT {_KEYS}, contrast, round(q, 6) AS LRT, round({_erfc('sqrt(q / 2)')}, 6) AS pvalue, round(phi, 6) AS phi, round(e2 - e, 6) AS effect_size FROM w WHERE abs(e2 - e) < 5""",
+    "dispersion": _with(duck(*_COMP)) + f""",
+kept AS (SELECT {_KEYS} FROM v_comparisons WHERE n IS NOT NULL GROUP BY {_KEYS} HAVING count(*) >= 5),
+raw AS (SELECT c.gene, c.event, c.comparison, grp, y::DOUBLE AS y, (n - y)::DOUBLE AS z, n::DOUBLE AS n FROM v_comparisons c JOIN kept USING ({_KEYS}) WHERE n > 0),
+smp AS (SELECT * FROM raw QUALIFY count(*) OVER (PARTITION BY {_KEYS}) >= 2),
+{_grid_rounds(_ROUNDS, 8)},
+top AS (SELECT {_KEYS}, best, x + coalesce(CASE WHEN a - 2 * best + b < 0 THEN 0.5 * (a - b) / (a - 2 * best + b) END, 0) * (hi - lo) / 2 AS x FROM r{_ROUNDS}),
+pf AS (SELECT s.*, t.x, t.best, exp(t.x) AS phi FROM smp s JOIN top t USING ({_KEYS})),
+{_newton("c", "pf", _KEYS, 12)},
+parts AS (SELECT {_KEYS}, grp, max(x) AS x, max(best) AS best, max(phi) AS phi, max(mu) AS mu, max(h) AS h, sum(y) AS y, sum(n) AS n,
+    sum(mu * {_digamma_rise("(mu * phi)", "y")} + (1 - mu) * {_digamma_rise("((1 - mu) * phi)", "z")} - {_digamma_rise("phi", "n")}) AS g1,
+    sum(mu ** 2 * {_trigamma_rise("(mu * phi)", "y")} + (1 - mu) ** 2 * {_trigamma_rise("((1 - mu) * phi)", "z")} - {_trigamma_rise("phi", "n")}) AS g2,
+    sum({_digamma_rise("(mu * phi)", "y")} - {_digamma_rise("((1 - mu) * phi)", "z")} + phi * (mu * {_trigamma_rise("(mu * phi)", "y")} - (1 - mu) * {_trigamma_rise("((1 - mu) * phi)", "z")})) AS mixed FROM c13 GROUP BY {_KEYS}, grp),
+sums AS (SELECT {_KEYS}, max(x) AS x, max(best) AS best, sum(phi ** 2 * g2 + phi * g1 + CASE WHEN h > 1e-10 THEN (phi * mu * (1 - mu) * mixed) ** 2 / h ELSE 0 END) AS curve,
+    sum(CASE WHEN y > 0 THEN y * ln(y / n) ELSE 0 END + CASE WHEN n > y THEN (n - y) * ln(1 - y / n) ELSE 0 END) AS flat FROM parts GROUP BY {_KEYS}),
+told AS (SELECT *, 2 * (best - flat) > 3.841458820694124 AS identifiable FROM sums)
+SELECT {_KEYS}, CASE WHEN identifiable THEN round(x, 4) END AS log_phi, CASE WHEN identifiable THEN round(-1 / curve, 4) END AS var_log_phi, identifiable FROM told""",
+}
+

@@ -219,7 +219,18 @@ def moderate_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dispersion(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.dispersion(stats.keep_events(view(spark, sf, "v_comparisons"), stats.EVENT))
+    """Log precisions and their variances; of those that are not told from binomials, which have no top, the flag alone."""
+    rows = stats.dispersion(stats.keep_events(view(spark, sf, "v_comparisons"), stats.EVENT))
+    sure = lambda c: F.when(F.col("identifiable"), F.round(c, 4))
+    return rows.select(*stats.EVENT, sure(F.log("phi")).alias("log_phi"), sure(F.col("var_phi") / (F.col("phi") * F.col("phi"))).alias("var_log_phi"), "identifiable")
+
+
+@query
+def wald_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Wald tests of two contrasts at a precision that goes with the event's number."""
+    rows = stats.comparisons(_three_groups(spark, sf)).withColumn("z_mod", F.col("event").cast("double") + 1)
+    found = stats.wald_test(rows, [("b", "a"), ("c", "a")], "fixed")
+    return found.where("abs(effect_size) < 5").select(*stats.EVENT, "contrast", *(F.round(c, 6).alias(c) for c in ("LRT", "pvalue", "phi", "effect_size")))
 
 
 def _test(model: str, **options) -> Callable[[SparkSession, str], DataFrame]:

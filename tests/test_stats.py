@@ -13,15 +13,6 @@ from forkline.functions import numerics as num
 from forkline.operators import compare, counts, enrich, fdr, mapping, stats
 
 
-def test_special_functions():
-    x = np.array([1e-3, 0.3, 1.0, 2.5, 9.9, 50.0, 1e4])
-    assert np.allclose(num.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
-    h = 1e-4
-    assert np.allclose(num.digamma(x[1:]), [(math.lgamma(v + h * v) - math.lgamma(v - h * v)) / (2 * h * v) for v in x[1:]], rtol=1e-5, atol=1e-5)
-    assert np.allclose(num.trigamma(np.array([1.0, 0.5])), [math.pi**2 / 6, math.pi**2 / 2], rtol=1e-11)
-    assert np.allclose(num.chi2_tail(np.array([3.841458820694124, 5.991464547107979, 7.814727903251179, 9.487729036781154]), np.array([1, 2, 3, 4])), 0.05, atol=1e-9)
-
-
 def test_columns_of_special_functions(spark):
     from forkline.functions import special
 
@@ -234,35 +225,74 @@ def test_trend_prior_and_annotation(spark):
     assert {(r.gene, r.setdiff1) for r in compare.annotate(results, table, ["setdiff1"]).collect()} == {("g", "E001"), ("h", None)}
 
 
-def test_dispersion_finds_the_truth():
+def brute_precision(samples, prior=None):
+    """(log phi, its variance, twice the gain over binomials) of (group, y, n) samples: the likelihood with the best means of its groups, climbed by thirds, and its curvature by differences."""
+
+    def climb(f, low, high, rounds=80):
+        for _ in range(rounds):
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, b) if f(a) > f(b) else (a, high)
+        return (low + high) / 2
+
+    rise = lambda a, y: sum(math.log(a + k) for k in range(y))
+
+    def likelihood(x):
+        phi, total = math.exp(x), 0.0
+        for g in {g for g, _, _ in samples}:
+            own = [(y, n) for h, y, n in samples if h == g]
+            f = lambda e: sum(rise(phi / (1 + math.exp(-e)), y) + rise(phi / (1 + math.exp(e)), n - y) - rise(phi, n) for y, n in own)  # noqa: B023, E731
+            total += f(climb(f, -8, 8, 50))
+        return total - ((x - prior[0]) ** 2 / 2 / prior[1] ** 2 if prior else 0)
+
+    x = climb(likelihood, -5.0, 18.0, 45)
+    h = 0.05
+    flat = 0.0
+    for g in {g for g, _, _ in samples}:
+        y, n = (sum(s[k] for s in samples if s[0] == g) for k in (1, 2))
+        flat += y * math.log(y / n) + (n - y) * math.log(1 - y / n)
+    return x, -h * h / (likelihood(x + h) - 2 * likelihood(x) + likelihood(x - h)), 2 * (likelihood(x) - flat)
+
+
+def test_dispersion_against_plain_search(spark):
     rng = np.random.default_rng(2)
-    n = np.full((1, 400), 200.0)
-    y = rng.binomial(200, rng.beta(0.3 * 20, 0.7 * 20, 400)).astype(float)[None]
-    (phi,), (var,), (sure,) = num.estimate_precision(y, n, np.zeros((1, 400), int))
-    assert sure and abs(math.log(phi / 20)) < 0.3 and 0 < var < math.inf
-    flat = num.estimate_precision(rng.binomial(200, 0.3, (1, 30)).astype(float), n[:, :30], np.zeros((1, 30), int))
-    assert flat[0][0] > 300
-    mode = num.estimate_precision(y[:, :10], n[:, :10], np.zeros((1, 10), int), prior=(math.log(5), 0.01))
-    assert mode[0][0] == pytest.approx(5, rel=0.05)
+    rows, want = [], {}
+    for e in range(6):
+        samples = []
+        for i in range(8):
+            g = "ab"[i % 2] if e != 3 else "a"
+            n = int(rng.integers(5, 40))
+            share = 0.3 if g == "a" else 0.6
+            samples.append((g, int(rng.binomial(n, rng.beta(share * 4, (1 - share) * 4) if e != 2 else share)), n))
+        want[e] = samples
+        rows += [("g", e, "c", f"s{i}", g, y, n) for i, (g, y, n) in enumerate(samples)]
+    rows += [("g", 90, "c", "s0", "a", 1, 5), ("g", 90, "c", "s1", "a", 0, 0)]
+    table = spark.createDataFrame(rows, "gene string, event int, comparison string, sample string, grp string, y long, n long")
+    got = {r.event: r for r in stats.dispersion(table).collect()}
+    assert set(got) == set(want)
+    for e, samples in want.items():
+        x, var, gain = brute_precision(samples)
+        assert got[e].identifiable == (gain > 3.8415)
+        if x < 17:
+            assert math.log(got[e].phi) == pytest.approx(x, abs=1e-3) and got[e].var_phi / got[e].phi ** 2 == pytest.approx(var, rel=0.02)
+        else:
+            assert got[e].phi > 1e6
+    mode = {r.event: r for r in stats.dispersion(table.where("event < 3"), prior=(1.0, 0.5)).collect()}
+    for e, r in mode.items():
+        x, var, _ = brute_precision(want[e], (1.0, 0.5))
+        assert math.log(r.phi) == pytest.approx(x, abs=1e-3) and r.var_phi / r.phi**2 == pytest.approx(var, rel=0.02)
 
 
-def test_events_in_a_chunk_do_not_touch_each_other():
+def test_means_at_a_very_high_precision_are_pooled_shares(spark):
     rng = np.random.default_rng(3)
-    y, n = rng.integers(0, 50, (5, 12)).astype(float), np.full((5, 12), 60.0)
-    g = np.tile(np.arange(12) % 2, (5, 1))
-    g[2, 8:] = -1
-    g[3] = -1
-    g[3, :4] = 0
-    together = num.estimate_precision(y, n, g)
-    for i in range(5):
-        use = g[i] >= 0
-        alone = num.estimate_precision(y[i : i + 1, use], n[i : i + 1, use], g[i : i + 1, use])
-        assert together[0][i] == pytest.approx(alone[0][0], rel=1e-3)
-    # the mean of a group is its pooled share when the precision is very high
-    eta, info = num.fit_means(y[:1], n[:1], g[:1], np.array([[1e8]]))
-    share = y[0, g[0] == 1].sum() / n[0, g[0] == 1].sum()
-    assert 1 / (1 + math.exp(-eta[0, 0, 1])) == pytest.approx(share, rel=1e-4)
-    assert info[0, 0, 1] == pytest.approx(n[0, g[0] == 1].sum() * share * (1 - share), rel=1e-3)
+    rows = [("g", 1, "c", "ab"[i % 2], int(y)) for i, y in enumerate(rng.integers(1, 50, 12))]
+    table = spark.createDataFrame(rows, "gene string, event int, comparison string, grp string, y long").withColumns({"n": F.lit(60), "z_mod": F.lit(math.log(1e8))})
+    (test,) = stats.wald_test(table, [("b", "a")], "m").collect()
+    share = {g: sum(r[4] for r in rows if r[3] == g) / 360 for g in "ab"}
+    logit = lambda p: math.log(p / (1 - p))
+    est = logit(share["b"]) - logit(share["a"])
+    assert test.effect_size == pytest.approx(est, rel=1e-4)
+    assert test.LRT == pytest.approx(est**2 / sum(1 / (360 * p * (1 - p)) for p in share.values()), rel=1e-3)
+    assert stats.wald_test(table.where("grp = 'a'"), [("b", "a")], "m").count() == 0
 
 
 def brute_dm(counts, groups, log_prec=None):
