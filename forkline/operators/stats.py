@@ -171,7 +171,7 @@ def impute(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 #: Bounds of the log precision of a beta-binomial; Newton steps of the means at each point of the grid, of those that are tested, and of all parameters at once.
-BB_RANGE, STEPS, MORE_STEPS, CLIMB = (-5.0, 18.0), 6, 14, 8
+BB_RANGE, STEPS, MORE_STEPS, CLIMB = (-5.0, 18.0), 5, 12, 6
 
 
 def _samples(rows: DataFrame, by: list[str], *more: str) -> DataFrame:
