@@ -485,3 +485,7 @@ told AS (SELECT *, 2 * (best - flat) > 3.841458820694124 AS identifiable FROM su
 SELECT {_KEYS}, CASE WHEN identifiable THEN round(x, 4) END AS log_phi, CASE WHEN identifiable THEN round(-1 / curve, 4) END AS var_log_phi, identifiable FROM told""",
 }
 
+ORACLES["dedupe_pairs"] = _PRU + "," + PAIRS + "," + SIDES + f""",
+keyed AS (SELECT *, CASE WHEN none1 THEN [-1] ELSE diff1 END AS k1, CASE WHEN none2 THEN [-1] ELSE diff2 END AS k2, list_min([list_min([abs(x - y) FOR y IN list_concat(diff1, diff2)]) FOR x IN ref]) AS near FROM split),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY gene, k1, k2 ORDER BY len(ref), coalesce(near, 1000000), snk - src, src, id) AS f FROM keyed)
+SELECT gene, src, snk, (id // 1000)::INT AS one, (id % 1000)::INT AS two, row_number() OVER (PARTITION BY gene ORDER BY k1, k2)::INT AS event, {_SPLIT_OUT} FROM firsts WHERE f = 1"""

@@ -124,6 +124,13 @@ def dedupe_events(spark: SparkSession, sf: str) -> DataFrame:
     return _split_text(splits.classify(rows, ROOT, LEAF)).drop("n1", "n2")
 
 
+@query
+def dedupe_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two variants against each other, one for each tuple of distinguishing parts."""
+    rows = splits.dedupe(splits.pairs(_pruned(spark, sf, MAX_SINGLE)), [F.col("snk") - F.col("src"), "src", "one", "two"])
+    return _split_text(rows).drop("n1", "n2")
+
+
 @query
 def focal_report(spark: SparkSession, sf: str) -> DataFrame:
     return splits.focal_report(_bubbles(spark, sf))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _BUB, _COMP, _GENES, _PHI, _PRU, _RES, _SPLIT_OUT, _TWO, MULTI, SIDES, _labels, _with
+from .oracles import MAX_SINGLE, _BUB, _COMP, _GENES, _PHI, _PRU, _RES, _SPLIT_OUT, _TWO, MULTI, SIDES, _labels, _with
 from .views import duck
 
 _PART_TABLE = "pt AS (SELECT gene, part, round(min(pvalue), 9) AS part_p FROM v_results WHERE event <> 2 GROUP BY gene, part)"
@@ -36,7 +36,7 @@ SELECT target, gene, n_events, is_sig FROM (SELECT 'id' || s.s_nationkey AS targ
 SELECT e.gene, e.src, e.snk, string_agg(e.tx::VARCHAR, ',' ORDER BY e.tx) FILTER (WHERE m.a) AS txs1, string_agg(e.tx::VARCHAR, ',' ORDER BY e.tx) FILTER (WHERE NOT m.a) AS txs2, count(DISTINCT e.i) FILTER (WHERE m.a)::INT AS n1, count(DISTINCT e.i) FILTER (WHERE NOT m.a)::INT AS n2
 FROM each_tx e JOIN marked m ON m.gene = e.gene AND m.src = e.src AND m.snk = e.snk AND m.i = e.i GROUP BY e.gene, e.src, e.snk HAVING bool_or(m.a) AND bool_or(NOT m.a)""",
     "split_text": _PRU + "," + _MULTI_KEPT + ",\ndone AS (SELECT o.gene, o.src, o.snk, o.diffs, t.txs, t.paths, r.ref FROM ok o JOIN txt t ON t.gene = o.gene AND t.src = o.src AND t.snk = o.snk LEFT JOIN mref r ON r.gene = o.gene AND r.src = o.src AND r.snk = o.snk) SELECT gene, src, snk, "
-    + _labels("ref") + " AS ref_ex_part, " + ", ".join(f"coalesce(diffs[{k}], '') AS setdiff{k}, coalesce(txs[{k}], '') AS transcripts{k}, coalesce(paths[{k}], '') AS path{k}" for k in (1, 2, 3, 4)) + " FROM done",
+    + _labels("ref") + " AS ref_ex_part, " + ", ".join(f"coalesce(diffs[{k}], '') AS setdiff{k}, coalesce(txs[{k}], '') AS transcripts{k}, coalesce(paths[{k}], '') AS path{k}" for k in range(1, MAX_SINGLE + 1)) + " FROM done",
     "two_sided": _PRU + "," + _MULTI_KEPT + f"""
 SELECT o.gene, o.src, o.snk, {_labels('r.ref')} AS ref, replace(o.diffs[1], 'no_exon_part', '') AS diff1, replace(o.diffs[2], 'no_exon_part', '') AS diff2 FROM ok o LEFT JOIN mref r ON r.gene = o.gene AND r.src = o.src AND r.snk = o.snk""",
     "changed_vs_constant": _PRU.replace(" WHERE NOT (b.src = 0 AND b.snk = 11)", "") + "," + _CHOSEN + """,

@@ -73,8 +73,8 @@ def changed_vs_constant(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Multinomial splits in their wide text form, for up to four groups."""
-    return splits.as_text(splits.multinomial(_pruned(spark, sf, MAX_SINGLE)), 4).drop("n_paths")
+    """Multinomial splits in their wide text form, with columns for as many groups as a split can have."""
+    return splits.as_text(splits.multinomial(_pruned(spark, sf, MAX_SINGLE)), MAX_SINGLE).drop("n_paths")
 
 
 @query
