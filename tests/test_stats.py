@@ -448,6 +448,38 @@ def test_event_mapping(spark):
     assert matched(("g", 1, [2], None, [1, 3], 1, 2, one, other), ("g", 2, [2], None, [1, 3], 1, 2, one, other)) == set()
 
 
+def test_matching_on_both_strands_and_of_retained_introns(spark):
+    """Steps of ten positions; on the minus strand nodes are numbered from the right."""
+    split = "gene string, event int, src int, snk int, groups array<struct<paths array<array<int>>, txs array<string>, diff array<int>, status string>>, ref array<int>"
+    at = {g: {k: (100 + 10 * k if g == "p" else 200 - 10 * k) for k in range(1, 8)} for g in "pm"}
+    nodes = spark.createDataFrame([(g, k, p) for g in "pm" for k, p in at[g].items()] + [(g, k, None) for g in "pm" for k in (0, 8)], "gene string, node int, position int")
+
+    def one(gene, event, src, snk, inner1, diff1, inner2, diff2, ref):
+        return gene, event, src, snk, [([inner1], ["a"], diff1, "parts"), ([inner2], ["b"], diff2, "parts" if diff2 else "none")], ref
+
+    rows = [one(g, *rest) for g in "pm" for rest in ((1, 2, 5, [3, 4], [3], [], [], [1, 5]), (2, 1, 6, [], [3], [3, 4], [], [1, 2, 4, 5]), (3, 2, 5, [3], [3, 4], [4], [4], [1, 5]))]
+    placed = mapping.placed_splits(spark.createDataFrame(rows, split), nodes)
+    assert {(r.gene, r.event): (r.src_pos, sorted(r.pos1)) for r in placed.collect()}["m", 1] == (180, [150, 160, 170, 180])
+    zero = lambda g, k: at[g][k] - 1
+    low, high = (lambda g, a, b: min(zero(g, a), zero(g, b))), (lambda g, a, b: max(zero(g, a), zero(g, b)))
+    strand = {"p": "+", "m": "-"}
+    none = dict.fromkeys(("exonStart_0base", "exonEnd", "upstreamEE", "downstreamES", "riExonStart_0base", "riExonEnd", "upstreamES", "downstreamEE", "longExonStart_0base", "longExonEnd", "shortES", "shortEE", "flankingES", "flankingEE"))
+    events = []
+    for g in "pm":
+        base = {"gene": g, "strand": strand[g]}
+        events.append(base | none | {"event_id": f"SE_{g}", "etype": "SE", "exonStart_0base": low(g, 3, 4), "exonEnd": high(g, 3, 4), "upstreamEE": low(g, 2, 5), "downstreamES": high(g, 2, 5)})
+        for name, end in (("RI", 6), ("RIx", 7)):
+            events.append(base | none | {"event_id": f"{name}_{g}", "etype": "RI", "upstreamEE": low(g, 3, 4), "downstreamES": high(g, 3, 4), "riExonStart_0base": low(g, 1, end), "riExonEnd": high(g, 1, end), "upstreamES": low(g, 1, 6), "downstreamEE": high(g, 1, 6)})
+    schema = "gene string, strand string, event_id string, etype string, " + ", ".join(f"{c} int" for c in none)
+    table = spark.createDataFrame([tuple(e[c.split()[0]] for c in schema.split(", ")) for e in events], schema)
+    matched = mapping.match_splits(mapping.boundaries(table), placed, mapping.step_positions(nodes))
+    got = {r.event_id: (r.event, r.side, r.diffs, r.ref) for r in matched.collect()}
+    # an exon whose ends are not those of the first and last reference part is no match
+    assert got == {f"{k}_{g}": v for g in "pm" for k, v in (("SE", (1, 1, [3], [1, 5])), ("RI", (2, 1, [3], [1, 2, 4, 5])))}
+    maps = {(r.gene, r.part, r.etype): (r.event_ids, r.ref_event_ids) for r in mapping.split_maps(matched).collect()}
+    assert maps["p", 3, "SE"] == ("SE_p", None) and maps["m", 5, "RI"] == (None, "RI_m") and maps["m", 3, "RI"] == ("RI_m", None)
+
+
 def test_crosswalks_and_sets(spark):
     schema = "gene string, event string, ref array<int>, alt array<int>"
     one = spark.createDataFrame([("g", "a", [1, 2], [3]), ("g", "b", [9], [8])], schema)
