@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -135,24 +133,26 @@ def rejections(rows: DataFrame, by: list[str], p: str, step: str, n_steps: int,
     Rows are counted once by (by, p-value, step); a running count for each k is a column, so no row is multiplied. Only p-values under alpha
     can be rejected; the others count in the totals alone.
     """
+    each = lambda text: F.expr(f"array({', '.join(text(k) for k in range(n_steps))})")
+    group = ", ".join(f"`{b}`" for b in by) or "0"  # as a window over the totals: a row for each range
     known = rows.where(F.col(p).isNotNull() & (F.col(step) > 0))
-    sizes = known.groupBy(*by).agg(F.array(*(F.count_if(F.col(step) > k) for k in range(n_steps))).alias("__sizes"))
+    sizes = known.groupBy(*by).agg(each(lambda k: f"count_if(`{step}` > {k})").alias("__sizes"))
     low = known.where(F.col(p) < alpha)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = low.groupBy(*by, p).agg(F.array(*(F.count_if(F.col(step) > k) for k in range(n_steps))).alias("__c"))
+    counted = low.groupBy(*by, p).agg(each(lambda k: f"count_if(`{step}` > {k})").alias("__c"))
     values = save(counted.repartitionByRange(n, *by, p).withColumn("__range", F.spark_partition_id()), "filter-counts")
-    add = lambda column: F.array(*(F.sum(column[k]) for k in range(n_steps)))
-    sums = values.groupBy(*by, "__range").agg(add(F.col("__c")).alias("__m"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a row for each range
-    line = group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    before = F.array(*(F.coalesce(F.sum(F.col("__m")[k]).over(line), F.lit(0)) for k in range(n_steps)))
+    sums = values.groupBy(*by, "__range").agg(each(lambda k: f"sum(__c[{k}])").alias("__m"))
+    before = each(lambda k: f"coalesce(sum(__m[{k}]) OVER (PARTITION BY {group} ORDER BY __range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     names = [f"__by_{b}" for b in by]
     starts = sums.select(*(F.col(b).alias(x) for b, x in zip(by, names, strict=True)), F.col("__range").alias("__range2"), before.alias("__before"))
     met = values.join(starts, same_group(values, starts, by, names) & (values["__range"] == starts["__range2"])).drop(*names, "__range2")
-    met = met.join(sizes.withColumnsRenamed(dict(zip(by, names, strict=True))), reduce(lambda a, k: a & F.col(k[0]).eqNullSafe(F.col(k[1])), zip(by, names, strict=True), F.lit(True))) if by else met.crossJoin(F.broadcast(sizes))  # one row
-    inside = W.partitionBy(*by, "__range").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
-    upto = F.array(*(F.sum(F.col("__c")[k]).over(inside) + F.col("__before")[k] for k in range(n_steps)))
-    ranked = met.withColumn("__upto", upto)
+    if by:
+        totals = sizes.withColumnsRenamed(dict(zip(by, names, strict=True)))
+        met = met.join(totals, same_group(met, totals, by, names))
+    else:
+        met = met.crossJoin(F.broadcast(sizes))  # one row
+    inside = f"PARTITION BY {group}, __range ORDER BY `{p}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ranked = met.withColumn("__upto", each(lambda k: f"sum(__c[{k}]) OVER ({inside}) + __before[{k}]"))
 
     def rejected(k: int) -> Column:
         i, own, total, value = F.col("__upto")[k], F.col("__c")[k], F.col("__sizes")[k], F.col(p)

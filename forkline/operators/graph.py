@@ -106,7 +106,8 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 def exon_parts(walked: DataFrame, edges: DataFrame) -> DataFrame:
     """path_edges() rows with, for exons, the parts between their ends in order; other kinds keep a null part."""
     parts = edges.where("kind = 'ex_part'").select("gene", F.col("a").alias("pa"), F.col("b").alias("pb"), "part")
-    exons = walked.where("kind = 'ex'").join(parts, "gene").where("pa >= a and pb <= b").select("gene", "path_id", "pos", "pa", "part", "kind")
+    steps = walked.where("kind = 'ex' and a < b").withColumn("pa", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))  # an equal key in place of a range
+    exons = steps.join(parts, ["gene", "pa"]).where("pb <= b").select("gene", "path_id", "pos", "pa", "part", "kind")
     rest = walked.where("kind <> 'ex'").select("gene", "path_id", "pos", F.col("a").alias("pa"), F.lit(None).cast("int").alias("part"), "kind")
     return exons.union(rest)
 
