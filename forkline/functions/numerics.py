@@ -1,4 +1,4 @@
-"""Special functions on arrays, and the small likelihood searches of one event; used inside Pandas UDFs."""
+"""Tails of distributions on arrays, and the counting table of rank sums; small helpers inside tasks."""
 
 from __future__ import annotations
 
@@ -51,18 +51,3 @@ def rank_sum_tails(m: int, n: int) -> pd.DataFrame:
     below = list(accumulate(ways))
     total = below[-1]
     return pd.DataFrame({"m": m, "n": n, "u": range(len(ways)), "low": [b / total for b in below], "high": [(total - b + w) / total for b, w in zip(below, ways, strict=True)]})
-
-
-def local_regression(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float, degree: int = 2) -> np.ndarray:
-    """Tricube-weighted local polynomials of y on x at some points; not a number outside the range of x."""
-    k = max(degree + 1, min(len(x), math.ceil(span * len(x))))
-    out = np.full(len(at), np.nan)
-    for i, p in enumerate(at):
-        if not x.min() <= p <= x.max():
-            continue
-        d = np.abs(x - p)
-        h = np.partition(d, k - 1)[k - 1] * (1 if span <= 1 else span)
-        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0) if h > 0 else (d == 0).astype(float)
-        basis = np.vander(x - p, degree + 1, increasing=True) * np.sqrt(w)[:, None]
-        out[i] = np.linalg.lstsq(basis, y * np.sqrt(w), rcond=None)[0][0]
-    return out

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import numerics, special
 from ..sources.shared import save
 from .fdr import add_significant, adjust
-from .ranks import medians
+from .ranks import medians, quantiles
+from .trend import local_trend
 
 EVENT = ["gene", "event", "comparison"]
 #: Label, the side that is tested and the side it is measured against.
@@ -112,41 +112,24 @@ def moderate_precision(prec: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("prec_mod", F.exp("log_prec_mod")).withColumn("rho_mod", rho).drop("z_bar", "tau2")
 
 
-KNOTS = 200
-
-
 def moderate_trend(est: DataFrame, means: DataFrame, keys: list[str], z: str, var: str, span: float = 0.5) -> DataFrame:
     """Estimates shrunk to a trend over log baseMean; every event of `means` gets a row, those without an estimate the trend.
 
-    The trend is a local regression on the reliable estimates (identifiable, and below the 90 % point of the variance),
-    summed up as the medians of KNOTS ranges of log baseMean, with which the trend is read off in every task.
+    The trend is a local regression (trend.local_trend) on the reliable estimates: identifiable ones, below the 90 % point
+    of the variance. With fewer than ten of them, and outside of their range, it is their median.
     """
-    rows = est.join(means, keys).where("baseMean > 0").withColumn("log_bm", F.log("baseMean"))
+    rows = save(est.join(means, keys).where("baseMean > 0").withColumn("x", F.log("baseMean")), "estimates")
     sure = F.coalesce(F.col("identifiable"), F.lit(False)) if "identifiable" in est.columns else F.lit(True)
     if rows.where(sure).limit(10).count() < 10:
         sure = F.lit(True)
-    limit = rows.agg(F.percentile(var, F.lit(0.9))).first()[0]
-    reliable = rows.where(sure & (F.col(var) < F.lit(limit)) & F.col(z).isNotNull())
-    total = reliable.agg(F.count(F.lit(1)), F.median(z), F.percentile("log_bm", F.array(*(F.lit(k / KNOTS) for k in range(KNOTS + 1))))).first()
-    tau = rows.where(sure).agg(F.greatest(F.var_samp(z) - F.median(var), F.lit(0.0))).first()[0] or 0.0
-    trend = F.lit(total[1])
+    limit, known = quantiles(rows, [], var, [0.9]).first(), rows.where(sure)
+    reliable = save(known.where((F.col(var) < F.lit(limit.q if limit else None)) & F.col(z).isNotNull()).select("x", F.col(z).alias("z")), "reliable")
+    middle, noise = medians(reliable, [], ["z"]).first()[0], medians(known, [], [var]).first()[0]
+    spread = known.agg(F.var_samp(z)).first()[0]
+    tau = 0.0 if spread is None or noise is None else max(spread - noise, 0.0)
     everyone = means.withColumn("log_bm", F.log(F.greatest("baseMean", F.lit(1.0))))
-    if total[0] >= 10:
-        cuts = sorted(set(total[2]))
-        bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("log_bm")))
-        points = reliable.groupBy(bucket.alias("b")).agg(F.avg("log_bm").alias("x"), F.avg(z).alias("y"), F.count(F.lit(1)).alias("n")).orderBy("x").collect()  # KNOTS + 1 rows at most
-        x, y = (np.array([float(r[c]) for r in points]) for c in ("x", "y"))
-        low, high, middle = cuts[0], cuts[-1], float(total[1])
-
-        @F.pandas_udf("double")
-        def read(values: pd.Series) -> pd.Series:
-            grid = np.linspace(x.min(), x.max(), KNOTS)
-            fitted = numerics.local_regression(x, y, grid, span)
-            v = values.to_numpy(float)
-            return pd.Series(np.where((v < low) | (v > high), middle, np.interp(v, grid, fitted)))
-
-        trend = read("log_bm") if len(points) > 3 else F.lit(middle)
-    joined = everyone.withColumn("z_trend", trend).join(est.select(*keys, z, var), keys, "left").withColumn("tau2", F.lit(float(tau)))
+    trend = F.lit(middle) if reliable.limit(10).count() < 10 else local_trend(reliable, span, middle, F.col("log_bm"))
+    joined = everyone.withColumn("z_trend", trend.cast("double")).join(est.select(*keys, z, var), keys, "left").withColumn("tau2", F.lit(tau))
     return _shrunk(joined, keys, z, var, F.col("z_trend")).drop("tau2")
 
 

@@ -489,3 +489,33 @@ ORACLES["dedupe_pairs"] = _PRU + "," + PAIRS + "," + SIDES + f""",
 keyed AS (SELECT *, CASE WHEN none1 THEN [-1] ELSE diff1 END AS k1, CASE WHEN none2 THEN [-1] ELSE diff2 END AS k2, list_min([list_min([abs(x - y) FOR y IN list_concat(diff1, diff2)]) FOR x IN ref]) AS near FROM split),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY gene, k1, k2 ORDER BY len(ref), coalesce(near, 1000000), snk - src, src, id) AS f FROM keyed)
 SELECT gene, src, snk, (id // 1000)::INT AS one, (id % 1000)::INT AS two, row_number() OVER (PARTITION BY gene ORDER BY k1, k2)::INT AS event, {_SPLIT_OUT} FROM firsts WHERE f = 1"""
+
+
+def _trend(keys: str, span: float) -> str:
+    """est(keys, z, v, ok) and means(keys, m) -> local quadratics at quantiles by ranking the distances of all rows to each, solved by Cramer's rule, and z shrunk to them."""
+    det = lambda c: f"({c[0]} * (s2 * s4 - s3 * s3) - s1 * ({c[1]} * s4 - s3 * {c[2]}) + s2 * ({c[1]} * s3 - s2 * {c[2]}))"
+    return f"""
+rows AS (SELECT *, ln(m) AS x FROM est JOIN means USING ({keys}) WHERE m > 0),
+marked AS (SELECT * REPLACE (ok OR (SELECT count(*) FILTER (WHERE ok) < 10 FROM rows) AS ok) FROM rows),
+pts AS (SELECT x, z FROM marked WHERE ok AND v < (SELECT quantile_cont(v, 0.9) FROM rows)),
+tot AS (SELECT count(*) AS n, median(z) AS middle FROM pts),
+tau AS (SELECT greatest(var_samp(z) - median(v), 0) AS tau FROM marked WHERE ok),
+knots AS (SELECT DISTINCT unnest(quantile_cont(x, [k / 200.0 for k in range(201)])) AS p FROM pts),
+far AS (SELECT p, x, z, abs(x - p) AS d, row_number() OVER (PARTITION BY p ORDER BY abs(x - p)) AS k FROM pts, knots),
+wide AS (SELECT p, max(d) AS h FROM far, tot WHERE k <= greatest(3, floor(n * {span} + 1e-5)) GROUP BY p),
+wt AS (SELECT f.p, f.z, (f.x - f.p) / h AS u, pow(1 - pow(d / h, 3), 3) AS w FROM far f JOIN wide ON wide.p = f.p WHERE d < h),
+eq AS (SELECT p, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * pow(u, 3)) AS s3, sum(w * pow(u, 4)) AS s4, sum(w * z) AS y0, sum(w * u * z) AS y1, sum(w * u * u * z) AS y2 FROM wt GROUP BY p),
+ys AS (SELECT p, {det(("y0", "y1", "y2"))} / {det(("s0", "s1", "s2"))} AS y FROM eq),
+seg AS (SELECT p, y, lead(p) OVER (ORDER BY p) AS p2, lead(y) OVER (ORDER BY p) AS y2 FROM ys),
+everyone AS (SELECT *, ln(greatest(m, 1)) AS x FROM means),
+read AS (SELECT e.*, coalesce(CASE WHEN s.p IS NOT NULL THEN s.y + (s.y2 - s.y) * (e.x - s.p) / (s.p2 - s.p) END, CASE WHEN e.x = (SELECT max(p) FROM ys) THEN (SELECT max_by(y, p) FROM ys) END, tot.middle) AS t
+  FROM everyone e CROSS JOIN tot LEFT JOIN seg s ON e.x >= s.p AND e.x < s.p2),
+told AS (SELECT {", ".join(f"r.{k.strip()}" for k in keys.split(","))}, r.t, e.z, coalesce(tau / nullif(tau + e.v, 0), 0) AS w FROM read r CROSS JOIN tau LEFT JOIN est e USING ({keys}))
+SELECT {keys}, round(t, 6) AS z_trend, round(w, 6) AS w, round(w * z + (1 - w) * t, 6) AS z_mod FROM told"""
+
+
+ORACLES["moderate_trend"] = _with(duck(*_COMP), _PHI) + """,
+est AS (SELECT gene, event, comparison, ln(phi) AS z, var_phi / phi / phi AS v, ok FROM phi WHERE phi > 0), means AS (SELECT * FROM bm),""" + _trend("gene, event, comparison", 0.5)
+ORACLES["moderate_trend_precision"] = _with(duck(*_COMP)) + """,
+means AS (SELECT gene, event, avg(n::DOUBLE) AS m FROM v_comparisons GROUP BY gene, event),
+est AS (SELECT gene, event, ln(m % 11 + 1) AS z, m % 3 / 4 + 0.1 AS v, gene % 4 > 0 AS ok FROM means WHERE gene % 5 > 0),""" + _trend("gene, event", 0.3)

@@ -221,7 +221,18 @@ def moderate_precision(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def moderate_trend(spark: SparkSession, sf: str) -> DataFrame:
     z = _phi(spark, sf).where("phi > 0").select(*stats.EVENT, F.log("phi").alias("z"), (F.col("var_phi") / F.col("phi") / F.col("phi")).alias("var_z"), "identifiable")
-    return stats.moderate_trend(z, stats.base_mean(view(spark, sf, "v_comparisons")), stats.EVENT, "z", "var_z").select(*stats.EVENT, "z_trend", "w", "z_mod")
+    rows = stats.moderate_trend(z, stats.base_mean(view(spark, sf, "v_comparisons")), stats.EVENT, "z", "var_z")
+    return rows.select(*stats.EVENT, *(F.round(c, 6).alias(c) for c in ("z_trend", "w", "z_mod")))
+
+
+@query
+def moderate_trend_precision(spark: SparkSession, sf: str) -> DataFrame:
+    """Log precisions of whole events (all comparisons together, as multinomial models have them) shrunk to their trend."""
+    keys = ["gene", "event"]
+    means = stats.base_mean(view(spark, sf, "v_comparisons"), keys)
+    prec = means.where("gene % 5 > 0").select(*keys, F.log(F.col("baseMean") % 11 + 1).alias("log_prec"), (F.col("baseMean") % 3 / 4 + 0.1).alias("var_log_prec"), (F.col("gene") % 4 > 0).alias("identifiable"))
+    rows = stats.moderate_trend(prec, means, keys, "log_prec", "var_log_prec", span=0.3)
+    return rows.select(*keys, *(F.round(c, 6).alias(c) for c in ("z_trend", "w", "z_mod")))
 
 
 @query

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forkline.functions import numerics as num
-from forkline.operators import compare, counts, enrich, fdr, mapping, stats
+from forkline.operators import compare, counts, enrich, fdr, mapping, stats, trend
 
 
 def test_columns_of_special_functions(spark):
@@ -213,6 +213,44 @@ def test_moderation(spark):
     assert stats.impute(rows.select("comparison", F.lit(None).cast("double").alias("z_mod")), stats.moderate_log(rows, ["comparison"])).where("z_mod is null").count() == 0
 
 
+def plain_trend(x, z, at, span):
+    """Local quadratics by sorting all distances."""
+    q, out = max(3, int(span * len(x) + 1e-5)), []
+    for p in at:
+        d = np.abs(x - p)
+        h = np.sort(d)[q - 1]
+        w = np.sqrt(np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0) if h > 0 else (d == 0) * 1.0)
+        out.append(np.linalg.lstsq(np.vander(x - p, 3, increasing=True) * w[:, None], z * w, rcond=None)[0][0])
+    return out
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_local_regression_like_plain_search(spark, tied):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(400) < 0.4, 2.0, rng.integers(0, 40, 400) / 4) if tied else rng.uniform(0, 8, 400)
+    z = np.sin(x) + rng.normal(0, 0.1, 400)
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, z, strict=True)], "x double, z double")
+    knots = trend.knots_of(points, 20)
+    for span in (0.02, 0.3, 0.5, 1.0):
+        q = max(3, int(span * 400 + 1e-5))
+        reach = trend.bandwidths(points, knots, q)
+        assert reach == pytest.approx([float(np.sort(np.abs(x - p))[q - 1]) for p in knots]), span
+        if span > 0.1:
+            assert trend.fit(points, knots, reach) == pytest.approx(plain_trend(x, z, knots, span), abs=1e-6), span
+    read = [r.v for r in points.sparkSession.createDataFrame([(-1.0,), (knots[0],), ((knots[0] + knots[1]) / 2,), (knots[-1],), (99.0,)], "x double").select(trend.read_off(F.col("x"), knots[:2] + knots[-1:], [1.0, 3.0, 7.0], -5.0).alias("v")).collect()]
+    assert read == [-5.0, 1.0, 2.0, 7.0, -5.0]
+    assert [r.t for r in points.limit(1).select(trend.local_trend(points.where("x = 2.0"), 0.5, 4.5, F.col("x")).alias("t")).collect()] == [4.5]
+
+
+def test_trend_of_few_and_of_none(spark):
+    """Fewer than ten estimates: their median; none at all: null. An event without an estimate takes the trend."""
+    means = spark.createDataFrame([("g", e, "c", 10.0 * e) for e in range(5)], "gene string, event int, comparison string, baseMean double")
+    est = spark.createDataFrame([("g", e, "c", float(e), e / 10) for e in range(1, 4)], "gene string, event int, comparison string, z double, var_z double")
+    got = {r.event: r for r in stats.moderate_trend(est, means, stats.EVENT, "z", "var_z").collect()}
+    assert len(got) == 5 and got[4].w == 0 and got[4].z_trend == 1.5 == got[1].z_trend  # the third is the noisiest tenth
+    assert [r.z_trend for r in stats.moderate_trend(est.limit(0), means, stats.EVENT, "z", "var_z").collect()] == [None] * 5
+
+
 def test_trend_prior_and_annotation(spark):
     rows = spark.createDataFrame([("c", 1.0, 0.0), ("c", -1.0, 0.0), ("d", 3.0, 3.0)], "comparison string, z double, z_trend double")
     got = {r.comparison: r.sd for r in stats.trend_prior(rows).collect()}
