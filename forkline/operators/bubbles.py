@@ -81,9 +81,10 @@ def order_by_span(bubbles: DataFrame) -> DataFrame:
     return bubbles.withColumn("span", F.col("snk") - F.col("src")).withColumn("rank", F.row_number().over(W.partitionBy("gene").orderBy("span", "src", "snk")))
 
 
-def prune(bubbles: DataFrame, root: int, leaf: int, max_path: int = 15, max_span: int | None = None) -> DataFrame:
-    """Leave out the bubble from root to leaf and those with more than max_path variants or a longer span; meant to run before splits are listed."""
-    kept = bubbles.where(f"not (src = {root} and snk = {leaf}) and n_paths <= {max_path}")
+def prune(bubbles: DataFrame, root: int, leaf: int, max_path: int | None = 15, max_span: int | None = None) -> DataFrame:
+    """Leave out the bubble from root to leaf and those with more than max_path variants or a longer span (None: no bound); meant to run before splits are listed."""
+    kept = bubbles.where(f"not (src = {root} and snk = {leaf})")
+    kept = kept if max_path is None else kept.where(f"n_paths <= {max_path}")
     return kept if max_span is None else kept.where(f"snk - src <= {max_span}")
 
 

@@ -56,20 +56,37 @@ def _two_sides(rows: DataFrame, *keep: str) -> DataFrame:
     return told.select("gene", "src", "snk", "n_paths", *keep, F.array(group("one", "d1", "s1"), group("two", "d2", "s2")).alias("groups"), "ref")
 
 
+#: Variants by which the lower sets of a bubble grow inside a row before they become rows of their own, and the most a mask has bits for.
+GROWN_AT_ONCE, MOST_VARIANTS = 16, 62
+
+
 def bipartitions(bubbles: DataFrame) -> DataFrame:
     """Every split in two that never parts a variant from one whose parts it contains, once: side 1 holds the first variant.
 
-    Bits of `mask` are side 1. Run prune() first: masks double with each variant. Splits without distinguishing parts on either side go.
+    Bits of `mask` are side 1. One side or the other is a lower set: with a variant it has all whose parts are a proper
+    subset of that one's. Lower sets grow from the smallest variants on, each variant left out or, where all below it are
+    in, taken in; each one grown is part of the result, so the work is that of the result and not of all subsets.
+    Splits without distinguishing parts on either side go. More than MOST_VARIANTS variants in a bubble are an error.
     """
-    n = F.sequence(F.lit(1), F.col("n_paths"))
-    sets = bubbles.withColumn("sets", F.transform("variants", lambda v: F.array_distinct(v["parts"])))
-    bit = lambda a: F.call_function("shiftleft", F.lit(1), a - 1)
-    inside = lambda a, b: (F.size(F.element_at("sets", a)) < F.size(F.element_at("sets", b))) & (F.size(F.array_except(F.element_at("sets", a), F.element_at("sets", b))) == 0)
-    below = F.transform(n, lambda b: F.aggregate(n, F.lit(0), lambda bits, a: bits + F.when(inside(a, b), bit(a)).otherwise(0)))
-    masks = sets.withColumn("below", below).drop("sets").withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, n_paths) - 2, 2)")))
-    closed = lambda m: f"forall(transform(below, (s, i) -> ({m} & shiftleft(1, i)) = 0 or (s & ~({m})) = 0), x -> x)"
-    valid = masks.where(f"({closed('mask')}) or ({closed('(shiftleft(1, n_paths) - 1 - mask)')})")
-    sides = valid.withColumns({"one": F.expr("filter(variants, (v, i) -> (mask & shiftleft(1, i)) <> 0)"), "two": F.expr("filter(variants, (v, i) -> (mask & shiftleft(1, i)) = 0)")})
+    long = lambda x: F.lit(x).cast("bigint")
+    bit = lambda i: F.call_function("shiftleft", long(1), i)
+    sets = bubbles.withColumn("__sets", F.transform("variants", lambda v, i: F.struct(F.size(F.array_distinct(v["parts"])).alias("n"), i.alias("i"), F.array_distinct(v["parts"]).alias("parts"))))
+    inside = lambda a, b: (a["n"] < b["n"]) & (F.size(F.array_except(a["parts"], b["parts"])) == 0)
+    below = lambda b: F.aggregate("__sets", long(0), lambda bits, a: bits.bitwiseOR(F.when(inside(a, b), bit(a["i"])).otherwise(long(0))))
+    # variants from the smallest to the largest: their own bit, and those that have to be in before
+    order = F.transform(F.array_sort("__sets"), lambda b: F.struct(bit(b["i"]).alias("own"), below(b).alias("need")))
+    grown = sets.withColumn("__order", order).drop("__sets").withColumn("__all", F.when(F.col("n_paths") <= MOST_VARIANTS, bit(F.col("n_paths")) - 1))
+    few = F.when(F.col("n_paths") > MOST_VARIANTS, F.raise_error(F.lit(f"a bubble has more than {MOST_VARIANTS} variants"))).otherwise(long(0))
+    grown = grown.withColumn("mask", few)
+    more = lambda masks, v: F.concat(masks, F.transform(F.filter(masks, lambda m: v["need"].bitwiseAND(m) == v["need"]), lambda m: m.bitwiseOR(v["own"])))
+    for first in range(1, MOST_VARIANTS + 1, GROWN_AT_ONCE):
+        grown = grown.withColumn("mask", F.explode(F.aggregate(F.slice("__order", first, GROWN_AT_ONCE), F.array("mask"), more)))
+    # a lower set without the first variant stands for its complement, unless that is one too and comes by itself
+    rest = F.col("__all").bitwiseXOR(F.col("mask"))
+    closed = lambda m: F.forall("__order", lambda v: (v["own"].bitwiseAND(m) == 0) | (v["need"].bitwiseAND(m) == v["need"]))
+    has_first = F.col("mask").bitwiseAND(long(1)) == 1
+    once = grown.where((F.col("mask") != 0) & (F.col("mask") != F.col("__all"))).where(has_first | ~closed(rest)).withColumn("mask", F.when(has_first, F.col("mask")).otherwise(rest))
+    sides = once.withColumns({"one": F.expr("filter(variants, (v, i) -> (mask & shiftleft(1L, i)) <> 0)"), "two": F.expr("filter(variants, (v, i) -> (mask & shiftleft(1L, i)) = 0)")})
     return _two_sides(sides, "mask")
 
 

@@ -12,7 +12,7 @@ from ..operators import counts, graph, intervals, mapping, splits
 from ..operators import bubbles as b
 from ..sources import annotation
 from ..sources.shared import new_path, save
-from .queries import MAX_SIDES, MAX_SINGLE, QUERIES, _text, query
+from .queries import MAX_SINGLE, QUERIES, _text, query
 from .views import LEAF, ROOT, view
 
 
@@ -280,7 +280,7 @@ def _numbered_splits(edges: DataFrame, kind: str) -> DataFrame:
     """The splits of all genes' graphs, numbered within the gene; the leaf of each graph is numbered LEAF."""
     last = edges.where("kind = 'L'").select("gene", F.col("b").alias("leaf")).distinct()
     nodes = graph.tx_nodes(edges).join(last, "gene").select("gene", "tx", F.when(F.col("node") == F.col("leaf"), LEAF).otherwise(F.col("node")).alias("node"))
-    found = b.prune(b.detect_bubbles(b.tx_paths(nodes, ROOT, LEAF)), ROOT, LEAF, MAX_SIDES if kind == "bipartition" else MAX_SINGLE)
+    found = b.prune(b.detect_bubbles(b.tx_paths(nodes, ROOT, LEAF)), ROOT, LEAF, None if kind == "bipartition" else MAX_SINGLE)
     if kind == "bipartition":
         return splits.dedupe(splits.bipartitions(found), [F.col("snk") - F.col("src"), "src", "mask"])
     return splits.multinomial(found).withColumn("event", F.row_number().over(b.W.partitionBy("gene").orderBy("src", "snk")))

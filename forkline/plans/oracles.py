@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .views import duck
 
-#: The most variants of a bubble that is split in two sides, and of one whose variants are taken one by one.
-MAX_SIDES, MAX_SINGLE = 15, 20
+#: The most variants of a bubble whose variants are taken one by one.
+MAX_SINGLE = 20
 
 
 def _with(*parts: str) -> str:
@@ -58,7 +58,7 @@ told AS (SELECT *, all1 & ~any2 AS x1, all2 & ~any1 AS x2, (all1 & all2) | (rep1
 split AS (SELECT gene, src, snk, id, {_unbits('r')} AS ref, {_unbits('x1')} AS diff1, {_unbits('x2')} AS diff2, any1 = 0 AS none1, any2 = 0 AS none2, n1, n2 FROM told WHERE x1 <> 0 OR x2 <> 0)"""
 
 MASKS = f"""
-masks AS (SELECT gene, src, snk, unnest(range(1, (1 << n_paths)::BIGINT - 1, 2)) AS id FROM (SELECT DISTINCT gene, src, snk, n_paths::INT AS n_paths FROM pvar WHERE n_paths <= {MAX_SIDES})),
+masks AS (SELECT gene, src, snk, unnest(range(1, (1 << n_paths)::BIGINT - 1, 2)) AS id FROM (SELECT DISTINCT gene, src, snk, n_paths::INT AS n_paths FROM pvar)),
 below AS (SELECT b.gene, b.src, b.snk, b.i, b.bits, b.rep_bits, b.n_txs, coalesce(bit_or(1::BIGINT << (a.i - 1)::BIGINT) FILTER (WHERE a.bits <> b.bits AND a.bits & ~b.bits = 0), 0) AS inside
   FROM pvar b JOIN pvar a ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk GROUP BY b.gene, b.src, b.snk, b.i, b.bits, b.rep_bits, b.n_txs),
 placed AS (SELECT m.gene, m.src, m.snk, m.id, p.i, p.bits, p.rep_bits, p.n_txs, (m.id >> (p.i - 1)::BIGINT) & 1 = 1 AS first, p.inside & ~m.id <> 0 AS out1, p.inside & m.id <> 0 AS out2
@@ -173,7 +173,7 @@ e AS (SELECT DISTINCT gene, a, b FROM nx WHERE b IS NOT NULL),
 walk AS (SELECT gene, b AS node, '0,' || b AS path FROM e WHERE a = 0 UNION ALL SELECT w.gene, e.b, w.path || ',' || e.b FROM walk w JOIN e ON w.gene = e.gene AND w.node = e.a WHERE w.node < 11)
 SELECT gene, path FROM walk WHERE node = 11""",
     "contained_paths": _PRU + " SELECT a.gene, a.src, a.snk, a.i::INT AS small, b.i::INT AS large FROM pvar a JOIN pvar b ON a.gene = b.gene AND a.src = b.src AND a.snk = b.snk WHERE len(a.parts) < len(b.parts) AND list_has_all(b.parts, a.parts)",
-    "split_bipartition": _PRU + "," + MASKS + "," + SIDES + f" SELECT gene, src, snk, id::INT AS mask, {_SPLIT_OUT}, n1::INT AS n1, n2::INT AS n2 FROM split",
+    "split_bipartition": _PRU + "," + MASKS + "," + SIDES + f" SELECT gene, src, snk, id::BIGINT AS mask, {_SPLIT_OUT}, n1::INT AS n1, n2::INT AS n2 FROM split",
     "split_pairs": _PRU + "," + PAIRS + "," + SIDES + f" SELECT gene, src, snk, (id // 1000)::INT AS one, (id % 1000)::INT AS two, {_SPLIT_OUT}, n1::INT AS n1, n2::INT AS n2 FROM split",
     "split_multinomial": _PRU + "," + MULTI + f"""
 SELECT e.gene, e.src, e.snk, {_labels('r.ref')} AS ref, e.diffs FROM (
@@ -185,7 +185,7 @@ GROUP BY a.gene, a.src, a.snk, a.i, a.n_txs, a.inn""",
     "dedupe_events": _PRU + "," + MASKS + "," + SIDES + f""",
 keyed AS (SELECT *, CASE WHEN none1 THEN [-1] ELSE diff1 END AS k1, CASE WHEN none2 THEN [-1] ELSE diff2 END AS k2, list_min([list_min([abs(x - y) FOR y IN list_concat(diff1, diff2)]) FOR x IN ref]) AS near FROM split),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY gene, k1, k2 ORDER BY len(ref), coalesce(near, 1000000), snk - src, src, id) AS f FROM keyed)
-SELECT gene, src, snk, id::INT AS mask, row_number() OVER (PARTITION BY gene ORDER BY k1, k2)::INT AS event, CASE WHEN src = 0 OR snk = 11 THEN 'TSSTTS' ELSE 'internal' END AS "class", {_SPLIT_OUT} FROM firsts WHERE f = 1""",
+SELECT gene, src, snk, id::BIGINT AS mask, row_number() OVER (PARTITION BY gene ORDER BY k1, k2)::INT AS event, CASE WHEN src = 0 OR snk = 11 THEN 'TSSTTS' ELSE 'internal' END AS "class", {_SPLIT_OUT} FROM firsts WHERE f = 1""",
     "focal_report": _BUB + f"""
 SELECT a.gene, a.src, a.snk, 'Binary' AS kind, {_labels('[x FOR x IN a.parts IF NOT list_contains(b.parts, x)]')} AS only1, {_labels('[x FOR x IN b.parts IF NOT list_contains(a.parts, x)]')} AS only2,
   {_labels('list_concat([x FOR x IN a.parts IF NOT list_contains(b.parts, x)], [x FOR x IN b.parts IF NOT list_contains(a.parts, x)])')} AS either

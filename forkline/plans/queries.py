@@ -14,8 +14,8 @@ from ..operators.ranks import quantiles
 from ..sources.shared import save
 from .views import LEAF, ROOT, view
 
-#: The most variants of a bubble that is split in two sides (masks double with each), and of one whose variants are taken one by one.
-MAX_SIDES, MAX_SINGLE = 15, 20
+#: The most variants of a bubble whose variants are taken one by one.
+MAX_SINGLE = 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -36,7 +36,7 @@ def _bubbles(spark: SparkSession, sf: str) -> DataFrame:
     return b.detect_bubbles(_paths(spark, sf))
 
 
-def _pruned(spark: SparkSession, sf: str, most: int) -> DataFrame:
+def _pruned(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
     return b.prune(_bubbles(spark, sf), ROOT, LEAF, most)
 
 
@@ -99,7 +99,7 @@ def contained_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_bipartition(spark: SparkSession, sf: str) -> DataFrame:
-    return _split_text(splits.bipartitions(_pruned(spark, sf, MAX_SIDES)))
+    return _split_text(splits.bipartitions(_pruned(spark, sf)))
 
 
 @query
@@ -120,7 +120,7 @@ def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedupe_events(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.dedupe(splits.bipartitions(_pruned(spark, sf, MAX_SIDES)), [F.col("snk") - F.col("src"), "src", "mask"])
+    rows = splits.dedupe(splits.bipartitions(_pruned(spark, sf)), [F.col("snk") - F.col("src"), "src", "mask"])
     return _split_text(splits.classify(rows, ROOT, LEAF)).drop("n1", "n2")
 
 

@@ -103,6 +103,31 @@ def test_lower_sets_by_brute_force(spark):
         assert {r.mask for r in splits.bipartitions(bubble(spark, sets)).collect()} == want
 
 
+def test_many_nested_variants_are_split_exactly(spark):
+    """25 nested variants have 26 lower sets, two of them trivial; those up to a variant stand against the rest."""
+    got = splits.bipartitions(bubble(spark, [list(range(1, k + 1)) for k in range(1, 26)])).collect()
+    assert sorted(r.mask for r in got) == [(1 << k) - 1 for k in range(1, 25)]
+    # the largest first: the same splits, the first variant's side is the upper one
+    back = splits.bipartitions(bubble(spark, [list(range(1, k + 1)) for k in range(25, 0, -1)])).collect()
+    assert sorted(r.mask for r in back) == [(1 << k) - 1 for k in range(1, 25)]
+    # 18 variants: two chains of nine side by side, so any pair of beginnings
+    chains = [[*range(1, k + 1)] for k in range(1, 10)] + [[*range(21, k + 1)] for k in range(21, 30)]
+    assert splits.bipartitions(bubble(spark, chains)).count() == len(brute_chains(9))
+    with pytest.raises(Exception, match="more than 62 variants"):
+        splits.bipartitions(bubble(spark, [[k] for k in range(63)])).count()
+
+
+def brute_chains(n):
+    """Splits of two chains of n by their lower sets (beginnings of i and j variants), those with a part of one side alone."""
+    found = set()
+    for i, j in itertools.product(range(n + 1), repeat=2):
+        low = [set(range(1, k + 1)) for k in range(1, i + 1)] + [set(range(21, 21 + k)) for k in range(1, j + 1)]
+        high = [set(range(1, k + 1)) for k in range(i + 1, n + 1)] + [set(range(21, 21 + k)) for k in range(j + 1, n + 1)]
+        if low and high and (set.intersection(*low) - set.union(*high) or set.intersection(*high) - set.union(*low)):
+            found.add(frozenset([frozenset(map(frozenset, low)), frozenset(map(frozenset, high))]))
+    return found
+
+
 def test_multinomial_states_and_pairs(spark):
     rows = splits.multinomial(bubble(spark, [[], [1], [2, 3]])).collect()
     assert [(g.status, g.diff) for g in rows[0].groups] == [("none", []), ("parts", [1]), ("parts", [2, 3])]
