@@ -75,9 +75,8 @@ def bipartitions(bubbles: DataFrame) -> DataFrame:
     below = lambda b: F.aggregate("__sets", long(0), lambda bits, a: bits.bitwiseOR(F.when(inside(a, b), bit(a["i"])).otherwise(long(0))))
     # variants from the smallest to the largest: their own bit, and those that have to be in before
     order = F.transform(F.array_sort("__sets"), lambda b: F.struct(bit(b["i"]).alias("own"), below(b).alias("need")))
-    grown = sets.withColumn("__order", order).drop("__sets").withColumn("__all", F.when(F.col("n_paths") <= MOST_VARIANTS, bit(F.col("n_paths")) - 1))
-    few = F.when(F.col("n_paths") > MOST_VARIANTS, F.raise_error(F.lit(f"a bubble has more than {MOST_VARIANTS} variants"))).otherwise(long(0))
-    grown = grown.withColumn("mask", few)
+    whole = F.when(F.col("n_paths") <= MOST_VARIANTS, bit(F.col("n_paths")) - 1).otherwise(F.raise_error(F.lit(f"a bubble has more than {MOST_VARIANTS} variants")))
+    grown = sets.withColumn("__order", order).drop("__sets").withColumns({"__all": whole, "mask": long(0)})
     more = lambda masks, v: F.concat(masks, F.transform(F.filter(masks, lambda m: v["need"].bitwiseAND(m) == v["need"]), lambda m: m.bitwiseOR(v["own"])))
     for first in range(1, MOST_VARIANTS + 1, GROWN_AT_ONCE):
         grown = grown.withColumn("mask", F.explode(F.aggregate(F.slice("__order", first, GROWN_AT_ONCE), F.array("mask"), more)))
