@@ -33,11 +33,6 @@ def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def normal_tail(z: np.ndarray) -> np.ndarray:
-    """P(Z > z) of a standard normal."""
-    return 0.5 * _ERFC(np.asarray(z, float) / math.sqrt(2))
-
-
 def rank_sum_tails(m: int, n: int) -> pd.DataFrame:
     """(m, n, u, low, high): for each excess u of the rank sum of m of m + n untied values over its least, the shares of all choices with u or less, and with u or more."""
     ways = [1]

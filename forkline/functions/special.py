@@ -76,3 +76,34 @@ def chi2_tail(x: Column, df: Column) -> Column:
     terms = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.struct(first.alias("term"), F.lit(0.0).alias("total")), lambda s, k: F.struct((s["term"] * h / (k + odd / 2)).alias("term"), (s["total"] + s["term"]).alias("total")))
     total = F.when(n > 0, F.exp(-h) * terms["total"]).otherwise(0.0)
     return F.least(F.lit(1.0), total + F.when(odd == 1, erfc(F.sqrt(h))).otherwise(0.0))
+
+
+def log_choose(m: Column, k: Column) -> Column:
+    """The log of the number of ways to choose k of m, whole numbers with 0 <= k <= m."""
+    return log_rising((m - k + 1).cast("double"), k) - log_rising(F.lit(1.0), k)
+
+
+def biased_urn(k: Column, own: Column, others: Column, draws: Column, odds: Column) -> Column:
+    """The probability that `draws` of own + others balls, one after the other and each own ball `odds` times as likely as another that is left, bring up k own ones (Wallenius' distribution).
+
+    Its integral over (0, 1) is taken over the log of -ln t / d, d being the weight that stays in the urn, where the integrand
+    is a single smooth peak that falls off exponentially: equal steps around the top are exact to rounding. Needs odds > 0.
+    """
+    rest = odds * (own - k) + (others - draws + k)
+    lost = lambda a, times: F.when(times > 0, times * F.log(-F.expm1(-a))).otherwise(0.0)
+    height = lambda y: F.log(rest) + y - rest * F.exp(y) + lost(odds * F.exp(y), k) + lost(F.exp(y), draws - k)
+    # the slope falls all the way, so its zero is found by halving
+    share = lambda a: F.when(a > 700, 0.0).when(a < 1e-12, 1.0).otherwise(a / F.expm1(a))
+    slope = lambda y: 1 - rest * F.exp(y) + k * share(odds * F.exp(y)) + (draws - k) * share(F.exp(y))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        up = slope(middle) > 0
+        return F.struct(F.when(up, middle).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(middle).alias("high"))
+
+    top = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(-60.0).alias("low"), F.lit(60.0).alias("high")), halve)["low"]
+    # the steps: 0.3 of the peak's width, to 24 widths below and 12 above
+    once = F.transform(F.array(top), lambda y: F.struct(y.alias("y"), height(y).alias("h"), (1e-3 / F.sqrt(F.greatest(2 * height(y) - height(y - 1e-3) - height(y + 1e-3), F.lit(1e-12)))).alias("width")))
+    whole = F.transform(once, lambda t: F.log(0.3 * t["width"]) + t["h"] + F.log(F.aggregate(F.sequence(F.lit(-80), F.lit(40)), F.lit(0.0), lambda total, j: total + F.exp(height(t["y"] + 0.3 * t["width"] * j) - t["h"]))))
+    log_p = log_choose(own, k) + log_choose(others, draws - k) + F.element_at(whole, 1)
+    return F.when((k < 0) | (k > own) | (draws - k > others) | (k > draws), 0.0).when(rest <= 0, 1.0).otherwise(F.exp(log_p))

@@ -519,3 +519,18 @@ est AS (SELECT gene, event, comparison, ln(phi) AS z, var_phi / phi / phi AS v,
 ORACLES["moderate_trend_precision"] = _with(duck(*_COMP)) + """,
 means AS (SELECT gene, event, avg(n::DOUBLE) AS m FROM v_comparisons GROUP BY gene, event),
 est AS (SELECT gene, event, ln(m % 11 + 1) AS z, m % 3 / 4 + 0.1 AS v, gene % 4 > 0 AS ok FROM means WHERE gene % 5 > 0),""" + _trend("gene, event", 0.3)
+# the weighted count's distribution draw by draw
+ORACLES["enrichment_tail"] = (_RES + "," + _GENES + """,
+w AS (SELECT split_part(gene, '.', 1) AS gene, is_sig, (split_part(gene, '.', 1)::INT % 9 + 1) / 10 AS pwf FROM genes),
+known AS (SELECT DISTINCT l_suppkey::VARCHAR AS gene, l_partkey % 50 AS term FROM lineitem WHERE l_suppkey % 10 > 0),
+urn AS (SELECT count(*) AS n_genes, count(*) FILTER (WHERE is_sig) AS draws, sum(pwf) AS weight FROM w WHERE gene IN (SELECT gene FROM known)),
+terms AS (SELECT term, count(*) AS size, count(*) FILTER (WHERE is_sig) AS n_sig, sum(pwf) AS own FROM known JOIN w USING (gene) GROUP BY term HAVING count(*) >= 2),
+kept AS (SELECT t.*, u.*, n_genes - size AS others, CASE WHEN n_genes > size THEN (own / size) / ((weight - own) / (n_genes - size)) ELSE 1 END AS odds FROM terms t, urn u),
+drawn AS (SELECT term, size, others, draws, odds, n_sig, 0 AS j, [CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0 END for x in range(size + 1)] AS p FROM kept
+  UNION ALL SELECT term, size, others, draws, odds, n_sig, j + 1, [
+    p[x + 1] * coalesce(greatest(others - (j - x), 0) / nullif(odds * (size - x) + greatest(others - (j - x), 0), 0), 0)
+    + CASE WHEN x > 0 THEN p[x] * odds * (size - x + 1) / (odds * (size - x + 1) + greatest(others - (j - x + 1), 0)) ELSE 0 END for x in range(size + 1)] FROM drawn WHERE j < draws),
+tails AS (SELECT term, least(list_sum(p[n_sig + 1:]), 1) AS pvalue FROM drawn WHERE j = draws),
+r AS (SELECT term, pvalue, row_number() OVER (ORDER BY pvalue) AS i, count(*) OVER () AS n FROM tails),
+adj AS (SELECT term, pvalue, least(min(pvalue * n / i) OVER (ORDER BY i DESC), 1) AS padj FROM r)
+SELECT term, size, k.n_sig, round(odds, 9) AS odds, round(pvalue, 9) AS pvalue, round(padj, 9) AS padj, round(k.n_sig / nullif((SELECT count(*) FILTER (WHERE is_sig) FROM w), 0), 9) AS gene_ratio FROM kept k JOIN adj USING (term)""").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -10,12 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from forkline.functions import numerics as num
+from forkline.functions import special
 from forkline.operators import compare, counts, enrich, fdr, mapping, stats, trend
 
 
 def test_columns_of_special_functions(spark):
-    from forkline.functions import special
-
     a, y = [1e-3, 0.3, 1.0, 2.5, 9.9, 50.0, 1e4, 1e9], [0.0, 1.0, 3.0, 40.0, 5000.0]
     rows = spark.createDataFrame([(p, q) for p in a for q in y], "a double, y double")
     got = rows.select("a", "y", special.log_rising(F.col("a"), F.col("y")).alias("l"), special.digamma_rise(F.col("a"), F.col("y")).alias("d"), special.trigamma_rise(F.col("a"), F.col("y")).alias("t")).collect()
@@ -537,3 +536,36 @@ def test_enrichment(spark):
     assert got["hit"].pvalue < 1e-6 and got["miss"].pvalue > 0.05
     top = enrich.significant_members(genes, members, enrich.over_representation(enrich.bias_model(genes), members), 1).collect()
     assert top[0].term == "hit" and len(top[0].genes.split("/")) == 30
+
+
+def drawn_one_by_one(own, others, draws, odds):
+    """The distribution of own balls among `draws`, draw after draw."""
+    p = {0: 1.0}
+    for j in range(draws):
+        new = {}
+        for x, q in p.items():
+            mine, rest = odds * (own - x), others - (j - x)
+            for y, share in ((x + 1, mine), (x, rest)):
+                if share > 0:
+                    new[y] = new.get(y, 0.0) + q * share / (mine + rest)
+        p = new
+    return p
+
+
+def test_biased_urn_like_drawing(spark):
+    cases = [(1, 1, 1, 3.0), (5, 7, 6, 1.0), (5, 7, 12, 2.0), (5, 7, 0, 2.0), (12, 0, 4, 1.0), (40, 160, 60, 4.5), (40, 160, 60, 0.05), (300, 700, 500, 1.7), (10, 2000, 1200, 30.0)]
+    rows = [(k, m, n, d, w) for m, n, d, w in cases for k in range(-1, m + 2)]
+    table = spark.createDataFrame(rows, "k int, m int, n int, d int, w double").select("*", special.biased_urn(*(F.col(c).cast("double") for c in "kmndw")).alias("p"))
+    want = {c: drawn_one_by_one(*c) for c in cases}
+    for r in table.collect():
+        assert r.p == pytest.approx(want[r.m, r.n, r.d, r.w].get(r.k, 0.0), rel=1e-9, abs=1e-300), r
+
+
+def test_over_representation_of_nothing(spark):
+    """No members, nulls and genes without a weight; a term of all genes is not surprising."""
+    genes = spark.createDataFrame([("a", True, 0.5), ("b", None, None), ("c", True, 0.2), (None, True, 0.2)], "gene string, is_sig boolean, pwf double")
+    members = spark.createDataFrame([(g, "all") for g in "abc"] + [("a", "all"), ("a", None), (None, "all"), ("zz", "none"), ("a", "one")], "gene string, term string")
+    got = {r.term: r for r in enrich.over_representation(genes, members, 1, 10).collect()}
+    assert set(got) == {"all", "one"} and got["all"].pvalue == pytest.approx(1) and (got["all"].size, got["all"].n_sig) == (3, 2)
+    assert 0 < got["one"].pvalue <= 1 and got["one"].gene_ratio == pytest.approx(1 / 3)
+    assert enrich.over_representation(genes, members.limit(0), 1, 10).count() == 0
