@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,17 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), with columns of `docs` whose names begin with __, as the operators' own do, under free names meanwhile."""
+    theirs = [c for c in docs.columns if c.startswith("__")]
+    free = "theirs"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    names = {c: f"{free}{i}" for i, c in enumerate(theirs)}
+    done = work(docs.withColumnsRenamed(names))
+    return done.withColumnsRenamed({new: old for old, new in names.items()})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_bytes
+from .common import apart, store, text_bytes
 from .fm_index import FMIndex
 
 #: A shard is closed at so many words. A benchmark is searched in blocks of about so many words; so many blocks at most are broadcast at once.
@@ -169,5 +169,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of `docs` in which no benchmark window occurs, with all their own columns, n_words, n_hit, items and spans too if there are such; see find_overlaps()."""
-    found = find_overlaps(docs, benchmark, width, ("__n_words", "__n_hit", "__items", "__spans"))
-    return found.where("__n_hit = 0").select([f"`{c}`" for c in docs.columns])
+    own = ("__n_words", "__n_hit", "__items", "__spans")
+    return apart(docs, lambda rows: find_overlaps(rows, benchmark, width, own).where("__n_hit = 0").select([f"`{c}`" for c in rows.columns]))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_or_none, partitions, store, text_bytes
+from .common import SPACES, apart, id_or_none, partitions, store, text_bytes
 
 _WS = SPACES.encode()
 _HASH = np.dtype([("hi", ">i8"), ("lo", ">i8")])
@@ -204,8 +204,12 @@ def kept_digests(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """`docs` with the lines that line_bitmaps() marks cut from text (and n_chars, if there, counted anew); no row goes.
 
-    Nulls stay null, further columns and their names are passed on; see line_bitmaps() for repeated rows and missing ids.
+    Nulls stay null, further columns are passed on, whatever their names; see line_bitmaps() for repeated rows and missing ids.
     """
+    return apart(docs, lambda rows: _without_lines(rows, min_chars, min_docs))
+
+
+def _without_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import apart
+
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are broadcast to the documents, more are joined by shuffle.
 BROADCAST_LEAVES = 20_000
@@ -67,15 +69,19 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], f
     All in all `fraction` times the tokens are asked for; a leaf gives at most `max_epochs` times its own. A leaf's
     budget is met by whole epochs and a prefix of one more, in the order of md5(seed:epoch:doc_id) (ties: fewer tokens
     first, equal rows together): documents whose running total is within the budget. Null lang, source or doc_id count as the empty string;
-    leaves without tokens or budget give nothing; an empty table gives an empty result. Further columns are passed on.
+    leaves without tokens or budget give nothing; an empty table gives an empty result. Further columns are passed on, whatever their names.
 
     Only sums leave the documents: for each leaf, and for each bucket of a leaf's order; n documents make the root of n
     buckets, so that a window over a leaf's buckets and one over the documents of a bucket both see the root of n rows.
     The latter runs over ids and sizes in the one bucket only in which the leaf's prefix ends; it gives the key
     up to which the leaf's documents are taken, and texts are never shuffled.
     """
-    names = [c for c in docs.columns if c not in ("domain", "epoch")]
-    rows = docs.withColumns({"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    marked = docs.withColumns({"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    return apart(marked, lambda rows: _mixed(rows, weights, fraction, max_epochs, seed))
+
+
+def _mixed(rows: DataFrame, weights: dict[str, dict[str, float]], fraction: float, max_epochs: int, seed: int) -> DataFrame:
+    names = [f"`{c}`" for c in rows.columns if c not in ("domain", "epoch")]
     leaf = list(LEVELS)
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
     plan = budgets(leaves, weights, fraction, max_epochs).where("budget > 0 and tokens > 0")

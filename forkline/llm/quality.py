@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, text_bytes
+from .common import apart, first_by_hash, text_bytes
 
 #: Hashed n-grams; labelled rows that the model is fitted on, at most.
 DIMENSIONS, SAMPLE = 1 << 18, 12_000
@@ -190,5 +190,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that are predicted to be of label 1, with all their own columns, `score` and `predicted` too if there are such; see fit() and score()."""
-    scored = score(docs, fit(docs, labels, sample), threshold, ("__quality_score", "__quality"))
-    return scored.where("__quality = 1").select([f"`{c}`" for c in docs.columns])
+    model, own = fit(docs, labels, sample), ("__quality_score", "__quality")
+    return apart(docs, lambda rows: score(rows, model, threshold, own).where("__quality = 1").select([f"`{c}`" for c in rows.columns]))

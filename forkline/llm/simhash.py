@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_none, partitions, store, text_bytes
+from .common import NO_ID, apart, id_or_none, partitions, store, text_bytes
 from .components import components
 
 #: Byte positions of a posting; fewer than the guaranteed minimum of shared bytes.
@@ -352,6 +352,6 @@ def near_copies(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component of near_copies(); rows without an id stay."""
+    """The rows of `docs` whose doc_id is the smallest of its component of near_copies(), with all their columns, whatever their names; rows without an id stay, an empty table stays empty."""
     classes = near_copies(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc"))
-    return docs.join(classes, docs.doc_id == F.col("__doc"), "left_anti")
+    return apart(docs, lambda rows: rows.join(classes, F.col("doc_id") == F.col("__doc"), "left_anti"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from forkline.llm import components as cc
 from forkline.llm import decontaminate, exact_dedup, fm_index, license_scan, line_dedup, mixing, quality, simhash, suffix_tree_lm, token_count, url_filter
+from forkline.llm.common import read_table, store
 from forkline.llm.queries import URL_RULES, WEIGHTS, domain_of
 
 WS = " \t\n\x0b\x0c\r"
@@ -695,3 +696,26 @@ def test_scratch_folder_on_a_cluster_must_be_named(spark):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(unset)
+
+
+def test_filters_with_columns_named_like_their_own(spark):
+    """Every name that a filter uses inside, in the documents: values are passed on, results are those without them."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels, items = (read_table(spark, folder, name) for name in ("documents", "labels", "benchmark"))
+    docs = store(docs, "plain")
+    own = ["__id", "__own", "__doc", "__copy", "__bitmap", "__bytes", "__n_words", "__n_hit", "__items", "__spans", "__quality", "__quality_score", "__key", "__bucket", "__whole", "__rest", "__buckets", "__before", "__last", "__cut", "__copies", "__running", "theirs0", "theirs_1"]
+    crowded = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in own})
+    counted = lambda table: table.withColumn("n_tokens", mixing.words_in())
+    filters = {
+        "drop_lines": line_dedup.drop_lines,
+        "keep_one": simhash.keep_one,
+        "remove_contaminated": lambda t: decontaminate.remove_contaminated(t, items),
+        "keep_good": lambda t: quality.keep_good(t, labels),
+        "mix": lambda t: mixing.mix(counted(t), domain_of(), WEIGHTS),
+    }
+    for name, work in filters.items():
+        got, want = work(crowded), work(docs)
+        assert got.columns[: len(crowded.columns)] == crowded.columns, name
+        rows = got.select("doc_id", "text", *own).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in want.collect()) and rows, name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in own), name
