@@ -139,7 +139,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
                 bitmaps.append(zlib.compress(np.packbits(gone, bitorder="little").tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bitmaps, pa.binary())], ["doc", "copy", "bitmap"])
 
-    return drops.groupBy("doc", "copy").agg(F.collect_list("pos")).mapInArrow(run, "doc long, copy long, bitmap binary")
+    # rows that share a document and a text bring up each position anew
+    return drops.groupBy("doc", "copy").agg(F.collect_set("pos")).mapInArrow(run, "doc long, copy long, bitmap binary")
 
 
 def _unpacked(bitmap: bytes | None, n: int) -> np.ndarray:
