@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import intersect_all
+from ..sources.shared import save as save_table
+from .ranks import ranked_values
 
 
 def tx_paths(tx_nodes: DataFrame, root: int | None = None, leaf: int | None = None) -> DataFrame:
@@ -62,12 +64,26 @@ def variant_codes(ways: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def depths(bubbles: DataFrame) -> DataFrame:
-    """(gene, src, snk, depth): in how many other intervals of the gene each one lies, ends included; equal intervals count each other."""
-    a, b = bubbles.select("gene", "src", "snk", F.monotonically_increasing_id().alias("i")), None
-    spans = a.groupBy("gene", "src", "snk").agg(F.count(F.lit(1)).alias("n"))
-    b = spans.select("gene", F.col("src").alias("osrc"), F.col("snk").alias("osnk"), F.col("n").alias("on"))
-    within = spans.join(b, "gene").where("osrc <= src and osnk >= snk").groupBy("gene", "src", "snk", "n").agg((F.sum("on") - 1).alias("depth"))
-    return within.select("gene", "src", "snk", "depth")
+    """(gene, src, snk, depth): in how many other intervals of the gene each one lies, ends included; equal intervals count each other.
+
+    Intervals that end at a sink or beyond are those with the same sink and, for each bit that the sink does not have, those
+    with this bit whose sinks agree in all higher bits. So an interval is counted once for each bit of its sink, in blocks
+    of sinks, and asks once for each bit it lacks; in a block, running sums over the sources count those that begin no
+    later. Rows are the intervals times the bits of a node's number, and no gene or block meets in one task.
+    """
+    spans = save_table(bubbles.groupBy("gene", "src", "snk").agg(F.count(F.lit(1)).alias("n")), "spans")
+    top = int(spans.agg(F.max("snk")).first()[0] or 0).bit_length()
+    bits = F.sequence(F.lit(0), F.lit(max(top - 1, 0)))
+    has = lambda b: F.call_function("shiftright", F.col("snk"), b) % 2 == 1
+    block = lambda b: F.struct(b.alias("bit"), F.call_function("shiftright", F.col("snk"), b).alias("block"))
+    same = F.array(F.struct(F.lit(-1).alias("bit"), F.col("snk").alias("block")))
+    held = spans.select("gene", "src", "snk", "n", F.explode(F.concat(same, F.transform(F.filter(bits, has), block))).alias("at"))
+    asked = spans.select("gene", "src", "snk", F.lit(0).cast("long").alias("n"), F.explode(F.concat(same, F.transform(F.filter(bits, lambda b: ~has(b)), lambda b: F.struct(b.alias("bit"), (F.call_function("shiftright", F.col("snk"), b) + 1).alias("block"))))).alias("at"))
+    by = ["gene", "bit", "block"]
+    both = held.unionByName(asked).select("gene", "at.bit", "at.block", "src", "n")
+    counted = ranked_values(both, by, "src", "n").select(*by, "src", "__upto")
+    met = asked.select("gene", "src", "snk", "at.bit", "at.block").join(counted, [*by, "src"])
+    return met.groupBy("gene", "src", "snk").agg((F.sum("__upto") - 1).alias("depth"))
 
 
 def order_by_depth(bubbles: DataFrame) -> DataFrame:

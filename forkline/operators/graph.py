@@ -128,10 +128,20 @@ def node_types(edges: DataFrame) -> DataFrame:
 
 
 def containment(sets: DataFrame) -> DataFrame:
-    """sets (gene, path_id, parts) -> gene, small, large: paths whose parts are a proper subset of another path's."""
-    other = sets.select("gene", F.col("path_id").alias("large"), F.col("parts").alias("more"))
-    a, b = F.array_distinct("parts"), F.array_distinct("more")
-    return sets.join(other, "gene").where((F.size(F.array_except(a, b)) == 0) & (F.size(a) < F.size(b))).select("gene", F.col("path_id").alias("small"), "large")
+    """sets (gene, path_id, parts) -> gene, small, large: paths whose parts are a proper subset of another path's.
+
+    A path is compared with those only that have its rarest part (of the gene; ties: the smallest) and more parts than it.
+    Paths without parts lie in every path of the gene that has one; a null list counts as empty.
+    """
+    known = sets.select("gene", "path_id", F.array_distinct(F.coalesce("parts", F.array().cast("array<int>"))).alias("parts"))
+    each = known.select("gene", "path_id", F.explode("parts").alias("part"))
+    users = each.groupBy("gene", "part").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(users, ["gene", "part"]).groupBy("gene", "path_id").agg(F.min(F.struct("n", "part"))["part"].alias("part"))
+    small = known.join(rarest, ["gene", "path_id"]).select("gene", "part", F.col("path_id").alias("small"), F.col("parts").alias("less"))
+    large = known.select("gene", F.explode("parts").alias("part"), F.col("path_id").alias("large"), F.col("parts").alias("more"))
+    found = small.join(large, ["gene", "part"]).where((F.size("less") < F.size("more")) & (F.size(F.array_except("less", "more")) == 0))
+    empty = known.where(F.size("parts") == 0).select("gene", F.col("path_id").alias("small")).join(known.where(F.size("parts") > 0).select("gene", F.col("path_id").alias("large")), "gene")
+    return found.select("gene", "small", "large").unionByName(empty)
 
 
 def collapse_bubbles(paths: DataFrame, detect, root: int, leaf: int, save, max_rounds: int = 10_000) -> DataFrame:

@@ -16,10 +16,10 @@ def same_group(left: DataFrame, right: DataFrame, by: list[str], names: list[str
     return reduce(lambda a, k: a & left[k[0]].eqNullSafe(right[k[1]]), zip(by, names, strict=True), F.lit(True))
 
 
-def ranked_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value, __c, __range, __upto, __total): each distinct value of each group, how often it is there, the range it lies in, and how many rows of the group are up to it and in all. Null values are left out."""
+def ranked_values(rows: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(by, value, __c, __range, __upto, __total): each distinct value of each group, how often it is there (or the sum of its rows' `weight`), the range it lies in, and how many rows of the group are up to it and in all. Null values are left out."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c"))
     spread = counted.repartitionByRange(n, *by, value).withColumn("__range", F.spark_partition_id())
     values = save(spread, "ranges")
     sums = values.groupBy(*by, "__range").agg(F.sum("__c").alias("__m"))

@@ -60,6 +60,22 @@ def test_depths(spark, spans, depth):
     assert [got[s] for s in spans] == depth
 
 
+def test_depths_of_many_like_plain_counting(spark):
+    """A hot gene, repeated intervals, sinks at and around powers of two."""
+    rng = random.Random(11)
+    rows = [(g, a, a + d) for g, n in (("hot", 300), ("g", 30), ("h", 1)) for _ in range(n) for a, d in [(rng.randint(0, 30), rng.choice((1, 2, 3, 4, 8, 16, 33)))]]
+    got = {(r.gene, r.src, r.snk): r.depth for r in b.depths(spark.createDataFrame(rows, "gene string, src int, snk int")).collect()}
+    assert got == {(g, s, t): sum(h == g and x <= s and y >= t for h, x, y in rows) - 1 for g, s, t in rows}
+    assert b.depths(spark.createDataFrame([], "gene string, src int, snk int")).count() == 0
+
+
+def test_containment_like_all_pairs(spark):
+    rng = random.Random(12)
+    sets = [(g, i, None if i == 0 else sorted(rng.sample(range(9), rng.randint(0, 5)) + [3] * (i % 2))) for g in ("a", "b") for i in range(40)]
+    got = sorted(tuple(r) for r in graph.containment(spark.createDataFrame(sets, "gene string, path_id int, parts array<int>")).collect())
+    assert got == sorted((g, i, j) for g, i, p in sets for h, j, q in sets if g == h and set(p or []) < set(q or []))
+
+
 def test_node_types(spark):
     got = {r.node: r.type for r in b.node_types(b.tx_paths(nodes(spark, SIMPLE), 0, 5), 0, 5).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 1, 5: 0}
