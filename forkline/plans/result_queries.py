@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import part_labels
 from ..operators import compare, enrich, mapping, splits, stats
-from .queries import MAX_SINGLE, _bubbles, _genes, _phi, _pruned, _text, _two_tools, query
+from .queries import MAX_SINGLE, _bubbles, _genes, _phi, _pruned, _text, _two_tools, node_lists, query
 from .views import view
 
 def _part_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,14 +58,14 @@ def map_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chosen_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = view(spark, sf, "v_tx_nodes").where("tx % 3 = 0").select("gene", "tx").distinct()
-    rows = splits.chosen_vs_rest(_bubbles(spark, sf), chosen)
+    chosen = node_lists(spark, sf).where("tx % 3 = 0").select("gene", "tx")
+    rows = splits.chosen_vs_rest(_bubbles(spark, sf, ("txs",)), chosen)
     return rows.select("gene", "src", "snk", _text("txs1").alias("txs1"), _text("txs2").alias("txs2"), "n1", "n2")
 
 
 @query
 def changed_vs_constant(spark: SparkSession, sf: str) -> DataFrame:
-    txs = view(spark, sf, "v_tx_nodes").select("gene", "tx").distinct()
+    txs = node_lists(spark, sf).select("gene", "tx")
     rows = splits.changed_vs_constant(_bubbles(spark, sf), txs.where("tx % 3 = 0"), txs.where("tx % 3 = 1"))
     side = lambda k: F.element_at("groups", k)
     return rows.select("gene", "src", "snk", part_labels(F.col("ref")).alias("ref"), part_labels(side(1)["diff"]).alias("diff1"), part_labels(side(2)["diff"]).alias("diff2"), F.size(side(1)["txs"]).alias("n1"), F.size(side(2)["txs"]).alias("n2"))
