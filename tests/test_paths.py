@@ -294,3 +294,33 @@ def test_collapse_like_brute_force(spark):
     assert got == want and got != before
     with pytest.raises(ValueError):
         graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, save, max_rounds=1)
+
+
+def exchanges(df):
+    """Shuffles of a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_bubbles_shuffle_paths_alone(spark):
+    """Ways between nodes are grouped where their gene's paths are."""
+    paths = b.with_parts(spark.createDataFrame([("g", "a", [0, 1, 2, 9]), ("g", "c", [0, 2, 9])], "gene string, tx string, nodes array<int>"), 0, 9)
+    found = b.detect_bubbles(paths)
+    assert exchanges(found) == 1
+    assert exchanges(b.order_by_depth(found.select("gene", "src", "snk"))) == 1
+    assert exchanges(splits.dedupe(splits.pairs(found), ["src"])) == 1
+    assert exchanges(splits.dedupe(splits.bipartitions(found), ["src"])) == 1
+    assert [v.inner for v in b.detect_bubbles(paths, ()).where("src = 0 and snk = 2").first().variants] == [[], [1]]
+
+
+def test_bipartitions_of_many_unrelated_variants(spark):
+    """50 variants with a part each: 2 ** 49 sets in two, of which 50 have a part that tells the sides apart."""
+    rows = [("g", 1, 90, 50, [{"inner": [i + 2], "txs": [f"t{i}"], "parts": [i + 2], "rep": [i + 2]} for i in range(50)])]
+    found = splits.bipartitions(spark.createDataFrame(rows, "gene string, src int, snk int, n_paths int, variants array<struct<inner: array<int>, txs: array<string>, parts: array<int>, rep: array<int>>>"))
+    got = {r.mask: [g["diff"] for g in r.groups] for r in found.collect()}
+    every = (1 << 50) - 1
+    assert got == {1 if i == 0 else every ^ (1 << i): [[2], []] if i == 0 else [[], [i + 2]] for i in range(50)}
+
+
+def test_equal_intervals_count_each_other_without_other_columns(spark):
+    rows = spark.createDataFrame([("g", 1, 9), ("g", 1, 9), ("g", 3, 4)], "gene string, src int, snk int")
+    assert sorted((r.src, r.depth, r["rank"]) for r in b.order_by_depth(rows).collect()) == [(1, 1, 2), (1, 1, 3), (3, 2, 1)]
