@@ -12,12 +12,18 @@ from ..operators import counts, graph, intervals, mapping, splits
 from ..operators import bubbles as b
 from ..sources import annotation
 from ..sources.shared import new_path, save
-from .queries import MAX_SINGLE, QUERIES, _text, query
+from .queries import MAX_SINGLE, QUERIES, _text, node_lists, query
 from .views import LEAF, ROOT, view
 
 
 def _exons(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_chains")
+    """v_chains from a row for each path: every two nodes after the root are the ends of an exon."""
+    up = node_lists(spark, sf).select("gene", "tx", F.expr(f"filter(nodes, x -> x > {ROOT})").alias("up")).where("size(up) > 1")
+    rows = up.selectExpr("gene", "tx", "floor(gene / 10) * 90 + floor(gene / 30) * 200 as place", "inline(transform(sequence(1, cast(floor(size(up) / 2) as int)), k -> struct(up[2 * k - 2] as a, up[2 * k - 1] as b)))")
+    return rows.selectExpr(
+        "gene", "tx", "'c' || cast(gene % 5 as string) as chrom", "case when gene % 2 = 0 then '+' else '-' end as strand",
+        "cast(place + case when gene % 2 = 0 then a * 10 + 1 else 121 - b * 10 end as int) as start", "cast(place + case when gene % 2 = 0 then b * 10 else 120 - a * 10 end as int) as `end`",
+    )
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,13 +213,15 @@ def _tool_table(edges: DataFrame, whole_exons: bool = False) -> DataFrame:
     low, high = F.least("p", "q"), F.greatest("p", "q")
     name = lambda kind, *nodes: F.concat_ws("_", F.lit(kind), *(F.col(c).cast("string") for c in ("gene", *nodes)))
 
-    before = into.select("gene", F.col("b").alias("a"), F.struct(F.col("a").alias("n"), F.col("p").alias("x")).alias("f"))
-    after = into.select("gene", F.col("a").alias("b"), F.struct(F.col("b").alias("n"), F.col("q").alias("x")).alias("t"))
-    nearest = ex.join(before, ["gene", "a"]).join(after, ["gene", "b"]).groupBy("gene", "a", "b", "p", "q").agg(F.max("f").alias("f"), F.min("t").alias("t"))
+    before = into.groupBy("gene", F.col("b").alias("a")).agg(F.max(F.struct(F.col("a").alias("n"), F.col("p").alias("x"))).alias("f"))
+    after = into.groupBy("gene", F.col("a").alias("b")).agg(F.min(F.struct(F.col("b").alias("n"), F.col("q").alias("x"))).alias("t"))
+    nearest = ex.join(before, ["gene", "a"]).join(after, ["gene", "b"])
     se = nearest.select("gene", name("SE", "a", "b").alias("event_id"), F.lit("SE").alias("etype"), zero(low).alias("exonStart_0base"), zero(high).alias("exonEnd"), zero(F.least("f.x", "t.x")).alias("upstreamEE"), zero(F.greatest("f.x", "t.x")).alias("downstreamES"))
 
-    whole = ex.select("gene", F.col("a").alias("ea"), F.col("b").alias("eb"))
-    kept = into.join(whole, "gene").where("ea < a and b < eb").select("gene", "a", "b", "p", "q").distinct()
+    # an intron is retained if an exon that begins before it reaches beyond it
+    reach = into.withColumn("reach", F.lit(None).cast("int")).unionByName(ex.select("gene", "a", F.col("b").alias("reach")), allowMissingColumns=True)
+    far = F.max("reach").over(b.W.partitionBy("gene").orderBy("a").rangeBetween(b.W.unboundedPreceding, -1))
+    kept = reach.withColumn("far", far).where("b < far").select("gene", "a", "b", "p", "q")
     ri = kept.select("gene", name("RI", "a", "b").alias("event_id"), F.lit("RI").alias("etype"), zero(low).alias("upstreamEE"), zero(high).alias("downstreamES"))
 
     if whole_exons:
