@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bubbles import with_uses
+
 
 def _ends(exons: DataFrame) -> DataFrame:
     """Exons with begin and stop in the direction of transcription; the closed side is moved by one."""
@@ -147,40 +149,39 @@ def containment(sets: DataFrame) -> DataFrame:
 def collapse_bubbles(paths: DataFrame, detect, root: int, leaf: int, save, max_rounds: int = 10_000) -> DataFrame:
     """Collapse bubbles, innermost first, all genes in step, until none is left: tx_paths after it.
 
-    A round takes each gene's shortest bubble that is not done and has neither the root nor the leaf. A variant goes
+    Of each gene's bubbles that have neither the root nor the leaf the shortest one that is not done comes next. A variant goes
     if its steps are used by its own transcripts only; those transcripts then follow the variant kept, the one with
-    the most transcripts (at least one stays). `detect` finds bubbles in tx_paths; `save` cuts lineage. Each round is
-    done with a bubble of every gene that has one left, and leaves the other genes out of the next; beyond max_rounds it raises.
+    the most transcripts (at least one stays). Bubbles that nothing leaves change nothing, so a round is done with all of them up to
+    the first one that something leaves, and only such ones take rounds. `detect` finds bubbles in tx_paths; `save` cuts lineage. A round
+    leaves the genes that have no such bubble out of the next; beyond max_rounds it raises.
     """
-    done, finished = None, []
+    done, finished = [], []
+    alone = lambda v: v["n"] == v["most"]
+    place = F.struct(F.col("snk") - F.col("src"), F.col("src"))
     for _ in range(max_rounds):
-        bubbles = detect(paths).where(f"src <> {root} and snk <> {leaf}")
-        if done is not None:
-            bubbles = bubbles.join(done, ["gene", "src", "snk"], "left_anti")
-        order = W.partitionBy("gene").orderBy(F.col("snk") - F.col("src"), "src")
-        now = save(bubbles.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k"))
+        bubbles = detect(with_uses(paths), ("n", "most")).where(f"src <> {root} and snk <> {leaf}").drop("n_paths")
+        if done:
+            over = reduce(DataFrame.union, done).groupBy("gene").agg(F.collect_list(F.struct("src", "snk")).alias("over"))  # a gene's bubbles; joined by gene alone, they stay where they are
+            bubbles = bubbles.join(over, "gene").where(~F.array_contains("over", F.struct("src", "snk"))).drop("over")
+        marked = bubbles.withColumn("moves", F.exists("variants", alone))
+        until = F.min(F.when(F.col("moves"), place)).over(W.partitionBy("gene"))
+        taken = save(marked.withColumn("until", until).where(place <= F.col("until")).select("gene", "src", "snk", F.when(F.col("moves"), F.col("variants")).alias("variants")))
+        now = taken.where("variants is not null")
         if now.isEmpty():
             return reduce(DataFrame.union, finished, paths)
-        here = now.select("gene", "src", "snk")
-        finished.append(paths.join(here, "gene", "left_anti"))
-        paths = paths.join(here, "gene", "left_semi")
-        done = save(here if done is None else done.union(here))
-        each = now.select("gene", "src", "snk", F.posexplode("variants").alias("i", "v"))
-        used = paths.join(here, "gene").select("gene", "tx", F.filter("nodes", lambda x: (x >= F.col("src")) & (x <= F.col("snk"))).alias("in"), "src", "snk")
-        steps = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda k: F.struct(F.element_at(a, k).alias("x"), F.element_at(a, k + 1).alias("y")))
-        walk = used.where("size(in) > 1").select("gene", "tx", F.explode(steps(F.col("in"))).alias("s"))
-        users = walk.groupBy("gene", "s").agg(F.collect_set("tx").alias("users"))
-        way = F.concat(F.array("src"), F.col("v.inner"), F.array("snk"))
-        vs = each.select("gene", "src", "snk", "i", "v", F.explode(steps(way)).alias("s")).join(users, ["gene", "s"])
-        own = vs.groupBy("gene", "src", "snk", "i", "v").agg(F.array_distinct(F.flatten(F.collect_list("users"))).alias("users"))
-        own = own.withColumn("alone", F.size(F.array_except("users", "v.txs")) == 0)
-        rank = F.row_number().over(W.partitionBy("gene").orderBy("alone", F.size("v.txs").desc(), "i"))
-        ranked = own.withColumn("r", rank)
-        keeper = ranked.where("r = 1").select("gene", F.col("v.inner").alias("keep_inner"), F.col("v.parts").alias("keep_parts"))
-        gone = ranked.where("alone and r > 1").select("gene", "src", "snk", F.explode("v.txs").alias("tx")).join(keeper, "gene")
-        moved = paths.join(gone, ["gene", "tx"], "left")
+        done.append(taken.drop("variants"))
+        ranked = F.array_sort(F.transform("variants", lambda v, i: F.struct(alone(v).alias("alone"), (-v["n"]).alias("fewer"), i.alias("i"), v["inner"].alias("inner"))))
+        gone = F.transform(F.filter(F.slice("ranked", F.lit(2), F.size("ranked")), lambda v: v["alone"]), lambda v: v["inner"])
+        plan = now.withColumn("ranked", ranked).select("gene", "src", "snk", F.element_at("ranked", 1)["inner"].alias("keep"), gone.alias("gone"))
+        inner = F.when(F.array_contains("nodes", F.col("src")) & F.array_contains("nodes", F.col("snk")), F.filter("nodes", lambda x: (x > F.col("src")) & (x < F.col("snk"))))
+        here = paths.join(plan, "gene", "left").withColumn("inner", inner)
+        first = F.min_by("parts", F.when(F.col("inner") == F.col("keep"), F.col("tx"))).over(W.partitionBy("gene"))
+        moved = here.withColumns({"leaves": F.coalesce(F.array_contains("gone", F.col("inner")), F.lit(False)), "kept": first})
         outside = lambda name, low, high: F.filter(name, lambda x: (x <= low) | (x >= high))
-        nodes = F.when(F.col("src").isNull(), F.col("nodes")).otherwise(F.array_sort(F.array_union(outside("nodes", F.col("src"), F.col("snk")), "keep_inner")))
-        parts = F.when(F.col("src").isNull(), F.col("parts")).otherwise(F.array_sort(F.array_union(F.filter("parts", lambda p: (p < F.col("src")) | (p >= F.col("snk"))), F.col("keep_parts"))))
-        paths = save(moved.select("gene", "tx", nodes.alias("nodes"), parts.alias("parts")))
+        nodes = F.when(F.col("leaves"), F.array_sort(F.array_union(outside("nodes", F.col("src"), F.col("snk")), "keep"))).otherwise(F.col("nodes"))
+        own = lambda p: (p >= F.col("src")) & (p < F.col("snk"))
+        parts = F.when(F.col("leaves"), F.array_sort(F.array_union(F.filter("parts", lambda p: ~own(p)), F.filter("kept", own)))).otherwise(F.col("parts"))
+        both = save(moved.select("gene", "tx", nodes.alias("nodes"), parts.alias("parts"), F.col("src").isNotNull().alias("open")))
+        finished.append(both.where("not open").drop("open"))
+        paths = both.where("open").drop("open")
     raise ValueError(f"bubbles left after {max_rounds} rounds")

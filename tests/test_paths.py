@@ -296,6 +296,14 @@ def test_collapse_like_brute_force(spark):
         graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, save, max_rounds=1)
 
 
+def test_collapse_takes_no_round_for_a_bubble_that_nothing_leaves(spark):
+    """Steps into 4 and 7 are also used by paths outside of the bubbles (1, 4) and (4, 7)."""
+    rows = [("g", f"{x}{y}", [0, 1, x, 4, y, 7, 9]) for x in (2, 3) for y in (5, 6)] + [("g", "a", [0, 2, 4, 9]), ("g", "b", [0, 3, 4, 9]), ("g", "c", [0, 5, 7, 9]), ("g", "d", [0, 6, 7, 9])]
+    paths = b.tx_paths(nodes(spark, rows), 0, 9)
+    got = graph.collapse_bubbles(paths, b.detect_bubbles, 0, 9, save, max_rounds=1)
+    assert {(r.tx, tuple(r.nodes)) for r in got.collect()} == {(tx, tuple(way)) for _, tx, way in rows}
+
+
 def exchanges(df):
     """Shuffles of a plan."""
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
