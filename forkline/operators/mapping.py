@@ -75,6 +75,41 @@ def step_positions(nodes: DataFrame) -> DataFrame:
     return nodes.join(following, ["gene", "node"]).where("position is not null").select("gene", F.col("node").alias("part"), F.least("position", "further").alias("low"), F.greatest("position", "further").alias("high"))
 
 
+def _bounds(rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """`rows` (gene, ...) of genes with positions, with `__spans`: where each part of the gene lies, at the part's number from __from on."""
+    known = positions.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("part", F.struct("low", "high")))).alias("spans"), F.min("part").alias("__from"), F.max("part").alias("top"))  # a gene's parts
+    lines = known.select("gene", "__from", F.transform(F.sequence("__from", "top"), lambda k: F.try_element_at("spans", k)).alias("__spans"))
+    return rows.join(lines, "gene")
+
+
+def _spans(parts: str) -> Column:
+    """Of the parts those that have a position, as where they lie."""
+    return F.array_compact(F.transform(parts, lambda p: F.get("__spans", p - F.col("__from"))))
+
+
+def _events(bounded: DataFrame) -> DataFrame:
+    given = lambda name: F.when(F.col("etype") == "RI", F.col(name).cast("int") + 1) if name in bounded.columns else F.lit(None).cast("int")
+    return bounded.where("b1 is not null and b2 is not null").select(
+        "gene", "event_id", "etype", "strand", "b1", "b2", F.coalesce(given("upstreamES"), "b1").alias("e1"), F.coalesce(given("downstreamEE"), "b2").alias("e2"), "alt_low", "alt_hi", given("riExonStart_0base").alias("r1"), given("riExonEnd").alias("r2")
+    )
+
+
+def met_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) -> DataFrame:
+    """Events with each side of a split (gene, event, diff1, diff2, ref) whose parts and reference parts lie as the event needs, and their numbers only; see match_splits()."""
+    sides = _bounds(splits.select("gene", "event", "ref", "diff1", "diff2"), positions)
+    flanks = F.struct(F.array_min(_spans("ref")).alias("first"), F.array_max(_spans("ref")).alias("last"))
+    reach = lambda side, diff: F.struct(F.lit(side).alias("side"), F.array_min(_spans(diff))["low"].alias("alt_low"), F.array_max(F.transform(_spans(diff), lambda x: x["high"])).alias("alt_hi"))
+    placed = sides.select("gene", "event", flanks.alias("flanks"), F.inline(F.array(reach(1, "diff1"), reach(2, "diff2")))).where("alt_low is not null")
+    placed = placed.select("gene", "event", "side", "alt_low", "alt_hi", "flanks.first", "flanks.last")
+    plus = F.col("strand") == "+"
+    below, above = F.col("first.high"), F.col("last.low")
+    flanked = (
+        F.when(F.col("etype") == "SE", (below == F.col("b1")) & (above == F.col("b2"))).when(F.col("etype") == "A3SS", F.when(plus, below).otherwise(above) == F.col("b1"))
+        .when(F.col("etype") == "A5SS", F.when(plus, above).otherwise(below) == F.col("b2")).when(F.col("r1").isNotNull() & F.col("r2").isNotNull(), (F.col("first.low") == F.col("r1")) & (F.col("last.high") == F.col("r2"))).otherwise(True)
+    )
+    return _events(bounded).join(placed, ["gene", "alt_low", "alt_hi"]).where(flanked).drop("first", "last")
+
+
 def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) -> DataFrame:
     """Events matched to splits by where the distinguishing parts begin and end.
 
@@ -86,23 +121,10 @@ def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) ->
     where one side's paths have the event's own sites (both ends of an SE, else of the longer form) and the other's have
     none; then the first event. Returns gene, event_id, etype, event, side, parts, ref, and diffs, the parts of both sides.
     """
-    sides = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), "pos1", "pos2", "ref", F.array_sort(F.array_union(F.coalesce("diff1", F.array().cast("array<int>")), F.coalesce("diff2", F.array().cast("array<int>")))).alias("diffs"), F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("diff1").alias("parts")), F.struct(F.lit(2).alias("side"), F.col("diff2").alias("parts")))))
-    sides = sides.where("size(parts) > 0")
-    reach = sides.select("gene", "event", "side", F.explode("parts").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event", "side").agg(F.min("low").alias("alt_low"), F.max("high").alias("alt_hi"))
-    span = F.struct("low", "high")
-    flanks = splits.select("gene", "event", F.explode("ref").alias("part")).join(positions, ["gene", "part"]).groupBy("gene", "event").agg(F.min(span).alias("first"), F.max(span).alias("last"))
-    placed = sides.join(reach, ["gene", "event", "side"]).join(flanks, ["gene", "event"], "left")
-    given = lambda name: F.when(F.col("etype") == "RI", F.col(name).cast("int") + 1) if name in bounded.columns else F.lit(None).cast("int")
-    e = bounded.where("b1 is not null and b2 is not null").select(
-        "gene", "event_id", "etype", "strand", "b1", "b2", F.coalesce(given("upstreamES"), "b1").alias("e1"), F.coalesce(given("downstreamEE"), "b2").alias("e2"), "alt_low", "alt_hi", given("riExonStart_0base").alias("r1"), given("riExonEnd").alias("r2")
-    )
-    plus = F.col("strand") == "+"
-    below, above = F.col("first.high"), F.col("last.low")
-    flanked = (
-        F.when(F.col("etype") == "SE", (below == F.col("b1")) & (above == F.col("b2"))).when(F.col("etype") == "A3SS", F.when(plus, below).otherwise(above) == F.col("b1"))
-        .when(F.col("etype") == "A5SS", F.when(plus, above).otherwise(below) == F.col("b2")).when(F.col("r1").isNotNull() & F.col("r2").isNotNull(), (F.col("first.low") == F.col("r1")) & (F.col("last.high") == F.col("r2"))).otherwise(True)
-    )
-    met = e.join(placed, ["gene", "alt_low", "alt_hi"]).where(flanked)
+    met = met_splits(bounded, splits, positions)
+    diffs = F.array_sort(F.array_union(F.coalesce("diff1", F.array().cast("array<int>")), F.coalesce("diff2", F.array().cast("array<int>"))))
+    told = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), "pos1", "pos2", "ref", diffs.alias("diffs"), "diff1", "diff2")
+    met = met.join(told, ["gene", "event"]).withColumn("parts", F.when(F.col("side") == 1, F.col("diff1")).otherwise(F.col("diff2")))
     exact = F.size(F.array_except("ends", F.array("e1", "e2"))) == 0
     low_is_long = (F.col("etype") == "A3SS") == (F.col("strand") == "+")
     own = F.when(F.col("etype").isin("SE", "RI"), F.array("alt_low", "alt_hi")).otherwise(F.array(F.when(low_is_long, F.col("alt_low")).otherwise(F.col("alt_hi"))))

@@ -285,21 +285,29 @@ def event_to_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered_splits(edges: DataFrame, kind: str) -> DataFrame:
-    """The splits of all genes' graphs, numbered within the gene; the leaf of each graph is numbered LEAF."""
-    last = edges.where("kind = 'L'").select("gene", F.col("b").alias("leaf")).distinct()
-    nodes = graph.tx_nodes(edges).join(last, "gene").select("gene", "tx", F.when(F.col("node") == F.col("leaf"), LEAF).otherwise(F.col("node")).alias("node"))
-    found = b.prune(b.detect_bubbles(b.tx_paths(nodes, ROOT, LEAF)), ROOT, LEAF, None if kind == "bipartition" else MAX_SINGLE)
+    """The splits of all genes' graphs, numbered within the gene; the leaf of each graph, which all its paths end in, is numbered LEAF. A group's paths are one list of all their nodes."""
+    used = edges.where("kind <> 'ex_part'").select("gene", F.explode("txs").alias("tx"), F.explode(F.array("a", "b")).alias("node"))
+    lists = used.groupBy("gene", "tx").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    paths = b.with_parts(lists.withColumn("nodes", F.array_sort(F.array_distinct(F.concat(F.expr("slice(nodes, 1, size(nodes) - 1)"), F.array(F.lit(LEAF)))))), ROOT, LEAF)
+    found = b.prune(b.detect_bubbles(paths, ("parts", "rep")), ROOT, LEAF, None if kind == "bipartition" else MAX_SINGLE)
     if kind == "bipartition":
-        return splits.dedupe(splits.bipartitions(found), [F.col("snk") - F.col("src"), "src", "mask"])
-    return splits.multinomial(found).withColumn("event", F.row_number().over(b.W.partitionBy("gene").orderBy("src", "snk")))
+        rows = splits.dedupe(splits.bipartitions(found), [F.col("snk") - F.col("src"), "src", "mask"])
+    else:
+        rows = splits.multinomial(found).withColumn("event", F.row_number().over(b.W.partitionBy("gene").orderBy("src", "snk")))
+    groups = F.transform("groups", lambda g: F.struct(F.array(F.array_distinct(F.flatten(g["paths"]))).alias("paths"), g["diff"].alias("diff")))
+    return rows.select("gene", "event", "src", "snk", groups.alias("groups"), "ref")
 
 
 def _matched(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    exons = _exons(spark, sf)
+    """Splits that lie as no event needs are left out before the positions of their paths are looked up."""
+    exons = save(_exons(spark, sf))
     nodes = save(graph.build_nodes(exons))
     edges = save(graph.build_edges(exons, nodes))
-    events = mapping.boundaries(_tool_table(edges, whole_exons=True))
-    return save(mapping.match_splits(events, save(mapping.placed_splits(_numbered_splits(edges, kind), nodes)), mapping.step_positions(nodes)))
+    events = save(mapping.boundaries(_tool_table(edges, whole_exons=True)))
+    positions = mapping.step_positions(nodes)
+    numbered = save(_numbered_splits(edges, kind))
+    met = save(mapping.met_splits(events, mapping.two_sided(numbered), positions).select("gene", "event").distinct())
+    return save(mapping.match_splits(events, mapping.placed_splits(numbered.join(met, ["gene", "event"], "left_semi"), nodes), positions))
 
 
 def _match(kind: str) -> Callable[[SparkSession, str], DataFrame]:

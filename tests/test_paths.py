@@ -304,6 +304,16 @@ def test_collapse_takes_no_round_for_a_bubble_that_nothing_leaves(spark):
     assert {(r.tx, tuple(r.nodes)) for r in got.collect()} == {(tx, tuple(way)) for _, tx, way in rows}
 
 
+def test_splits_without_transcripts_are_the_same(spark):
+    """Splits that are only matched need no transcripts, and are found without listing them."""
+    paths = b.tx_paths(nodes(spark, [("g", "a", [0, 1, 2, 5, 6, 9]), ("g", "b", [0, 1, 3, 5, 6, 9]), ("g", "c", [0, 1, 2, 5, 7, 9]), ("g", "d", [0, 1, 4, 9])]), 0, 9)
+    for f in (splits.bipartitions, splits.multinomial):
+        whole, bare = (f(b.detect_bubbles(paths, keep)).collect() for keep in (b.ALL, ("parts", "rep")))
+        plain = lambda rows: sorted((r.src, r.snk, [(g.paths, g.diff, g.status) for g in r.groups], r.ref) for r in rows)
+        assert plain(whole) == plain(bare) and all("txs" not in g.asDict() for r in bare for g in r.groups)
+        assert whole or f is splits.multinomial
+
+
 def exchanges(df):
     """Shuffles of a plan."""
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
