@@ -569,3 +569,20 @@ def test_over_representation_of_nothing(spark):
     assert set(got) == {"all", "one"} and got["all"].pvalue == pytest.approx(1) and (got["all"].size, got["all"].n_sig) == (3, 2)
     assert 0 < got["one"].pvalue <= 1 and got["one"].gene_ratio == pytest.approx(1 / 3)
     assert enrich.over_representation(genes, members.limit(0), 1, 10).count() == 0
+
+
+def test_a_shared_dispersion_is_estimated_alone(spark, monkeypatch):
+    """Where one comparison's dispersion stands for all of an event, no other comparison is fitted."""
+
+    class Seen(Exception):
+        pass
+
+    def seen(rows, *_, **__):
+        raise Seen(sorted(r.comparison for r in rows.select("comparison").distinct().collect()))
+
+    monkeypatch.setattr(stats, "dispersion", seen)
+    rows = [(1, 1, s, "g1" if s < 3 else "g2", 20 + s, 10 + s, 5 + s) for s in range(6)]
+    events = spark.createDataFrame(rows, "gene int, event int, sample int, grp string, ref long, diff1 long, diff2 long")
+    with pytest.raises(Seen) as found:
+        stats.run_test(events, "betabinom_EBapprox", [("g2", "g1")], table=stats.JUNCTION_COMPARISONS, share_dispersion="diff2_vs_diff1")
+    assert found.value.args[0] == ["diff2_vs_diff1"]
