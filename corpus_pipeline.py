@@ -20,7 +20,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near-duplicates (found by SimHash, Jaccard similarity of five-word shingles 0.8 or more) the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 

@@ -6,11 +6,16 @@ tallied, those that reach the guaranteed minimum are retained, and the bits of t
 
 A posting is of POSITIONS bytes at once. One byte alone is shared by 1/256 of all fingerprints, so postings of single
 bytes would bring up nearly all pairs of the table; three bytes bring up one of 2^24 for each choice of positions.
+
+near_duplicates() links by these bits alone. near_copies() is after texts alike to 0.8, whose fingerprints share a byte with
+a chance of 0.27 only. It takes fingerprints of WORDS such words, of which the first is the one above, posts them by three
+of all their bytes, tallies the bytes that pairs share, and counts the shingles of the pairs that it retains. A check of
+what is still apart follows, as no number of shared bytes is sure to hold all texts of a given similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +31,14 @@ from .components import components
 POSITIONS = 3
 #: Fingerprints of a posting are compared in pairs up to this length; those of longer ones are linked through midpoints, which is exact too.
 LONG_POSTING = 1024
-#: Bands of minima that bring texts together as candidates, and the minima of each.
+#: Words of the fingerprints of near_copies().
+WORDS = 7
+#: Pairs of their postings are looked at up to so many differing bits of the first word, and retained from so many shared bytes on.
+#: At a similarity of 0.8 these are 9.7 and 15 on average; at random 32, and 3.2 with those of the posting.
+WIDE, SHARED = 20, 5
+#: Candidates of a posting are paired up to this length; in longer ones, which are of families, each is paired with the first.
+FAMILY = 8
+#: Bands of minima in which texts that fingerprints left apart are found, and the minima of each.
 BANDS, BAND_ROWS = 32, 4
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -61,6 +73,23 @@ def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
     return int(np.packbits(2 * total > last, bitorder="little").view("<i8")[0])
 
 
+_SPREAD = np.random.default_rng(7).integers(1 << 62, 1 << 63, WORDS, "u8") * np.uint64(2) + np.uint64(1)
+
+
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of WORDS words of a text's shingle hashes; the first is that of the hashes themselves, as fingerprint() has it, the others of mixtures of them."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        part = hashes[at : at + 255, None]
+        mixed = part * _SPREAD
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _SPREAD[::-1]
+        mixed ^= mixed >> np.uint64(29)
+        mixed[:, :1] = part
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+
+
 def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) for each row of `docs` (doc_id, text, ...); a null text is empty. Without a shuffle."""
 
@@ -92,6 +121,50 @@ def _postings():
     return run
 
 
+#: Positions of the postings of long fingerprints: two turns around all bytes, in which no two positions come together twice.
+_TURNS = [[(i + step) % (8 * WORDS) for step in steps] for steps in ((0, 1, 3), (0, 4, 9)) for i in range(8 * WORDS)]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8 * WORDS)
+
+
+def _long_postings():
+    """(fp, words) -> fp, the first word, under the bytes of each of _TURNS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bytes(batch.column(1)).astype(np.int64)
+            for i, (x, y, z) in enumerate(_TURNS):
+                part = at[:, x] | at[:, y] << 8 | at[:, z] << 16
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int32)), pa.array(part), batch.column(0)], ["choice", "part", "fp"])
+
+    return run
+
+
+def _shared():
+    """(x, y) of the pairs (x, y, words, words2) that share SHARED bytes or more at the same positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(1) >= SHARED
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    return run
+
+
+def _close(bits: int):
+    """Pairs of one posting of long fingerprints within `bits` bits in the first word."""
+
+    def pairs(fps: np.ndarray, choice: int) -> list[tuple[int, int]]:
+        signed, found = fps.view("i8").tolist(), []
+        for i in range(1, len(fps)):
+            found += [(signed[j], signed[i]) for j in np.flatnonzero(distance(fps[:i], fps[i : i + 1]) <= bits).tolist()]
+        return found
+
+    return pairs
+
+
 def _pairs(fps: np.ndarray, choice: int, bits: int) -> list[tuple[int, int]]:
     """Linked pairs of one posting: shared positional bytes are tallied, pairs with 8 - bits or more retained, and these verified.
 
@@ -111,8 +184,8 @@ def _pairs(fps: np.ndarray, choice: int, bits: int) -> list[tuple[int, int]]:
     return found
 
 
-def _tally(bits: int):
-    """Read a range of sorted postings as a stream; yields (kind, choice, part, a, b).
+def _tally(linked: Callable[[np.ndarray, int], list[tuple[int, int]]], longest: int):
+    """Read a range of sorted postings as a stream; yields (kind, choice, part, a, b). Those of more than `longest` are long, linked(fps, choice) has the pairs of others.
 
     kind 0: a and b are linked. kind 1: a is in a long posting. The posting at either edge of a range may go on in the
     next one: kind 2 are its fingerprints where they are few, kind 3 says that it is long.
@@ -124,9 +197,9 @@ def _tally(bits: int):
         def end(edge: bool) -> None:
             fps = np.concatenate(held) if held else np.zeros(0, "u8")
             if edge:
-                out.extend([(3, *key, 0, 0)] if n > LONG_POSTING else [(2, *key, f, 0) for f in fps.view("i8").tolist()])
-            elif 2 <= n <= LONG_POSTING:
-                out.extend((0, *key, a, b) for a, b in _pairs(fps, key[0], bits))
+                out.extend([(3, *key, 0, 0)] if n > longest else [(2, *key, f, 0) for f in fps.view("i8").tolist()])
+            elif 2 <= n <= longest:
+                out.extend((0, *key, a, b) for a, b in linked(fps, key[0]))
 
         for batch in batches:
             choice, part, fp = (batch.column(i).to_numpy() for i in range(3))
@@ -143,7 +216,7 @@ def _tally(bits: int):
                     key, held, n = here, [], 0
                 n += hi - lo
                 held.append(fp[lo:hi].astype("i8").view("u8"))
-                if n > LONG_POSTING:
+                if n > longest:
                     out.extend((1, *key, f, 0) for x in held for f in x.view("i8").tolist())
                     held = []
             if out:
@@ -162,16 +235,25 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "choice", "part", "a", "b"])
 
 
-def _across(edges: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Links and long-posting members of the postings that cross ranges; at most 2 * LONG_POSTING rows came from each range."""
+def _across(edges: DataFrame, bits: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Links and long-posting members (choice, part, a) of the postings that cross ranges; at most 2 * longest rows came from each range."""
     rows = edges.where("kind = 2").select("choice", "part", "a")
-    sizes = edges.where("kind in (2, 3)").groupBy("choice", "part").agg(F.sum(F.when(F.col("kind") == 3, LONG_POSTING + 1).otherwise(1)).alias("n"))
+    sizes = edges.where("kind in (2, 3)").groupBy("choice", "part").agg(F.sum(F.when(F.col("kind") == 3, longest + 1).otherwise(1)).alias("n"))
     sized = rows.join(sizes, ["choice", "part"])
-    short = sized.where(F.col("n").between(2, LONG_POSTING))
+    short = sized.where(F.col("n").between(2, longest))
     other = short.select("choice", "part", F.col("a").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     links = short.join(other, ["choice", "part"]).where((F.col("a") < F.col("b")) & near)
-    return links.select("a", "b"), sized.where(F.col("n") > LONG_POSTING).select("a")
+    return links.select("a", "b"), sized.where(F.col("n") > longest).select("choice", "part", "a")
+
+
+def _met(index: DataFrame, linked: Callable[[np.ndarray, int], list[tuple[int, int]]], bits: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that meet in a posting of up to `longest` of `index` (choice, part, fp); members (choice, part, a) of longer postings."""
+    keys = ["choice", "part", "fp"]
+    spread = index.repartitionByRange(partitions(index.sparkSession), *keys).sortWithinPartitions(*keys)
+    found = store(spread.mapInArrow(_tally(linked, longest), "kind int, choice int, part long, a long, b long"), "postings")
+    across, late = _across(found, bits, longest)
+    return found.where("kind = 0").select("a", "b").union(across), found.where("kind = 1").select("choice", "part", "a").union(late)
 
 
 def _midpoints(bits: int):
@@ -196,15 +278,26 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     if bits not in (2, 4):
         raise ValueError("bits must be 2 or 4")
     index = fps.mapInArrow(_postings(), "choice int, part long, fp long")
-    keys = ["choice", "part", "fp"]
-    spread = index.repartitionByRange(partitions(fps.sparkSession), *keys).sortWithinPartitions(*keys)
-    found = store(spread.mapInArrow(_tally(bits), "kind int, choice int, part long, a long, b long"), "postings")
-    across, late = _across(found, bits)
-    long = found.where("kind = 1").select("a").union(late).distinct()
-    points = store(long.mapInArrow(_midpoints(bits), "point long, fp long"), "midpoints")
+    pairs, long = _met(index, lambda found, choice: _pairs(found, choice, bits), bits, LONG_POSTING)
+    points = store(long.select("a").distinct().mapInArrow(_midpoints(bits), "point long, fp long"), "midpoints")
     hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub <> top").select("point", "hub")
     through = points.join(hubs, "point").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    return found.where("kind = 0").select("a", "b").union(across).union(through).distinct()
+    return pairs.union(through).distinct()
+
+
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """(x, y): keys of pairs of `prints` (fp long, the first word; words binary, the long fingerprint; key; one row for each fp) that the index brings together.
+
+    They share three bytes at the positions of one of _TURNS, and SHARED bytes or more in all. Members of postings of more
+    than FAMILY are paired with the posting's first alone, so that pairs grow with the fingerprints, however many are alike.
+    """
+    pairs, long = _met(prints.select("fp", "words").mapInArrow(_long_postings(), "choice int, part long, fp long"), _close(WIDE), WIDE, FAMILY)
+    first = long.groupBy("choice", "part").agg(F.min("a").alias("b"))
+    through = long.join(first, ["choice", "part"]).where((F.col("b") < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= WIDE))
+    met = pairs.union(through.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a = prints.select(F.col("fp").alias("a"), F.col("key").alias("x"), "words")
+    b = prints.select(F.col("fp").alias("b"), F.col("key").alias("y"), F.col("words").alias("words2"))
+    return met.join(a, "a").join(b, "b").select("x", "y", "words", "words2").mapInArrow(_shared(), "x long, y long")
 
 
 def _labels(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -234,21 +327,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, seed: int =
 
 
 def _signatures(width: int, seed: int):
-    """(doc_id, digest, key, bands) of each (doc_id, digest, text): key stands for the set of shingles, bands for choices of its least ones."""
+    """(doc_id, digest, key, fp, words, bands) of each (doc_id, digest, text): key stands for the set of shingles, fp is the first of the words of its fingerprint, bands stand for choices of the least shingles."""
     scales = np.random.default_rng(seed).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS + BAND_ROWS + BANDS), "u8") * np.uint64(2) + np.uint64(1)
     orders, mix, places = scales[: BANDS * BAND_ROWS], scales[BANDS * BAND_ROWS :][:BAND_ROWS], scales[-BANDS:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, words, bands = [], [], []
             for text in batch.column(2).to_pylist():
-                hashes = np.unique(shingles(text, width, seed))
+                hashes = shingles(text, width, seed)
+                words.append(long_fingerprint(hashes))
+                hashes = np.unique(hashes)
                 keys.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed))
                 least = np.full(len(orders), ~np.uint64(0))
                 for at in range(0, len(hashes), 512):
                     np.minimum(least, (orders[:, None] * hashes[at : at + 512]).min(1), out=least)
                 bands.append(((least.reshape(BANDS, BAND_ROWS) * mix).sum(1, dtype="u8") ^ places).view("i8") if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, "u8").view("i8")), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, "u8").view("i8")), pa.array(np.frombuffer(b"".join(w[:8] for w in words), "<i8")), pa.array(words, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "key", "fp", "words", "bands"])
 
     return run
 
@@ -274,6 +369,20 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(sizes & (both * 9 >= (F.size("x") + F.size("y")) * 4)).select("a", "b")
 
 
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(a, b: keys) of `sets` (key, fp, words) that the index of fingerprints brings together; of the sets of one first word, the first stands for all."""
+    prints = store(sets.groupBy("fp").agg(F.min(F.struct("key", "words")).alias("one")).select("fp", "one.*"), "fingerprints")
+    same = sets.join(prints.select("fp", F.col("key").alias("first")), "fp").where("first <> key").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    return same.union(near_pairs(prints)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _still_apart(bands: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, key, root, first: key, root): the rows of `bands` (band, key) whose sets are still in several of the components `roots` (key, root)."""
+    placed = bands.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    first = placed.groupBy("band").agg(F.min(F.struct("key", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(first.where("low <> high").select("band", "first"), "band")
+
+
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(hash, key, n, pos): the rarest shingles of each set of n, in one order for all sets: by the number of sets that have them, then by hash.
 
@@ -326,28 +435,31 @@ def near_copies(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
 
     Words and shingles are those of near_duplicates(). Texts link if the Jaccard similarity of their sets of shingles is
     0.8 or more, counted exactly on 64-bit hashes; component_id is the smallest doc_id that can be reached (null only if
-    no member has an id). Candidates share one of BANDS bands of BAND_ROWS minima, which a pair at 0.8 misses with
-    a chance of 5e-8 and a closer one with less. A band's texts are compared with its first; the texts of bands that this
-    leaves in several components are compared further by _more_links(). Texts with the same set are one.
+    no member has an id). Texts with the same set are one.
+
+    Candidates come from the SimHash index (near_pairs()). What their links leave apart is checked: texts in one of BANDS bands of
+    BAND_ROWS minima, all of which a pair at 0.8 misses with a chance of 5e-8 and a closer one with less, are compared with
+    the band's first if they are not yet in its component, and what is still apart after that by _more_links().
     """
     # the least id with a hash of its text finds one text of each set again
     rows = docs.select(id_or_none().alias("doc_id"), F.xxhash64(text_bytes()).alias("digest"), text_bytes().alias("text"))
-    marks = store(rows.mapInArrow(_signatures(width, seed), "doc_id long, digest long, key long, bands array<long>"), "signatures")
+    marks = store(rows.mapInArrow(_signatures(width, seed), "doc_id long, digest long, key long, fp long, words binary, bands array<long>"), "signatures")
     known = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     one = F.min(F.struct("doc_id", "digest"))
-    distinct = store(marks.groupBy("key", "bands").agg(F.min(known).alias("least"), one.alias("one")), "distinct-sets")
-    bands = distinct.select("key", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top").select("band", "hub")
-    met = store(bands.join(hubs, "band"), "bands")
-    needed = met.select("key").distinct().join(distinct.select("key", "one.doc_id", "one.digest"), "key")
+    distinct = store(marks.groupBy("key", "bands").agg(F.min(F.struct("fp", "words")).alias("print"), F.min(known).alias("least"), one.alias("one")), "distinct-sets")
+    candidates = store(_candidates(distinct.select("key", "print.*")), "candidates")
+    each = distinct.select("key", F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band")
+    bands = store(each.join(shared, "band"), "bands")
+    needed = bands.select("key").union(candidates.select("a")).union(candidates.select("b")).distinct().join(distinct.select("key", "one.doc_id", "one.digest"), "key")
     texts = rows.join(needed, ["doc_id", "digest"]).select("key", "text")
     sets = store(texts.mapInArrow(_sets(width, seed), "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
-    first = store(_alike(met.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), sets), "alike")
-    roots = _roots(first)
-    parted = met.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    open_ = parted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    pool = met.join(open_, "band", "left_semi").select("key").distinct()
-    labels = _labels(distinct.select("key", "least"), _more_links(store(sets.join(pool, "key"), "pool"), first, roots), "key")
+    first = store(_alike(candidates, sets), "alike")
+    missed = _still_apart(bands, _roots(first)).where("root <> first.root").select(F.col("first.key").alias("a"), F.col("key").alias("b"))
+    second = first.union(store(_alike(missed.distinct(), sets), "alike"))
+    roots = _roots(second)
+    pool = _still_apart(bands, roots).select("key").distinct()
+    labels = _labels(distinct.select("key", "least"), _more_links(store(sets.join(pool, "key"), "pool"), second, roots), "key")
     return marks.join(labels, "key").select(known.alias("doc_id"), "component_id")
 
 

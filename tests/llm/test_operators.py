@@ -630,6 +630,76 @@ def test_near_copies(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(ids).collect()) == ["2", "None", "None", "None"]
 
 
+def brute_index(texts):
+    """Pairs of different fingerprints that the byte index is to bring together: three bytes at the positions of a posting, first words close, enough bytes in all."""
+    prints = sorted({simhash.long_fingerprint(simhash.shingles((t or "").encode(), 5)) for t in texts})
+    word = lambda p: int.from_bytes(p[:8], "little")
+    return prints, {
+        (a, b)
+        for i, b in enumerate(prints)
+        for a in prints[:i]
+        if (word(a) ^ word(b)).bit_count() <= simhash.WIDE and sum(x == y for x, y in zip(a, b, strict=True)) >= simhash.SHARED and any(all(a[p] == b[p] for p in turn) for turn in simhash._TURNS)
+    }
+
+
+def families(seed, n=40):
+    rng = random.Random(seed)
+    texts = ["", "one", "one two"]
+    for k in range(n):
+        words = [f"{k}x{rng.randrange(900)}" for _ in range(rng.choice([30, 90, 400]))]
+        for _ in range(rng.randint(1, 5)):
+            texts.append(" ".join(words))
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return texts
+
+
+def test_long_fingerprints_are_simhash():
+    """Each bit is the majority of that bit of the mixed hashes; the first word is op5's fingerprint. Long texts are summed in pieces."""
+    for n in (1, 4, 5, 259, 260, 3000):
+        text = " ".join(f"w{i * i % 977}" for i in range(n)).encode()
+        got = simhash.long_fingerprint(simhash.shingles(text, 5))
+        assert len(got) == 8 * simhash.WORDS and int.from_bytes(got[:8], "little") == brute_fingerprint(text.decode(), 5)
+    assert not any(simhash.long_fingerprint(simhash.shingles(b"", 5)))
+
+
+@pytest.mark.parametrize("family", [1000, 2])
+def test_near_pairs(spark, monkeypatch, family):
+    monkeypatch.setattr(simhash, "FAMILY", family)
+    prints, want = brute_index(families(5))
+    rows = [(int.from_bytes(p[:8], "little", signed=True), p, i) for i, p in enumerate(prints)]
+    got = [(r.x, r.y) for r in simhash.near_pairs(spark.createDataFrame(rows, "fp long, words binary, key long")).collect()]
+    found = {(prints[min(p)], prints[max(p)]) for p in got}
+    assert len(found) == len(got) and len(want) > 40
+    assert found == want if family > 2 else found <= want and len(found) > 30
+
+
+def test_near_copies_come_from_the_index(spark, monkeypatch):
+    """With the check of what is still apart switched off, near_copies() has exactly the components of the index's pairs that are alike; switched on, all."""
+    texts = families(6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = brute_jaccard_roots(texts)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == dict(enumerate(whole))
+    still = simhash._still_apart
+    monkeypatch.setattr(simhash, "_still_apart", lambda bands, roots: still(bands, roots).where("false"))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    _, met = brute_index(texts)
+    prints = [simhash.long_fingerprint(simhash.shingles(t.encode(), 5)) for t in texts]
+    sets = brute_shingle_sets(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or (tuple(sorted((prints[i], prints[j]))) in met and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert got == dict(enumerate(root))
+    merged = lambda roots: sum(i != r for i, r in enumerate(roots))
+    assert merged(root) > 0.8 * merged(whole) > 30
+    monkeypatch.setattr(simhash, "_still_apart", still)
+    monkeypatch.setattr(simhash, "near_pairs", lambda prints: spark.createDataFrame([], "x long, y long"))
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == dict(enumerate(whole))
+
+
 NOTICES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
