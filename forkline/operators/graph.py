@@ -64,6 +64,45 @@ def part_edges(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.select("gene", "a", "b", F.lit("ex_part").alias("kind"), F.col("begin").alias("from_pos"), F.col("stop").alias("to_pos"), "part", "txs")
 
 
+def build_graph(exons: DataFrame, parts: bool = False) -> DataFrame:
+    """The edges of build_edges() over the nodes of build_nodes(), and with `parts` an edge for each unit step that an exon covers, numbered by position: what part_edges() makes of a gene's own parts.
+
+    Exons are dealt by gene once. A gene's nodes are numbered and its edges gathered where its exons are, without a join; rows
+    stay dealt by gene, for what is grouped or joined by gene next. A gene lies on one strand of one chromosome; null is no gene.
+    """
+    gene, one_way = W.partitionBy("gene"), F.when(F.col("strand") == "+", 1).otherwise(-1)
+    rows = _ends(exons).where("gene is not null").select("gene", "tx", one_way.alias("way"), "begin", "stop")
+    # positions count upwards in the direction of transcription
+    rows = rows.select("gene", "tx", "way", (F.col("way") * F.col("begin")).alias("x"), (F.col("way") * F.col("stop")).alias("y"))
+    rows = rows.withColumns({"xs": F.collect_set("x").over(gene), "ys": F.collect_set("y").over(gene)})
+    rows = rows.select("gene", "tx", "way", "x", "y", F.array_sort(F.array_union("xs", "ys")).alias("cuts"))
+    at = lambda name: F.array_position("cuts", F.col(name)).cast("int")
+    rows = rows.select("gene", "tx", "way", "cuts", "x", "y", at("x").alias("a"), at("y").alias("b"), (F.size("cuts") + 1).alias("leaf"))
+    chain = W.partitionBy("gene", "tx").orderBy("a", "b")
+    rows = rows.withColumns({"next_a": F.lead("a").over(chain), "next_x": F.lead("x").over(chain), "first": F.row_number().over(chain) == 1})
+    edge = lambda a, b, kind, p, q: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), (p * F.col("way")).cast("int").alias("from_pos"), (q * F.col("way")).cast("int").alias("to_pos"))
+    c, none = F.col, F.lit(None).cast("int")
+    each = F.array_compact(F.array(
+        edge(c("a"), c("b"), "ex", c("x"), c("y")),
+        F.when(c("next_a").isNotNull(), edge(c("b"), c("next_a"), "in", c("y"), c("next_x"))),
+        F.when(c("first"), edge(F.lit(0), c("a"), "R", none, c("x"))),
+        F.when(c("next_a").isNull(), edge(c("b"), c("leaf"), "L", c("y"), none)),
+    ))
+    if parts:
+        steps = F.when(c("a") < c("b"), F.sequence(c("a"), c("b") - 1)).otherwise(F.array().cast("array<int>"))
+        each = F.concat(each, F.transform(steps, lambda k: edge(k, k + 1, "ex_part", F.get("cuts", k - 1), F.get("cuts", k))))
+    flat = rows.select("gene", "tx", F.inline_outer(each))
+    edges = flat.groupBy("gene", "a", "b", "kind").agg(F.min("from_pos").alias("from_pos"), F.min("to_pos").alias("to_pos"), F.array_sort(F.collect_set("tx")).alias("txs"))
+    number = F.when(c("kind") == "ex_part", F.row_number().over(W.partitionBy("gene", "kind").orderBy(F.least("from_pos", "to_pos"), "a"))) if parts else none
+    return edges.select("gene", "a", "b", "kind", "from_pos", "to_pos", number.alias("part"), "txs")
+
+
+def node_positions(edges: DataFrame) -> DataFrame:
+    """(gene, node, position) of the nodes between the root and the leaf."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("from_pos").alias("position")), F.struct(F.col("b").alias("node"), F.col("to_pos").alias("position")))
+    return edges.where("kind = 'ex'").select("gene", F.inline(ends)).distinct()
+
+
 def transcripts(edges: DataFrame) -> DataFrame:
     return edges.select("gene", F.explode("txs").alias("tx")).distinct()
 

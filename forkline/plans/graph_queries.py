@@ -27,8 +27,7 @@ def _exons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    exons = _exons(spark, sf)
-    return graph.build_edges(exons, graph.build_nodes(exons))
+    return graph.build_graph(_exons(spark, sf))
 
 
 def _parts(exons: DataFrame) -> DataFrame:
@@ -37,9 +36,7 @@ def _parts(exons: DataFrame) -> DataFrame:
 
 def _all_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Exons, introns and parts."""
-    exons = _exons(spark, sf)
-    nodes = graph.build_nodes(exons)
-    return save(graph.build_edges(exons, nodes).union(graph.part_edges(_parts(exons), nodes)))
+    return graph.build_graph(_exons(spark, sf), parts=True)
 
 
 # --- parts and overlapping genes ----------------------------------------------------------------------------------
@@ -129,14 +126,14 @@ def graph_node_types(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def graph_node_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Each transcript's chain of nodes by exons and introns, and by parts and introns."""
-    edges = _all_edges(spark, sf)
+    edges = save(_all_edges(spark, sf))
     both = [graph.node_paths(edges, parts).select("gene", "tx", _text("nodes").alias(name)) for name, parts in (("nodes", False), ("part_nodes", True))]
     return both[0].join(both[1], ["gene", "tx"])
 
 
 def _walks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The exon and intron edges along each transcript's chain; the path's number is the transcript's."""
-    edges = _all_edges(spark, sf)
+    edges = save(_all_edges(spark, sf))
     return save(graph.path_edges(graph.node_paths(edges).withColumnRenamed("tx", "path_id"), edges)), edges
 
 
@@ -168,12 +165,15 @@ def _introns(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).where("kind = 'in'").select("gene", "a", "b", chrom.alias("chrom"), "from_pos", "to_pos", "txs")
 
 
-def _labels(spark: SparkSession, sf: str) -> DataFrame:
+def _transcript_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Each transcript as an event against the other ones of its gene, over the transcript's own nodes."""
-    paths = save(graph.node_paths(_edges(spark, sf)))
+    paths = graph.node_paths(_edges(spark, sf))
     every = paths.groupBy("gene").agg(F.collect_list("tx").alias("all"))
-    events = paths.join(every, "gene").select("gene", F.col("tx").alias("event"), "nodes", F.array("tx").alias("txs1"), F.array_except("all", F.array("tx")).alias("txs2"))
-    return counts.label_introns(events, _introns(spark, sf))
+    return paths.join(every, "gene").select("gene", F.col("tx").alias("event"), "nodes", F.array("tx").alias("txs1"), F.array_except("all", F.array("tx")).alias("txs2"))
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return counts.label_introns(_transcript_splits(spark, sf), _introns(spark, sf))
 
 
 @query
@@ -183,13 +183,14 @@ def intron_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _junction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved, as its samples are listed before it is looked up."""
     used = _introns(spark, sf).select("chrom", F.least("from_pos", "to_pos").alias("start"), F.greatest("from_pos", "to_pos").alias("end"), F.explode("txs").alias("tx"))
-    return counts.junction_matrix(used.select("chrom", "start", "end", (F.col("tx") % 4).cast("int").alias("sample"), F.lit("g").alias("grp"), (F.col("tx") % 3).alias("n_uniq"), F.lit(1).alias("n_multi")))
+    return save(counts.junction_matrix(used.select("chrom", "start", "end", (F.col("tx") % 4).cast("int").alias("sample"), F.lit("g").alias("grp"), (F.col("tx") % 3).alias("n_uniq"), F.lit(1).alias("n_multi"))))
 
 
 @query
 def junction_bipartition(spark: SparkSession, sf: str) -> DataFrame:
-    wide = counts.count_bipartition_junctions(_labels(spark, sf), _junction_counts(spark, sf))
+    wide = counts.count_split_junctions(_transcript_splits(spark, sf), _introns(spark, sf), _junction_counts(spark, sf))
     return wide.select("gene", "event", "sample", "grp", "ref", "diff1", "diff2")
 
 

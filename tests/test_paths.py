@@ -351,3 +351,49 @@ def test_junction_lists_count_each_junction_once(spark):
     found = counts.sum_junctions(lists, matrix, [])
     assert sorted((r.sample, r.cnt) for r in found.collect()) == [(0, 12), (1, 2)]
     assert "array_distinct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _exchanges(df):
+    """How often rows are dealt by key in the plan of rows that have not been asked for yet."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_graph_in_one_pass(spark):
+    """The same nodes, edges and parts as step by step, on both strands, with exons that touch, overlap and are repeated; exons are dealt once."""
+    more = [("h", "u", "c", "-", 100, 250), ("h", "v", "c", "-", 200, 300), ("h", "v", "c", "-", 301, 400), ("h", "w", "c", "-", 150, 700), ("k", "z", "d", "+", 5, 5)]
+    exons = spark.createDataFrame(EXONS + more, EXON_SCHEMA)
+    nodes = graph.build_nodes(exons)
+    parts = intervals.number_parts(intervals.exonic_parts(exons, ["gene"]))
+    rows = lambda df: sorted(map(str, df.collect()))
+    edges = graph.build_graph(exons, parts=True)
+    assert rows(edges) == rows(graph.build_edges(exons, nodes).union(graph.part_edges(parts, nodes)))
+    assert rows(graph.build_graph(exons)) == rows(graph.build_edges(exons, nodes))
+    assert rows(graph.node_positions(edges)) == rows(nodes.where("position is not null"))
+    assert _exchanges(edges) == 1
+    none = spark.createDataFrame([(None, "t", "c", "+", 1, 2)], EXON_SCHEMA)
+    assert graph.build_graph(none, parts=True).count() == 0
+
+
+def test_junctions_of_splits_are_counted_where_the_gene_is(spark):
+    """As by way of lists: junctions with the end less one count once, samples without reads count 0, an event without either side goes."""
+    introns = spark.createDataFrame(
+        [("g", 1, 2, "c", 10, 20, ["t1"]), ("g", 1, 3, "c", 10, 19, ["t1"]), ("g", 2, 3, "c", 40, 30, ["t1", "t2"]), ("g", 2, 4, "c", 30, 50, ["t2"]), ("g", 3, 4, "c", 60, 70, ["t2", "t3"]), ("g", 0, 1, "c", None, 10, ["t1"]), ("h", 1, 2, "c", 10, 20, ["u", "v"])],
+        "gene string, a int, b int, chrom string, from_pos int, to_pos int, txs array<string>",
+    )
+    splits = spark.createDataFrame(
+        [("g", 1, [0, 1, 2, 3, 4], ["t1"], ["t2", "t3"]), ("g", 2, [2, 3, 4], ["t2"], ["t1"]), ("g", 3, [1, 2], ["t3"], ["t1"]), ("h", 1, [1, 2], ["u"], ["v"]), ("x", 1, [1, 2], ["a"], ["b"])],
+        "gene string, event int, nodes array<int>, txs1 array<string>, txs2 array<string>",
+    )
+    table = [("c", 10, 20, "s1", "a", 3), ("c", 10, 19, "s1", "a", 2), ("c", 10, 18, "s2", "b", 5), ("c", 30, 40, "s2", "b", 1), ("c", 30, 49, "s1", "a", 7), ("d", 60, 70, "s3", "b", 9)]
+    matrix = spark.createDataFrame(table, "chrom string, start int, end int, sample string, grp string, cnt long")
+    names = ["gene", "event", "sample", "grp", "ref", "diff1", "diff2"]
+    got = sorted(map(str, counts.count_split_junctions(splits, introns, matrix).select(*names).collect()))
+    assert got == sorted(map(str, counts.count_bipartition_junctions(counts.label_introns(splits, introns), matrix).select(*names).collect()))
+    assert len(got) == 9 and any("event=1, sample='s1', grp='a', ref=0, diff1=5, diff2=7" in r for r in got)
+
+
+def test_junction_counts_of_transcripts_deal_rows_seldom(spark):
+    """Lines and orders, exons by gene (each twice in the plan), introns and counts by place, and introns by gene: little else is dealt. It was 78 times."""
+    import __spark_entry__ as entry
+
+    assert _exchanges(entry.queries()["junction_bipartition"](spark, "/root/testdata/sf0.001")) <= 12
