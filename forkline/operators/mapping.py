@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import part_labels
-from .intervals import overlap_join
 
 COORDINATES = ("exonStart_0base", "exonEnd", "upstreamEE", "downstreamES", "longExonStart_0base", "longExonEnd", "shortES", "shortEE", "flankingES", "flankingEE")
 
@@ -33,22 +32,21 @@ def event_parts(bounded: DataFrame, edges: DataFrame) -> DataFrame:
     """(gene, event_id, etype, parts): parts in the alternative region that transcripts with it have and those without it lack.
 
     Only transcripts with an edge at both boundaries count. Parts are null where either side has no transcript or
-    nothing tells them apart.
+    nothing tells them apart. A gene's edges are two lists, which its events meet by gene alone: events and edges that are dealt by gene stay where they are.
     """
     events = bounded.where("b1 is not null and b2 is not null").select("gene", "event_id", "etype", "b1", "b2", "alt_low", "alt_hi")
-    plain = edges.where("kind in ('ex', 'in') and from_pos is not null and to_pos is not null").select("gene", F.explode(F.array("from_pos", "to_pos")).alias("pos"), "txs")
-    users = plain.groupBy("gene", "pos").agg(F.array_distinct(F.flatten(F.collect_list("txs"))).alias("users"))
-    at = lambda b: users.select("gene", F.col("pos").alias(b), F.col("users").alias(f"at_{b}"))
-    local = events.join(at("b1"), ["gene", "b1"]).join(at("b2"), ["gene", "b2"]).withColumn("local", F.array_intersect("at_b1", "at_b2")).where("size(local) > 0")
-    regions = local.select("gene", "event_id", "local", F.col("alt_low").alias("start"), (F.col("alt_hi") - 1).alias("end"))
-    parts = edges.where("kind = 'ex_part'").select("gene", F.least("from_pos", "to_pos").alias("start"), (F.greatest("from_pos", "to_pos") - 1).alias("end"), "part", "txs")
-    inside = overlap_join(regions, parts, ["gene"]).where("start2 >= start and end2 <= end")
-    gathered = inside.groupBy("gene", "event_id", "local").agg(F.collect_list(F.struct("part", "txs")).alias("alt"))
-    one = F.array_intersect("local", F.array_distinct(F.flatten(F.transform("alt", lambda p: p["txs"]))))
-    sides = gathered.withColumn("one", one).withColumn("two", F.array_except("local", "one")).where("size(one) > 0 and size(two) > 0")
+    plain = F.when(F.col("kind").isin("ex", "in") & F.col("from_pos").isNotNull() & F.col("to_pos").isNotNull(), F.struct("from_pos", "to_pos", "txs"))
+    part = F.when(F.col("kind") == "ex_part", F.struct(F.least("from_pos", "to_pos").alias("start"), (F.greatest("from_pos", "to_pos") - 1).alias("end"), "part", "txs"))
+    lists = edges.where("kind in ('ex', 'in', 'ex_part')").groupBy("gene").agg(F.collect_list(plain).alias("plain"), F.collect_list(part).alias("every"))  # a gene's edges
+    users = lambda b: F.flatten(F.transform(F.filter("plain", lambda e: (e["from_pos"] == F.col(b)) | (e["to_pos"] == F.col(b))), lambda e: e["txs"]))
+    rows = events.join(lists, "gene", "left").withColumn("local", F.array_intersect(users("b1"), users("b2")))
+    rows = rows.withColumn("alt", F.filter("every", lambda p: (p["start"] >= F.col("alt_low")) & (p["end"] < F.col("alt_hi"))))
+    rows = rows.withColumn("one", F.array_intersect("local", F.flatten(F.transform("alt", lambda p: p["txs"])))).withColumn("two", F.array_except("local", "one"))
     own = F.filter("alt", lambda p: F.arrays_overlap(p["txs"], F.col("one")) & ~F.arrays_overlap(p["txs"], F.col("two")))
-    found = sides.select("gene", "event_id", F.array_sort(F.array_distinct(F.transform(own, lambda p: p["part"]))).alias("parts")).where("size(parts) > 0")
-    return events.select("gene", "event_id", "etype").join(found, ["gene", "event_id"], "left")
+    found = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["part"])))
+    told = F.when((F.size("one") > 0) & (F.size("two") > 0) & (F.size(found) > 0), found)
+    # made as a row of its own: what is asked of the parts later is not asked of each step behind them
+    return rows.select("gene", "event_id", "etype", F.explode_outer(F.array(F.struct(told.alias("parts")))).alias("__made")).select("gene", "event_id", "etype", "__made.parts")
 
 
 def coverage(mapped: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import part_labels
@@ -205,52 +205,51 @@ def junction_unpivot(spark: SparkSession, sf: str) -> DataFrame:
 def _tool_table(edges: DataFrame, whole_exons: bool = False) -> DataFrame:
     """Skipped exons, retained introns and alternative sites of all genes' graphs, in a junction tool's 0-based coordinates.
 
-    With whole_exons a retained intron is an event for each exon that holds it, with that exon's ends.
+    With whole_exons a retained intron is an event for each exon that holds it, with that exon's ends. The exons and introns of a gene
+    are two lists, and its events are told from them where they are.
     """
-    ex = edges.where("kind = 'ex'").select("gene", "a", "b", F.col("from_pos").alias("p"), F.col("to_pos").alias("q"))
-    into = edges.where("kind = 'in'").select("gene", "a", "b", F.col("from_pos").alias("p"), F.col("to_pos").alias("q"))
+    names = ("exonStart_0base", "exonEnd", "upstreamEE", "downstreamES", *(("riExonStart_0base", "riExonEnd", "upstreamES", "downstreamEE") if whole_exons else ()), *mapping.COORDINATES[4:])
     plus = F.col("gene") % 2 == 0
-    zero = lambda c: c - 1
-    low, high = F.least("p", "q"), F.greatest("p", "q")
-    name = lambda kind, *nodes: F.concat_ws("_", F.lit(kind), *(F.col(c).cast("string") for c in ("gene", *nodes)))
 
-    before = into.groupBy("gene", F.col("b").alias("a")).agg(F.max(F.struct(F.col("a").alias("n"), F.col("p").alias("x"))).alias("f"))
-    after = into.groupBy("gene", F.col("a").alias("b")).agg(F.min(F.struct(F.col("b").alias("n"), F.col("q").alias("x"))).alias("t"))
-    nearest = ex.join(before, ["gene", "a"]).join(after, ["gene", "b"])
-    se = nearest.select("gene", name("SE", "a", "b").alias("event_id"), F.lit("SE").alias("etype"), zero(low).alias("exonStart_0base"), zero(high).alias("exonEnd"), zero(F.least("f.x", "t.x")).alias("upstreamEE"), zero(F.greatest("f.x", "t.x")).alias("downstreamES"))
+    def event(kind: str, nodes: list[Column], **at: Column) -> Column:
+        label = F.concat_ws("_", F.lit(kind), F.col("gene").cast("string"), *(n.cast("string") for n in nodes))
+        return F.struct(label.alias("event_id"), F.lit(kind).alias("etype"), *((at[c] - 1 if c in at else F.lit(None)).cast("int").alias(c) for c in names))
+
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("a", "b", F.col("from_pos").alias("p"), F.col("to_pos").alias("q"))))
+    lists = edges.where("kind in ('ex', 'in')").groupBy("gene").agg(of("ex").alias("ex"), of("in").alias("into"))  # a gene's edges
+    lists = lists.selectExpr(
+        "*",
+        # exons with the nearest intron before and after them, where there are both
+        """filter(transform(ex, x -> struct(x.a, x.b, x.p, x.q,
+             array_max(transform(filter(into, i -> i.b = x.a), i -> struct(i.a as n, i.p as x))).x as before, array_min(transform(filter(into, i -> i.a = x.b), i -> struct(i.b as n, i.q as x))).x as after)),
+             y -> y.before is not null and y.after is not null) as skipped""",
+        # exons with each intron that ends where they begin, and with each one that begins where they end
+        "flatten(transform(ex, x -> transform(filter(into, i -> i.b = x.a), i -> struct(i.a as f, x.a, x.b, x.p, x.q, i.p as x)))) as entered",
+        "flatten(transform(ex, x -> transform(filter(into, i -> i.a = x.b), i -> struct(x.a, x.b, i.b as t, x.p, x.q, i.q as x)))) as left_",
+    )
+    low, high = (lambda e: F.least(e["p"], e["q"])), (lambda e: F.greatest(e["p"], e["q"]))
 
-    # an intron is retained if an exon that begins before it reaches beyond it
-    reach = into.withColumn("reach", F.lit(None).cast("int")).unionByName(ex.select("gene", "a", F.col("b").alias("reach")), allowMissingColumns=True)
-    far = F.max("reach").over(b.W.partitionBy("gene").orderBy("a").rangeBetween(b.W.unboundedPreceding, -1))
-    kept = reach.withColumn("far", far).where("b < far").select("gene", "a", "b", "p", "q")
-    ri = kept.select("gene", name("RI", "a", "b").alias("event_id"), F.lit("RI").alias("etype"), zero(low).alias("upstreamEE"), zero(high).alias("downstreamES"))
+    se = F.transform("skipped", lambda e: event("SE", [e["a"], e["b"]], exonStart_0base=low(e), exonEnd=high(e), upstreamEE=F.least(e["before"], e["after"]), downstreamES=F.greatest(e["before"], e["after"])))
 
+    holds = lambda e, i: (e["a"] < i["a"]) & (i["b"] < e["b"])
     if whole_exons:
-        long = ex.select("gene", F.col("a").alias("ea"), F.col("b").alias("eb"), F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-        kept = into.join(long, "gene").where("ea < a and b < eb").select("gene", "a", "b", "p", "q", "ea", "eb", "x", "y").distinct()
-        ri = kept.select(
-            "gene", name("RI", "a", "b", "ea", "eb").alias("event_id"), F.lit("RI").alias("etype"), zero(low).alias("upstreamEE"), zero(high).alias("downstreamES"),
-            zero(F.col("x")).alias("riExonStart_0base"), zero(F.col("y")).alias("riExonEnd"), zero(F.col("x")).alias("upstreamES"), zero(F.col("y")).alias("downstreamEE"),
-        )
-
-    one = ex.select("gene", F.col("a").alias("a1"), "b", F.col("p").alias("p1"), F.col("q").alias("end"))
-    two = ex.select("gene", F.col("a").alias("a2"), "b", F.col("p").alias("p2"))
-    f1, f2 = (into.select("gene", F.col("a").alias("f"), F.col("b").alias(f"a{k}"), F.col("p").alias(f"x{k}")) for k in (1, 2))
-    three = one.join(two, ["gene", "b"]).where("a1 < a2").join(f1, ["gene", "a1"]).join(f2, ["gene", "a2", "f"])
-    a3 = three.select(
-        "gene", name("A3SS", "f", "a1", "a2", "b").alias("event_id"), F.lit("A3SS").alias("etype"), zero(F.when(plus, F.col("p1")).otherwise(F.col("end"))).alias("longExonStart_0base"), zero(F.when(plus, F.col("end")).otherwise(F.col("p1"))).alias("longExonEnd"),
-        zero(F.when(plus, F.col("p2")).otherwise(F.col("end"))).alias("shortES"), zero(F.when(plus, F.col("end")).otherwise(F.col("p2"))).alias("shortEE"), zero(F.col("x1")).alias("flankingES"), zero(F.col("x1")).alias("flankingEE"),
-    )
+        of_exon = lambda i, e: event("RI", [i["a"], i["b"], e["a"], e["b"]], upstreamEE=low(i), downstreamES=high(i), riExonStart_0base=low(e), riExonEnd=high(e), upstreamES=low(e), downstreamEE=high(e))
+        ri = F.flatten(F.transform("into", lambda i: F.transform(F.filter("ex", lambda e: holds(e, i)), lambda e: of_exon(i, e))))
+    else:
+        ri = F.transform(F.filter("into", lambda i: F.exists("ex", lambda e: holds(e, i))), lambda i: event("RI", [i["a"], i["b"]], upstreamEE=low(i), downstreamES=high(i)))
 
-    one = ex.select("gene", "a", F.col("b").alias("b1"), F.col("q").alias("q1"), F.col("p").alias("begin"))
-    two = ex.select("gene", "a", F.col("b").alias("b2"), F.col("q").alias("q2"))
-    t1, t2 = (into.select("gene", F.col("b").alias("t"), F.col("a").alias(f"b{k}"), F.col("q").alias(f"x{k}")) for k in (1, 2))
-    five = one.join(two, ["gene", "a"]).where("b1 < b2").join(t1, ["gene", "b1"]).join(t2, ["gene", "b2", "t"])
-    a5 = five.select(
-        "gene", name("A5SS", "a", "b1", "b2", "t").alias("event_id"), F.lit("A5SS").alias("etype"), zero(F.when(plus, F.col("begin")).otherwise(F.col("q2"))).alias("longExonStart_0base"), zero(F.when(plus, F.col("q2")).otherwise(F.col("begin"))).alias("longExonEnd"),
-        zero(F.when(plus, F.col("begin")).otherwise(F.col("q1"))).alias("shortES"), zero(F.when(plus, F.col("q1")).otherwise(F.col("begin"))).alias("shortEE"), zero(F.col("x1")).alias("flankingES"), zero(F.col("x1")).alias("flankingEE"),
+    # the one strand's begin is the other one's end
+    turned = lambda p, q: F.when(plus, p).otherwise(q)
+    a3_of = lambda e, s: event(
+        "A3SS", [e["f"], e["a"], s["a"], e["b"]], longExonStart_0base=turned(e["p"], e["q"]), longExonEnd=turned(e["q"], e["p"]), shortES=turned(s["p"], e["q"]), shortEE=turned(e["q"], s["p"]), flankingES=e["x"], flankingEE=e["x"]
+    )
+    a3 = F.flatten(F.transform("entered", lambda e: F.transform(F.filter("entered", lambda s: (s["f"] == e["f"]) & (s["b"] == e["b"]) & (e["a"] < s["a"])), lambda s: a3_of(e, s))))
+    a5_of = lambda s, e: event(
+        "A5SS", [s["a"], s["b"], e["b"], s["t"]], longExonStart_0base=turned(s["p"], e["q"]), longExonEnd=turned(e["q"], s["p"]), shortES=turned(s["p"], s["q"]), shortEE=turned(s["q"], s["p"]), flankingES=s["x"], flankingEE=s["x"]
     )
-    every = se.unionByName(ri, allowMissingColumns=True).unionByName(a3, allowMissingColumns=True).unionByName(a5, allowMissingColumns=True)
+    a5 = F.flatten(F.transform("left_", lambda s: F.transform(F.filter("left_", lambda e: (e["a"] == s["a"]) & (e["t"] == s["t"]) & (s["b"] < e["b"])), lambda e: a5_of(s, e))))
+    # the outer form asks nothing of the list beforehand, which would be made twice
+    every = lists.select("gene", F.inline_outer(F.concat(se, ri, a3, a5))).where("event_id is not null")
     return every.withColumn("strand", F.when(plus, "+").otherwise("-"))
 
 
