@@ -69,8 +69,9 @@ def placed_splits(splits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def step_positions(nodes: DataFrame) -> DataFrame:
     """(gene, part, low, high): where the unit step from each node to the next one of its gene lies."""
-    following = nodes.where("position is not null").select("gene", (F.col("node") - 1).alias("node"), F.col("position").alias("further"))
-    return nodes.join(following, ["gene", "node"]).where("position is not null").select("gene", F.col("node").alias("part"), F.least("position", "further").alias("low"), F.greatest("position", "further").alias("high"))
+    following = W.partitionBy("gene").orderBy("node")
+    rows = nodes.where("gene is not null and position is not null").withColumns({"next": F.lead("node").over(following), "further": F.lead("position").over(following)})
+    return rows.where("next = node + 1").select("gene", F.col("node").alias("part"), F.least("position", "further").alias("low"), F.greatest("position", "further").alias("high"))
 
 
 def _bounds(rows: DataFrame, positions: DataFrame) -> DataFrame:
@@ -93,22 +94,34 @@ def _events(bounded: DataFrame) -> DataFrame:
 
 
 def met_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) -> DataFrame:
-    """Events with each side of a split (gene, event, diff1, diff2, ref) whose parts and reference parts lie as the event needs, and their numbers only; see match_splits()."""
-    sides = _bounds(splits.select("gene", "event", "ref", "diff1", "diff2"), positions)
+    """Events with each side of a split (gene, event, diff1, diff2, ref) whose parts and reference parts lie as the event needs: their numbers, and what other columns the splits have; see match_splits().
+
+    Events and splits meet by gene alone, so that splits that are dealt by gene stay where they are until the few that lie so are told.
+    """
+    rest = [c for c in splits.columns if c not in ("gene", "event", "ref", "diff1", "diff2")]
+    sides = _bounds(splits.select("gene", "event", "ref", "diff1", "diff2", *rest), positions)
     flanks = F.struct(F.array_min(_spans("ref")).alias("first"), F.array_max(_spans("ref")).alias("last"))
     reach = lambda side, diff: F.struct(F.lit(side).alias("side"), F.array_min(_spans(diff))["low"].alias("alt_low"), F.array_max(F.transform(_spans(diff), lambda x: x["high"])).alias("alt_hi"))
-    placed = sides.select("gene", "event", flanks.alias("flanks"), F.inline(F.array(reach(1, "diff1"), reach(2, "diff2")))).where("alt_low is not null")
-    placed = placed.select("gene", "event", "side", "alt_low", "alt_hi", "flanks.first", "flanks.last")
-    plus = F.col("strand") == "+"
+    placed = sides.select("gene", "event", *rest, flanks.alias("flanks"), F.inline(F.array(reach(1, "diff1"), reach(2, "diff2")))).where("alt_low is not null")
+    placed = placed.select("gene", "event", *rest, "side", "alt_low", "alt_hi", "flanks.first", "flanks.last")
+    events = _events(bounded)
+    lists = events.groupBy("gene").agg(F.collect_list(F.struct(*(c for c in events.columns if c != "gene"))).alias("events"))  # a gene's events
     below, above = F.col("first.high"), F.col("last.low")
-    flanked = (
-        F.when(F.col("etype") == "SE", (below == F.col("b1")) & (above == F.col("b2"))).when(F.col("etype") == "A3SS", F.when(plus, below).otherwise(above) == F.col("b1"))
-        .when(F.col("etype") == "A5SS", F.when(plus, above).otherwise(below) == F.col("b2")).when(F.col("r1").isNotNull() & F.col("r2").isNotNull(), (F.col("first.low") == F.col("r1")) & (F.col("last.high") == F.col("r2"))).otherwise(True)
-    )
-    return _events(bounded).join(placed, ["gene", "alt_low", "alt_hi"]).where(flanked).drop("first", "last")
+
+    def lies(e: Column) -> Column:
+        plus, kind = e["strand"] == "+", e["etype"]
+        flanked = (
+            F.when(kind == "SE", (below == e["b1"]) & (above == e["b2"])).when(kind == "A3SS", F.when(plus, below).otherwise(above) == e["b1"])
+            .when(kind == "A5SS", F.when(plus, above).otherwise(below) == e["b2"]).when(e["r1"].isNotNull() & e["r2"].isNotNull(), (F.col("first.low") == e["r1"]) & (F.col("last.high") == e["r2"])).otherwise(True)
+        )
+        return (e["alt_low"] == F.col("alt_low")) & (e["alt_hi"] == F.col("alt_hi")) & flanked
+
+    # the outer form asks nothing of the list beforehand, which would be made twice
+    found = placed.join(lists, "gene").select("gene", "event", *rest, "side", F.explode_outer(F.filter("events", lies)).alias("e")).where("e is not null")
+    return found.select("gene", "e.*", "event", "side", *rest)
 
 
-def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) -> DataFrame:
+def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """Events matched to splits by where the distinguishing parts begin and end.
 
     splits (gene, event, src_pos, snk_pos, diff1, diff2, ref, and pos1, pos2: arrays of the positions of each side's
@@ -117,9 +130,9 @@ def match_splits(bounded: DataFrame, splits: DataFrame, positions: DataFrame) ->
     constant exon's); for RI they begin and end with the whole exon, where its riExonStart_0base and riExonEnd are given. Where
     several splits match, only those stay whose source and sink are the event's boundaries (for RI upstreamES and downstreamEE, where given); of several of these, those
     where one side's paths have the event's own sites (both ends of an SE, else of the longer form) and the other's have
-    none; then the first event. Returns gene, event_id, etype, event, side, parts, ref, and diffs, the parts of both sides.
+    none; then the first event. `met` are the rows of met_splits(), where they are at hand. Returns gene, event_id, etype, event, side, parts, ref, and diffs, the parts of both sides.
     """
-    met = met_splits(bounded, splits, positions)
+    met = met_splits(bounded, splits.select("gene", "event", "diff1", "diff2", "ref"), positions) if met is None else met
     diffs = F.array_sort(F.array_union(F.coalesce("diff1", F.array().cast("array<int>")), F.coalesce("diff2", F.array().cast("array<int>"))))
     told = splits.select("gene", "event", F.array("src_pos", "snk_pos").alias("ends"), "pos1", "pos2", "ref", diffs.alias("diffs"), "diff1", "diff2")
     met = met.join(told, ["gene", "event"]).withColumn("parts", F.when(F.col("side") == 1, F.col("diff1")).otherwise(F.col("diff2")))

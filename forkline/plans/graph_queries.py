@@ -286,7 +286,8 @@ def event_to_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _numbered_splits(edges: DataFrame, kind: str) -> DataFrame:
     """The splits of all genes' graphs, numbered within the gene; the leaf of each graph, which all its paths end in, is numbered LEAF. A group's paths are one list of all their nodes."""
-    used = edges.where("kind <> 'ex_part'").select("gene", F.explode("txs").alias("tx"), F.explode(F.array("a", "b")).alias("node"))
+    dealt = edges.where("kind <> 'ex_part'").select("gene", "a", "b", "txs").repartition(b.partitions(edges), "gene")  # before a row for each transcript is made of them
+    used = dealt.select("gene", F.explode("txs").alias("tx"), F.explode(F.array("a", "b")).alias("node"))
     lists = used.groupBy("gene", "tx").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     paths = b.with_parts(lists.withColumn("nodes", F.array_sort(F.array_distinct(F.concat(F.expr("slice(nodes, 1, size(nodes) - 1)"), F.array(F.lit(LEAF)))))), ROOT, LEAF)
     found = b.prune(b.detect_bubbles(paths, ("parts", "rep")), ROOT, LEAF, None if kind == "bipartition" else MAX_SINGLE)
@@ -298,21 +299,20 @@ def _numbered_splits(edges: DataFrame, kind: str) -> DataFrame:
     return rows.select("gene", "event", "src", "snk", groups.alias("groups"), "ref")
 
 
-def _matched(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """Splits that lie as no event needs are left out before the positions of their paths are looked up."""
-    exons = save(_exons(spark, sf))
-    nodes = save(graph.build_nodes(exons))
-    edges = save(graph.build_edges(exons, nodes))
-    events = save(mapping.boundaries(_tool_table(edges, whole_exons=True)))
+def _matched(edges: DataFrame, kind: str) -> DataFrame:
+    """Splits stay with their gene until those are left out that lie as no event needs; the positions of their paths are looked up for the rest. `edges` are read several times."""
+    nodes = graph.node_positions(edges)
+    events = mapping.boundaries(_tool_table(edges, whole_exons=True))
     positions = mapping.step_positions(nodes)
-    numbered = save(_numbered_splits(edges, kind))
-    met = save(mapping.met_splits(events, mapping.two_sided(numbered), positions).select("gene", "event").distinct())
-    return save(mapping.match_splits(events, mapping.placed_splits(numbered.join(met, ["gene", "event"], "left_semi"), nodes), positions))
+    numbered = _numbered_splits(edges, kind).withColumn("whole", F.struct("src", "snk", "groups", "ref"))
+    met = save(mapping.met_splits(events, mapping.two_sided(numbered).select("gene", "event", "diff1", "diff2", "ref", "whole"), positions))
+    placed = mapping.placed_splits(met.dropDuplicates(["gene", "event"]).select("gene", "event", "whole.*"), nodes)
+    return save(mapping.match_splits(events, placed, positions, met.drop("whole")))
 
 
 def _match(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _matched(spark, sf, kind)
+        rows = _matched(save(_edges(spark, sf)), kind)
         return rows.select("gene", "event_id", "etype", "event", "side", part_labels(F.col("diffs")).alias("parts"), part_labels(F.col("ref")).alias("ref_parts"))
 
     return run
@@ -324,8 +324,9 @@ QUERIES |= {f"match_{kind}": _match(kind) for kind in ("bipartition", "multinomi
 @query
 def match_maps(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered parts that matched events are told apart by, and those that are their references, by kind."""
-    maps = mapping.split_maps(_matched(spark, sf, "bipartition")).withColumnRenamed("part", "step")
-    return maps.join(graph.part_of_step(_all_edges(spark, sf)), ["gene", "step"]).drop("step")
+    edges = save(_all_edges(spark, sf))
+    maps = mapping.split_maps(_matched(edges, "bipartition")).withColumnRenamed("part", "step")
+    return maps.join(graph.part_of_step(edges), ["gene", "step"]).drop("step")
 
 
 # --- files --------------------------------------------------------------------------------------------------------

@@ -607,3 +607,19 @@ def test_events_of_unknown_genes_and_repeated_ones(spark):
     bounded = spark.createDataFrame(rows, "gene string, event_id string, etype string, b1 int, b2 int, alt_low int, alt_hi int")
     found = sorted(((r.gene, r.event_id, r.parts) for r in mapping.event_parts(bounded, edges).collect()), key=str)
     assert found == [("g", "SE_1", None), ("g", "SE_1", [2]), ("x", "SE_1", None)]
+
+
+def test_splits_meet_events_where_the_gene_is(spark):
+    """Events and splits are dealt by gene and by nothing else until they have met; what splits have beside their parts comes along."""
+    import re
+
+    edges = [("SE_1", "SE", "+", 301, 401, 201, 501), ("SE_2", "SE", "+", 301, 401, 201, 777), ("RI_1", "RI", "-", 301, 401, 301, 401)]
+    bounded = spark.createDataFrame([("g", *e) for e in edges] + [("x", *edges[0])], "gene string, event_id string, etype string, strand string, alt_low int, alt_hi int, b1 int, b2 int")
+    splits = spark.createDataFrame([("g", 1, [2], None, [1, 3], "one"), ("g", 2, [1], [2], [3], "two"), ("g", 3, None, [3], [1], "three")], "gene string, event int, diff1 array<int>, diff2 array<int>, ref array<int>, whole string")
+    where = mapping.step_positions(spark.createDataFrame([("g", k, p) for k, p in ((0, None), (1, 100), (2, 301), (3, 401), (4, 601), (6, 700), (7, 800), (8, None))], "gene string, node int, position int"))
+    assert sorted((r.part, r.low, r.high) for r in where.collect()) == [(1, 100, 301), (2, 301, 401), (3, 401, 601), (6, 700, 800)]
+    where = spark.createDataFrame([("g", 1, 100, 201), ("g", 2, 301, 401), ("g", 3, 501, 601)], "gene string, part int, low int, high int")
+    met = mapping.met_splits(bounded, splits, where)
+    plan = met.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gene" in plan and not re.search(r"hashpartitioning\(gene#\d+, [a-z]", plan)
+    assert sorted((r.event_id, r.event, r.side, r.whole) for r in met.collect()) == [("RI_1", 1, 1, "one"), ("RI_1", 2, 2, "two"), ("SE_1", 1, 1, "one")]
