@@ -397,3 +397,10 @@ def test_junction_counts_of_transcripts_deal_rows_seldom(spark):
     import __spark_entry__ as entry
 
     assert _exchanges(entry.queries()["junction_bipartition"](spark, "/root/testdata/sf0.001")) <= 12
+
+
+def test_unpivoted_junction_counts_deal_rows_seldom(spark):
+    """Counts are turned where they are. It was 78 times, as in the wide table."""
+    import __spark_entry__ as entry
+
+    assert _exchanges(entry.queries()["junction_unpivot"](spark, "/root/testdata/sf0.001")) <= 12
